@@ -1,6 +1,10 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
+from litlens.llm import token_rollup
 from litlens.llm.bpe import op8_bpe
+from litlens.llm.hnsw import op10_hnsw
+from litlens.llm.token_rollup import op2_token_rollup
+from litlens.llm.url_templates import op9_url_templates
 
-QUERIES = {"op8_bpe": op8_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op2_token_rollup": op2_token_rollup, "op8_bpe": op8_bpe, "op9_url_templates": op9_url_templates, "op10_hnsw": op10_hnsw}
+ORACLES: dict[str, str] = {"op2_token_rollup": token_rollup.ORACLE}
