@@ -3,8 +3,9 @@
 from litlens.llm import token_rollup
 from litlens.llm.bpe import op8_bpe
 from litlens.llm.hnsw import op10_hnsw
+from litlens.llm.jaccard import op7_ngram_join
 from litlens.llm.token_rollup import op2_token_rollup
 from litlens.llm.url_templates import op9_url_templates
 
-QUERIES = {"op2_token_rollup": op2_token_rollup, "op8_bpe": op8_bpe, "op9_url_templates": op9_url_templates, "op10_hnsw": op10_hnsw}
+QUERIES = {"op2_token_rollup": op2_token_rollup, "op7_ngram_join": op7_ngram_join, "op8_bpe": op8_bpe, "op9_url_templates": op9_url_templates, "op10_hnsw": op10_hnsw}
 ORACLES: dict[str, str] = {"op2_token_rollup": token_rollup.ORACLE}
