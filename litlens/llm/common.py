@@ -29,12 +29,9 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def semi_by_bitmap(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """Rows of df whose hashed key may be among wanted's keys: a pre-filter before a shuffle join, never the join itself.
-
-    The broadcast side is a bitmap of `bits` bits (1 MB) whatever the input, so its size is bounded by a constant; when
-    more keys than bits exist it passes more rows, and the join that follows stays exact.
-    """
+def _marked(df: DataFrame, key: str, wanted: DataFrame, bits: int) -> DataFrame:
+    """df with _may: whether the hashed key is among wanted's. The broadcast side is a bitmap of `bits` bits (1 MB) whatever
+    the input, so a constant bounds its size; with more keys than bits it marks more rows, never fewer."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     rows = (
         wanted.select(bit(F.col(key)).alias("_bit"))
@@ -42,11 +39,24 @@ def semi_by_bitmap(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 <<
         .agg(F.bitmap_construct_agg(F.pmod(F.col("_bit"), F.lit(BITMAP_ROW_BITS))).alias("_map"))
     )
     marked = df.withColumn("_bit", bit(F.col(key))).withColumn("_row", F.floor(F.col("_bit") / BITMAP_ROW_BITS))
-    at = F.pmod(F.col("_bit"), F.lit(BITMAP_ROW_BITS))
-    byte = F.conv(F.hex(F.expr(f"substring(_map, cast(pmod(_bit, {BITMAP_ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod(_bit, {BITMAP_ROW_BITS}) % 8 as int))")) != 0
-    del at
-    return marked.join(F.broadcast(rows), "_row").filter(is_set).drop("_bit", "_row", "_map")
+    at = f"pmod(_bit, {BITMAP_ROW_BITS})"
+    byte = F.conv(F.hex(F.expr(f"substring(_map, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0
+    return marked.join(F.broadcast(rows), "_row", "left").withColumn("_may", F.coalesce(is_set, F.lit(False))).drop("_bit", "_row", "_map")
+
+
+def semi_by_bitmap(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """Rows of df whose key may be among wanted's: it makes the shuffle of an exact join small, and never stands for it."""
+    return _marked(df, key, wanted, bits).filter("_may").drop("_may")
+
+
+def left_join_marked(df: DataFrame, key: str, right: DataFrame, bits: int = 1 << 23) -> DataFrame:
+    """df left join right on key, where only rows that may have a partner are shuffled."""
+    marked = _marked(df, key, right.select(key), bits)
+    joined = marked.filter("_may").drop("_may").join(right, key, "left")
+    others = [c for c in right.columns if c != key]
+    alone = marked.filter("not _may").drop("_may").select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in others])
+    return joined.unionByName(alone)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
