@@ -4,10 +4,11 @@ from litlens.llm import token_rollup
 from litlens.llm.bpe import op8_bpe
 from litlens.llm.hnsw import op10_hnsw
 from litlens.llm.jaccard import op7_ngram_join
+from litlens.llm.pii_crf import op1_pii_crf
 from litlens.llm.rule_quality import op4_rule_quality
 from litlens.llm.suffix_dedup import op5_suffix_dedup
 from litlens.llm.token_rollup import op2_token_rollup
 from litlens.llm.url_templates import op9_url_templates
 
-QUERIES = {"op2_token_rollup": op2_token_rollup, "op4_rule_quality": op4_rule_quality, "op5_suffix_dedup": op5_suffix_dedup, "op7_ngram_join": op7_ngram_join, "op8_bpe": op8_bpe, "op9_url_templates": op9_url_templates, "op10_hnsw": op10_hnsw}
+QUERIES = {"op1_pii_crf": op1_pii_crf, "op2_token_rollup": op2_token_rollup, "op4_rule_quality": op4_rule_quality, "op5_suffix_dedup": op5_suffix_dedup, "op7_ngram_join": op7_ngram_join, "op8_bpe": op8_bpe, "op9_url_templates": op9_url_templates, "op10_hnsw": op10_hnsw}
 ORACLES: dict[str, str] = {"op2_token_rollup": token_rollup.ORACLE}
