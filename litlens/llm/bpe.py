@@ -216,5 +216,26 @@ def encode_digest(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenize(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, lang, source, n_tokens, ids array<int>, round_trip): round_trip says that decoding gives the text back."""
+    spec = _shared(docs.sparkSession, vocabulary)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(spec)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                texts = part.column(3).to_pylist()
+                packed = [codec.encode(t) for t in texts]
+                same = [codec.decode(ids) == (t or "") for ids, t in zip(packed, texts, strict=True)]
+                n = np.array([len(x) // 4 for x in packed], np.int64)
+                flat = pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32))
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), flat)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(n), ids, pa.array(same)], ["doc_id", "lang", "source", "n_tokens", "ids", "round_trip"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("text").cast("string").alias("text"))
+    return slim.mapInArrow(run, "doc_id long, lang string, source string, n_tokens long, ids array<int>, round_trip boolean")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digest(read_table(spark, sf_dir, "documents"))

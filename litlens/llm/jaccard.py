@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, components, partitions, read_table, semi_by_bitmap
+from litlens.llm.common import checkpoint, components, left_join_marked, partitions, read_table, semi_by_bitmap
 from litlens.llm.words import mix, pieces, planes, shingle_hashes, unplanes, word_hashes
 
 #: Upper ends of the bands of set sizes, and pair subclasses in each (an eighth of the band's lower end).
@@ -261,5 +261,12 @@ def _node_texts(slim: DataFrame, words: int) -> DataFrame:
     return slim.select("text").mapInArrow(run, "node long, text string")
 
 
+def one_per_group(docs: DataFrame, **options) -> DataFrame:
+    """docs without the documents that are linked, directly or not, with one of a smaller doc_id. Only documents that may go
+    are shuffled."""
+    gone = join(docs, **options).filter("component_id < doc_id").select("doc_id").distinct().withColumn("_goes", F.lit(True))
+    return left_join_marked(docs, "doc_id", checkpoint(gone)).filter("_goes is null").drop("_goes").select(*docs.columns)
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(read_table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from litlens.llm import token_rollup
 from litlens.llm.bpe import op8_bpe
 from litlens.llm.decontaminate import op3_decontaminate
+from litlens.llm.fuzzy_lines import op6_fuzzy_lines
 from litlens.llm.hnsw import op10_hnsw
 from litlens.llm.jaccard import op7_ngram_join
 from litlens.llm.pii_crf import op1_pii_crf
@@ -11,5 +12,5 @@ from litlens.llm.suffix_dedup import op5_suffix_dedup
 from litlens.llm.token_rollup import op2_token_rollup
 from litlens.llm.url_templates import op9_url_templates
 
-QUERIES = {"op1_pii_crf": op1_pii_crf, "op2_token_rollup": op2_token_rollup, "op3_decontaminate": op3_decontaminate, "op4_rule_quality": op4_rule_quality, "op5_suffix_dedup": op5_suffix_dedup, "op7_ngram_join": op7_ngram_join, "op8_bpe": op8_bpe, "op9_url_templates": op9_url_templates, "op10_hnsw": op10_hnsw}
+QUERIES = {"op1_pii_crf": op1_pii_crf, "op2_token_rollup": op2_token_rollup, "op3_decontaminate": op3_decontaminate, "op4_rule_quality": op4_rule_quality, "op5_suffix_dedup": op5_suffix_dedup, "op6_fuzzy_lines": op6_fuzzy_lines, "op7_ngram_join": op7_ngram_join, "op8_bpe": op8_bpe, "op9_url_templates": op9_url_templates, "op10_hnsw": op10_hnsw}
 ORACLES: dict[str, str] = {"op2_token_rollup": token_rollup.ORACLE}
