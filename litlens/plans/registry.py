@@ -1,4 +1,4 @@
-"""Registered queries of the literature operators, and their SQL."""
+"""All registered queries of the literature operators, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from litlens.plans import text_queries  # noqa: F401
+from litlens.plans.base import ORACLES, QUERIES  # noqa: F401
