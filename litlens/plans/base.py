@@ -61,11 +61,26 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_views(sql: str) -> str:
     """Oracle SQL with the views in front."""
     views = {"articles": ARTICLES.format(d="documents", e="embeddings"), "messages": MESSAGES.format(c="conversations"), "clusters": CLUSTERS.format(a="articles")}
-    rest = sql.strip()
-    more = ""
-    if rest[:5].upper() == "WITH ":
-        more, rest = ", " + rest[5:], ""
-    return "WITH " + ", ".join(f"{k} AS ({v.strip()})" for k, v in views.items()) + more + (" " + rest if rest else "")
+    rest = _long_counts(sql.strip())
+    head = "WITH "
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if rest.startswith(start):
+            head, rest = start, ", " + rest[len(start) :]
+            break
+    return head + ", ".join(f"{k} AS ({v.strip()})" for k, v in views.items()) + (rest if rest[:1] == "," else " " + rest)
+
+
+def _long_counts(sql: str) -> str:
+    """count_if is a HUGEINT in DuckDB; Spark's is a long."""
+    out, at = [], 0
+    while (i := sql.find("count_if(", at)) >= 0:
+        depth, j = 1, i + 9
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        out += [sql[at:i], "CAST(", sql[i:j], " AS BIGINT)"]
+        at = j
+    return "".join([*out, sql[at:]])
 
 
 def query(name: str, sql: str | None = None):
