@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, read_table
+from litlens.llm.common import checkpoint, read_table, shared_folder
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
@@ -82,8 +82,7 @@ def op2_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
         2: docs.select(*group, F.lit("revise").alias("op"), F.col("words").alias("tokens"), F.col("guess").alias("old_tokens")),
         3: copies.select(*group, F.lit("delete").alias("op"), F.col("words").alias("tokens"), F.lit(None).cast("long").alias("old_tokens")),
     }
-    root = spark.sparkContext.getCheckpointDir()
-    rollup = Rollup(spark, f"{root}/token-rollup-{uuid.uuid4().hex}")
+    rollup = Rollup(spark, f"{shared_folder(spark)}/token-rollup-{uuid.uuid4().hex}")
     for batch_id in (1, 2, 2, 3, 1):  # retries change nothing
         rollup.apply(batch_id, batches[batch_id])
     return rollup.totals()
