@@ -19,8 +19,8 @@ of their sets is at least `percent` / 100.
   components are compared, so no link between components is missed. Groups of near copies never expand into all pairs.
 
 Defined cases: null text is an empty text; documents without words have no set, link with nothing and are their own
-component; a null doc_id keeps its n_shingles and has a null component unless a linked document has an id; repeated rows
-give one result row each; an empty table gives an empty table; other columns are ignored.
+component; a null doc_id keeps its n_shingles and has a null component unless a linked document has an id; rows of
+one doc_id give one result row each and are judged by their own sets; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +40,9 @@ from litlens.llm.words import mix, pieces, planes, shingle_hashes, unplanes, wor
 BANDS = [64, 512, 4096, 32_768, 262_144, 1 << 62]
 SUBCLASSES = [1, 8, 64, 512, 4096, 32_768]
 #: Bits of a token's hash that are counted together; range partitions of the counts a million tokens apart.
-COUNT_BITS = 48
+COUNT_BITS = 40
+#: Bits of a set's identity; above them an index row carries how frequent the set's tokens are, in 32 steps.
+NODE_BITS = 58
 
 
 def sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -54,8 +56,9 @@ def sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
 
 
 def fingerprint(s: np.ndarray) -> int:
-    """64-bit identity of a set (never of an empty one); the set's size is part of it."""
-    return int((mix(s + np.uint64(0x632BE59BD9B4E019)).sum(keepdims=True) + mix(np.array([len(s)], np.uint64))).astype(np.int64)[0])
+    """Identity of a set (never of an empty one); the set's size is part of it."""
+    h = mix(s + np.uint64(0x632BE59BD9B4E019)).sum(keepdims=True) + mix(np.array([len(s)], np.uint64))
+    return int((h >> np.uint64(64 - NODE_BITS)).astype(np.int64)[0])
 
 
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -154,12 +157,13 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.nd
 
 
 def index(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """(sig, node, n, weight): what each node indexes; sets of one shingle equal their partners and need no index."""
+    """(sig, node): what each node indexes, the node with its tokens' frequency above its identity, so that the largest node
+    of a bucket is its centre. Sets of one shingle equal their partners and need no index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = frequent.value, set()
         for batch in batches:
-            sig, node, size, weight, count = [], [], [], [], []
+            sig, node, count = [], [], []
             for s in sets_of(batch.column(0).to_pylist(), words):
                 if len(s) < 2:
                     continue
@@ -170,39 +174,38 @@ def index(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
                     seen.add(f)
                 x, w = signatures(s, table, percent)
                 sig.append(x)
-                node.append(f)
-                size.append(len(s))
-                weight.append(w)
+                node.append((int(w * 31) << NODE_BITS) | f)
                 count.append(len(x))
             if sig:
-                each = lambda v, kind: pa.array(np.repeat(np.array(v, kind), count))
-                rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).astype(np.int64)), each(node, np.int64), each(size, np.int32), each(weight, np.float32)], ["sig", "node", "n", "weight"])
+                rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).astype(np.int64)), pa.array(np.repeat(np.array(node, np.int64), count))], ["sig", "node"])
                 for a in range(0, rows.num_rows, 100_000):
                     yield rows.slice(a, 100_000)
 
-    return docs.select("text").mapInArrow(run, "sig long, node long, n int, weight float")
+    return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs whose sets are similar enough, counted on the whole texts."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    some = checkpoint(semi_by_bitmap(texts, "node", ends).join(ends, "node", "left_semi").dropDuplicates(["node"]))
-    both = pairs.join(some.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(some.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, doc_a, doc_b) whose sets are similar enough, counted on the whole texts. The texts are
+    shuffled by document once, and once more beside their partner; documents in no pair stay where they are."""
+    ends = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
+    texts = semi_by_bitmap(docs, "doc_id", ends).select("doc_id", "text")
+    left = pairs.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("ta")), "doc_a")
+    both = left.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("tb")), "doc_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             ok, last = [], (None, None)
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                if ta != last[0]:
-                    last = (ta, sets_of([ta], words)[0])
-                x, y = last[1], sets_of([tb], words)[0]
+                if tb != last[0]:
+                    last = (tb, sets_of([tb], words)[0])
+                x, y = sets_of([ta], words)[0], last[1]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 ok.append(100 * common >= percent * (len(x) + len(y) - common))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([a.filter(keep), b.filter(keep)], ["a", "b"])
 
-    return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long"))
+    return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int = 32, frequent_most: int = 1 << 18) -> DataFrame:
@@ -212,58 +215,48 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
     spark = docs.sparkSession
     sized = checkpoint(with_sets(slim, words))
     tokens = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # each set's size and the document whose text stands for it; sets that only null ids hold get no document and no links
+    nodes = checkpoint(sized.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
     frequent = spark.sparkContext.broadcast(frequent_tokens(slim, words, frequent_from, frequent_most, max(1, tokens // 2_000_000)))
-    rows = index(slim, frequent, words, percent).repartition(partitions(docs), "sig")
+    rows = index(slim.filter("doc_id is not null"), frequent, words, percent).repartition(partitions(docs), "sig")
     w = Window.partitionBy("sig")
-    # one shuffle: buckets of one node go, the others know their centre
-    top = F.struct("weight", "node")
-    buckets = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w), "centre": F.max(top).over(w)["node"], "second": F.min(top).over(w)["node"]})
-    buckets = checkpoint(buckets.filter("low <> high").drop("low", "high", "weight").distinct())
-    fits = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    def candidates(centre: str) -> DataFrame:
-        sizes = buckets.select(F.col("node").alias(centre), F.col("n").alias("m")).distinct()
-        pairs = buckets.filter(F.col("node") != F.col(centre)).select("node", "n", centre).distinct().join(sizes, centre)
-        return pairs.filter(fits(F.col("n"), F.col("m"))).select(F.least("node", centre).alias("a"), F.greatest("node", centre).alias("b")).distinct()
-
-    # the text of each node, once: any document that holds it
-    key = sized.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    texts = _node_texts(slim, words)
-    tried = checkpoint(candidates("centre").union(candidates("second")).distinct())
-    links = verify(tried, texts, words, percent)
+    mask = (1 << NODE_BITS) - 1
+    bare = lambda c: c.bitwiseAND(F.lit(mask))
+    # one shuffle: buckets of one node go, the others know their most and least frequent node
+    buckets = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).filter("low <> high")
+    buckets = checkpoint(buckets.select("sig", *[bare(F.col(c)).alias(d) for c, d in (("node", "node"), ("high", "centre"), ("low", "second"))]).distinct())
+
+    def described(pairs: DataFrame) -> DataFrame:
+        """Pairs with their documents, without those whose sizes alone rule a link out."""
+        one = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"))
+        sized_pairs = pairs.join(one("a"), "a").join(one("b"), "b")
+        return sized_pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "doc_a", "doc_b")
+
+    star = lambda c: buckets.filter(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
+    tried = checkpoint(described(star("centre").union(star("second")).distinct()))
+    links = verify(tried, slim, words, percent)
     groups = components(links)
-    apart = buckets.join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    apart = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig").join(apart, "sig").select("sig", "node", "n", "component")
-    apart = checkpoint(apart)
-    left, right = apart.select("sig", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")), apart.select("sig", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    rest = left.join(right, "sig").filter(F.expr("a < b and ca <> cb") & fits(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-    rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
+    apart = buckets.select("sig", "node").join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+    apart = checkpoint(mixed.join(apart, "sig"))
+    left, right = apart.select("sig", F.col("node").alias("a"), F.col("component").alias("ca")), apart.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
+    rest = left.join(right, "sig").filter("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = checkpoint(described(rest))
     if not rest.isEmpty():
-        links = checkpoint(links.union(verify(rest, texts, words, percent)))
+        links = checkpoint(links.union(verify(rest, slim, words, percent)))
         groups = components(links)
-    named = groups.join(key, "node", "left").withColumn("component_id", F.min("doc_id").over(Window.partitionBy("component")))
+    named = groups.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = groups.join(named, "component").select("node", "component_id")
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    per_node = key.select("node", F.col("doc_id").alias("first")).join(named.select("node", "component_id"), "node", "left").join(ends, "node", "left")
+    per_node = nodes.select("node", F.col("doc_id").alias("first")).join(named, "node", "left").join(ends, "node", "left")
     per_node = per_node.select("node", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sized.join(per_node, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
-def _node_texts(slim: DataFrame, words: int) -> DataFrame:
-    """(node, text) of all documents with a set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            node = [fingerprint(s) if len(s) else None for s in sets_of(batch.column(0).to_pylist(), words)]
-            out = pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch.column(0)], ["node", "text"])
-            yield out.filter(out.column(0).is_valid())
-
-    return slim.select("text").mapInArrow(run, "node long, text string")
-
-
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
-    """docs without the documents that are linked, directly or not, with one of a smaller doc_id. Only documents that may go
-    are shuffled."""
+    """docs without the documents that are linked, directly or not, with one of a smaller doc_id, or equal one in their set.
+    Only documents that may go are shuffled."""
     gone = join(docs, **options).filter("component_id < doc_id").select("doc_id").distinct().withColumn("_goes", F.lit(True))
     return left_join_marked(docs, "doc_id", checkpoint(gone)).filter("_goes is null").drop("_goes").select(*docs.columns)
 
