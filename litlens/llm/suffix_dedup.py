@@ -7,7 +7,9 @@ input are judged, in four steps:
    windows have equal anchors at equal places. An anchor's context are the bytes that windows around it can reach. Per task
    only the smallest document of each (anchor, context) is sent on; in the others the whole context is a repeat.
 2. Anchors that one document alone holds end here. Of equal contexts only the smallest document's is kept; the others' are
-   repeats. The rest, kept contexts under anchors with several different ones, go to the sort, with their bytes.
+   repeats. A window reaches at least half of what it has besides its anchor to the left or to the right of it, so two
+   contexts can share a window only if they agree on the half context on one side. The contexts that agree with one of
+   another document there go to the sort, with their bytes.
 3. Sort. The contexts of an anchor are joined to one text; its suffixes at the window starts are sorted by a bottom-up merge
    sort. Two suffixes are compared by the hashes of their prefixes (polynomial, from prefix sums): a binary search finds how
    far they agree, the next byte decides. Neighbours that agree on `length` bytes are compared byte by byte, so a collision
@@ -34,9 +36,9 @@ from litlens.llm.common import checkpoint, left_join_marked, partitions, read_ta
 from litlens.llm.words import letters, mix, pieces, planes, powers, unplanes
 
 #: Length of an anchor's k-gram in bytes. Anchors of one task that are sent together.
-GRAM, SENT = 18, 1_500_000
-#: Bits of an anchor's hash and of a context's hash (compared only under equal anchors) that are sent.
-ANCHOR_BITS, CONTEXT_BITS = 48, 48
+GRAM, SENT = 18, 500_000
+#: Bits of an anchor's hash, and of the hashes of its context and of the two half contexts (compared only under equal anchors).
+ANCHOR_BITS, CONTEXT_BITS, SIDE_BITS = 48, 40, 12
 _LETTER = letters(lower=False)
 
 
@@ -66,7 +68,7 @@ def _sliding(a: np.ndarray, w: int, op) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
-    """(text number, place in it, k-gram hash, context hash) of every anchor in the texts.
+    """(text number, place in it, k-gram hash, context hash with the left and right half contexts' below) of every anchor.
 
     A context is cut where its text ends; the cuts are part of its hash.
     """
@@ -93,7 +95,23 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     start, end = ends[doc] - sizes[doc], ends[doc]
     lo, hi = np.maximum(at - (length - GRAM), start), np.minimum(at + length, end)
     ctx = mix(hash_at(sums, lo, hi - lo) + (at - lo).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + (hi - at).astype(np.uint64) * np.uint64(0xD1B54A32D192ED03))
-    return doc, at - start, h[at], ctx
+    half = (length - GRAM) // 2
+    left, right = np.maximum(at - half, start), np.minimum(at + GRAM + half, end)
+    sides = [mix(hash_at(sums, a, n) + n.astype(np.uint64)) >> np.uint64(64 - SIDE_BITS) for a, n in ((left, at + GRAM - left), (at, right - at))]
+    ctx = ctx >> np.uint64(64 - CONTEXT_BITS)
+    return doc, at - start, h[at], (ctx << np.uint64(2 * SIDE_BITS)) | (sides[0] << np.uint64(SIDE_BITS)) | sides[1]
+
+
+def several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether more than one document has the row's key."""
+    out = np.zeros(len(key), bool)
+    if len(key):
+        order = np.argsort(key, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+        d = doc[order]
+        mixed = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head)
+        out[order] = np.repeat(mixed, np.diff(np.concatenate([head, [len(key)]])))
+    return out
 
 
 def _smallest_first(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -115,7 +133,7 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
 
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, pos, h, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        h, ctx = h >> np.uint64(64 - ANCHOR_BITS), ctx >> np.uint64(64 - CONTEXT_BITS)
+        h = h >> np.uint64(64 - ANCHOR_BITS)
         h, ctx, doc, pos, new, larger = _smallest_first(h, ctx, doc, pos)
         # the smallest document may hold the same anchor and context twice; every place of it is kept
         keep = ~larger
@@ -131,14 +149,15 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            texts, ids = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()], batch.column(0).to_numpy()
-            for a, b in pieces(texts):
-                doc, pos, h, ctx = anchors(texts[a:b], length)
-                held.append((ids[a:b][doc], pos, h, ctx))
-                size += len(doc)
-                if size > SENT:
-                    yield from send(held)
-                    held, size = [], 0
+            for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
+                texts, ids = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()], part.column(0).to_numpy()
+                for a, b in pieces(texts):
+                    doc, pos, h, ctx = anchors(texts[a:b], length)
+                    held.append((ids[a:b][doc], pos, h, ctx))
+                    size += len(doc)
+                    if size > SENT:
+                        yield from send(held)
+                        held, size = [], 0
         if size:
             yield from send(held)
 
@@ -159,17 +178,12 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
         twin[:-1] |= same
         order = order[twin]
         h, ctx, doc, pos, new, larger = _smallest_first(h[order], ctx[order], doc[order], pos[order])
-        head = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
-        group = np.cumsum(head) - 1
-        contexts = np.bincount(group, weights=new, minlength=1)[group] if len(h) else np.empty(0)
-        low, high = np.full(len(contexts), 0), np.full(len(contexts), 0)
-        if len(h):
-            g = group.max() + 1
-            low, high = np.full(g, np.iinfo(np.int64).max), np.full(g, np.iinfo(np.int64).min)
-            np.minimum.at(low, group, doc)
-            np.maximum.at(high, group, doc)
-            low, high = low[group], high[group]
-        ask = ~larger & (contexts > 1) & (low != high)
+        first = np.flatnonzero(~larger)
+        group = np.cumsum(np.concatenate([[False], h[first][1:] != h[first][:-1]])) if len(first) else first
+        side = (1 << SIDE_BITS) - 1
+        rest = ctx[first].astype(np.int64)
+        left, right = (group << SIDE_BITS) | ((rest >> SIDE_BITS) & side), (group << SIDE_BITS) | (rest & side)
+        ask = first[several(left, doc[first]) | several(right, doc[first])]
         return pd.concat([_rows(1, doc[larger], pos[larger], h[larger]), _rows(2, doc[ask], pos[ask], h[ask])])
 
     sent = docs.mapInArrow(scan, "r int, h binary, ctx binary, doc binary, pos binary")
@@ -189,8 +203,12 @@ def agreement(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray)
 def suffix_sort(text: np.ndarray, sums: np.ndarray, group: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Order of the suffixes `at` within their groups (sorted), by their first `length` bytes: a bottom-up merge sort whose
     comparisons are hash-compared. All groups' merges of one width run together; an element's place in the merged run is its
-    own plus the number of smaller ones in the other run, found by binary search."""
+    own plus the number of smaller ones in the other run, found by binary search. Two suffixes are first compared by their
+    first eight bytes as a number and by the hashes of all `length` bytes; a search for their agreement is left to the others."""
     n = len(at)
+    lead, whole = np.zeros(n, np.uint64), hash_at(sums, at, length)
+    for i in range(8):
+        lead = (lead << np.uint64(8)) | text[at + i]
     order = np.arange(n)
     first = np.searchsorted(group, group)
     size = np.searchsorted(group, group, side="right") - first
@@ -202,17 +220,18 @@ def suffix_sort(text: np.ndarray, sums: np.ndarray, group: np.ndarray, at: np.nd
         lo = np.minimum(other * width, size)
         hi = np.minimum(lo + width, size)
         base = lo.copy()
-        mine = at[order]
         todo = np.flatnonzero(lo < hi)
         left_run = run % 2 == 0
         while len(todo):
             mid = (lo[todo] + hi[todo]) // 2
-            a, b = mine[todo], at[order[first[todo] + mid]]
-            k = agreement(sums, a, b, np.full(len(todo), length))
-            equal = k >= length
-            ca, cb = text[np.minimum(a + k, len(text) - 1)], text[np.minimum(b + k, len(text) - 1)]
+            a, b = order[todo], order[first[todo] + mid]
             # stable: of equal suffixes the left run's come first
-            goes_before = np.where(equal, ~left_run[todo], cb < ca)
+            goes_before = np.where(whole[a] == whole[b], ~left_run[todo], lead[b] < lead[a])
+            close = np.flatnonzero((lead[a] == lead[b]) & (whole[a] != whole[b]))
+            if len(close):
+                x, y = at[a[close]], at[b[close]]
+                k = agreement(sums, x, y, np.full(len(close), length - 1))
+                goes_before[close] = text[y + k] < text[x + k]
             lo[todo] = np.where(goes_before, mid + 1, lo[todo])
             hi[todo] = np.where(goes_before, hi[todo], mid)
             todo = todo[lo[todo] < hi[todo]]
@@ -301,12 +320,12 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     """(doc_id, spans array<struct<begin, end>>) in bytes of the documents that lose something; spans may overlap."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = checkpoint(find(slim, length, max(1, size // 12_000_000)))
+    found = checkpoint(find(slim, length, max(1, size // 3_000_000)))
     asked = found.filter("kind = 2")
     n = asked.count()
     begin = F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).cast("long")
     whole = found.filter("kind = 1").select("doc_id", begin.alias("begin"), (F.col("pos") + length).cast("long").alias("end"))
-    spans = whole.unionByName(sort_contexts(slim, asked, length, max(partitions(docs), n // 30_000)))
+    spans = whole.unionByName(sort_contexts(slim, asked, length, max(partitions(docs), n // 10_000)))
     return checkpoint(spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
 
 
