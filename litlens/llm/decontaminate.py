@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlens.llm.common import read_table, union_all
-from litlens.llm.words import MARKS, mix, pieces, shingle_hashes, word_hashes
+from litlens.llm.words import MARKS, mix, pieces, shingle_hashes, slices, word_hashes
 
 SHINGLE, RADIUS, SHARD = 5, 19, 2048
 _SHIFTS = np.arange(64, dtype=np.uint64)
@@ -166,7 +166,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, threshold, radius)
-            for batch in batches:
+            for batch in slices(batches):
                 ids, out = batch.column(0).to_pylist(), []
                 for doc, found in zip(ids, items.of_texts(batch.column(1).to_pylist()), strict=True):
                     out += [{"doc_id": doc, "item_id": items.ids[i], "similarity": score, "start_word": start, "n_words": n} for i, score, start, n in found]
@@ -188,7 +188,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(shared.value, threshold, radius)
-            for batch in batches:
+            for batch in slices(batches):
                 yield batch.filter(pa.array([not m for m in items.of_texts(batch.column(at).to_pylist())], pa.bool_()))
 
         return df.mapInArrow(run, docs.schema)

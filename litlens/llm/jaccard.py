@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litlens.llm.common import checkpoint, components, left_join_marked, partitions, read_table, semi_by_bitmap
-from litlens.llm.words import mix, pieces, planes, shingle_hashes, unplanes, word_hashes
+from litlens.llm.words import mix, pieces, planes, shingle_hashes, slices, unplanes, word_hashes
 
 #: Upper ends of the bands of set sizes, and pair subclasses in each (an eighth of the band's lower end).
 BANDS = [64, 512, 4096, 32_768, 262_144, 1 << 62]
@@ -65,7 +65,7 @@ def with_sets(docs: DataFrame, words: int) -> DataFrame:
     """(doc_id, n, node): size and identity of each document's set; node is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = sets_of(batch.column(1).to_pylist(), words)
             node = [fingerprint(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
@@ -91,7 +91,7 @@ def frequent_tokens(docs: DataFrame, words: int, least: int, most: int, ranges:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
+        for batch in slices(batches):
             for s in sets_of(batch.column(0).to_pylist(), words):
                 held.append(s)
                 size += len(s)
@@ -162,7 +162,7 @@ def index(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = frequent.value, set()
-        for batch in batches:
+        for batch in slices(batches):
             sig, node, count = [], [], []
             for s in sets_of(batch.column(0).to_pylist(), words):
                 if len(s) < 2:
@@ -193,7 +193,7 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     both = left.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("tb")), "doc_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             a, b = batch.column(0), batch.column(1)
             ok, last = [], (None, None)
             for ta, tb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

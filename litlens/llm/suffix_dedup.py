@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from litlens.llm.common import checkpoint, left_join_marked, partitions, read_table, semi_by_bitmap
-from litlens.llm.words import letters, mix, pieces, planes, powers, unplanes
+from litlens.llm.words import letters, mix, pieces, planes, powers, release, slices, unplanes
 
 #: Length of an anchor's k-gram in bytes. Anchors of one task that are sent together.
 GRAM, SENT = 18, 500_000
@@ -148,20 +148,20 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for part in (batch.slice(a, 500) for a in range(0, batch.num_rows, 500)):
-                texts, ids = [(t or "").encode("utf-8", "replace") for t in part.column(1).to_pylist()], part.column(0).to_numpy()
-                for a, b in pieces(texts):
-                    doc, pos, h, ctx = anchors(texts[a:b], length)
-                    held.append((ids[a:b][doc], pos, h, ctx))
-                    size += len(doc)
-                    if size > SENT:
-                        yield from send(held)
-                        held, size = [], 0
+        for batch in slices(batches):
+            texts, ids = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()], batch.column(0).to_numpy()
+            for a, b in pieces(texts):
+                doc, pos, h, ctx = anchors(texts[a:b], length)
+                held.append((ids[a:b][doc], pos, h, ctx))
+                size += len(doc)
+                if size > SENT:
+                    yield from send(held)
+                    held, size = [], 0
         if size:
             yield from send(held)
 
     def meet(frame):
+        release()
         r = int(frame["r"].iloc[0])
         doc = np.concatenate([unplanes(x, "<i8") for x in frame["doc"]])
         pos = np.concatenate([unplanes(x, "<u4") for x in frame["pos"]]).astype(np.int64)
@@ -245,6 +245,7 @@ def suffix_sort(text: np.ndarray, sums: np.ndarray, group: np.ndarray, at: np.nd
 
 def repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     """(doc_id, begin, end) in bytes: the repeated strings among contexts (anchor, doc_id, begin, bytes)."""
+    release()
     frame = frame.sort_values(["anchor", "doc_id", "begin"], kind="stable")
     chunks = frame["bytes"].tolist()
     text = np.frombuffer(b"".join(chunks) + bytes(length), np.uint8)
@@ -291,7 +292,7 @@ def sort_contexts(docs: DataFrame, asked: DataFrame, length: int, ranges: int) -
     some = semi_by_bitmap(docs, "doc_id", wanted).join(wanted, "doc_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 b = (text or "").encode("utf-8", "replace")
@@ -334,7 +335,7 @@ def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
     fields = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary()), ("kept_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             rows = []
             for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 b = (text or "").encode("utf-8", "replace")

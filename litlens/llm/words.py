@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
+#: Rows of an Arrow batch that are in Python objects at a time.
+ROWS_AT_ONCE = 500
 #: Bytes of text that are hashed together; one longer text is a piece of its own.
-PIECE = 1 << 19
+PIECE = 1 << 18
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
@@ -15,6 +20,21 @@ _BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 _PLACES = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3]
 
 
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in small batches; what a finished batch used goes back to the system."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(a, ROWS_AT_ONCE)
+        release()
+
+
+def release() -> None:
+    """Give freed memory back: workers live long, and their heaps count against the executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (splitmix64's finaliser)."""
     x = x ^ (x >> np.uint64(30))
