@@ -14,9 +14,11 @@ of their sets is at least `percent` / 100.
   token and no pair shared, more tokens of it would be missing than may be.
 * Pairs are formed within subclasses (token hash mod m), so that their number stays near the prefix's length. m depends on
   the band of the set's size; as partners' sizes differ by at most 100 / percent, a set indexes the bands it may share.
-* In each bucket, members are compared with one centre: the node whose indexed tokens are the most frequent. Verified links
-  make components. What stays apart in a bucket gets a second centre, and then all pairs that still lie in different
-  components are compared, so no link between components is missed. Groups of near copies never expand into all pairs.
+* A pair whose first shared token stands so late in one of the sets that too little is left to share is no candidate, nor is
+  one whose sets differ in more tokens than they may: the parities of 256 hash bins bound that from below.
+* In each bucket, members are compared with two centres: the nodes with the fewest and with the most tokens of their own
+  before. Verified links make components. Then all candidate pairs of a bucket that still lie in different components are
+  compared, so no link between components is missed. Groups of near copies never expand into all pairs.
 
 Defined cases: null text is an empty text; documents without words have no set, link with nothing and are their own
 component; a null doc_id keeps its n_shingles and has a null component unless a linked document has an id; rows of
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from litlens.llm.common import checkpoint, components, left_join_marked, partitions, read_table, semi_by_bitmap
@@ -41,8 +43,10 @@ BANDS = [64, 512, 4096, 32_768, 262_144, 1 << 62]
 SUBCLASSES = [1, 8, 64, 512, 4096, 32_768]
 #: Bits of a token's hash that are counted together; range partitions of the counts a million tokens apart.
 COUNT_BITS = 40
-#: Bits of a set's identity; above them an index row carries how frequent the set's tokens are, in 32 steps.
-NODE_BITS = 58
+#: Bits of a set's identity; above them an index row carries how early in the set's order the indexed token stands, in 32
+#: steps from the end of the prefix (31: at its start).
+NODE_BITS, STEPS = 58, 32
+M = ("m0", "m1", "m2", "m3")
 
 
 def sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -61,16 +65,25 @@ def fingerprint(s: np.ndarray) -> int:
     return int((h >> np.uint64(64 - NODE_BITS)).astype(np.int64)[0])
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """Four 64-bit words: for each of 256 bins of hashes, whether the set has an odd number of tokens in it. The words of two
+    sets differ in at most as many bits as tokens are in one set alone."""
+    odd = np.bincount((mix(s ^ np.uint64(0xB5026F5AA96619E9)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, node): size and identity of each document's set; node is null for an empty set."""
+    """(doc_id, n, node, m0 to m3): size, identity and parities of each document's set; node is null for an empty set."""
+    names = ["doc_id", "n", "node", "m0", "m1", "m2", "m3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = sets_of(batch.column(1).to_pylist(), words)
             node = [fingerprint(s) if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64())], ["doc_id", "n", "node"])
+            odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), *(pa.array(odd[:, i]) for i in range(4))], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long")
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def frequent_tokens(docs: DataFrame, words: int, least: int, most: int, ranges: int) -> np.ndarray:
@@ -124,21 +137,22 @@ def band_of(n: int) -> int:
     return next(i for i, top in enumerate(BANDS) if n < top)
 
 
-def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, float]:
-    """Indexed hashes of a set (sorted by hash): rare prefix tokens, pairs of frequent ones; and how many of the set's
-    tokens are frequent."""
+def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indexed hashes of a set (sorted by hash), rare prefix tokens and pairs of frequent ones; and for each the number of the
+    set's tokens before it that a partner, sharing this as their first, is sure to lack."""
     n = len(s)
     may_miss = n * (100 - percent) // 100
     t = s >> np.uint64(64 - COUNT_BITS)
     at = np.minimum(np.searchsorted(frequent, t), max(0, len(frequent) - 1))
     often = frequent[at] == t if len(frequent) else np.zeros(n, bool)
     rare, many = s[~often], s[often]
-    out = []
+    out, before = [], []
     largest = n * 100 // percent
     for band in range(band_of(n), band_of(largest) + 1):
         salt = np.uint64(0x9E37 * (band + 1))
         singles = rare[: may_miss + 1]
         out.append(mix(singles ^ salt))
+        before.append(np.arange(len(singles)))
         lacking = may_miss + 1 - len(singles)
         if lacking > 0:
             sub = many % np.uint64(SUBCLASSES[band])
@@ -150,20 +164,24 @@ def signatures(s: np.ndarray, frequent: np.ndarray, percent: int) -> tuple[np.nd
             end = int(np.searchsorted(np.cumsum(adds), lacking)) + 1
             part, group = many[:end], sub[:end]
             for g in np.unique(group):
-                x = part[group == g]
-                i, j = np.triu_indices(len(x), 1)
-                out.append(mix(mix(x[i] ^ salt) + x[j] * np.uint64(0xC2B2AE3D27D4EB4F)))
-    return np.unique(np.concatenate(out)), float(often.mean())
+                place = np.flatnonzero(group == g)
+                i, j = np.triu_indices(len(place), 1)
+                out.append(mix(mix(part[place[i]] ^ salt) + part[place[j]] * np.uint64(0xC2B2AE3D27D4EB4F)))
+                # before the first shared pair of any subclass, each other subclass may share one token
+                before.append(np.maximum(len(rare) + place[i] - (SUBCLASSES[band] - 1), 0))
+    sig, first = np.unique(np.concatenate(out), return_index=True)
+    return sig, np.concatenate(before)[first]
 
 
 def index(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """(sig, node): what each node indexes, the node with its tokens' frequency above its identity, so that the largest node
-    of a bucket is its centre. Sets of one shingle equal their partners and need no index."""
+    """(sig, node): what each node indexes, the node with the earliness of the token above its identity, so that the largest
+    node of a bucket, which has the fewest rare tokens before, is its centre. Sets of one shingle equal their partners and
+    need no index."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = frequent.value, set()
         for batch in slices(batches):
-            sig, node, count = [], [], []
+            sig, node = [], []
             for s in sets_of(batch.column(0).to_pylist(), words):
                 if len(s) < 2:
                     continue
@@ -172,12 +190,12 @@ def index(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(f)
-                x, w = signatures(s, table, percent)
+                x, before = signatures(s, table, percent)
+                step = np.minimum(before * STEPS // (len(s) * (100 - percent) // 100 + 1), STEPS - 1)
                 sig.append(x)
-                node.append((int(w * 31) << NODE_BITS) | f)
-                count.append(len(x))
+                node.append(((STEPS - 1 - step.astype(np.int64)) << NODE_BITS) | f)
             if sig:
-                rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).astype(np.int64)), pa.array(np.repeat(np.array(node, np.int64), count))], ["sig", "node"])
+                rows = pa.RecordBatch.from_arrays([pa.array(np.concatenate(sig).astype(np.int64)), pa.array(np.concatenate(node))], ["sig", "node"])
                 for a in range(0, rows.num_rows, 100_000):
                     yield rows.slice(a, 100_000)
 
@@ -216,32 +234,51 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
     sized = checkpoint(with_sets(slim, words))
     tokens = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # each set's size and the document whose text stands for it; sets that only null ids hold get no document and no links
-    nodes = checkpoint(sized.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n")))
+    nodes = checkpoint(sized.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *M)]))
     frequent = spark.sparkContext.broadcast(frequent_tokens(slim, words, frequent_from, frequent_most, max(1, tokens // 2_000_000)))
     rows = index(slim.filter("doc_id is not null"), frequent, words, percent).repartition(partitions(docs), "sig")
     w = Window.partitionBy("sig")
     mask = (1 << NODE_BITS) - 1
-    bare = lambda c: c.bitwiseAND(F.lit(mask))
-    # one shuffle: buckets of one node go, the others know their most and least frequent node
-    buckets = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w)}).filter("low <> high")
-    buckets = checkpoint(buckets.select("sig", *[bare(F.col(c)).alias(d) for c, d in (("node", "node"), ("high", "centre"), ("low", "second"))]).distinct())
+    bare = lambda c: F.col(c).bitwiseAND(F.lit(mask))
+    step = lambda c: (STEPS - 1 - F.shiftright(c, NODE_BITS)).cast("int")
+    # one shuffle: buckets of one node go, the others know their earliest and latest node
+    kept = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w), "one": F.min(bare("node")).over(w), "other": F.max(bare("node")).over(w)}).filter("one <> other")
+    places = {"node": bare("node"), "q": step("node"), "centre": bare("high"), "q_centre": step("high"), "second": bare("low"), "q_second": step("low")}
+    buckets = checkpoint(kept.select("sig", *[c.alias(k) for k, c in places.items()]))
+    sizes = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{'doc' if c == 'doc_id' else c}_{x}") for c in ("doc_id", "n", *M)])
+
+    def differ_little() -> Column:
+        """Whether the parities of sets a and b leave room for a link: tokens in one set alone are at least their distance."""
+        apart_bits = sum((F.bit_count(F.col(f"{m}_a").bitwiseXOR(F.col(f"{m}_b"))) for m in M[1:]), F.bit_count(F.col(f"{M[0]}_a").bitwiseXOR(F.col(f"{M[0]}_b"))))
+        return (100 + percent) * apart_bits <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+
+    def may_link(x: str, y: str) -> Column:
+        """What the sizes and the tokens that stand before the first shared one leave possible, for set x with partner y."""
+        n, m = F.col(f"n_{x}"), F.col(f"n_{y}")
+        missed = F.ceil(F.col(f"q_{x}") * (F.floor(n * (100 - percent) / 100) + 1) / STEPS)
+        return ((100 + percent) * (n - missed) >= percent * (n + m)) & (100 * n >= percent * m)
 
     def described(pairs: DataFrame) -> DataFrame:
-        """Pairs with their documents, without those whose sizes alone rule a link out."""
-        one = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"))
-        sized_pairs = pairs.join(one("a"), "a").join(one("b"), "b")
-        return sized_pairs.filter(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b", "doc_a", "doc_b")
+        """Pairs (a, b, q_a, q_b), one for each bucket, as possible pairs with their documents. The first shared token stands
+        first in both sets, so the smallest steps of a pair belong to it."""
+        first = pairs.groupBy("a", "b").agg(F.min("q_a").alias("q_a"), F.min("q_b").alias("q_b"))
+        return first.join(sizes("a"), "a").join(sizes("b"), "b").filter(may_link("a", "b") & may_link("b", "a") & differ_little()).select("a", "b", "doc_a", "doc_b")
+
+    def star(c: str) -> DataFrame:
+        swap = F.col("node") > F.col(c)
+        pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
+        return buckets.filter(F.col("node") != F.col(c)).select(pick("node", c).alias("a"), pick(c, "node").alias("b"), pick("q", f"q_{c}").alias("q_a"), pick(f"q_{c}", "q").alias("q_b"))
 
-    star = lambda c: buckets.filter(F.col("node") != F.col(c)).select(F.least("node", c).alias("a"), F.greatest("node", c).alias("b"))
-    tried = checkpoint(described(star("centre").union(star("second")).distinct()))
+    tried = checkpoint(described(star("centre").union(star("second"))))
     links = verify(tried, slim, words, percent)
     groups = components(links)
-    apart = buckets.select("sig", "node").join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    apart = buckets.select("sig", "node", "q").join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-    apart = checkpoint(mixed.join(apart, "sig"))
-    left, right = apart.select("sig", F.col("node").alias("a"), F.col("component").alias("ca")), apart.select("sig", F.col("node").alias("b"), F.col("component").alias("cb"))
-    rest = left.join(right, "sig").filter("a < b and ca <> cb").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    rest = checkpoint(described(rest))
+    apart = checkpoint(mixed.join(apart, "sig").join(nodes.drop("doc_id"), "node"))
+    side = lambda x: apart.select("sig", F.col("node").alias(x), F.col("q").alias(f"q_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *M)])
+    rest = side("a").join(side("b"), "sig").filter(F.expr("a < b and c_a <> c_b") & may_link("a", "b") & may_link("b", "a") & differ_little())
+    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    rest = checkpoint(rest.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "doc_a", "doc_b"))
     if not rest.isEmpty():
         links = checkpoint(links.union(verify(rest, slim, words, percent)))
         groups = components(links)
@@ -250,7 +287,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
     ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     per_node = nodes.select("node", F.col("doc_id").alias("first")).join(named, "node", "left").join(ends, "node", "left")
     per_node = per_node.select("node", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = sized.join(per_node, "node", "left")
+    out = sized.select("doc_id", "n", "node").join(per_node, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
