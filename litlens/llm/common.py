@@ -38,32 +38,32 @@ def partitions(df: DataFrame) -> int:
 
 
 def _marked(df: DataFrame, key: str, wanted: DataFrame, bits: int) -> DataFrame:
-    """df with _may: whether the hashed key is among wanted's. The broadcast side is a bitmap of `bits` bits (1 MB) whatever
-    the input, so a constant bounds its size; with more keys than bits it marks more rows, never fewer."""
+    """(row, may): each row of df as a struct, so that no name of its columns can clash, and whether its hashed key is among
+    wanted's. The broadcast side is a bitmap of `bits` bits (1 MB) whatever the input, so a constant bounds its size; with
+    more keys than bits it marks more rows, never fewer."""
     bit = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    rows = (
-        wanted.select(bit(F.col(key)).alias("_bit"))
-        .groupBy(F.floor(F.col("_bit") / BITMAP_ROW_BITS).alias("_row"))
-        .agg(F.bitmap_construct_agg(F.pmod(F.col("_bit"), F.lit(BITMAP_ROW_BITS))).alias("_map"))
-    )
-    marked = df.withColumn("_bit", bit(F.col(key))).withColumn("_row", F.floor(F.col("_bit") / BITMAP_ROW_BITS))
-    at = f"pmod(_bit, {BITMAP_ROW_BITS})"
-    byte = F.conv(F.hex(F.expr(f"substring(_map, cast({at} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast({at} % 8 as int))")) != 0
-    return marked.join(F.broadcast(rows), "_row", "left").withColumn("_may", F.coalesce(is_set, F.lit(False))).drop("_bit", "_row", "_map")
+    part = lambda c: F.floor(c / BITMAP_ROW_BITS)
+    place = lambda c: F.pmod(c, F.lit(BITMAP_ROW_BITS))
+    maps = wanted.select(bit(F.col(key)).alias("b")).groupBy(part(F.col("b")).alias("part")).agg(F.bitmap_construct_agg(place(F.col("b"))).alias("map"))
+    rows = df.select(F.struct(*[F.col(c) for c in df.columns]).alias("row")).withColumn("b", bit(F.col("row")[key])).withColumn("part", part(F.col("b")))
+    byte = F.conv(F.hex(F.expr(f"substring(map, cast(pmod(b, {BITMAP_ROW_BITS}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.expr(f"shiftleft(1, cast(pmod(b, {BITMAP_ROW_BITS}) % 8 as int))")) != 0
+    return rows.join(F.broadcast(maps), "part", "left").select("row", F.coalesce(is_set, F.lit(False)).alias("may"))
 
 
 def semi_by_bitmap(df: DataFrame, key: str, wanted: DataFrame, bits: int = 1 << 23) -> DataFrame:
     """Rows of df whose key may be among wanted's: it makes the shuffle of an exact join small, and never stands for it."""
-    return _marked(df, key, wanted, bits).filter("_may").drop("_may")
+    return _marked(df, key, wanted, bits).filter("may").select("row.*")
 
 
 def left_join_marked(df: DataFrame, key: str, right: DataFrame, bits: int = 1 << 23) -> DataFrame:
-    """df left join right on key, where only rows that may have a partner are shuffled."""
+    """(row, right's columns but the key): df left join right on key, each row of df as a struct. Only rows that may have a
+    partner are shuffled."""
     marked = _marked(df, key, right.select(key), bits)
-    joined = marked.filter("_may").drop("_may").join(right, key, "left")
     others = [c for c in right.columns if c != key]
-    alone = marked.filter("not _may").drop("_may").select("*", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in others])
+    partner = right.withColumnRenamed(key, "_partner")
+    joined = marked.filter("may").join(partner, F.col("row")[key] == F.col("_partner"), "left").select("row", *others)
+    alone = marked.filter("not may").select("row", *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in others])
     return joined.unionByName(alone)
 
 

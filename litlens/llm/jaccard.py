@@ -295,7 +295,7 @@ def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are linked, directly or not, with one of a smaller doc_id, or equal one in their set.
     Only documents that may go are shuffled."""
     gone = join(docs, **options).filter("component_id < doc_id").select("doc_id").distinct().withColumn("_goes", F.lit(True))
-    return left_join_marked(docs, "doc_id", checkpoint(gone)).filter("_goes is null").drop("_goes").select(*docs.columns)
+    return left_join_marked(docs, "doc_id", checkpoint(gone)).filter("_goes is null").select("row.*")
 
 
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
