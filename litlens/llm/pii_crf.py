@@ -185,8 +185,10 @@ def train(texts: list[str], rounds: int = 150) -> Field:
 
 
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field:
-    some = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@]")).orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_train)
-    return train([r["text"] for r in some.collect()])
+    """The field trained on some documents with digits: their ids are drawn first, so that tasks send ids and not texts."""
+    ids = docs.filter(F.col("text").rlike("[0-9@]") & F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(max_train).distinct()
+    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))  # at most max_train ids
+    return train([r["text"] for r in some.orderBy("doc_id").collect()])
 
 
 def find(docs: DataFrame, field: Field, accept: float = 0.8) -> DataFrame:
