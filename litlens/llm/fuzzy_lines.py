@@ -4,8 +4,9 @@ DataFrame functions only. A line is compared in lower case without outer blanks;
 
 * Equal lines form a class (two hashes and the length), summed up before any shuffle, so a line that a third of all
   documents share is one row per task.
-* Signatures take the shingles of `WIDTH` characters that start at words: BANDS x ROWS minima. Two lines with Jaccard 0.8 meet
-  in a bucket with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.993, with 0.9 in 0.99999.
+* Signatures take the shingles that verification counts, all overlapping ones of `GRAM` characters: BANDS x ROWS minima. Two
+  lines with Jaccard 0.8 meet in a bucket with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.993, with 0.9 in 0.99999.
+* 256 bins of a line's shingles bound from below how many shingles two lines do not share, and rule pairs out without loss.
 * In a bucket each class is compared with the bucket's first class and with the one before it: two pairs a class, never all.
 * A pair is a link when the Jaccard similarity of all its overlapping `GRAM`-character shingles reaches `threshold`, counted on
   the whole lines. Components of links come from alternating star rounds (common.components).
@@ -23,11 +24,13 @@ from pyspark.sql import functions as F
 
 from litlens.llm.common import checkpoint, components, left_join_marked, partitions, read_table, semi_by_bitmap
 
-WIDTH, GRAM, BANDS, ROWS = 8, 5, 7, 3
+GRAM, BANDS, ROWS = 5, 7, 3
 #: Bits of a band's hash that are shuffled; a chance meeting costs one comparison.
 BAND_BITS = 42
 #: Lines that one document may have.
 PLACES = 1 << 31
+#: Columns of the bins of shingles.
+W = ("w0", "w1", "w2", "w3")
 
 
 def normal(line: Column) -> Column:
@@ -41,42 +44,66 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.hash("line", F.length("line"))})
 
 
-def band_hashes(line: Column, hashed: str = "_w", minima: str = "_m") -> dict[str, Column]:
-    """Steps to the band hashes: columns to add one after another. The minima of a line's shingle hashes come first, so that
-    no expression is computed twice."""
-    starts = F.regexp_extract_all(F.concat(F.lit(" "), line), F.lit(f" (?=([^ ].{{0,{WIDTH - 1}}}))"), F.lit(1))
-    steps = {hashed: F.transform(starts, lambda s: F.xxhash64(s)), minima: F.array(*[_minimum(F.col(hashed), i) for i in range(BANDS * ROWS)])}
-    return steps | {f"_b{b}": F.xxhash64(F.lit(b), *[F.col(minima)[b * ROWS + r] for r in range(ROWS)]) for b in range(BANDS)}
+def hashes(rows: DataFrame) -> DataFrame:
+    """rows with h0, h1, h2: a hash function of the shingle for each row of a band, as columns so that each is computed once."""
+    rows = rows.withColumn("h0", F.xxhash64("gram"))
+    for r in range(1, ROWS):
+        rows = rows.withColumn(f"h{r}", F.xxhash64(f"h{r - 1}"))
+    return rows
 
 
-def _minimum(hashes: Column, i: int) -> Column:
-    """The smallest hash under the i-th order: XOR with a constant; the constants are spread evenly over 64 bits."""
-    c = (0x9E3779B97F4A7C15 * (i + 1)) % (1 << 64)
-    return F.array_min(F.transform(hashes, lambda h: h.bitwiseXOR(F.lit(c - (1 << 64) if c >> 63 else c))))
+def minima() -> list[Column]:
+    """Smallest hashes: the function by the row, its order by the band (XOR with constants spread evenly over 64 bits)."""
+    orders = [(0x9E3779B97F4A7C15 * (b + 1)) % (1 << 64) for b in range(BANDS)]
+    return [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(c - (1 << 64) if c >> 63 else c))) for c in orders for r in range(ROWS)]
+
+
+def overlapping(line: Column) -> Column:
+    """Overlapping shingles of a line, repeated ones too; a shorter line is one."""
+    return F.when(F.length(line) < GRAM, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
 def grams(line: Column) -> Column:
-    """Distinct overlapping shingles of a line; a shorter line is one."""
-    return F.array_distinct(F.when(F.length(line) < GRAM, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?=(.{{{GRAM}}}))"), F.lit(1))))
+    """Distinct overlapping shingles of a line."""
+    return F.array_distinct(overlapping(line))
+
+
+def may_link(threshold: float) -> Column:
+    """Whether the bins of lines a and b leave room for a link: each bin that only one of them fills is a shingle that the other
+    lacks, and a link has few of those."""
+    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in W[1:]), F.bit_count(F.col(f"{W[0]}_a").bitwiseXOR(F.col(f"{W[0]}_b"))))
+    return apart * (1 + threshold) <= (1 - threshold) * (F.col("size_a") + F.col("size_b")) + 1e-9
 
 
 def links_of(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): (k1, k2, first, n) of every line class, and linked pairs of class hashes (a, b)."""
+    """(classes, links): (k1, k2, first, n, size, bins) of every line class, and linked pairs of class hashes (a, b)."""
     rows = lines_of(docs)
-    for name, c in band_hashes(F.col("line")).items():
-        rows = rows.withColumn(name, c)
-    # a place as one number, and bands as columns: both fit a hash aggregation
+    # a place as one number, and minima as columns: both fit a hash aggregation
     place = F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)") + F.col("pos")
-    bands = [f"_b{b}" for b in range(BANDS)]
-    classes = rows.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(b).alias(b) for b in bands])
+    size = F.greatest(F.length("line") - (GRAM - 1), F.lit(1))
+    shingles = hashes(rows.select("k1", "k2", place.alias("place"), size.alias("size"), F.posexplode(overlapping(F.col("line"))).alias("at", "gram")))
+    start = F.col("at") == 0
+    least = [c.alias(f"_m{i}") for i, c in enumerate(minima())]
+    # 256 bins of shingles: whether a line has one there
+    held = [F.bit_or(F.expr(f"if((h0 & 3) = {i}, shiftleft(1L, cast(shiftright(h0, 2) & 63 as int)), 0L)")).alias(w) for i, w in enumerate(W)]
+    classes = shingles.groupBy("k1", "k2").agg(F.min(F.when(start, F.col("place"))).alias("first"), F.count_if(start).alias("n"), F.max(F.when(start, F.col("size"))).alias("size"), *held, *least)
+    bands = [F.xxhash64(F.lit(b), *[F.col(f"_m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
     doc = F.floor(F.col("first") / PLACES).cast("long")
-    classes = checkpoint(classes.withColumns({"doc_id": doc, "pos": (F.col("first") - doc.cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)")).cast("int")}).withColumn("bands", F.array(*bands)).withColumn("first", F.struct("doc_id", "pos")).drop("doc_id", "pos", *bands))
+    classes = checkpoint(classes.withColumns({"doc_id": doc, "pos": (F.col("first") - doc.cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)")).cast("int")}).select("k1", "k2", F.struct("doc_id", "pos").alias("first"), "n", "size", *W, F.array(*bands).alias("bands")))
     at = Window.partitionBy("band")
     spread = classes.select("k1", F.explode("bands").alias("band")).withColumn("band", F.shiftright("band", 64 - BAND_BITS)).repartition(partitions(docs), "band")
     spread = spread.withColumns({"head": F.min("k1").over(at.orderBy("k1")), "before": F.lag("k1").over(at.orderBy("k1"))})
     near = spread.filter("before is not null and before <> k1")
     pairs = near.select(F.col("head").alias("a"), F.col("k1").alias("b")).union(near.select(F.col("before").alias("a"), F.col("k1").alias("b")))
-    pairs = checkpoint(pairs.filter("a < b").distinct())
+    bins = classes.groupBy("k1").agg(F.max("size").alias("size"), *[F.bit_or(w).alias(w) for w in W])
+    side = lambda x: bins.select(F.col("k1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *W)])
+    pairs = pairs.filter("a < b").distinct().join(side("a"), "a").join(side("b"), "b").filter(may_link(threshold))
+    links = verify(checkpoint(pairs.select("a", "b")), classes, docs, threshold)
+    return classes, links
+
+
+def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs that are links, counted on the whole lines."""
     ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
     # the texts of candidate lines, from the first document of each class
     wanted = classes.join(ends, "k1", "left_semi").groupBy("k1").agg(F.min("first").alias("first")).select("k1", "first.doc_id", "first.pos")
@@ -90,7 +117,7 @@ def links_of(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     near = lambda p: F.least(F.size(p["x"]), F.size(p["y"])) >= threshold * F.greatest(F.size(p["x"]), F.size(p["y"]))
     alike = lambda p: F.size(F.array_intersect(p["x"], p["y"])) * (1 + threshold) >= threshold * (F.size(p["x"]) + F.size(p["y"])) - 1e-9
     links = both.filter(F.exists(pair, lambda p: near(p) & alike(p))).select("a", "b")
-    return classes.select("k1", "k2", "first", "n"), checkpoint(links)
+    return checkpoint(links)
 
 
 def doomed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

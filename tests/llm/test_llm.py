@@ -191,6 +191,19 @@ def test_fuzzy_lines(docs, edge):
     assert fuzzy_lines.dedup(docs([])).count() == 0
 
 
+def test_fuzzy_lines_without_blanks(docs):
+    """Lines of one shingle that starts a word: links that only the inner shingles show, judged by brute force."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(40):
+        tail = "".join(rnd.choice("abcdefghijklmnop0123456789") for _ in range(150))
+        rows += [(2 * i, f"https://{tail}"), (2 * i + 1, f"httpz://{tail[:70]}{'x' * (i % 4)}{tail[70:]}")]
+    grams = [{t[j : j + 5] for j in range(len(t) - 4)} for _, t in rows]
+    near = {b: any(len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) for a in range(b)) for b in range(len(rows))}
+    got = {r["doc_id"]: r["text"] == "" for r in fuzzy_lines.dedup(docs(rows)).collect()}
+    assert sum(near.values()) == 40 and got == near
+
+
 def test_fuzzy_lines_is_native(spark, sf):
     plan = fuzzy_lines.op6_fuzzy_lines(spark, sf)._jdf.queryExecution().toString() + url_templates.op9_url_templates(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
