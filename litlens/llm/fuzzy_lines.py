@@ -7,7 +7,9 @@ DataFrame functions only. A line is compared in lower case without outer blanks;
 * Signatures take the shingles that verification counts, all overlapping ones of `GRAM` characters: BANDS x ROWS minima. Two
   lines with Jaccard 0.8 meet in a bucket with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.993, with 0.9 in 0.99999.
 * 256 bins of a line's shingles bound from below how many shingles two lines do not share, and rule pairs out without loss.
-* In a bucket each class is compared with the bucket's first class and with the one before it: two pairs a class, never all.
+* In a bucket each class is compared with the bucket's first class and with the one before it. Then all pairs of a bucket that
+  still lie in different components are compared, but for those that the bins rule out, so no link between components that
+  meets in a bucket is missed. Groups of near copies never expand into all pairs.
 * A pair is a link when the Jaccard similarity of all its overlapping `GRAM`-character shingles reaches `threshold`, counted on
   the whole lines. Components of links come from alternating star rounds (common.components).
 * Of each component the first line by (doc_id, position) stays; all others go.
@@ -29,6 +31,8 @@ GRAM, BANDS, ROWS = 5, 7, 3
 BAND_BITS = 42
 #: Lines that one document may have.
 PLACES = 1 << 31
+#: Lines of a bucket that one task compares with the others.
+CROWD = 1024
 #: Columns of the bins of shingles.
 W = ("w0", "w1", "w2", "w3")
 
@@ -92,13 +96,26 @@ def links_of(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     classes = checkpoint(classes.withColumns({"doc_id": doc, "pos": (F.col("first") - doc.cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)")).cast("int")}).select("k1", "k2", F.struct("doc_id", "pos").alias("first"), "n", "size", *W, F.array(*bands).alias("bands")))
     at = Window.partitionBy("band")
     spread = classes.select("k1", F.explode("bands").alias("band")).withColumn("band", F.shiftright("band", 64 - BAND_BITS)).repartition(partitions(docs), "band")
-    spread = spread.withColumns({"head": F.min("k1").over(at.orderBy("k1")), "before": F.lag("k1").over(at.orderBy("k1"))})
+    spread = spread.withColumns({"head": F.min("k1").over(at.orderBy("k1")), "before": F.lag("k1").over(at.orderBy("k1")), "last": F.max("k1").over(at)})
+    spread = checkpoint(spread.filter("head <> last"))
     near = spread.filter("before is not null and before <> k1")
     pairs = near.select(F.col("head").alias("a"), F.col("k1").alias("b")).union(near.select(F.col("before").alias("a"), F.col("k1").alias("b")))
     bins = classes.groupBy("k1").agg(F.max("size").alias("size"), *[F.bit_or(w).alias(w) for w in W])
     side = lambda x: bins.select(F.col("k1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *W)])
     pairs = pairs.filter("a < b").distinct().join(side("a"), "a").join(side("b"), "b").filter(may_link(threshold))
-    links = verify(checkpoint(pairs.select("a", "b")), classes, docs, threshold)
+    tried = checkpoint(pairs.select("a", "b"))
+    links = verify(tried, classes, docs, threshold)
+    # what still lies in different components of a bucket, every pair of it
+    apart = spread.select("band", "k1").distinct().join(components(links).select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    mixed = apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo <> hi and held > 2").select("band", F.ceil(F.col("held") / CROWD).alias("parts"))
+    apart = checkpoint(mixed.join(apart, "band").join(bins, "k1"))
+    member = lambda x, part: apart.select("band", part.alias("part"), F.col("k1").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *W)])
+    # a large bucket is dealt to several tasks: a line is in one part, and meets all parts
+    rest = member("a", F.pmod(F.xxhash64("k1"), F.col("parts"))).join(member("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), ["band", "part"])
+    rest = rest.filter(F.expr("a < b and c_a <> c_b") & may_link(threshold)).select("a", "b").distinct()
+    rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        links = checkpoint(links.union(verify(rest, classes, docs, threshold)))
     return classes, links
 
 

@@ -204,6 +204,23 @@ def test_fuzzy_lines_without_blanks(docs):
     assert sum(near.values()) == 40 and got == near
 
 
+def test_fuzzy_lines_crowded_buckets(docs, monkeypatch):
+    """Near pairs in buckets crowded by unlike lines, every line in all buckets: links by brute force."""
+    monkeypatch.setattr(fuzzy_lines, "BAND_BITS", 1)
+    monkeypatch.setattr(fuzzy_lines, "CROWD", 16)
+    rnd = random.Random(7)
+    rows = []
+    for i in range(40):
+        own = "".join(rnd.choice("abcdefghijklmnop0123456789") for _ in range(60))
+        rows += [(2 * i, f"notice of the daily server report: {own} end of line"), (2 * i + 1, f"notice of the daily server report: {own[:30]}#{own[30:]} end of line")]
+    rnd.shuffle(rows)
+    texts = dict(rows)
+    grams = {i: {t[j : j + 5] for j in range(len(t) - 4)} for i, t in texts.items()}
+    near = {b: any(len(grams[a] & grams[b]) >= 0.8 * len(grams[a] | grams[b]) for a in range(b)) for b in range(len(rows))}
+    got = {r["doc_id"]: r["text"] == "" for r in fuzzy_lines.dedup(docs(rows)).collect()}
+    assert sum(near.values()) == 40 and got == near
+
+
 def test_fuzzy_lines_is_native(spark, sf):
     plan = fuzzy_lines.op6_fuzzy_lines(spark, sf)._jdf.queryExecution().toString() + url_templates.op9_url_templates(spark, sf)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InPandas" not in plan and "InArrow" not in plan
