@@ -17,8 +17,9 @@ of their sets is at least `percent` / 100.
 * A pair whose first shared token stands so late in one of the sets that too little is left to share is no candidate, nor is
   one whose sets differ in more tokens than they may: the parities of 256 hash bins bound that from below.
 * In each bucket, members are compared with two centres: the nodes with the fewest and with the most tokens of their own
-  before. Verified links make components. Then all candidate pairs of a bucket that still lie in different components are
-  compared, so no link between components is missed. Groups of near copies never expand into all pairs.
+  before. Verified links make components. Then all other candidate pairs of a bucket are compared, so no link is missed. A
+  caller that needs no count of links (count_links) has only the pairs of different components compared: no link between
+  components is missed, and groups of near copies never expand into all pairs.
 
 Defined cases: null text is an empty text; documents without words have no set, link with nothing and are their own
 component; a null doc_id keeps its n_shingles and has a null component unless a linked document has an id; rows of
@@ -226,9 +227,10 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
 
 
-def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int = 32, frequent_most: int = 1 << 18) -> DataFrame:
+def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int = 32, frequent_most: int = 1 << 18, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links, itself
-    included; n_links counts the verified links of the document's set."""
+    included; n_links counts the links of the document's set with other sets. Without count_links the pairs inside a
+    component are not compared, components stay whole, and n_links counts only the links that were verified for them."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     sized = checkpoint(with_sets(slim, words))
@@ -273,10 +275,11 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
     links = verify(tried, slim, words, percent)
     groups = components(links)
     apart = buckets.select("sig", "node", "q").join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+    compared = "a < b" if count_links else "a < b and c_a <> c_b"
+    mixed = apart.groupBy("sig").agg(F.min("node" if count_links else "component").alias("lo"), F.max("node" if count_links else "component").alias("hi")).filter("lo <> hi").select("sig")
     apart = checkpoint(mixed.join(apart, "sig").join(nodes.drop("doc_id"), "node"))
     side = lambda x: apart.select("sig", F.col("node").alias(x), F.col("q").alias(f"q_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *M)])
-    rest = side("a").join(side("b"), "sig").filter(F.expr("a < b and c_a <> c_b") & may_link("a", "b") & may_link("b", "a") & differ_little())
+    rest = side("a").join(side("b"), "sig").filter(F.expr(compared) & may_link("a", "b") & may_link("b", "a") & differ_little())
     rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     rest = checkpoint(rest.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "doc_a", "doc_b"))
     if not rest.isEmpty():
@@ -294,7 +297,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
 def one_per_group(docs: DataFrame, **options) -> DataFrame:
     """docs without the documents that are linked, directly or not, with one of a smaller doc_id, or equal one in their set.
     Only documents that may go are shuffled."""
-    gone = join(docs, **options).filter("component_id < doc_id").select("doc_id").distinct().withColumn("_goes", F.lit(True))
+    gone = join(docs, count_links=False, **options).filter("component_id < doc_id").select("doc_id").distinct().withColumn("_goes", F.lit(True))
     return left_join_marked(docs, "doc_id", checkpoint(gone)).filter("_goes is null").select("row.*")
 
 

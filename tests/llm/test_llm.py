@@ -267,6 +267,17 @@ def test_jaccard_fuzz(docs, frequent_from):
     assert joined(docs(rows), frequent_from=frequent_from) == naive_join(rows)
 
 
+def test_jaccard_counts_all_links(docs):
+    """A group of near copies with different texts: every document links with every other."""
+    rows = []
+    for i in range(12):
+        w = [f"w{j}" for j in range(200)]
+        w[10 * i + 5] = f"changed{i}"
+        rows.append((i, " ".join(w)))
+    got = {r["doc_id"]: r["n_links"] for r in jaccard.join(docs(rows)).collect()}
+    assert got == dict.fromkeys(range(12), 11)
+
+
 def test_jaccard_cases(docs, edge):
     rows = [r for r in edge if r[0] is not None]
     assert joined(docs(edge)) == naive_join(rows) | {None: (3, None)}
