@@ -5,8 +5,9 @@ component sqrt(M^2 - |v|^2), M being the largest norm of the corpus, so that the
 A shard's graph has geometric levels; on each, a node keeps diverse near neighbours (a neighbour is passed over when a kept
 one is closer to it than the node is), links go both ways up to a fixed degree, and the graph is stored as flat arrays:
 members, offsets and neighbours per level. As a shard is bounded, a node's candidates come from exact distances in the
-shard, block by block. A search descends greedily and runs a beam of width `ef` on the lowest level, for a block of queries
-at once. The shards' results are merged by score.
+shard, block by block. Beside them stand long links, the nearest members of ever smaller random
+parts of the level, as an insertion would leave them. A search runs a beam of width `ef` on every level, for a block of
+queries at once. The shards' results are merged by score.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components take no part, neither as query nor
 as candidate; rows of one vec_id count once (the smallest vector in array order); equal vectors are one node that carries
@@ -44,6 +45,30 @@ def _diverse(near: np.ndarray, dist: np.ndarray, x: np.ndarray, m: int) -> np.nd
     return np.take_along_axis(near, order, 1)
 
 
+def _far(d: np.ndarray, near: np.ndarray, parts: list[np.ndarray], y: np.ndarray, m: int) -> np.ndarray:
+    """m diverse long links of each row of distances d: from the nearest members of each part that are not among near."""
+    d = d.copy()
+    np.put_along_axis(d, near, np.inf, 1)
+    found = []
+    for part in parts:
+        e = d[:, part]
+        c = min(8, len(part))
+        found.append(part[np.argpartition(e, c - 1, axis=1)[:, :c]])
+    at = np.concatenate(found, 1)
+    dist = np.take_along_axis(d, at, 1)
+    again = np.sort(at, axis=1)
+    if (again[:, 1:] == again[:, :-1]).any():  # a member of two parts counts once
+        o = np.argsort(at, axis=1, kind="stable")
+        s = np.take_along_axis(at, o, 1)
+        twice = np.zeros(at.shape, bool)
+        np.put_along_axis(twice, o[:, 1:], s[:, 1:] == s[:, :-1], 1)
+        dist = np.where(twice, np.inf, dist)
+    at = np.where(np.isinf(dist), -1, at)
+    order = np.argsort(dist, axis=1, kind="stable")
+    at, dist = np.take_along_axis(at, order, 1), np.take_along_axis(dist, order, 1)
+    return np.concatenate([_diverse(at[b : b + 128], dist[b : b + 128], y, m) for b in range(0, len(at), 128)])
+
+
 def _level(x: np.ndarray, members: np.ndarray, m: int, width: int) -> np.ndarray:
     """Neighbour array [len(members), m] (numbers of nodes, -1: none) of one level."""
     n = len(members)
@@ -53,6 +78,11 @@ def _level(x: np.ndarray, members: np.ndarray, m: int, width: int) -> np.ndarray
     y, c = x[members], min(width, n - 1)
     sq = (y**2).sum(1)
     half = m // 2 if m > 2 else m
+    far = half // 4
+    # what an insertion of the nodes in a mixed order would have seen: ever smaller parts of the level
+    mixed, parts = np.random.default_rng(n).permutation(n), []
+    while (size := n >> 2 * (len(parts) + 1)) >= 16:
+        parts.append(mixed[:size])
     lists: list[np.ndarray] = []
     for a in range(0, n, 512):
         d = sq[a : a + 512, None] + sq[None] - 2 * (y[a : a + 512] @ y.T)
@@ -62,12 +92,15 @@ def _level(x: np.ndarray, members: np.ndarray, m: int, width: int) -> np.ndarray
         dist = np.take_along_axis(d, at, 1)
         order = np.argsort(dist, axis=1, kind="stable")
         at, dist = np.take_along_axis(at, order, 1), np.take_along_axis(dist, order, 1)
-        for b in range(0, len(at), 128):
-            lists.append(_diverse(at[b : b + 128], dist[b : b + 128], y, half))
+        links = np.concatenate([_diverse(at[b : b + 128], dist[b : b + 128], y, half - far if parts else half) for b in range(0, len(at), 128)])
+        if parts:
+            links = np.concatenate([links, _far(d, at, parts, y, far)], 1)
+        lists.append(links)
     own = np.concatenate(lists)
     out[:, : own.shape[1]] = own
     # links back, in the order of the sources, while the degree lasts
     src, dst = np.repeat(np.arange(n), own.shape[1]), own.ravel()
+    src, dst = src[dst >= 0], dst[dst >= 0]
     order = np.argsort(dst, kind="stable")
     src, dst = src[order], dst[order]
     start = np.searchsorted(dst, np.arange(n))
@@ -92,26 +125,17 @@ def build(x: np.ndarray, seed: int = 7) -> tuple[list[np.ndarray], list[np.ndarr
 def search(q: np.ndarray, x: np.ndarray, members: list[np.ndarray], links: list[np.ndarray], ef: int, seeds: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """Beam search of all queries at once: (nodes, products) [queries, ef], best first, -1 where there are fewer."""
     nq, n = len(q), len(x)
-    top = members[-1][:1]
-    here = np.repeat(top, nq)
-    best = (q * x[here]).sum(1)
-    for at, near in zip(members[:0:-1], links[:0:-1], strict=True):
+    start = np.broadcast_to(members[-1][:seeds], (nq, len(members[-1][:seeds]))).astype(np.int32)
+    for at, near in zip(members[::-1], links[::-1], strict=True):
         row = np.full(n, -1, np.int32)
         row[at] = np.arange(len(at))
-        moving = np.ones(nq, bool)
-        while moving.any():
-            w = np.flatnonzero(moving)
-            cand = near[row[here[w]]]
-            s = np.where(cand >= 0, np.einsum("qd,qmd->qm", q[w], x[np.maximum(cand, 0)]), -np.inf)
-            j = s.argmax(1)
-            gain = s[np.arange(len(w)), j]
-            up = gain > best[w]
-            here[w[up]], best[w[up]] = cand[np.arange(len(w)), j][up], gain[up]
-            moving[w] = up
-    # the lowest level starts from the greedy end point and a few fixed members of the levels above
-    extra = members[1][:seeds] if len(members) > 1 else members[0][:seeds]
-    start = np.concatenate([here[:, None], np.broadcast_to(extra, (nq, len(extra)))], 1).astype(np.int32)
-    start[:, 1:][start[:, 1:] == start[:, :1]] = -1
+        start, vals = _beam(q, x, row, near, start, ef)
+    return start, vals
+
+
+def _beam(q: np.ndarray, x: np.ndarray, row: np.ndarray, near: np.ndarray, start: np.ndarray, ef: int) -> tuple[np.ndarray, np.ndarray]:
+    """Beam search on one level (row: each node's row of near) from start, a row of nodes for each query, -1 for none."""
+    nq, n = len(q), len(x)
     score = np.where(start >= 0, np.einsum("qd,qmd->qm", q, x[np.maximum(start, 0)]), -np.inf)
     nodes = np.full((nq, ef), -1, np.int32)
     vals = np.full((nq, ef), -np.inf, x.dtype)
@@ -132,7 +156,7 @@ def search(q: np.ndarray, x: np.ndarray, members: list[np.ndarray], links: list[
         if not len(live):
             break
         done[live, first] = True
-        cand = links[0][nodes[live, first]].astype(np.int64)
+        cand = near[row[nodes[live, first]]].astype(np.int64)
         new = ~seen[live[:, None], cand] & (cand >= 0)
         # a node may stand twice in a list (own link and link back)
         srt = np.sort(cand, axis=1)

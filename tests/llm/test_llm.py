@@ -343,6 +343,19 @@ def test_hnsw_recall(spark):
     assert set(got) == {i for i in rows if i % 20 == 0} and hit / (20 * len(got)) >= 0.9
 
 
+def test_hnsw_recall_of_groups():
+    """Groups of near-equal vectors, larger than the pool of near candidates, against brute force."""
+    rnd = np.random.default_rng(1)
+    x = (rnd.normal(size=(60, 64))[rnd.integers(0, 60, 4000)] + 0.05 * rnd.normal(size=(4000, 64))).astype(np.float32)
+    sq = (x**2).sum(1)
+    lifted = np.concatenate([x, np.sqrt(sq.max() - sq)[:, None]], 1)
+    q = np.concatenate([x[:150], np.zeros((150, 1), np.float32)], 1)
+    found, _ = hnsw.search(q, lifted, *hnsw.build(lifted), 96)
+    want = np.argsort(-(q @ lifted.T), axis=1)[:, :20]
+    hits = [len(set(f[:20].tolist()) & set(w.tolist())) for f, w in zip(found, want, strict=True)]
+    assert min(hits) > 0 and sum(hits) / (20 * len(hits)) >= 0.98
+
+
 def test_hnsw_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (20, [0.0, 2.0]), (20, [0.0, 2.0]), (None, [1.0, 1.0])]
     part = hnsw.usable(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), "vec_id", "embedding")
