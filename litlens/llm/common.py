@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -33,19 +34,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set (tests)."""
+    """The folder in spark.checkpoint.dir. A local session may do without the setting; on a cluster executors would write to
+    their own disks, so there it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="litlens-checkpoint-"))
     return sc.getCheckpointDir()
 
 
+_tables = "_litlens_path"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage by a table in the shared folder: compressed, and read back with its true size."""
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    setattr(out, _tables, path)
+    return out
+
+
+def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+    """checkpoint() that keeps df dealt by keys: later aggregations by them, and by more columns, need no shuffle."""
+    spark, name = df.sparkSession, f"cut_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(partitions(df), *keys).saveAsTable(name)
+    out = spark.table(name)
+    setattr(out, _tables, path)
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables of checkpoint() and bucketed() that nothing will read again."""
+    for df in frames:
+        if path := df.__dict__.get(_tables):
+            jvm, sc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext
+            with contextlib.suppress(Exception):  # a table that stays is only disk
+                at = jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def partitions(df: DataFrame) -> int:
@@ -99,7 +128,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         e1 = large.filter("u <> v").distinct()
         low2 = e1.groupBy("u").agg(F.min("v").alias("m"))
         small = e1.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        e = checkpoint(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
+        old, e = e, checkpoint(small.unionByName(low2.select("u", F.col("m").alias("v"))).distinct())
+        discard(old)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if before is not None and tuple(now) == tuple(before):
             break

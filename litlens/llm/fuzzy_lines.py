@@ -2,16 +2,18 @@
 
 DataFrame functions only. A line is compared in lower case without outer blanks; blank lines always stay.
 
-* Equal lines form a class (two hashes and the length), summed up before any shuffle, so a line that a third of all
-  documents share is one row per task.
-* Signatures take the shingles that verification counts, all overlapping ones of `GRAM` characters: BANDS x ROWS minima. Two
-  lines with Jaccard 0.8 meet in a bucket with probability 1 - (1 - 0.8^ROWS)^BANDS = 0.993, with 0.9 in 0.99999.
-* 256 bins of a line's shingles bound from below how many shingles two lines do not share, and rule pairs out without loss.
-* In a bucket each class is compared with the bucket's first class and with the one before it. Then all pairs of a bucket that
-  still lie in different components are compared, but for those that the bins rule out, so no link between components that
-  meets in a bucket is missed. Groups of near copies never expand into all pairs.
-* A pair is a link when the Jaccard similarity of all its overlapping `GRAM`-character shingles reaches `threshold`, counted on
-  the whole lines. Components of links come from alternating star rounds (common.components).
+* Equal lines form a class (two hashes), summed up before any shuffle, so a line that a third of all documents share is one
+  row per task. Classes lie in a table dealt by their hashes, so their signatures need no further shuffle.
+* A line's set holds all its overlapping shingles of `GRAM` characters (UTF-16 units). Its signature comes from the same set, by
+  one-permutation MinHash: the hash space is cut into BANDS x ROWS bins, and each bin's smallest hash is a minimum of its own,
+  independent of the other bins'. Empty bins agree with empty bins only; a band whose bins are all empty is left out.
+* Two lines meet in a bucket when a band's minima agree. Simulated sets of 1 to 350 shingles at Jaccard 0.8 meet with
+  probability 0.997 to 1. Eight characters keep unlike lines out of each other's buckets: with five, random lines of a corpus
+  share so many shingles that buckets would grow with the square of its size.
+* In each bucket every class is compared with the first one. Then all pairs of a bucket that still lie in different components
+  are compared, in parts of at most `CROWD` lines, so no link between components that meets in a bucket is missed, and groups
+  of near copies never expand into all pairs.
+* A pair is a link when the Jaccard similarity of its sets reaches `threshold`, counted on the whole lines.
 * Of each component the first line by (doc_id, position) stays; all others go.
 
 Defined cases: null text stays null, empty text stays empty; a document that loses all lines keeps its row with an empty
@@ -21,20 +23,18 @@ at one position of them stay or go together; an empty table gives an empty table
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, components, left_join_marked, partitions, read_table, semi_by_bitmap
+from litlens.llm.common import bucketed, checkpoint, components, discard, left_join_marked, read_table, semi_by_bitmap
 
-GRAM, BANDS, ROWS = 5, 7, 3
+GRAM, BANDS, ROWS = 8, 10, 4
 #: Bits of a band's hash that are shuffled; a chance meeting costs one comparison.
 BAND_BITS = 42
 #: Lines that one document may have.
 PLACES = 1 << 31
 #: Lines of a bucket that one task compares with the others.
 CROWD = 1024
-#: Columns of the bins of shingles.
-W = ("w0", "w1", "w2", "w3")
 
 
 def normal(line: Column) -> Column:
@@ -48,18 +48,22 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.withColumns({"k1": F.xxhash64("line"), "k2": F.hash("line", F.length("line"))})
 
 
-def hashes(rows: DataFrame) -> DataFrame:
-    """rows with h0, h1, h2: a hash function of the shingle for each row of a band, as columns so that each is computed once."""
-    rows = rows.withColumn("h0", F.xxhash64("gram"))
-    for r in range(1, ROWS):
-        rows = rows.withColumn(f"h{r}", F.xxhash64(f"h{r - 1}"))
-    return rows
+def classes_of(docs: DataFrame) -> DataFrame:
+    """(k1, k2, first, n, line) of every class of equal lines: first is its first place as one number, n its lines."""
+    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)") + F.col("pos")
+    return bucketed(lines_of(docs).groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line")), "k1", "k2")
 
 
-def minima() -> list[Column]:
-    """Smallest hashes: the function by the row, its order by the band (XOR with constants spread evenly over 64 bits)."""
-    orders = [(0x9E3779B97F4A7C15 * (b + 1)) % (1 << 64) for b in range(BANDS)]
-    return [F.min(F.col(f"h{r}").bitwiseXOR(F.lit(c - (1 << 64) if c >> 63 else c))) for c in orders for r in range(ROWS)]
+def bands_of(classes: DataFrame) -> DataFrame:
+    """(k1, band): the buckets of each class. All steps are keyed by the class, so rows stay where they are."""
+    units = F.expr(f"sequence(0, greatest(length(units) div 2 - {GRAM}, 0))")
+    grams = classes.select("k1", "k2", F.encode("line", "UTF-16BE").alias("units")).select("k1", "k2", "units", F.explode(units).alias("at"))
+    grams = grams.select("k1", "k2", F.expr(f"xxhash64(substring(units, 2 * at + 1, {2 * GRAM}))").alias("h"))
+    bins = grams.withColumn("bin", F.pmod("h", F.lit(BANDS * ROWS)).cast("int")).groupBy("k1", "k2", "bin").agg(F.min("h").alias("low"))
+    rows = [F.min(F.when(F.floor(F.col("bin") / BANDS) == r, F.col("low"))) for r in range(ROWS)]
+    bands = bins.groupBy("k1", "k2", (F.col("bin") % BANDS).alias("b")).agg(*[c.alias(f"r{i}") for i, c in enumerate(rows)])
+    missing = sum((F.when(F.col(f"r{i}").isNull(), 1 << i).otherwise(0) for i in range(1, ROWS)), F.when(F.col("r0").isNull(), 1).otherwise(0))
+    return bands.select("k1", F.shiftright(F.xxhash64("b", missing, *[f"r{i}" for i in range(ROWS)]), 64 - BAND_BITS).alias("band"))
 
 
 def overlapping(line: Column) -> Column:
@@ -67,87 +71,62 @@ def overlapping(line: Column) -> Column:
     return F.when(F.length(line) < GRAM, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
-def grams(line: Column) -> Column:
-    """Distinct overlapping shingles of a line."""
-    return F.array_distinct(overlapping(line))
-
-
-def may_link(threshold: float) -> Column:
-    """Whether the bins of lines a and b leave room for a link: each bin that only one of them fills is a shingle that the other
-    lacks, and a link has few of those."""
-    apart = sum((F.bit_count(F.col(f"{w}_a").bitwiseXOR(F.col(f"{w}_b"))) for w in W[1:]), F.bit_count(F.col(f"{W[0]}_a").bitwiseXOR(F.col(f"{W[0]}_b"))))
-    return apart * (1 + threshold) <= (1 - threshold) * (F.col("size_a") + F.col("size_b")) + 1e-9
-
-
-def links_of(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(classes, links): (k1, k2, first, n, size, bins) of every line class, and linked pairs of class hashes (a, b)."""
-    rows = lines_of(docs)
-    # a place as one number, and minima as columns: both fit a hash aggregation
-    place = F.col("doc_id").cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)") + F.col("pos")
-    size = F.greatest(F.length("line") - (GRAM - 1), F.lit(1))
-    shingles = hashes(rows.select("k1", "k2", place.alias("place"), size.alias("size"), F.posexplode(overlapping(F.col("line"))).alias("at", "gram")))
-    start = F.col("at") == 0
-    least = [c.alias(f"_m{i}") for i, c in enumerate(minima())]
-    # 256 bins of shingles: whether a line has one there
-    held = [F.bit_or(F.expr(f"if((h0 & 3) = {i}, shiftleft(1L, cast(shiftright(h0, 2) & 63 as int)), 0L)")).alias(w) for i, w in enumerate(W)]
-    classes = shingles.groupBy("k1", "k2").agg(F.min(F.when(start, F.col("place"))).alias("first"), F.count_if(start).alias("n"), F.max(F.when(start, F.col("size"))).alias("size"), *held, *least)
-    bands = [F.xxhash64(F.lit(b), *[F.col(f"_m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)]
-    doc = F.floor(F.col("first") / PLACES).cast("long")
-    classes = checkpoint(classes.withColumns({"doc_id": doc, "pos": (F.col("first") - doc.cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)")).cast("int")}).select("k1", "k2", F.struct("doc_id", "pos").alias("first"), "n", "size", *W, F.array(*bands).alias("bands")))
-    at = Window.partitionBy("band")
-    spread = classes.select("k1", F.explode("bands").alias("band")).withColumn("band", F.shiftright("band", 64 - BAND_BITS)).repartition(partitions(docs), "band")
-    spread = spread.withColumns({"head": F.min("k1").over(at.orderBy("k1")), "before": F.lag("k1").over(at.orderBy("k1")), "last": F.max("k1").over(at)})
-    spread = checkpoint(spread.filter("head <> last"))
-    near = spread.filter("before is not null and before <> k1")
-    pairs = near.select(F.col("head").alias("a"), F.col("k1").alias("b")).union(near.select(F.col("before").alias("a"), F.col("k1").alias("b")))
-    bins = classes.groupBy("k1").agg(F.max("size").alias("size"), *[F.bit_or(w).alias(w) for w in W])
-    side = lambda x: bins.select(F.col("k1").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *W)])
-    pairs = pairs.filter("a < b").distinct().join(side("a"), "a").join(side("b"), "b").filter(may_link(threshold))
-    tried = checkpoint(pairs.select("a", "b"))
-    links = verify(tried, classes, docs, threshold)
+def links_of(classes: DataFrame, threshold: float) -> DataFrame:
+    """Linked pairs (a, b) of class hashes."""
+    spread = checkpoint(bands_of(classes))
+    # buckets of several classes: few, and known before any of their members move
+    heads = spread.groupBy("band").agg(F.min("k1").alias("head"), F.max("k1").alias("last")).filter("head <> last")
+    heads = checkpoint(heads.select("band", "head"))
+    members = checkpoint(semi_by_bitmap(spread, "band", heads, bits=1 << 25).join(heads, "band").select("band", "head", "k1").distinct())
+    discard(spread, heads)
+    tried = checkpoint(members.filter("head <> k1").select(F.col("head").alias("a"), F.col("k1").alias("b")).distinct())
+    links = verify(tried, classes, threshold)
     # what still lies in different components of a bucket, every pair of it
-    apart = spread.select("band", "k1").distinct().join(components(links).select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+    apart = members.select("band", "k1").join(components(links).select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
     mixed = apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo <> hi and held > 2").select("band", F.ceil(F.col("held") / CROWD).alias("parts"))
-    apart = checkpoint(mixed.join(apart, "band").join(bins, "k1"))
-    member = lambda x, part: apart.select("band", part.alias("part"), F.col("k1").alias(x), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("size", *W)])
+    apart = checkpoint(mixed.join(apart, "band"))
+    member = lambda x, part: apart.select("band", part.alias("part"), F.col("k1").alias(x), F.col("component").alias(f"c_{x}"))
     # a large bucket is dealt to several tasks: a line is in one part, and meets all parts
     rest = member("a", F.pmod(F.xxhash64("k1"), F.col("parts"))).join(member("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), ["band", "part"])
-    rest = rest.filter(F.expr("a < b and c_a <> c_b") & may_link(threshold)).select("a", "b").distinct()
+    rest = rest.filter("a < b and c_a <> c_b").select("a", "b").distinct()
     rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        links = checkpoint(links.union(verify(rest, classes, docs, threshold)))
-    return classes, links
+        links = checkpoint(links.union(verify(rest, classes, threshold)))
+    discard(members, tried, apart, rest)
+    return links
 
 
-def verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the pairs that are links, counted on the whole lines."""
     ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    # the texts of candidate lines, from the first document of each class
-    wanted = classes.join(ends, "k1", "left_semi").groupBy("k1").agg(F.min("first").alias("first")).select("k1", "first.doc_id", "first.pos")
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "k1")).alias("wanted"))
-    some = semi_by_bitmap(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null"), "doc_id", per_doc).join(per_doc, "doc_id").dropDuplicates(["doc_id"])
-    texts = some.withColumn("_l", F.split("text", "\n")).select(F.explode("wanted").alias("w"), "_l").select(F.col("w.k1").alias("k1"), normal(F.get(F.col("_l"), F.col("w.pos"))).alias("line"))
-    texts = checkpoint(texts)
-    both = pairs.join(texts.select(F.col("k1").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("k1").alias("b"), F.col("line").alias("lb")), "b")
-    # a lambda's argument is computed once: the shingles of both lines, then sizes, then what they share
-    pair = F.array(F.struct(grams(F.col("la")).alias("x"), grams(F.col("lb")).alias("y")))
-    near = lambda p: F.least(F.size(p["x"]), F.size(p["y"])) >= threshold * F.greatest(F.size(p["x"]), F.size(p["y"]))
-    alike = lambda p: F.size(F.array_intersect(p["x"], p["y"])) * (1 + threshold) >= threshold * (F.size(p["x"]) + F.size(p["y"])) - 1e-9
-    links = both.filter(F.exists(pair, lambda p: near(p) & alike(p))).select("a", "b")
-    return checkpoint(links)
+    texts = semi_by_bitmap(classes.select("k1", "line"), "k1", ends, bits=1 << 25).join(ends, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
+    texts = checkpoint(texts.withColumn("n", F.size(F.array_distinct(overlapping(F.col("line"))))))
+    side = lambda x: texts.select(*[F.col(c).alias(x if c == "k1" else f"{c}_{x}") for c in texts.columns])
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    union = F.size(F.array_union(overlapping(F.col("line_a")), overlapping(F.col("line_b"))))
+    alike = F.col("n_a") + F.col("n_b") >= (1 + threshold) * union - 1e-9
+    links = checkpoint(both.filter(sizes & alike).select("a", "b"))
+    discard(texts)
+    return links
 
 
 def doomed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """(doc_id, gone array<int>): positions of the lines that go."""
-    classes, links = links_of(docs, threshold)
+    """(doc_id, gone array<struct<pos, k1>>): the lines that go."""
+    classes = classes_of(docs)
+    links = links_of(classes, threshold)
     groups = components(links)
-    grouped = classes.join(groups.select(F.col("node").alias("k1"), "component"), "k1", "left").filter("n > 1 or component is not null")
-    grouped = grouped.withColumn("component", F.coalesce("component", "k1"))
+    grouped = classes.drop("line").join(groups.select(F.col("node").alias("k1"), "component"), "k1", "left").filter("n > 1 or component is not null")
+    grouped = checkpoint(grouped.withColumn("component", F.coalesce("component", "k1")))
     keeper = grouped.groupBy("component").agg(F.min("first").alias("keep"))
-    kept = checkpoint(grouped.join(keeper, "component").select("k1", "k2", "keep"))
+    kept = grouped.join(keeper, "component")
+    doc = F.floor(F.col("keep") / PLACES).cast("long")
+    kept = checkpoint(kept.select("k1", "k2", doc.alias("keep_doc"), (F.col("keep") - doc.cast("decimal(20,0)") * F.lit(PLACES).cast("decimal(12,0)")).cast("int").alias("keep_pos")))
     rows = semi_by_bitmap(lines_of(docs).select("doc_id", "pos", "k1", "k2"), "k1", kept, bits=1 << 25)
-    gone = rows.join(kept, ["k1", "k2"]).filter("doc_id <> keep.doc_id or pos <> keep.pos")
-    return checkpoint(gone.groupBy("doc_id").agg(F.collect_set("pos").alias("gone")))
+    gone = rows.join(kept, ["k1", "k2"]).filter("doc_id <> keep_doc or pos <> keep_pos")
+    gone = checkpoint(gone.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "k1")).alias("gone")))
+    discard(classes, links, grouped, kept)
+    return gone
 
 
 def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -157,10 +136,12 @@ def dedup(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     joined = left_join_marked(docs.select(*others), "doc_id", gone)
     text, lost = F.col("row.text"), F.col("gone")
     lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n")
-    columns = [F.when(lost.isNull(), text).otherwise(kept).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in others]
+    # a position alone would be wrong where rows of one doc_id hold different texts
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(F.transform(lost, lambda g: g["pos"]), i) | ~F.array_contains(lost, F.struct(i.alias("pos"), F.xxhash64(normal(x)).alias("k1"))))
+    joined = joined.withColumn("_kept", F.when(lost.isNotNull(), kept))
+    columns = [F.when(lost.isNull(), text).otherwise(F.array_join("_kept", "\n")).alias(c) if c == "text" else F.col("row")[c].alias(c) for c in others]
     size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    return joined.select(*columns, size(lines).alias("n_lines"), size(lost).alias("n_removed"))
+    return joined.select(*columns, size(lines).alias("n_lines"), F.when(lost.isNull(), F.lit(0).cast("long")).otherwise(size(lines) - size(F.col("_kept"))).alias("n_removed"))
 
 
 def op6_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
