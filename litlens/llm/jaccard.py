@@ -17,9 +17,11 @@ of their sets is at least `percent` / 100.
 * A pair whose first shared token stands so late in one of the sets that too little is left to share is no candidate, nor is
   one whose sets differ in more tokens than they may: the parities of 256 hash bins bound that from below.
 * In each bucket, members are compared with two centres: the nodes with the fewest and with the most tokens of their own
-  before. Verified links make components. Then all other candidate pairs of a bucket are compared, so no link is missed. A
-  caller that needs no count of links (count_links) has only the pairs of different components compared: no link between
-  components is missed, and groups of near copies never expand into all pairs.
+  before. Verified links make components. Members of a bucket that lie outside the component of one of `HEADS` further members
+  (in as many hash orders) are compared with it, and what then still lies in different components, every pair of it. So no
+  link between components is missed, and groups of near copies never expand into all pairs.
+* A caller that needs the number of links (count_links) has them counted inside each component: its nodes are dealt to blocks of
+  bounded size by their set's size, and each pair of blocks whose sizes can link meets in one task, as an incidence matrix.
 
 Defined cases: null text is an empty text; documents without words have no set, link with nothing and are their own
 component; a null doc_id keeps its n_shingles and has a null component unless a linked document has an id; rows of
@@ -28,6 +30,7 @@ one doc_id give one result row each and are judged by their own sets; an empty t
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, components, left_join_marked, partitions, read_table, semi_by_bitmap
+from litlens.llm.common import checkpoint, components, discard, left_join_marked, partitions, read_table, semi_by_bitmap
 from litlens.llm.words import mix, pieces, planes, shingle_hashes, slices, unplanes, word_hashes
 
 #: Upper ends of the bands of set sizes, and pair subclasses in each (an eighth of the band's lower end).
@@ -48,6 +51,9 @@ COUNT_BITS = 40
 #: steps from the end of the prefix (31: at its start).
 NODE_BITS, STEPS = 58, 32
 M = ("m0", "m1", "m2", "m3")
+#: Further members of a mixed bucket that others are compared with; nodes and shingles of a block in which links are counted,
+#: and columns of its incidence matrix at a time.
+HEADS, BLOCK_NODES, BLOCK_TOKENS, COLUMNS = 6, 256, 400_000, 8192
 
 
 def sets_of(texts: list[str | None], words: int) -> list[np.ndarray]:
@@ -74,17 +80,18 @@ def parities(s: np.ndarray) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, n, node, m0 to m3): size, identity and parities of each document's set; node is null for an empty set."""
-    names = ["doc_id", "n", "node", "m0", "m1", "m2", "m3"]
+    """(doc_id, th, n, node, m0 to m3): size, identity and parities of each document's set; node is null for an empty set. th
+    tells texts of one doc_id apart."""
+    names = ["doc_id", "th", "n", "node", "m0", "m1", "m2", "m3"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = sets_of(batch.column(1).to_pylist(), words)
             node = [fingerprint(s) if len(s) else None for s in sets]
             odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), *(pa.array(odd[:, i]) for i in range(4))], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), *(pa.array(odd[:, i]) for i in range(4))], names)
 
-    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def frequent_tokens(docs: DataFrame, words: int, least: int, most: int, ranges: int) -> np.ndarray:
@@ -203,13 +210,18 @@ def index(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, node long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b, doc_a, doc_b) whose sets are similar enough, counted on the whole texts. The texts are
-    shuffled by document once, and once more beside their partner; documents in no pair stay where they are."""
-    ends = pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct()
-    texts = semi_by_bitmap(docs, "doc_id", ends).select("doc_id", "text")
-    left = pairs.join(texts.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("ta")), "doc_a")
-    both = left.join(texts.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("tb")), "doc_b")
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, text) of wanted (node, doc_id, th); documents that are not wanted stay where they are."""
+    texts = semi_by_bitmap(docs.select("doc_id", "text"), "doc_id", wanted).withColumn("th", F.xxhash64("text"))
+    return texts.join(wanted, ["doc_id", "th"]).select("node", "text")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b) whose sets are similar enough, counted on the whole texts."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = texts_of(docs, nodes.join(ends, "node").select("node", "doc_id", "th"))
+    left = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -227,6 +239,51 @@ def verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataF
     return checkpoint(both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct())
 
 
+def count_links_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, n_links) of the nodes of members (node, component): each pair of blocks of a component in one task."""
+    # sizes of partners lie in the same class or in neighbouring ones
+    step = math.log(100 / percent)
+    sized = members.join(nodes, "node").select("component", "node", "doc_id", "th", "n", F.floor(F.log("n") / step + 1e-9).alias("level"))
+    levels = sized.groupBy("component", "level").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("tokens"))
+    parts = F.greatest(F.ceil(F.col("k") / BLOCK_NODES), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    levels = checkpoint(levels.select("component", "level", parts.alias("parts")))
+    blocks = levels.select("component", "level", F.explode(F.sequence(F.lit(1).cast("long"), "parts")).alias("part"))
+    side = lambda x: blocks.select("component", *[F.col(c).alias(f"{c}_{x}") for c in ("level", "part")])
+    meet = side("a").join(side("b"), "component").filter("level_b = level_a + 1 or level_b = level_a and part_b >= part_a")
+    key = F.xxhash64("component", "level_a", "part_a", "level_b", "part_b")
+    meet = checkpoint(meet.withColumn("pair", key))
+    ends = meet.select("component", "pair", F.col("level_a").alias("level"), F.col("part_a").alias("part"), F.lit(0).alias("side"))
+    ends = ends.union(meet.filter("level_a <> level_b or part_a <> part_b").select("component", "pair", "level_b", "part_b", F.lit(1)))
+    placed = sized.join(levels, ["component", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")) + 1)
+    placed = checkpoint(placed.select("component", "level", "part", "node", "doc_id", "th"))
+    texts = texts_of(docs, placed.select("node", "doc_id", "th")).dropDuplicates(["node"])
+    rows = placed.join(ends, ["component", "level", "part"]).select("node", "pair", "side").join(texts, "node")
+
+    def count(frame):
+        sets = sets_of(frame["text"].tolist(), words)
+        n = np.array([len(s) for s in sets], np.int64)
+        token, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), n)
+        order = np.argsort(at, kind="stable")
+        owner, at = owner[order], at[order]
+        x, y = np.flatnonzero(frame["side"] == 0), np.flatnonzero(frame["side"] == 1)
+        alone = not len(y)
+        y = x if alone else y
+        common = np.zeros((len(x), len(y)), np.float32)
+        for a in range(0, len(token), COLUMNS):
+            lo, hi = np.searchsorted(at, [a, a + COLUMNS])
+            held = np.zeros((len(sets), min(COLUMNS, len(token) - a)), np.float32)
+            held[owner[lo:hi], at[lo:hi] - a] = 1
+            common += held[x] @ held[y].T
+        link = 100 * common.astype(np.int64) >= percent * (n[x][:, None] + n[y][None] - common.astype(np.int64))
+        if alone:
+            np.fill_diagonal(link, False)
+            return pd.DataFrame({"node": frame["node"].to_numpy()[x], "n_links": link.sum(1)})
+        return pd.DataFrame({"node": frame["node"].to_numpy()[np.r_[x, y]], "n_links": np.r_[link.sum(1), link.sum(0)]})
+
+    return checkpoint(rows.groupBy("pair").applyInPandas(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links")))
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int = 32, frequent_most: int = 1 << 18, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links, itself
     included; n_links counts the links of the document's set with other sets. Without count_links the pairs inside a
@@ -236,7 +293,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
     sized = checkpoint(with_sets(slim, words))
     tokens = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # each set's size and the document whose text stands for it; sets that only null ids hold get no document and no links
-    nodes = checkpoint(sized.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", *M)]))
+    nodes = checkpoint(sized.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in M]).select("node", "of.doc_id", "of.th", "n", *M))
     frequent = spark.sparkContext.broadcast(frequent_tokens(slim, words, frequent_from, frequent_most, max(1, tokens // 2_000_000)))
     rows = index(slim.filter("doc_id is not null"), frequent, words, percent).repartition(partitions(docs), "sig")
     w = Window.partitionBy("sig")
@@ -247,7 +304,7 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
     kept = rows.withColumns({"low": F.min("node").over(w), "high": F.max("node").over(w), "one": F.min(bare("node")).over(w), "other": F.max(bare("node")).over(w)}).filter("one <> other")
     places = {"node": bare("node"), "q": step("node"), "centre": bare("high"), "q_centre": step("high"), "second": bare("low"), "q_second": step("low")}
     buckets = checkpoint(kept.select("sig", *[c.alias(k) for k, c in places.items()]))
-    sizes = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{'doc' if c == 'doc_id' else c}_{x}") for c in ("doc_id", "n", *M)])
+    sizes = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *M)])
 
     def differ_little() -> Column:
         """Whether the parities of sets a and b leave room for a link: tokens in one set alone are at least their distance."""
@@ -261,33 +318,47 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
         return ((100 + percent) * (n - missed) >= percent * (n + m)) & (100 * n >= percent * m)
 
     def described(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b, q_a, q_b), one for each bucket, as possible pairs with their documents. The first shared token stands
-        first in both sets, so the smallest steps of a pair belong to it."""
+        """Pairs (a, b, q_a, q_b), one for each bucket, as possible pairs. The first shared token stands first in both sets, so
+        the smallest steps of a pair belong to it."""
         first = pairs.groupBy("a", "b").agg(F.min("q_a").alias("q_a"), F.min("q_b").alias("q_b"))
-        return first.join(sizes("a"), "a").join(sizes("b"), "b").filter(may_link("a", "b") & may_link("b", "a") & differ_little()).select("a", "b", "doc_a", "doc_b")
+        return first.join(sizes("a"), "a").join(sizes("b"), "b").filter(may_link("a", "b") & may_link("b", "a") & differ_little()).select("a", "b")
 
-    def star(c: str) -> DataFrame:
+    def ordered(rows: DataFrame, c: str) -> DataFrame:
+        """(a, b, q_a, q_b), a the smaller, of rows with node, q and another node c."""
         swap = F.col("node") > F.col(c)
         pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-        return buckets.filter(F.col("node") != F.col(c)).select(pick("node", c).alias("a"), pick(c, "node").alias("b"), pick("q", f"q_{c}").alias("q_a"), pick(f"q_{c}", "q").alias("q_b"))
-
-    tried = checkpoint(described(star("centre").union(star("second"))))
-    links = verify(tried, slim, words, percent)
-    groups = components(links)
-    apart = buckets.select("sig", "node", "q").join(groups.select("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    compared = "a < b" if count_links else "a < b and c_a <> c_b"
-    mixed = apart.groupBy("sig").agg(F.min("node" if count_links else "component").alias("lo"), F.max("node" if count_links else "component").alias("hi")).filter("lo <> hi").select("sig")
-    apart = checkpoint(mixed.join(apart, "sig").join(nodes.drop("doc_id"), "node"))
-    side = lambda x: apart.select("sig", F.col("node").alias(x), F.col("q").alias(f"q_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *M)])
-    rest = side("a").join(side("b"), "sig").filter(F.expr(compared) & may_link("a", "b") & may_link("b", "a") & differ_little())
-    rest = rest.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    rest = checkpoint(rest.join(sizes("a"), "a").join(sizes("b"), "b").select("a", "b", "doc_a", "doc_b"))
-    if not rest.isEmpty():
-        links = checkpoint(links.union(verify(rest, slim, words, percent)))
-        groups = components(links)
+        return rows.filter(F.col("node") != F.col(c)).select(pick("node", c).alias("a"), pick(c, "node").alias("b"), pick("q", f"q_{c}").alias("q_a"), pick(f"q_{c}", "q").alias("q_b"))
+
+    def still_apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """(sig, node, q, component) of the buckets that hold several components."""
+        apart = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
+        return checkpoint(semi_by_bitmap(apart, "sig", mixed).join(mixed, "sig", "left_semi"))
+
+    tried = checkpoint(described(ordered(buckets, "centre").union(ordered(buckets, "second"))))
+    links = verify(tried, nodes, slim, words, percent)
+    groups = checkpoint(components(links))
+    apart = still_apart(buckets.select("sig", "node", "q"), groups)
+    discard(buckets)
+    # further centres for what lies in another component than they: a few rows a bucket, whatever it holds
+    order = lambda r: F.struct(F.xxhash64("node", F.lit(r)).alias("h"), F.col("node").alias("head"), F.col("q").alias("q_head"), F.col("component").alias("c_head"))
+    heads = apart.groupBy("sig").agg(F.array_distinct(F.array(*[F.min(order(r)) for r in range(HEADS)])).alias("heads")).select("sig", F.explode("heads").alias("x")).select("sig", "x.head", "x.q_head", "x.c_head")
+    more = described(ordered(apart.join(heads, "sig").filter("component <> c_head"), "head")).join(tried, ["a", "b"], "left_anti")
+    more = checkpoint(more)
+    links = checkpoint(links.union(verify(more, nodes, slim, words, percent)))
+    groups = checkpoint(components(links))
+    rest = still_apart(apart.select("sig", "node", "q"), groups)
+    rest = checkpoint(rest.join(nodes.select("node", "n", *M), "node"))
+    side = lambda x: rest.select("sig", F.col("node").alias(x), F.col("q").alias(f"q_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *M)])
+    last = side("a").join(side("b"), "sig").filter(F.expr("a < b and c_a <> c_b") & may_link("a", "b") & may_link("b", "a") & differ_little())
+    last = checkpoint(last.select("a", "b").distinct().join(tried.union(more), ["a", "b"], "left_anti"))
+    if not last.isEmpty():
+        links = checkpoint(links.union(verify(last, nodes, slim, words, percent)))
+        groups = checkpoint(components(links))
+    discard(apart, rest, tried, more, last)
     named = groups.join(nodes, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = groups.join(named, "component").select("node", "component_id")
-    ends = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = count_links_of(groups, nodes, slim, words, percent) if count_links else links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     per_node = nodes.select("node", F.col("doc_id").alias("first")).join(named, "node", "left").join(ends, "node", "left")
     per_node = per_node.select("node", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sized.select("doc_id", "n", "node").join(per_node, "node", "left")

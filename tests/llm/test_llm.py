@@ -405,3 +405,28 @@ def test_pipeline_cases(spark, docs, edge, sf):
 
 def test_small_helpers(spark):
     assert spark.range(1).select(token_rollup.n_words(F.lit(" a  b\tc d "))).first()[0] == 3
+
+
+def test_jaccard_repeated_ids(docs):
+    """Texts of one doc_id are judged by their own sets."""
+    words = [f"w{j}" for j in range(400)]
+    swap = lambda at, by: " ".join(f"{by}{j}" if j in at else w for j, w in enumerate(words))
+    x, y, z = swap({50}, "x"), swap({100, 150, 200, 250, 300, 350, 30, 60, 90, 120, 180}, "y"), swap({51}, "z")
+    got = sorted((r["doc_id"], r["component_id"], r["n_links"]) for r in jaccard.join(docs([(3, z), (5, x), (5, y)])).collect())
+    assert got == [(3, 3, 1), (5, 3, 1), (5, 5, 0)]
+
+
+def test_jaccard_counts_links_in_blocks(docs, monkeypatch):
+    """Components of several blocks and size classes: links of each set by brute force."""
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 4)
+    rnd = random.Random(11)
+    rows = []
+    for i in range(60):
+        w = [f"w{j}" for j in range(rnd.choice([60, 70, 80, 100]))]
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = f"u{i}"
+        rows.append((i, " ".join(w)))
+    sets = {d: frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for d, t in rows}
+    want = {d: sum(100 * len(s & x) >= 80 * len(s | x) for x in set(sets.values()) if x != s) for d, s in sets.items()}
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.join(docs(rows)).collect()}
+    assert {d: n for d, (_, n) in got.items()} == want and {d: c for d, (c, _) in got.items()} == {d: c for d, (_, c) in naive_join(rows).items()}
