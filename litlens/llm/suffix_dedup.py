@@ -9,9 +9,10 @@ input are judged, in four steps:
 2. Anchors that one document alone holds end here. Of equal contexts only the smallest document's is kept; the others' are
    repeats. A window reaches at least half of what it has besides its anchor to the left or to the right of it, so two
    contexts can share a window only if they agree on the half context on one side. The contexts that agree with one of
-   another document there go to the sort, with their bytes.
-3. Sort. The contexts of an anchor are joined to one text; its suffixes at the window starts are sorted by a bottom-up merge
-   sort. Two suffixes are compared by the hashes of their prefixes (polynomial, from prefix sums): a binary search finds how
+   another document there go to the sort, with the bytes of the windows that reach that side.
+3. Sort. Contexts of one anchor and one half meet in a group, so an anchor that stands in very many surroundings is dealt to
+   many groups. Windows whose hash no other document holds leave. The contexts are joined to one text; its suffixes at the
+   window starts are sorted by a bottom-up merge sort. Two suffixes are compared by the hashes of their prefixes (polynomial, from prefix sums): a binary search finds how
    far they agree, the next byte decides. Neighbours that agree on `length` bytes are compared byte by byte, so a collision
    cannot remove anything, and make a run; within it, all but the smallest document's strings are repeats.
 4. The repeats of each document are joined to maximal runs and cut out of its text.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -40,6 +42,7 @@ GRAM, SENT = 18, 500_000
 #: Bits of an anchor's hash, and of the hashes of its context and of the two half contexts (compared only under equal anchors).
 ANCHOR_BITS, CONTEXT_BITS, SIDE_BITS = 48, 40, 12
 _LETTER = letters(lower=False)
+_LARGEST = (1 << 63) - 1
 
 
 def prefix_hashes(b: np.ndarray) -> np.ndarray:
@@ -128,7 +131,8 @@ def _rows(kind: int, doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pd.Data
 
 
 def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
-    """(kind, doc_id, pos, anchor): kind 1, the anchor's whole context is a repeat; kind 2, the context is to be sorted."""
+    """(kind, doc_id, pos, anchor): kind 1, the anchor's whole context is a repeat; else its windows that reach the half to the
+    left (kind 2), to the right (3) or both (4) are to be sorted."""
     schema = pa.schema([("r", pa.int32()), ("h", pa.binary()), ("ctx", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
 
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -183,8 +187,9 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
         side = (1 << SIDE_BITS) - 1
         rest = ctx[first].astype(np.int64)
         left, right = (group << SIDE_BITS) | ((rest >> SIDE_BITS) & side), (group << SIDE_BITS) | (rest & side)
-        ask = first[several(left, doc[first]) | several(right, doc[first])]
-        return pd.concat([_rows(1, doc[larger], pos[larger], h[larger]), _rows(2, doc[ask], pos[ask], h[ask])])
+        by_left, by_right = several(left, doc[first]), several(right, doc[first])
+        asked = [(kind, first[m]) for kind, m in ((2, by_left & ~by_right), (3, by_right & ~by_left), (4, by_left & by_right))]
+        return pd.concat([_rows(1, doc[larger], pos[larger], h[larger]), *(_rows(kind, doc[a], pos[a], h[a]) for kind, a in asked)])
 
     sent = docs.mapInArrow(scan, "r int, h binary, ctx binary, doc binary, pos binary")
     return sent.groupBy("r").applyInPandas(meet, "kind byte, doc_id long, pos int, anchor long")
@@ -244,9 +249,9 @@ def suffix_sort(text: np.ndarray, sums: np.ndarray, group: np.ndarray, at: np.nd
 
 
 def repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
-    """(doc_id, begin, end) in bytes: the repeated strings among contexts (anchor, doc_id, begin, bytes)."""
+    """(doc_id, begin, end) in bytes: the repeated strings among contexts (part, doc_id, begin, reach, bytes)."""
     release()
-    frame = frame.sort_values(["anchor", "doc_id", "begin"], kind="stable")
+    frame = frame.sort_values(["part", "doc_id", "begin"], kind="stable")
     chunks = frame["bytes"].tolist()
     text = np.frombuffer(b"".join(chunks) + bytes(length), np.uint8)
     sums = prefix_hashes(text)
@@ -255,10 +260,12 @@ def repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     windows = np.maximum(size - length + 1, 0)
     owner = np.repeat(np.arange(len(size)), windows)
     offset = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
-    # windows of one anchor at one distance from it are candidates for equality
+    # windows of one part at one distance from the anchor are candidates for equality
     reach = frame["reach"].to_numpy(np.int64)
-    anchor = frame["anchor"].to_numpy(np.int64)
-    key = pd.factorize(pd.Series(anchor[owner]))[0].astype(np.int64) * (2 * length) + (offset - reach[owner] + length)
+    part = np.cumsum(np.diff(frame["part"].to_numpy(np.int64), prepend=frame["part"].iloc[0]) != 0)
+    key = part[owner] * (2 * length) + (offset - reach[owner] + length)
+    twin = several(mix(hash_at(sums, begin[owner] + offset, length) + key.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)), frame["doc_id"].to_numpy(np.int64)[owner])
+    owner, offset, key = owner[twin], offset[twin], key[twin]
     by = np.argsort(key, kind="stable")
     owner, offset, key = owner[by], offset[by], key[by]
     at = begin[owner] + offset
@@ -288,8 +295,9 @@ def repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
 
 def sort_contexts(docs: DataFrame, asked: DataFrame, length: int, ranges: int) -> DataFrame:
     """(doc_id, begin, end) of the repeats that the sort finds among the asked-for contexts."""
-    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor")).alias("places"))  # within one document
+    wanted = asked.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "anchor", "kind")).alias("places"))  # within one document
     some = semi_by_bitmap(docs, "doc_id", wanted).join(wanted, "doc_id")
+    half = (length - GRAM) // 2
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -297,13 +305,20 @@ def sort_contexts(docs: DataFrame, asked: DataFrame, length: int, ranges: int) -
             for doc, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("places").to_pylist(), strict=True):
                 b = (text or "").encode("utf-8", "replace")
                 for p in places:
-                    lo = max(0, p["pos"] - (length - GRAM))
-                    rows.append((p["anchor"] % ranges, p["anchor"], doc, lo, p["pos"] - lo, b[lo : p["pos"] + length]))
+                    pos, kind = p["pos"], p["kind"]
+                    if kind != 3 and pos >= half:  # windows with at least half of the rest to the left
+                        lo = max(0, pos - (length - GRAM))
+                        part = (p["anchor"] * 2 + (crc32(b[pos - half : pos]) << 20)) & _LARGEST
+                        rows.append((part % ranges, part, doc, lo, pos - lo, b[lo : pos - half + length]))
+                    if kind != 2 and pos + length - half < len(b):  # and those with less
+                        lo = max(0, pos - half + 1)
+                        part = (p["anchor"] * 2 + 1 + (crc32(b[pos + GRAM : pos + GRAM + half]) << 20)) & _LARGEST
+                        rows.append((part % ranges, part, doc, lo, pos - lo, b[lo : pos + length]))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=fields)
 
-    fields = pa.schema([("r", pa.int64()), ("anchor", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("reach", pa.int64()), ("bytes", pa.binary())])
-    contexts = some.select("doc_id", "text", "places").mapInArrow(fetch, "r long, anchor long, doc_id long, begin long, reach long, bytes binary")
+    fields = pa.schema([("r", pa.int64()), ("part", pa.int64()), ("doc_id", pa.int64()), ("begin", pa.int64()), ("reach", pa.int64()), ("bytes", pa.binary())])
+    contexts = some.select("doc_id", "text", "places").mapInArrow(fetch, "r long, part long, doc_id long, begin long, reach long, bytes binary")
     return contexts.groupBy("r").applyInPandas(lambda frame: repeats(frame, length), "doc_id long, begin long, end long")
 
 
@@ -322,7 +337,7 @@ def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     found = checkpoint(find(slim, length, max(1, size // 3_000_000)))
-    asked = found.filter("kind = 2")
+    asked = found.filter("kind >= 2")
     n = asked.count()
     begin = F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).cast("long")
     whole = found.filter("kind = 1").select("doc_id", begin.alias("begin"), (F.col("pos") + length).cast("long").alias("end"))
