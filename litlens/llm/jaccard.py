@@ -211,17 +211,18 @@ def index(docs: DataFrame, frequent, words: int, percent: int) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of wanted (node, doc_id, th); documents that are not wanted stay where they are."""
-    texts = semi_by_bitmap(docs.select("doc_id", "text"), "doc_id", wanted).withColumn("th", F.xxhash64("text"))
-    return texts.join(wanted, ["doc_id", "th"]).select("node", "text")
+    """(doc_id, th, text) of the documents that wanted (doc_id) may name; the others stay where they are."""
+    return semi_by_bitmap(docs.select("doc_id", "text"), "doc_id", wanted).select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b) whose sets are similar enough, counted on the whole texts."""
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = texts_of(docs, nodes.join(ends, "node").select("node", "doc_id", "th"))
-    left = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
+    """(a, b) of the pairs (a, b) whose sets are similar enough, counted on the whole texts. The texts are shuffled by document
+    once, and once more beside their partner."""
+    place = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("th").alias(f"th_{x}"))
+    pairs = checkpoint(pairs.select("a", "b").join(place("a"), "a").join(place("b"), "b"))
+    texts = texts_of(docs, pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct())
+    text = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("th").alias(f"th_{x}"), F.col("text").alias(f"t{x}"))
+    both = pairs.join(text("a"), ["doc_a", "th_a"]).join(text("b"), ["doc_b", "th_b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -241,6 +242,10 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, perc
 
 def count_links_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, n_links) of the nodes of members (node, component): each pair of blocks of a component in one task."""
+    held = members.groupBy("component").agg(F.count(F.lit(1)).alias("held"))
+    members = checkpoint(members.join(held, "component"))
+    couples = members.filter("held = 2").select("node", F.lit(1).cast("long").alias("n_links"))  # a component of two is a link
+    members = members.filter("held > 2").select("node", "component")
     # sizes of partners lie in the same class or in neighbouring ones
     step = math.log(100 / percent)
     sized = members.join(nodes, "node").select("component", "node", "doc_id", "th", "n", F.floor(F.log("n") / step + 1e-9).alias("level"))
@@ -256,10 +261,11 @@ def count_links_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, words:
     ends = ends.union(meet.filter("level_a <> level_b or part_a <> part_b").select("component", "pair", "level_b", "part_b", F.lit(1)))
     placed = sized.join(levels, ["component", "level"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")) + 1)
     placed = checkpoint(placed.select("component", "level", "part", "node", "doc_id", "th"))
-    texts = texts_of(docs, placed.select("node", "doc_id", "th")).dropDuplicates(["node"])
-    rows = placed.join(ends, ["component", "level", "part"]).select("node", "pair", "side").join(texts, "node")
+    rows = placed.join(ends, ["component", "level", "part"]).select("doc_id", "th", "node", "pair", "side")
+    rows = rows.join(texts_of(docs, placed.select("doc_id").distinct()), ["doc_id", "th"]).select("node", "pair", "side", "text")
 
     def count(frame):
+        frame = frame.drop_duplicates(["node", "side"])  # rows of a document that stands twice in the table
         sets = sets_of(frame["text"].tolist(), words)
         n = np.array([len(s) for s in sets], np.int64)
         token, at = np.unique(np.concatenate(sets), return_inverse=True)
@@ -281,7 +287,8 @@ def count_links_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, words:
             return pd.DataFrame({"node": frame["node"].to_numpy()[x], "n_links": link.sum(1)})
         return pd.DataFrame({"node": frame["node"].to_numpy()[np.r_[x, y]], "n_links": np.r_[link.sum(1), link.sum(0)]})
 
-    return checkpoint(rows.groupBy("pair").applyInPandas(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links")))
+    counted = rows.groupBy("pair").applyInPandas(count, "node long, n_links long").groupBy("node").agg(F.sum("n_links").alias("n_links"))
+    return checkpoint(counted.union(couples))
 
 
 def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int = 32, frequent_most: int = 1 << 18, count_links: bool = True) -> DataFrame:
