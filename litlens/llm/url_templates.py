@@ -1,27 +1,28 @@
 """URL filter: host rules first, then a tree of path templates judged by smoothed labelled purity. DataFrame functions only.
 
 A url that a rule fits is labelled by the rule. All urls, labelled or not, grow one tree per host: segments that look like
-identifiers become `*`, and so do the children of a node with more than `max_children` different ones. Sibling branches
-whose labelled block rates fall in the same class (Wilson interval wholly above 1/2, wholly below, or neither) are merged.
-A template is rejected when (blocked + strength * prior) / (labelled + strength) of its merged branch reaches `reject`;
-prior is the block rate of all labelled urls. Urls without a rule take their template's verdict.
+identifiers become `*`, and so do the children of a node with more than `max_children` different ones, level by level to the
+longest path. Every node counts the labelled and blocked urls below it. Labelled sibling branches, in the order of their block
+rates, are merged where a two-sample test finds no difference between neighbours (|z| < `z`). A node's purity is
+(blocked + strength * purity of its parent) / (labelled + strength) over its merged branches; a branch without labelled urls
+takes its parent's purity, and a host's root is smoothed by the block rate of all labelled urls. Templates of a purity of
+`reject` or more are rejected; urls without a rule take their template's verdict.
 
 Defined cases: a null url or one without `://` has empty host and path, fits no rule, and shares the template of the empty
-path; repeated rows count as often as they occur; with no labelled url the prior is 0 and everything else is allowed.
+path; repeated rows count as often as they occur; with no labelled url the prior is 0 and everything else is allowed; long
+urls have as many levels as segments; input columns named host, path, rule, verdict, template, labelled or purity are replaced.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, read_table
+from litlens.llm.common import checkpoint, read_table, union_all
 
 #: (verdict, host, path): the production rules (fixed values of the query's contract).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Levels of the tree; what lies deeper counts as one last segment `**`.
-DEPTH = 4
 #: A segment that is a number (with an extension or not), a date, a long hexadecimal string or a UUID.
 IDENTIFIER = r"^(?:[0-9]+(?:[-_.][0-9]+)*|[0-9a-fA-F]{8,}(?:-[0-9a-fA-F]{4,}){0,4})(\.[A-Za-z]{1,5})?$"
 
@@ -45,49 +46,62 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def shape_of(path: Column) -> Column:
-    """The path's segments, identifiers as `*`, at most DEPTH of them and then `**`."""
-    parts = F.filter(F.split(path, "/"), lambda s: s != "")
-    shown = F.transform(F.slice(parts, 1, DEPTH), lambda s: F.when(s.rlike(IDENTIFIER), "*").otherwise(s))
-    return F.when(F.size(parts) > DEPTH, F.concat(shown, F.array(F.lit("**")))).otherwise(shown)
-
-
-def wilson(blocked: Column, labelled: Column, sign: int) -> Column:
-    """Bound of the 95 % Wilson interval of blocked / labelled; sign -1: lower, 1: upper."""
-    z2, p = F.lit(3.8416), blocked / labelled
-    return (p + z2 / (2 * labelled) + sign * F.sqrt(z2 * (p * (1 - p) / labelled + z2 / (4 * labelled * labelled)))) / (1 + z2 / labelled)
-
-
-def judge(urls: DataFrame, url: str = "url", rules=RULES, max_children: int = 24, strength: float = 4.0, reject: float = 0.8) -> DataFrame:
+    """The path's segments, identifiers as `*`."""
+    return F.transform(F.filter(F.split(path, "/"), lambda s: s != ""), lambda s: F.when(s.rlike(IDENTIFIER), "*").otherwise(s))
+
+
+def templates(shapes: DataFrame, max_children: int) -> DataFrame:
+    """shapes (host, _shape, ...) with template: level by level, the children of a node with too many of them become one."""
+    deepest = shapes.agg(F.max(F.size("_shape"))).first()[0] or 0
+    live = shapes.withColumn("template", F.expr("cast(array() as array<string>)"))
+    ended = [live.filter("size(_shape) = 0")]
+    for level in range(1, deepest + 1):
+        live = live.filter(F.size("_shape") >= level).withColumn("_child", F.get(F.col("_shape"), F.lit(level - 1)))
+        fan = live.select("host", "template", "_child").distinct().groupBy("host", "template").agg(F.count(F.lit(1)).alias("_fan"))
+        grown = F.when(F.col("_fan") > max_children, F.lit("*")).otherwise(F.col("_child"))
+        live = checkpoint(live.join(fan, ["host", "template"]).withColumn("template", F.concat("template", F.array(grown))).drop("_fan", "_child"))
+        ended.append(live.filter(F.size("_shape") == level))
+    return union_all(ended)
+
+
+def purities(leaves: DataFrame, strength: float, z: float) -> DataFrame:
+    """(host, template, labelled, purity) of leaves (host, template, labelled, blocked); labelled counts the merged branches."""
+    upto = lambda n: F.slice(F.col("template"), F.lit(1), n)
+    above = leaves.select("host", "template", "labelled", "blocked", F.explode(F.sequence(F.lit(0), F.size("template"))).alias("depth")).withColumn("node", upto(F.col("depth")))
+    nodes = above.groupBy("host", "depth", "node").agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
+    # at most max_children siblings with labels stand beside each other
+    parent = F.slice("node", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0)))
+    known = nodes.filter("n > 0").withColumn("parent", parent).withColumn("rate", F.col("b") / F.col("n"))
+    w = Window.partitionBy("host", "depth", "parent").orderBy("rate", "node")
+    n0, b0 = F.lag("n").over(w), F.lag("b").over(w)
+    pooled = (F.col("b") + b0) / (F.col("n") + n0)
+    differs = F.pow(F.col("rate") - b0 / n0, 2) > z * z * pooled * (1 - pooled) * (1 / F.col("n") + 1 / n0)
+    known = known.withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int")).withColumn("run", F.sum("differs").over(w))
+    run = Window.partitionBy("host", "depth", "parent", "run")
+    merged = known.select("host", "depth", "node", F.sum("n").over(run).alias("n"), F.sum("b").over(run).alias("b"))
+    prior = leaves.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("prior"))
+    chain = above.select("host", "template", "depth", "node").join(merged, ["host", "depth", "node"], "left")
+    chain = chain.groupBy("host", "template").agg(F.array_sort(F.collect_list(F.struct("depth", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("b", F.lit(0)).alias("b")))).alias("chain"))
+    purity = F.aggregate("chain", F.col("prior"), lambda up, x: (x["b"] + strength * up) / (x["n"] + strength))
+    return chain.crossJoin(F.broadcast(prior)).select("host", "template", F.element_at("chain", -1)["n"].alias("labelled"), purity.alias("purity"))  # one row
+
+
+def judge(urls: DataFrame, url: str = "url", rules=RULES, max_children: int = 24, strength: float = 4.0, reject: float = 0.8, z: float = 1.96) -> DataFrame:
     """urls with host, path, rule, verdict, template (array), labelled, purity."""
     host, path = split_url(F.col(url))
-    rows = urls.withColumns({"host": host, "path": path})
+    others = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict", "template", "labelled", "purity")]
+    rows = urls.select(F.struct(*others).alias("_row"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": name, "_said": verdict, "_shape": shape_of(F.col("path"))})
     # one row per host and shape from here on: a hot host is summed up before it is shuffled
-    tree = rows.groupBy("host", "_shape").agg(F.count("_said").alias("labelled"), F.count_if(F.col("_said") == "block").alias("blocked"))
-    tree = checkpoint(tree.withColumn("template", F.expr("cast(array() as array<string>)")))
-    for level in range(1, DEPTH + 2):
-        child = F.get(F.col("_shape"), F.lit(level - 1))
-        tree = tree.withColumn("_child", child)
-        fan = tree.select("host", "template", "_child").distinct().groupBy("host", "template").agg(F.count("_child").alias("_fan"))
-        grown = F.when(F.col("_fan") > max_children, F.lit("*")).otherwise(F.col("_child"))
-        longer = F.when(F.col("_child").isNull(), F.col("template")).otherwise(F.concat("template", F.array(grown)))
-        tree = checkpoint(tree.join(fan, ["host", "template"]).withColumn("template", longer).drop("_fan", "_child"))  # read twice a level
-    leaf = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
-    parent = F.slice(F.col("template"), 1, F.greatest(F.size("template") - 1, F.lit(0)))
-    leaf = leaf.withColumn("_parent", parent).withColumn("_depth", F.size("template"))
-    low, high = wilson(F.col("blocked"), F.col("labelled"), -1), wilson(F.col("blocked"), F.col("labelled"), 1)
-    leaf = leaf.withColumn("_class", F.when(F.col("labelled") == 0, "none").when(low > 0.5, "high").when(high < 0.5, "low").otherwise("unsure"))
-    keys = ["host", "_depth", "_parent", "_class"]
-    merged = leaf.groupBy(*keys).agg(F.sum("labelled").alias("n"), F.sum("blocked").alias("b"))
-    total = leaf.agg(F.coalesce(F.sum("blocked") / F.nullif(F.sum("labelled"), F.lit(0)), F.lit(0.0)).alias("prior"))
-    pure = (F.col("b") + strength * F.col("prior")) / (F.col("n") + strength)
-    merged = merged.crossJoin(F.broadcast(total)).select(*keys, F.col("n").alias("labelled"), pure.alias("purity"))
-    judged = leaf.drop("labelled", "blocked").join(merged, keys).select("host", "template", "labelled", "purity")
-    of_shape = tree.select("host", "_shape", "template").join(judged, ["host", "template"])
+    shapes = checkpoint(rows.groupBy("host", "_shape").agg(F.count("_said").alias("labelled"), F.count_if(F.col("_said") == "block").alias("blocked")))
+    tree = checkpoint(templates(shapes, max_children))
+    leaves = tree.groupBy("host", "template").agg(F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked"))
+    judged = purities(leaves, strength, z)
+    of_shape = checkpoint(tree.select("host", "_shape", "template").join(judged, ["host", "template"]))
     out = rows.join(of_shape, ["host", "_shape"], "left")
     said = F.coalesce(F.col("_said"), F.when(F.col("purity") >= reject, "block").otherwise("allow"))
-    return out.withColumn("verdict", said).drop("_said", "_shape")
+    return out.select(*[F.col("_row")[c].alias(c) for c in others], "host", "path", "rule", said.alias("verdict"), "template", "labelled", "purity")
 
 
 def op9_url_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -324,6 +324,68 @@ def test_url_templates_block_pure_branches(spark):
     assert url_templates.judge(spark.createDataFrame([], "page_id int, url string")).count() == 0
 
 
+def naive_templates(rows, rules, max_children=24, strength=4.0, z=1.96):
+    """(verdict by template) of rows (id, host, path, said), built and judged without Spark."""
+    shape = lambda p: [("*" if re.search(url_templates.IDENTIFIER, s) else s) for s in p.split("/") if s]
+    full = [(i, h, shape(p), said) for i, h, p, said in rows]
+    template = {(h, tuple(s)): () for _, h, s, _ in full}
+    for level in range(max((len(s) for _, _, s, _ in full), default=0)):
+        fan = collections.defaultdict(set)
+        for (h, s), t in template.items():
+            if len(s) > level:
+                fan[h, t].add(s[level])
+        template = {(h, s): t + (("*" if len(fan[h, t]) > max_children else s[level]),) if len(s) > level else t for (h, s), t in template.items()}
+    n, b = collections.Counter(), collections.Counter()
+    for _, h, s, said in full:
+        t = template[h, tuple(s)]
+        for d in range(len(t) + 1):
+            n[h, t[:d]] += said is not None
+            b[h, t[:d]] += said == "block"
+    merged = {}
+    for key in {(h, t[:-1], len(t)) for h, t in n if n[h, t]}:
+        kin = sorted((b[x] / n[x], x) for x in n if n[x] and (x[0], x[1][:-1], len(x[1])) == key)
+        runs = []
+        for rate, x in kin:
+            if runs:
+                y = runs[-1][-1]
+                p = (b[x] + b[y]) / (n[x] + n[y])
+            if runs and (rate - b[y] / n[y]) ** 2 <= z * z * p * (1 - p) * (1 / n[x] + 1 / n[y]):
+                runs[-1].append(x)
+            else:
+                runs.append([x])
+        for run in runs:
+            merged |= {x: (sum(n[y] for y in run), sum(b[y] for y in run)) for x in run}
+    total = sum(said is not None for *_, said in full)
+    prior = sum(said == "block" for *_, said in full) / total if total else 0.0
+
+    def purity(h, t):
+        up = prior
+        for d in range(len(t) + 1):
+            m, k = merged.get((h, t[:d]), (0, 0))
+            up = (k + strength * up) / (m + strength)
+        return up
+
+    return {i: said or ("block" if purity(h, template[h, tuple(s)]) >= 0.8 else "allow") for i, h, s, said in full}
+
+
+@pytest.mark.parametrize("max_children", [3, 24])
+def test_url_templates_brute_force(spark, sf, max_children):
+    rnd = random.Random(4)
+    pages = [(r["page_id"], r["url"]) for r in read_table(spark, sf, "pages").collect()]
+    pages += [(10_000 + i, f"http://{rnd.choice(['a.net', 'b.net', 'c.org'])}/{rnd.choice(['es', 'fr', 'en', 'x1'])}/{rnd.choice('pqrstu')}/{rnd.randint(1, 99)}/a/b/c{'/d' * rnd.randint(0, 2)}") for i in range(300)]
+    got = {r["page_id"]: r for r in url_templates.judge(spark.createDataFrame(pages, "page_id long, url string"), max_children=max_children).collect()}
+    want = naive_templates([(i, r["host"], r["path"], r["verdict"] if r["rule"] else None) for i, r in got.items()], url_templates.RULES, max_children)
+    assert {i: r["verdict"] for i, r in got.items()} == want
+    assert any(r["verdict"] == "block" and r["rule"] is None for r in got.values())
+
+
+def test_url_columns(spark):
+    d = spark.createDataFrame([(1, "http://a.net/fr/x", "mine", 3), (1, "http://a.net/fr/x", "mine", 3), (2, "http://a.net/" + "s/" * 12, None, None)], "page_id int, url string, verdict string, labelled int")
+    got = url_templates.judge(d)
+    assert got.columns == ["page_id", "url", "host", "path", "rule", "verdict", "template", "labelled", "purity"]
+    assert [r["verdict"] for r in got.orderBy("page_id").collect()][:2] == ["block", "block"]
+
+
 # 10 HNSW
 
 
