@@ -9,7 +9,9 @@ each block value. Candidates of the window's size are verified: weighted Jaccard
 ln(1 + items / items with the shingle). Items of fewer than five words are one shingle of their own length.
 
 Two sets at Jaccard 0.8 differ in 9.7 of 64 bits on average with a standard deviation of 2.9; the radius of 19 is more than
-three deviations above. Items are handled in shards of `SHARD`, each broadcast alone, so the broadcast has a fixed bound.
+three deviations above. Items are handled in shards of about `SHARD` items and `SHARD_BYTES` bytes, each broadcast alone, so the
+broadcast has a fixed bound. Items and holders of each shingle are counted over the whole benchmark beforehand, so matches do
+not depend on the shards.
 
 Defined cases: null and empty texts match nothing, as items or documents; a null doc_id is matched and reported like any
 other; repeated document rows are matched one by one, repeated items count as items of their own; empty tables give no
@@ -26,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlens.llm.common import read_table, union_all
+from litlens.llm.common import checkpoint, read_table, union_all
 from litlens.llm.words import MARKS, mix, pieces, shingle_hashes, slices, word_hashes
 
-SHINGLE, RADIUS, SHARD = 5, 19, 2048
+SHINGLE, RADIUS, SHARD, SHARD_BYTES = 5, 19, 2048, 8_000_000
 _SHIFTS = np.arange(64, dtype=np.uint64)
 _WEIGHTS_OF_BITS = np.uint64(1) << _SHIFTS
 _POPULATION = np.array([bin(i).count("1") for i in range(1 << 16)], np.uint8)
@@ -50,9 +52,10 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Items:
-    """One shard of benchmark items: shingles, weights, fingerprints and the multi-index."""
+    """One shard of benchmark items: shingles, weights, fingerprints and the multi-index. held: how many items of the whole
+    benchmark hold each shingle of the shard's, and how many items have words; without it the shard is the benchmark."""
 
-    def __init__(self, rows: list[tuple[int, str]], threshold: float, radius: int):
+    def __init__(self, rows: list[tuple[int, str]], threshold: float, radius: int, held: tuple[dict[int, int], int] | None = None):
         self.threshold, self.radius = threshold, radius
         raw = [(t or "").lower().encode("utf-8", "replace") for _, t in rows]
         h, first, _, _ = word_hashes(raw or [b""], MARKS)
@@ -64,8 +67,7 @@ class Items:
         for i, k in zip(np.flatnonzero(size), self.k, strict=True):
             s, _ = shingle_hashes(h[first[i] : first[i + 1]], np.array([0, size[i]]), k)
             self.sets.append(Counter(s.tolist()))
-        df = Counter(x for s in self.sets for x in s)
-        n = len(self.sets)
+        df, n = held or (Counter(x for s in self.sets for x in s), len(self.sets))
         self.unknown = float(np.log1p(n))
         self.weight = {x: float(np.log1p(n / c)) for x, c in df.items()}
         self.holders: dict[int, dict[int, list[int]]] = {}
@@ -149,23 +151,45 @@ class Items:
         return out
 
 
-def shards(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items, SHARD of them at a time."""
-    n = benchmark.count()
-    parts = max(1, -(-n // SHARD))
+def counted(benchmark: DataFrame) -> DataFrame:
+    """(row, item_id, text, held): every item once more, with (shingle, items of the benchmark that hold it)."""
+    kind = pa.schema([("item_id", pa.int64()), ("text", pa.string()), ("shingles", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, first, _, _ = word_hashes([(text or "").lower().encode("utf-8", "replace")], MARKS)
+                s, _ = shingle_hashes(h, first, max(1, min(SHINGLE, len(h))))
+                out.append({"item_id": item, "text": text, "shingles": np.unique(s).astype(np.int64).tolist()})
+            yield pa.RecordBatch.from_pylist(out, kind)
+
+    slim = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    items = slim.mapInArrow(run, "item_id long, text string, shingles array<long>").filter(F.size("shingles") > 0)
+    items = checkpoint(items.withColumn("row", F.monotonically_increasing_id()))  # written, so that the numbers stay
+    each = items.select("row", F.explode("shingles").alias("shingle"))
+    held = each.join(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle").groupBy("row").agg(F.collect_list(F.struct("shingle", "n")).alias("held"))
+    return checkpoint(items.drop("shingles").join(held, "row"))
+
+
+def shards(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], tuple[dict[int, int], int]]]:
+    """The items, about SHARD and SHARD_BYTES of them at a time, with what Items needs to know of the others."""
+    items = counted(benchmark)
+    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    parts = max(1, -(-n // SHARD), -(-size // SHARD_BYTES))
     for p in range(parts):
-        some = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else benchmark
-        yield [(r[0], r[1]) for r in some.select("item_id", "text").orderBy("item_id", "text").collect()]
+        rows = items.filter(F.pmod(F.xxhash64("row"), F.lit(parts)) == p).orderBy("item_id", "text", "row").collect()
+        yield [(r["item_id"], r["text"]) for r in rows], ({h["shingle"] % (1 << 64): h["n"] for r in rows for h in r["held"]}, n)
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of each matching document and item."""
 
-    def search(rows: list[tuple[int, str]]) -> DataFrame:
+    def search(rows: tuple) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, threshold, radius)
+            items = Items(shared.value[0], threshold, radius, shared.value[1])
             for batch in slices(batches):
                 ids, out = batch.column(0).to_pylist(), []
                 for doc, found in zip(ids, items.of_texts(batch.column(1).to_pylist()), strict=True):
@@ -183,11 +207,11 @@ def remove(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius
     """docs without the documents that match an item; a scan for each shard of items, no shuffle."""
     out, at = docs, docs.columns.index("text")
 
-    def keep(rows: list[tuple[int, str]], df: DataFrame) -> DataFrame:
+    def keep(rows: tuple, df: DataFrame) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(rows)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items = Items(shared.value, threshold, radius)
+            items = Items(shared.value[0], threshold, radius, shared.value[1])
             for batch in slices(batches):
                 yield batch.filter(pa.array([not m for m in items.of_texts(batch.column(at).to_pylist())], pa.bool_()))
 

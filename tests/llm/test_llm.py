@@ -96,6 +96,49 @@ def test_decontamination_finds_all_verbatim(spark, sf):
     assert want <= got
 
 
+def naive_matches(texts, items, threshold=0.8):
+    """{(document, item): best similarity} over all windows, weights over all items."""
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    grams = lambda w, k: [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
+    sized = {i: words(t) for i, t in items.items() if words(t)}
+    sets = {i: collections.Counter(grams(w, min(5, len(w)))) for i, w in sized.items()}
+    df, n = collections.Counter(g for s in sets.values() for g in s), len(sets)
+    weight = lambda g: np.log1p(n / df[g]) if g in df else np.log1p(n)
+    out = {}
+    for d, t in texts.items():
+        w = words(t)
+        for i, s in sets.items():
+            size, k = min(len(sized[i]), len(w)), min(5, len(sized[i]))
+            for a in range(len(w) - size + 1):
+                x = collections.Counter(grams(w[a : a + size], k))
+                low = sum(weight(g) * min(c, s[g]) for g, c in x.items())
+                high = sum(weight(g) * max(x[g], s[g]) for g in x | s)
+                if low and low / high >= threshold:
+                    out[d, i] = max(out.get((d, i), 0), low / high)
+    return out
+
+
+@pytest.mark.parametrize("shard", [3, 2048])
+def test_decontamination_brute_force(spark, docs, monkeypatch, shard):
+    """Items that share phrases, with words changed, at similarities around the threshold; matches don't depend on shards."""
+    monkeypatch.setattr(decontaminate, "SHARD", shard)
+    rnd = random.Random(12)
+    word = lambda: f"v{rnd.randint(1, 300)}"
+    common = [word() for _ in range(12)]
+    items = {i: " ".join([*common[: rnd.choice([0, 6, 12])], *(word() for _ in range(rnd.randint(3, 40)))]) for i in range(14)}
+    texts = {}
+    for d in range(60):
+        w = items[rnd.randrange(14)].split()
+        for _ in range(rnd.choice([0, 0, 1, 1, 2])):
+            w[rnd.randrange(len(w))] = "changed"
+        texts[d] = " ".join([*(word() for _ in range(rnd.randint(0, 20))), *w, *(word() for _ in range(rnd.randint(0, 20)))])
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = naive_matches(texts, items)
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontaminate.find(docs(list(texts.items())), bench).collect()}
+    assert len(want) > 40 and set(got) == {k for k, v in want.items() if v >= 0.8 + 1e-9 or k in got} and set(got) <= set(want)
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
 def test_multi_index_finds_all_within_radius():
     rnd = np.random.default_rng(1)
     items = decontaminate.Items([(i, " ".join(f"x{rnd.integers(1000)}" for _ in range(12))) for i in range(60)], 0.8, 19)
