@@ -25,8 +25,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that nearly repeat an earlier line; n_chars follows the text."""
-    return fuzzy_lines.dedup(docs.select(*COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Documents without the lines that nearly repeat an earlier line; n_chars follows the text. A document that loses all its
+    lines is a copy as a whole and goes; one that had none stays."""
+    out = fuzzy_lines.dedup(docs.select(*COLUMNS)).filter("n_removed = 0 or trim(text) <> ''")
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
