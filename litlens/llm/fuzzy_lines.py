@@ -10,10 +10,12 @@ DataFrame functions only. A line is compared in lower case without outer blanks;
 * Two lines meet in a bucket when a band's minima agree. Simulated sets of 1 to 350 shingles at Jaccard 0.8 meet with
   probability 0.997 to 1. Eight characters keep unlike lines out of each other's buckets: with five, random lines of a corpus
   share so many shingles that buckets would grow with the square of its size.
-* In each bucket every class is compared with the first one. Then all pairs of a bucket that still lie in different components
-  are compared, in parts of at most `CROWD` lines, so no link between components that meets in a bucket is missed, and groups
-  of near copies never expand into all pairs.
-* A pair is a link when the Jaccard similarity of its sets reaches `threshold`, counted on the whole lines.
+* In each bucket every class is compared with the first one; then those in other components with `HEADS` further ones, in as
+  many hash orders; then what still lies in different components, every pair of it, in parts of about `CROWD` lines. So no link
+  between components that meets in a bucket is missed, and groups of near copies never expand into all pairs.
+* Sizes of the sets, and the parities of their shingles in 1,024 hash bins, bound from below how many shingles two lines do not
+  share, and rule pairs out without loss. Other pairs are links when the Jaccard similarity of their sets reaches `threshold`,
+  counted on the whole lines.
 * Of each component the first line by (doc_id, position) stays; all others go.
 
 Defined cases: null text stays null, empty text stays empty; a document that loses all lines keeps its row with an empty
@@ -35,6 +37,8 @@ BAND_BITS = 42
 PLACES = 1 << 31
 #: Lines of a bucket that one task compares with the others.
 CROWD = 1024
+#: Further lines of a mixed bucket that others are compared with; 64-bit words of parities.
+HEADS, WORDS = 6, 16
 
 
 def normal(line: Column) -> Column:
@@ -71,6 +75,26 @@ def overlapping(line: Column) -> Column:
     return F.when(F.length(line) < GRAM, F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), F.lit(1)))
 
 
+def sets_of(lines: DataFrame) -> DataFrame:
+    """(k1, n, p0, p1, ...) of lines (k1, line): number of distinct shingles, and their parities in 64 bins a column."""
+    grams = lines.select("k1", F.explode(F.array_distinct(overlapping(F.col("line")))).alias("gram")).select("k1", F.xxhash64("gram").alias("h"))
+    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
+    words = grams.groupBy("k1", F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1)).alias("w")).agg(F.bit_xor(bit).alias("p"), F.count(F.lit(1)).alias("n"))
+    word = lambda i: F.coalesce(F.max(F.when(F.col("w") == i, F.col("p"))), F.lit(0).cast("long")).alias(f"p{i}")
+    return words.groupBy("k1").agg(F.sum("n").alias("n"), *[word(i) for i in range(WORDS)])
+
+
+def may_link(threshold: float) -> Column:
+    """Whether sizes and parities of lines a and b leave room for a link."""
+    apart = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(1, WORDS)), F.bit_count(F.col("p0_a").bitwiseXOR(F.col("p0_b"))))
+    return (F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9) & (apart * (1 + threshold) <= (1 - threshold) * (F.col("n_a") + F.col("n_b")) + 1e-9)
+
+
+def end(rows: DataFrame, x: str) -> DataFrame:
+    """rows with k1 named x and `_x` behind the other columns' names."""
+    return rows.select(*[F.col(c).alias(x if c == "k1" else f"{c}_{x}") for c in rows.columns])
+
+
 def links_of(classes: DataFrame, threshold: float) -> DataFrame:
     """Linked pairs (a, b) of class hashes."""
     spread = checkpoint(bands_of(classes))
@@ -79,36 +103,52 @@ def links_of(classes: DataFrame, threshold: float) -> DataFrame:
     heads = checkpoint(heads.select("band", "head"))
     members = checkpoint(semi_by_bitmap(spread, "band", heads, bits=1 << 25).join(heads, "band").select("band", "head", "k1").distinct())
     discard(spread, heads)
-    tried = checkpoint(members.filter("head <> k1").select(F.col("head").alias("a"), F.col("k1").alias("b")).distinct())
-    links = verify(tried, classes, threshold)
-    # what still lies in different components of a bucket, every pair of it
-    apart = members.select("band", "k1").join(components(links).select(F.col("node").alias("k1"), "component"), "k1", "left").withColumn("component", F.coalesce("component", "k1"))
-    mixed = apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo <> hi and held > 2").select("band", F.ceil(F.col("held") / CROWD).alias("parts"))
-    apart = checkpoint(mixed.join(apart, "band"))
-    member = lambda x, part: apart.select("band", part.alias("part"), F.col("k1").alias(x), F.col("component").alias(f"c_{x}"))
+    ends = members.select("k1").distinct()
+    texts = semi_by_bitmap(classes.select("k1", "line"), "k1", ends, bits=1 << 25).join(ends, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
+    texts = checkpoint(texts)
+    sets = checkpoint(sets_of(texts))
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        return pairs.distinct().join(end(sets, "a"), "a").join(end(sets, "b"), "b").filter(may_link(threshold)).select("a", "b")
+
+    def still_apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
+        """(band, k1, component, held) of the buckets that hold several components."""
+        apart = rows.join(groups, "k1", "left").withColumn("component", F.coalesce("component", "k1"))
+        mixed = apart.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo <> hi").select("band", "held")
+        return checkpoint(apart.join(mixed, "band"))
+
+    def groups_of(links: DataFrame) -> DataFrame:
+        return components(links).select(F.col("node").alias("k1"), "component")
+
+    tried = checkpoint(possible(members.filter("head <> k1").select(F.col("head").alias("a"), F.col("k1").alias("b"))))
+    links = verify(tried, texts, sets, threshold)
+    apart = still_apart(members.select("band", "k1"), groups_of(links)).filter("held > 2")
+    # further heads for what lies in another component than they: a few rows a bucket, whatever it holds
+    order = lambda r: F.struct(F.xxhash64("k1", F.lit(r)).alias("h"), F.col("k1").alias("head"), F.col("component").alias("c_head"))
+    heads = apart.groupBy("band").agg(F.array(*[F.min(order(r)) for r in range(HEADS)]).alias("heads")).select("band", F.explode("heads").alias("x")).select("band", "x.head", "x.c_head").distinct()
+    more = apart.join(heads, "band").filter("component <> c_head").select(F.least("k1", "head").alias("a"), F.greatest("k1", "head").alias("b"))
+    more = checkpoint(possible(more).join(tried, ["a", "b"], "left_anti"))
+    links = checkpoint(links.union(verify(more, texts, sets, threshold)))
+    # what still lies in different components of a bucket, every pair of it that sizes and parities leave
+    rest = still_apart(apart.select("band", "k1"), groups_of(links)).join(sets, "k1").withColumn("parts", F.ceil(F.col("held") / CROWD))
+    rest = checkpoint(rest.drop("held"))
     # a large bucket is dealt to several tasks: a line is in one part, and meets all parts
-    rest = member("a", F.pmod(F.xxhash64("k1"), F.col("parts"))).join(member("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))), ["band", "part"])
-    rest = rest.filter("a < b and c_a <> c_b").select("a", "b").distinct()
-    rest = checkpoint(rest.join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        links = checkpoint(links.union(verify(rest, classes, threshold)))
-    discard(members, tried, apart, rest)
+    left = end(rest, "a").withColumnsRenamed({"band_a": "band"}).withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts_a")))
+    right = end(rest, "b").withColumnsRenamed({"band_b": "band"}).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_b") - 1)))
+    last = left.join(right, ["band", "part"]).filter(F.expr("a < b and component_a <> component_b") & may_link(threshold)).select("a", "b").distinct()
+    last = checkpoint(last.join(tried.union(more), ["a", "b"], "left_anti"))
+    if not last.isEmpty():
+        links = checkpoint(links.union(verify(last, texts, sets, threshold)))
+    discard(members, texts, sets, tried, apart, more, rest, last)
     return links
 
 
-def verify(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+def verify(pairs: DataFrame, texts: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """(a, b) of the pairs that are links, counted on the whole lines."""
-    ends = pairs.select(F.col("a").alias("k1")).union(pairs.select("b")).distinct()
-    texts = semi_by_bitmap(classes.select("k1", "line"), "k1", ends, bits=1 << 25).join(ends, "k1", "left_semi").groupBy("k1").agg(F.min("line").alias("line"))
-    texts = checkpoint(texts.withColumn("n", F.size(F.array_distinct(overlapping(F.col("line"))))))
-    side = lambda x: texts.select(*[F.col(c).alias(x if c == "k1" else f"{c}_{x}") for c in texts.columns])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    sizes = F.least("n_a", "n_b") >= threshold * F.greatest("n_a", "n_b") - 1e-9
+    known = texts.join(sets.select("k1", "n"), "k1")
+    both = pairs.join(end(known, "a"), "a").join(end(known, "b"), "b")
     union = F.size(F.array_union(overlapping(F.col("line_a")), overlapping(F.col("line_b"))))
-    alike = F.col("n_a") + F.col("n_b") >= (1 + threshold) * union - 1e-9
-    links = checkpoint(both.filter(sizes & alike).select("a", "b"))
-    discard(texts)
-    return links
+    return checkpoint(both.filter(F.col("n_a") + F.col("n_b") >= (1 + threshold) * union - 1e-9).select("a", "b"))
 
 
 def doomed_lines(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
