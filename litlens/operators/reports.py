@@ -198,3 +198,16 @@ def weekly_best(df: DataFrame, scores: DataFrame, as_of: str, n: int = 6) -> Dat
     """The week's papers by score, the best n."""
     j = df.filter(F.col("publish_date") >= days_before(as_of, 7)).join(scores.select("id", "score"), "id", "left")
     return j.select("id", F.coalesce("score", F.lit(0.8)).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(n)
+
+
+def dashboard(articles: DataFrame, clusters: DataFrame, as_of: str, source: str | None = None, category: str | None = None, period: str = "12m") -> dict[str, DataFrame]:
+    """The tables of the dashboard by name, over one filter."""
+    shown = dashboard_filter(articles, as_of, source, category, period)
+    return {"kpis": kpis(shown, as_of), "cluster_counts": cluster_counts(shown, clusters), "monthly_counts": monthly_counts(shown), "sources": source_distribution(shown), "categories": category_distribution(shown), "pie": top_clusters(clusters)}
+
+
+def digest_sources(selected: DataFrame, central: DataFrame) -> DataFrame:
+    """The selected articles of each digest, in its order, as S1 to Sn with their centrality (0 without one)."""
+    score = central.select("cluster_id", "id", F.col("centrality").alias("_c"))
+    rows = selected.join(score, ["cluster_id", "id"], "left")
+    return rows.select("cluster_id", F.concat(F.lit("S"), F.col("position").cast("string")).alias("source_id"), F.col("id").alias("article_id"), "title", F.coalesce("_c", F.lit(0.0)).alias("centrality_score"))
