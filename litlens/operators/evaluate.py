@@ -183,7 +183,12 @@ def answer_signals(text: Column) -> dict[str, Column]:
     return {"citation_marker_count": F.regexp_count(t, F.lit(r"\[S\d+\]")), "has_sources_section": t.rlike(r"(?i)(^|\n)\s*(?:#+\s*)?(?:Sources|Kaynaklar)\b\s*:?")}
 
 
-def important_terms(text: Column, stop: tuple[str, ...] = ("about", "after", "their", "there", "these", "those", "which", "while", "where", "with")) -> Column:
-    """H7: distinct words of five letters or more, the first twenty."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}_]{5,}"), F.lit(0))
+#: Words that are no key terms, and the form of a key term.
+NO_TERMS = ("the", "and", "with", "that", "this", "from", "into", "uses", "use", "for", "through", "both", "real")
+TERM = r"[a-zA-Z][a-zA-Z0-9-]{4,}"
+
+
+def important_terms(text: Column, stop: tuple[str, ...] = NO_TERMS) -> Column:
+    """H7: distinct terms of five characters or more, the first twenty."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
     return F.slice(F.array_distinct(F.filter(found, lambda w: ~w.isin(*stop))), 1, 20)

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litlens.functions import text as T
 from litlens.functions import vectors as V
 
-#: Words that name no topic.
-STOP_WORDS = ("the", "a", "an", "and", "or", "of", "in", "on", "to", "for", "with", "by", "from", "is", "are", "was", "as", "at", "be", "it", "that", "this", "we", "our", "le", "la", "les", "de", "des", "et", "un", "une", "der", "die", "das", "und", "el", "los", "las", "en", "que")
-GENERIC_WORDS = ("paper", "method", "methods", "model", "models", "approach", "results", "study", "based", "using", "data")
+#: Common words of four languages, our own choice (a parameter of the functions below).
+COMMON_WORDS = ("the", "a", "an", "and", "or", "of", "in", "on", "to", "for", "with", "by", "from", "is", "are", "was", "as", "at", "be", "it", "that", "this", "we", "our", "le", "la", "les", "de", "des", "et", "un", "une", "der", "die", "das", "und", "el", "los", "las", "en", "que")
+#: Academic words that name no topic, and further generic research words.
+ACADEMIC_WORDS = ("paper", "study", "approach", "method", "methods", "result", "results", "show", "shows", "shown", "propose", "proposed", "present", "presented", "using", "use", "used", "based", "problem", "task", "performance", "new", "novel", "work", "framework", "experiments", "experimental", "analysis", "demonstrate", "demonstrates", "significant", "effective", "efficient", "deep", "learning")
+RESEARCH_WORDS = ("model", "models", "data", "dataset", "datasets", "learning", "algorithm", "algorithms")
+STOP_WORDS = COMMON_WORDS + ACADEMIC_WORDS
+GENERIC_WORDS = ACADEMIC_WORDS + RESEARCH_WORDS
 
 
 def reassign_outliers(df: DataFrame, threshold: float = 0.9) -> DataFrame:
@@ -84,10 +89,11 @@ def terms_of(text: Column) -> Column:
     return F.concat(w, two)
 
 
-def topic_terms(df: DataFrame, text: str = "title", min_docs: int = 2) -> DataFrame:
-    """(cluster_id, term, tf): counts of the terms that at least min_docs documents hold. Counts are partial before
-    the shuffle."""
-    rows = df.filter("cluster_id >= 0").select("id", "cluster_id", F.explode(terms_of(F.col(text))).alias("term"))
+def topic_terms(df: DataFrame, text: Column | None = None, min_docs: int = 2) -> DataFrame:
+    """(cluster_id, term, tf): counts of the terms that at least min_docs documents hold, in `text` or else in the
+    representation text. Counts are partial before the shuffle."""
+    text = T.representation_text(F.col("title"), F.col("abstract_text")) if text is None else text
+    rows = df.filter("cluster_id >= 0").select("id", "cluster_id", F.explode(terms_of(text)).alias("term"))
     per_doc = rows.groupBy("id", "cluster_id", "term").agg(F.count(F.lit(1)).alias("n"))
     tf = per_doc.groupBy("cluster_id", "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("docs"))
     total = tf.withColumn("_df", F.sum("docs").over(Window.partitionBy("term")))

@@ -154,7 +154,7 @@ def h5(spark, sf):
     return messages(spark, sf).select("chat_id", "id", *[c.alias(k) for k, c in V.answer_signals(F.col("content")).items()])
 
 
-TERMS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{{N}}_]{{5,}}'), lambda w: w NOT IN ('about', 'after', 'their', 'there', 'these', 'those', 'which', 'while', 'where', 'with'))"
+TERMS = r"list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-zA-Z][a-zA-Z0-9-]{{4,}}'), lambda w: w NOT IN ('the', 'and', 'with', 'that', 'this', 'from', 'into', 'uses', 'use', 'for', 'through', 'both', 'real'))"
 
 
 @of_articles("h7_important_terms", f"SELECT id, coalesce(array_to_string(list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 20), '|'), '') AS terms FROM (SELECT id, {TERMS.format('title')} AS w FROM articles)")

@@ -98,9 +98,9 @@ def questions(a):
 DAY = f"CAST(timestamp '{AS_OF}' AS DATE)"
 FACETS = f"""{ASK}, f AS (SELECT id, CASE WHEN contains(lower(text), 'arxiv') THEN 'arxiv' WHEN contains(lower(text), 'openalex') THEN 'openalex' WHEN contains(lower(text), 'semanticscholar') THEN 'semanticscholar' END AS source,
 TRY_CAST(nullif(regexp_extract(lower(text), '\\bcluster\\s*(?:id)?\\s*[:#-]?\\s*(\\d+)\\b', 1), '') AS INTEGER) AS cluster_id, CASE WHEN regexp_matches(text, '\\bcs\\.[A-Za-z]{{2}}\\b') THEN 'cs.' || upper(substr(regexp_extract(text, '\\bcs\\.[A-Za-z]{{2}}\\b'), 4, 2)) END AS primary_category,
-nullif(regexp_extract(text, '(?i)\\b10\\.\\d{{4,9}}/[-._;()/:A-Z0-9]+\\b'), '') AS doi, CASE WHEN contains(lower(text), 'pdf') THEN TRUE END AS has_pdf, TRY_CAST(nullif(regexp_extract(lower(text), '(?:en az|minimum|min|>=)\\s*(\\d+)\\s*(?:citations|citation|atıf)', 1), '') AS INTEGER) AS min_citation_count,
+nullif(regexp_extract(text, '(?i)\\b10\\.\\d{{4,9}}/[-._;()/:A-Z0-9]+\\b'), '') AS doi, CASE WHEN contains(lower(text), 'pdf') THEN TRUE END AS has_pdf, TRY_CAST(nullif(regexp_extract(lower(text), '(?:en az|minimum|min|>=)\\s*(\\d+)\\s*(?:citation|citations|atıf)', 1), '') AS INTEGER) AS min_citation_count,
 TRY_CAST(nullif(regexp_extract(lower(text), '(?:son|last)\\s+(\\d+)\\s+(?:gün|gun|days?)', 1), '') AS INTEGER) AS days, TRY_CAST(nullif(regexp_extract(lower(text), '\\b(20\\d{{2}}|19\\d{{2}})\\b', 1), '') AS INTEGER) AS year,
-coalesce(greatest(1, least(10, coalesce(TRY_CAST(nullif(regexp_extract(lower(text), '\\b(?:top|ilk)\\s+(\\d{{1,2}})\\b', 1), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(lower(text), '\\b(\\d{{1,2}})\\s+(?:makale|papers|paper|articles|article)\\b', 1), '') AS INTEGER)))), 5) AS top_k,
+coalesce(greatest(1, least(10, coalesce(TRY_CAST(nullif(regexp_extract(lower(text), '\\b(?:top|ilk)\\s+(\\d{{1,2}})\\b', 1), '') AS INTEGER), TRY_CAST(nullif(regexp_extract(lower(text), '\\b(\\d{{1,2}})\\s+(?:makale|paper|papers|article|articles)\\b', 1), '') AS INTEGER)))), 5) AS top_k,
 CASE WHEN regexp_matches(lower(text), '\\b(?:latest|newest|most\\s+recent|recent)\\s+(?:papers?|articles?|publications?|studies)\\b') THEN 'publish_date_desc' ELSE 'relevance' END AS sort_by FROM q)"""
 
 

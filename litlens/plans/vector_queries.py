@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litlens.functions import vectors as V
 from litlens.operators import topics as E
+from litlens.plans.text_queries import LIGHT, REPR
 from litlens.plans.base import of_articles
 
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
@@ -75,7 +76,7 @@ def e3(a):
 STOP = "(" + ", ".join(f"'{w}'" for w in E.STOP_WORDS) + ")"
 BAD = "(" + ", ".join(f"'{w}'" for w in (*E.STOP_WORDS, *E.GENERIC_WORDS)) + ")"
 TERMS = rf"""
-tk AS (SELECT id, cluster_id, list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN {STOP}) AS w FROM articles WHERE cluster_id >= 0),
+{LIGHT}, rt AS (SELECT id, {REPR} AS text FROM l), tk AS (SELECT id, cluster_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: w NOT IN {STOP}) AS w FROM articles JOIN rt USING (id) WHERE cluster_id >= 0),
 tm AS (SELECT id, cluster_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM tk),
 pd AS (SELECT id, cluster_id, term, count(*) AS n FROM tm GROUP BY ALL),
 tt AS (SELECT cluster_id, term, sum(n)::BIGINT AS tf, count(*) AS docs FROM pd GROUP BY ALL),
