@@ -75,6 +75,8 @@ def discard(*frames: DataFrame) -> None:
             with contextlib.suppress(Exception):  # a table that stays is only disk
                 at = jvm.org.apache.hadoop.fs.Path(path)
                 at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+                if (name := path.rsplit("/", 1)[-1]).startswith("cut_"):
+                    df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
 def partitions(df: DataFrame) -> int:
