@@ -11,8 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder from spark.checkpoint.dir; one of our own only where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="litlens-stream-")
+    """The cluster's shared folder from spark.checkpoint.dir; a local session may do without the setting."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return configured or tempfile.mkdtemp(prefix="litlens-stream-")
 
 
 def events(spark: SparkSession, path: str) -> DataFrame:
