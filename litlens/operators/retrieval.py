@@ -49,7 +49,7 @@ def limit_scan(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("id").limit(n)
 
 
-def vector_search_lsh(articles: DataFrame, queries: DataFrame, n: int, radius: float = 1.1, length: float = 0.5, tables: int = 12) -> DataFrame:
+def vector_search_lsh(articles: DataFrame, queries: DataFrame, n: int, radius: float = 2.0, length: float = 0.5, tables: int = 12) -> DataFrame:
     """(query_id, id, score, rank) by random-projection buckets of unit vectors; only pairs that share a bucket are compared."""
     unit = lambda df, c: df.select("*", array_to_vector(V.l2_normalize(F.col(c).cast("array<double>"))).alias("v"))
     a = unit(articles.filter(V.valid_vector(F.col("embedding"))).select("id", "embedding"), "embedding").select("id", "v")

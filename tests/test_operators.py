@@ -85,3 +85,23 @@ def test_native_operators_have_no_python_node(spark, sf):
     for name in ("c18_clean_papers", "i9_rising_topics", "g9_bm25_search"):
         plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
         assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_approximate_search_recall(spark, sf):
+    from litlens.plans import registry
+
+    near, exact = ({(r["query_id"], r["id"]) for r in registry.QUERIES[q](spark, sf).collect()} for q in ("g5_vector_search_lsh", "g4_vector_search"))
+    assert len(near & exact) >= 0.9 * len(exact)
+
+
+def test_reader_errors(spark, tmp_path):
+    import pytest
+
+    from litlens.sources import files
+
+    (tmp_path / "golden.json").write_text('[{"question_id": "a", "question": "b", "expected_article_ids": []}]')
+    with pytest.raises(Exception, match="expected ids"):
+        files.read_golden(spark, str(tmp_path / "golden.json")).collect()
+    (tmp_path / "assigned.csv").write_text("article_id,other\n1,2\n")
+    with pytest.raises(ValueError, match="topic"):
+        files.read_assignments(spark, str(tmp_path / "assigned.csv"))
