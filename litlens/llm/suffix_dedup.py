@@ -7,7 +7,9 @@ input are judged, in four steps:
    windows have equal anchors at equal places. An anchor's context are the bytes that windows around it can reach. Per task
    only the smallest document of each (anchor, context) is sent on; in the others the whole context is a repeat.
 2. Anchors that one document alone holds end here. Of equal contexts only the smallest document's is kept; the others' are
-   repeats. A window reaches at least half of what it has besides its anchor to the left or to the right of it, so two
+   repeats once their bytes are compared: each with those of the next smaller document that has the context, so that a text
+   with very many copies is no hot key. Contexts in a row with one such document are compared as one run, in blocks. If any
+   run differs, two contexts had one hash, and steps 1 and 2 start again with other hashes. A window reaches at least half of what it has besides its anchor to the left or to the right of it, so two
    contexts can share a window only if they agree on the half context on one side. The contexts that agree with one of
    another document there go to the sort, with the bytes of the windows that reach that side.
 3. Sort. Contexts of one anchor and one half meet in a group, so an anchor that stands in very many surroundings is dealt to
@@ -18,8 +20,8 @@ input are judged, in four steps:
 4. The repeats of each document are joined to maximal runs and cut out of its text.
 
 Defined cases: null text is an empty text; texts shorter than `length` lose nothing; a null doc_id loses nothing and removes
-nothing; rows of one doc_id are one id, so they never remove from each other, and each loses what a smaller id repeats; an
-empty table gives an empty table; other columns are ignored.
+nothing; rows of one doc_id are one id, so they never remove from each other, and each loses what a smaller id repeats (they are taken
+to hold one text); an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,23 +36,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, left_join_marked, partitions, read_table, semi_by_bitmap
+from litlens.llm.common import checkpoint, discard, left_join_marked, partitions, read_table, semi_by_bitmap
 from litlens.llm.words import letters, mix, pieces, planes, powers, release, slices, unplanes
 
 #: Length of an anchor's k-gram in bytes. Anchors of one task that are sent together.
 GRAM, SENT = 18, 500_000
 #: Bits of an anchor's hash, and of the hashes of its context and of the two half contexts (compared only under equal anchors).
 ANCHOR_BITS, CONTEXT_BITS, SIDE_BITS = 48, 40, 12
+#: Bytes of a block in which runs of equal contexts are compared.
+BLOCK = 16_384
 _LETTER = letters(lower=False)
 _LARGEST = (1 << 63) - 1
 
 
-def prefix_hashes(b: np.ndarray) -> np.ndarray:
-    """Sums from which hash_at() takes the polynomial hash of any substring."""
+def prefix_hashes(b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Sums from which hash_at() takes the polynomial hash of any substring; each seed gives other letters."""
     up, _ = powers(len(b) + 1)
     out = np.empty(len(b) + 1, np.uint64)
     out[0] = 0
-    np.cumsum(_LETTER[b] * up[: len(b)], out=out[1:])
+    table = mix(_LETTER + np.uint64(seed)) if seed else _LETTER
+    np.cumsum(table[b] * up[: len(b)], out=out[1:])
     return out
 
 
@@ -70,7 +75,7 @@ def _sliding(a: np.ndarray, w: int, op) -> np.ndarray:
     return a
 
 
-def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+def anchors(texts: list[bytes], length: int, seed: int = 0, bits: int = CONTEXT_BITS) -> tuple[np.ndarray, ...]:
     """(text number, place in it, k-gram hash, context hash with the left and right half contexts' below) of every anchor.
 
     A context is cut where its text ends; the cuts are part of its hash.
@@ -82,7 +87,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     none = np.empty(0, np.int64)
     if len(b) < length:
         return none, none, none.astype(np.uint64), none.astype(np.uint64)
-    sums = prefix_hashes(b)
+    sums = prefix_hashes(b, seed)
     _, down = powers(len(b) + 1)
     h = mix((sums[GRAM:] - sums[:-GRAM]) * down[: len(b) - GRAM + 1]) | np.uint64(1)
     w = length - GRAM + 1
@@ -101,7 +106,7 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     half = (length - GRAM) // 2
     left, right = np.maximum(at - half, start), np.minimum(at + GRAM + half, end)
     sides = [mix(hash_at(sums, a, n) + n.astype(np.uint64)) >> np.uint64(64 - SIDE_BITS) for a, n in ((left, at + GRAM - left), (at, right - at))]
-    ctx = ctx >> np.uint64(64 - CONTEXT_BITS)
+    ctx = ctx >> np.uint64(64 - bits)
     return doc, at - start, h[at], (ctx << np.uint64(2 * SIDE_BITS)) | (sides[0] << np.uint64(SIDE_BITS)) | sides[1]
 
 
@@ -118,35 +123,43 @@ def several(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 
 def _smallest_first(h: np.ndarray, ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Sorted by anchor, context, document and place; which are the smallest document's first one, which lie in a larger one."""
+    """Sorted by anchor, context, document and place; the last place of the next smaller document with the same context (-1:
+    none, its document is the smallest)."""
     order = np.lexsort((pos, doc, ctx, h))
     h, ctx, doc, pos = h[order], ctx[order], doc[order], pos[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (ctx[1:] != ctx[:-1])]) if len(h) else np.empty(0, bool)
-    smallest = doc[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else doc
-    return h, ctx, doc, pos, new, doc > smallest
+    if not len(h):
+        return h, ctx, doc, pos, np.empty(0, np.int64)
+    changes = new.copy()
+    changes[1:] |= doc[1:] != doc[:-1]
+    at = np.arange(len(h))
+    before = np.maximum.accumulate(np.where(changes, at, 0)) - 1
+    return h, ctx, doc, pos, np.where(before >= np.maximum.accumulate(np.where(new, at, 0)), before, -1)
 
 
-def _rows(kind: int, doc: np.ndarray, pos: np.ndarray, h: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"kind": np.full(len(doc), kind, np.int8), "doc_id": doc.astype(np.int64), "pos": pos.astype(np.int32), "anchor": h.astype(np.int64)})
+def _rows(kind: int, doc: np.ndarray, pos: np.ndarray, anchor: np.ndarray, twin: np.ndarray, twin_pos: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"kind": np.full(len(doc), kind, np.int8), "doc_id": doc.astype(np.int64), "pos": pos.astype(np.int32), "anchor": anchor.astype(np.int64), "twin": twin.astype(np.int64), "twin_pos": twin_pos.astype(np.int32)})
 
 
-def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
-    """(kind, doc_id, pos, anchor): kind 1, the anchor's whole context is a repeat; else its windows that reach the half to the
-    left (kind 2), to the right (3) or both (4) are to be sorted."""
-    schema = pa.schema([("r", pa.int32()), ("h", pa.binary()), ("ctx", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
+def find(docs: DataFrame, length: int, ranges: int, seed: int = 0, bits: int = CONTEXT_BITS) -> DataFrame:
+    """(kind, doc_id, pos, anchor, twin, twin_pos): kind 1, the anchor's whole context has the hash of the one around twin_pos in
+    the smaller document twin; else its windows that reach the half to the left (kind 2), to the right (3) or both (4) are to be
+    sorted. `bits` is the width of a context's hash."""
+    schema = pa.schema([("r", pa.int32()), *[(c, pa.binary()) for c in ("h", "ctx", "doc", "pos", "twin", "twin_pos")]])
 
     def send(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         doc, pos, h, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
         h = h >> np.uint64(64 - ANCHOR_BITS)
-        h, ctx, doc, pos, new, larger = _smallest_first(h, ctx, doc, pos)
+        h, ctx, doc, pos, before = _smallest_first(h, ctx, doc, pos)
         # the smallest document may hold the same anchor and context twice; every place of it is kept
-        keep = ~larger
-        rows = [(-1 - int(doc[larger][0]) % ranges, b"", b"", planes(doc[larger]), planes(pos[larger].astype(np.uint32)))] if larger.any() else []
+        larger, keep = before >= 0, before < 0
+        twin = before[larger]
+        rows = [(-1 - int(doc[larger][0]) % ranges, b"", b"", planes(doc[larger]), planes(pos[larger].astype(np.uint32)), planes(doc[twin]), planes(pos[twin].astype(np.uint32)))] if larger.any() else []
         h, ctx, doc, pos = h[keep], ctx[keep], doc[keep], pos[keep]
         cut = np.searchsorted(h, (np.arange(1, ranges, dtype=np.float64) * (2.0**ANCHOR_BITS / ranges)).astype(np.uint64))
         for r, (a, c, d, p) in enumerate(zip(np.split(h, cut), np.split(ctx, cut), np.split(doc, cut), np.split(pos, cut), strict=True)):
             if len(a):
-                rows.append((r, planes(np.diff(a, prepend=np.uint64(0))), planes(c), planes(d), planes(p.astype(np.uint32))))
+                rows.append((r, planes(np.diff(a, prepend=np.uint64(0))), planes(c), planes(d), planes(p.astype(np.uint32)), b"", b""))
         for row in rows:
             yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema, strict=True)], schema=schema)
 
@@ -155,7 +168,7 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
         for batch in slices(batches):
             texts, ids = [(t or "").encode("utf-8", "replace") for t in batch.column(1).to_pylist()], batch.column(0).to_numpy()
             for a, b in pieces(texts):
-                doc, pos, h, ctx = anchors(texts[a:b], length)
+                doc, pos, h, ctx = anchors(texts[a:b], length, seed, bits)
                 held.append((ids[a:b][doc], pos, h, ctx))
                 size += len(doc)
                 if size > SENT:
@@ -170,7 +183,8 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
         doc = np.concatenate([unplanes(x, "<i8") for x in frame["doc"]])
         pos = np.concatenate([unplanes(x, "<u4") for x in frame["pos"]]).astype(np.int64)
         if r < 0:
-            return _rows(1, doc, pos, np.zeros(len(doc), np.int64))
+            twins = [np.concatenate([unplanes(x, t) for x in frame[c]]) for c, t in (("twin", "<i8"), ("twin_pos", "<u4"))]
+            return _rows(1, doc, pos, np.zeros(len(doc), np.int64), *twins)
         h = np.concatenate([np.cumsum(unplanes(x, "<u8")) for x in frame["h"]])
         ctx = np.concatenate([unplanes(x, "<u8") for x in frame["ctx"]])
         # anchors seen once need no sorting by the rest
@@ -181,18 +195,81 @@ def find(docs: DataFrame, length: int, ranges: int) -> DataFrame:
         twin[1:] |= same
         twin[:-1] |= same
         order = order[twin]
-        h, ctx, doc, pos, new, larger = _smallest_first(h[order], ctx[order], doc[order], pos[order])
-        first = np.flatnonzero(~larger)
+        h, ctx, doc, pos, before = _smallest_first(h[order], ctx[order], doc[order], pos[order])
+        first, larger = np.flatnonzero(before < 0), np.flatnonzero(before >= 0)
+        twin = before[larger]
         group = np.cumsum(np.concatenate([[False], h[first][1:] != h[first][:-1]])) if len(first) else first
         side = (1 << SIDE_BITS) - 1
         rest = ctx[first].astype(np.int64)
         left, right = (group << SIDE_BITS) | ((rest >> SIDE_BITS) & side), (group << SIDE_BITS) | (rest & side)
         by_left, by_right = several(left, doc[first]), several(right, doc[first])
         asked = [(kind, first[m]) for kind, m in ((2, by_left & ~by_right), (3, by_right & ~by_left), (4, by_left & by_right))]
-        return pd.concat([_rows(1, doc[larger], pos[larger], h[larger]), *(_rows(kind, doc[a], pos[a], h[a]) for kind, a in asked)])
+        return pd.concat([_rows(1, doc[larger], pos[larger], np.zeros(len(larger), np.int64), doc[twin], pos[twin]), *(_rows(kind, doc[a], pos[a], h[a], doc[a], pos[a]) for kind, a in asked)])
 
-    sent = docs.mapInArrow(scan, "r int, h binary, ctx binary, doc binary, pos binary")
-    return sent.groupBy("r").applyInPandas(meet, "kind byte, doc_id long, pos int, anchor long")
+    sent = docs.mapInArrow(scan, "r int, h binary, ctx binary, doc binary, pos binary, twin binary, twin_pos binary")
+    return sent.groupBy("r").applyInPandas(meet, "kind byte, doc_id long, pos int, anchor long, twin long, twin_pos int")
+
+
+def compare_contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """(doc_id, begin, end, twin, twin_begin, same): the runs of contexts of kind 1, cut at the blocks of their twins' texts, and
+    whether they have their twins' bytes."""
+    one = found.filter("kind = 1")
+    wanted = one.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "twin", "twin_pos")).alias("places"))  # within one document
+    some = semi_by_bitmap(docs, "doc_id", one.select("doc_id")).join(wanted, "doc_id")
+    fields = pa.schema([(c, pa.int64()) for c in ("doc_id", "begin", "end", "twin", "twin_begin", "block")] + [("bytes", pa.binary())])
+    blocks = pa.schema([("twin", pa.int64()), ("block", pa.int64()), ("twin_bytes", pa.binary())])
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+            ids, lists = batch.column("doc_id").to_pylist(), batch.column("places")
+            row, flat = np.repeat(np.arange(len(texts)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten()
+            pos, twin, twin_pos = (flat.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in range(3))
+            shift = twin_pos - pos
+            by = np.lexsort((pos, shift, twin, row))
+            row, pos, twin, shift = row[by], pos[by], twin[by], shift[by]
+            begin = np.maximum(pos - (length - GRAM), 0)
+            begin = np.maximum(begin, -shift)
+            end = np.minimum(pos + length, np.array([len(t) for t in texts], np.int64)[row])
+            head = np.ones(len(row), bool)
+            head[1:] = (row[1:] != row[:-1]) | (twin[1:] != twin[:-1]) | (shift[1:] != shift[:-1]) | (begin[1:] > end[:-1])
+            first = np.flatnonzero(head)
+            last = np.append(first[1:], len(row)) - 1
+            out = []
+            for i, a, e, t, d in zip(row[first].tolist(), begin[first].tolist(), end[last].tolist(), twin[first].tolist(), shift[first].tolist(), strict=True):
+                while a < e:
+                    stop = min(e, ((a + d) // BLOCK + 1) * BLOCK - d)
+                    out.append((ids[i], a, stop, t, a + d, (a + d) // BLOCK, texts[i][a:stop]))
+                    a = stop
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields, strict=True)], schema=fields)
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            out = []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                b = (text or "").encode("utf-8", "replace")
+                out += [(doc, i, b[i * BLOCK : (i + 1) * BLOCK]) for i in range(-(-len(b) // BLOCK))]
+            cols = list(zip(*out, strict=True)) if out else [[]] * len(blocks)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, blocks, strict=True)], schema=blocks)
+
+    mine = some.select("doc_id", "text", "places").mapInArrow(runs, "doc_id long, begin long, end long, twin long, twin_begin long, block long, bytes binary")
+    theirs = semi_by_bitmap(docs, "doc_id", one.select(F.col("twin").alias("doc_id"))).select("doc_id", "text").mapInArrow(cut_up, "twin long, block long, twin_bytes binary")
+    place = F.expr(f"substring(twin_bytes, cast(twin_begin % {BLOCK} as int) + 1, cast(end - begin as int))")
+    return mine.join(theirs, ["twin", "block"], "left").select("doc_id", "begin", "end", "twin", "twin_begin", F.coalesce(place == F.col("bytes"), F.lit(False)).alias("same"))
+
+
+def equal_contexts(docs: DataFrame, length: int, ranges: int, bits: int, tries: int = 5) -> tuple[DataFrame, DataFrame]:
+    """find()'s table, and the compared runs of equal contexts, all of them with their twins' bytes."""
+    for seed in range(tries):
+        found = checkpoint(find(docs, length, ranges, seed, bits if seed == 0 else CONTEXT_BITS))
+        runs = checkpoint(compare_contexts(docs, found, length))
+        unlike = runs.filter("not same")
+        # rows that repeat an id meet as pairs too: a run counts as compared if one of them agrees
+        if unlike.isEmpty() or unlike.join(runs.filter("same"), ["doc_id", "begin", "end", "twin", "twin_begin"], "left_anti").isEmpty():
+            return found, runs.filter("same")
+        discard(found, runs)
+    raise RuntimeError("contexts with equal hashes and different bytes after all tries")
 
 
 def agreement(sums: np.ndarray, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
@@ -332,16 +409,14 @@ def _merged(spans: list) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def repeated_spans(docs: DataFrame, length: int = 50) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, bits: int = CONTEXT_BITS) -> DataFrame:
     """(doc_id, spans array<struct<begin, end>>) in bytes of the documents that lose something; spans may overlap."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found = checkpoint(find(slim, length, max(1, size // 3_000_000)))
+    found, runs = equal_contexts(slim, length, max(1, size // 3_000_000), bits)
     asked = found.filter("kind >= 2")
     n = asked.count()
-    begin = F.greatest(F.col("pos") - (length - GRAM), F.lit(0)).cast("long")
-    whole = found.filter("kind = 1").select("doc_id", begin.alias("begin"), (F.col("pos") + length).cast("long").alias("end"))
-    spans = whole.unionByName(sort_contexts(slim, asked, length, max(partitions(docs), n // 10_000)))
+    spans = runs.select("doc_id", "begin", "end").unionByName(sort_contexts(slim, asked, length, max(partitions(docs), n // 10_000)))
     return checkpoint(spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
 
 

@@ -202,6 +202,21 @@ def test_suffix_dedup_fuzz(spark, docs):
     assert cut(docs(rows)) == naive_cut(rows)
 
 
+def test_suffix_dedup_collisions(docs):
+    """Contexts whose hashes of four bits agree differ in bytes; the comparison finds them and the search starts again."""
+    rnd = random.Random(6)
+    phrase = "the very same phrase of eighteen letters"
+    rows = [(i, "".join(rnd.choice("abcdef ") for _ in range(60)) + phrase + "".join(rnd.choice("abcdef ") for _ in range(60))) for i in range(300)]
+    rows += [(i + 300, t) for i, t in rows[:40]]
+    found = suffix_dedup.find(docs(rows).select("doc_id", "text"), 50, 2, bits=1).cache()
+    runs = suffix_dedup.compare_contexts(docs(rows).select("doc_id", "text"), found, 50)
+    text = dict(rows)
+    got = runs.collect()
+    assert got and all(r["same"] == (text[r["doc_id"]][r["begin"] : r["end"]] == text[r["twin"]][r["twin_begin"] : r["twin_begin"] + r["end"] - r["begin"]]) for r in got)
+    d = docs(rows)
+    assert sorted(map(tuple, suffix_dedup.cut(d, suffix_dedup.repeated_spans(d, bits=1)).drop("kept").collect()), key=str) == naive_cut(rows)
+
+
 def test_suffix_dedup_cases(docs, edge):
     rows = [r for r in edge if r[0] != 7]
     assert cut(docs(rows)) == naive_cut(rows)
