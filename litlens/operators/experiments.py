@@ -1,4 +1,5 @@
-"""Topic models and their experiments (E1, E2, E19, E20), repeated samples and expected lists (F16, F18), answer rates (H8)."""
+"""Topic models and their experiments (E1, E2, E19, E20), golden titles (F9), repeated samples
+and expected lists (F16, F18), answer rates (H8), systems on one golden set (H9)."""
 
 from __future__ import annotations
 
@@ -6,10 +7,11 @@ from functools import reduce
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from litlens.functions import vectors as V
+from litlens.operators import evaluate as EV
 from litlens.operators import topics as E
 
 
@@ -62,6 +64,47 @@ def expected_counts(compared: DataFrame) -> DataFrame:
     return compared.agg(F.count(F.lit(1)).alias("expected"), found.alias("found"), right.alias("correct"), F.round(F.when(found > 0, right / found), 6).alias("accuracy"))
 
 
+def compare_systems(golden: DataFrame, runs: dict[str, DataFrame], k: int) -> DataFrame:
+    """H9: (system, mean_mrr, mean_recall, questions) of rankings (question_id, id, rank) against one golden set (question_id,
+    expected); a question without a hit counts 0."""
+    scored = [EV.score_retrieval(golden, df, k).withColumn("system", F.lit(name)) for name, df in runs.items()]
+    return reduce(DataFrame.unionByName, scored).groupBy("system").agg(F.avg("mrr").alias("mean_mrr"), F.avg("recall_at_k").alias("mean_recall"), F.count(F.lit(1)).alias("questions"))
+
+
+def clean_title(c: Column) -> Column:
+    """Letters a-z, digits and single blanks of a title, in lower case."""
+    plain = F.regexp_replace(F.replace(F.coalesce(c, F.lit("")), F.lit(r"$\pi$"), F.lit("")), r"[^a-zA-Z0-9\s]", "")
+    return F.btrim(F.regexp_replace(F.lower(plain), r"\s+", " "))
+
+
+def match_golden(golden: DataFrame, articles: DataFrame) -> DataFrame:
+    """(gold_id, id, stage) of golden rows (gold_id, article_id string, title): by id, else by the title without regard to
+    case, else by its first 30 characters, else by all its words of over four letters (of the first five such articles). In the
+    last two, one cleaned title must hold the other. Of several articles the smallest id counts; a row that none fits has a null
+    id. Signs in a title stand for themselves. What the first two stages leave meets each article in blocks of 64 rows."""
+    rows = golden.select("gold_id", F.btrim(F.coalesce("title", F.lit(""))).alias("title"), F.expr("try_cast(btrim(article_id) AS BIGINT)").alias("wanted"))
+    by_id = articles.select("id", F.col("id").alias("wanted"))
+    by_title = articles.groupBy(F.lower("title").alias("_t")).agg(F.min("id").alias("same_title"))
+    exact = rows.join(by_id, "wanted", "left").join(by_title, F.lower(rows["title"]) == F.col("_t"), "left")
+    exact = exact.select("gold_id", "title", F.coalesce("id", F.when(F.col("title") != "", F.col("same_title"))).alias("id"), F.when(F.col("id").isNotNull(), "id").when((F.col("title") != "") & F.col("same_title").isNotNull(), "exact").alias("stage"))
+    low = F.lower("title")
+    words = F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 4))
+    asked = exact.filter("id IS NULL AND title <> ''").select("gold_id", F.lower(F.substring("title", 1, 30)).alias("prefix"), words.alias("words"), clean_title(F.col("title")).alias("clean"))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("gold_id"), F.lit(max(1, asked.count() // 64))).alias("b"))
+    blocks = blocks.agg(F.collect_list(F.struct("gold_id", "prefix", "words", "clean")).alias("qs"))
+    near = lambda t, q: t.contains(q["prefix"])
+    worded = lambda t, q: (F.size(q["words"]) > 0) & F.forall(q["words"], lambda w: t.contains(w))
+    titled = articles.filter("title IS NOT NULL").select("id", F.lower("title").alias("t"), clean_title(F.col("title")).alias("c")).crossJoin(blocks)
+    met = titled.select("id", "t", "c", F.explode(F.filter("qs", lambda q: near(F.col("t"), q) | worded(F.col("t"), q))).alias("q"))
+    holds = F.col("c").contains(F.col("q.clean")) | F.col("q.clean").contains(F.col("c"))
+    met = met.select("id", "q.gold_id", near(F.col("t"), F.col("q")).alias("near"), worded(F.col("t"), F.col("q")).alias("worded"), holds.alias("holds"))
+    w = Window.partitionBy("gold_id", "worded").orderBy("id")
+    met = met.withColumn("nth", F.row_number().over(w))
+    fuzzy = met.groupBy("gold_id").agg(F.min(F.when(F.col("near") & F.col("holds"), F.col("id"))).alias("p"), F.min(F.when(F.col("worded") & (F.col("nth") <= 5) & F.col("holds"), F.col("id"))).alias("k"))
+    late = F.when(F.col("p").isNotNull(), "prefix").when(F.col("k").isNotNull(), "words")
+    return exact.join(fuzzy, "gold_id", "left").select("gold_id", F.coalesce("id", "p", "k").alias("id"), F.coalesce("stage", late, F.lit("not found")).alias("stage"))
+
+
 def summarize_answers(df: DataFrame) -> DataFrame:
     """H8: rates and means over scored answers."""
     rate = lambda c: F.round(F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)), 6)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -126,6 +126,15 @@ def bm25_search(index: LexicalIndex, queries: DataFrame, n: int) -> DataFrame:
     return top(scored, [F.desc(F.round("score", 9)), "id"], n)
 
 
+def bm25_search_filtered(index: LexicalIndex, queries: DataFrame, articles: DataFrame, f: Filters, n: int) -> DataFrame:
+    """G9 with filters: (query_id, id, score, rank). The index holds no links to files and no citation counts, so only the other
+    filters narrow it; 4 n hits are ranked, then all filters are applied to the article rows. Ranks are those of before."""
+    early = articles.filter(predicate(replace(f, has_pdf=None, min_citation_count=None))).select("id")
+    hits = bm25_search(replace(index, postings=index.postings.join(early, "id", "left_semi")), queries, 4 * n)
+    kept = hits.join(articles.filter(predicate(f)).select("id"), "id", "left_semi")
+    return top(kept, [F.col("rank")], n, "_place").drop("_place")
+
+
 def keyword_score(title: Column, abstract: Column, terms: Column) -> Column:
     """Hits of whole terms (three a title hit, one an abstract hit), 1 and 0.25 for containment."""
     t, a = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(abstract, F.lit("")))

@@ -43,6 +43,25 @@ def normalize_openalex(df: DataFrame) -> DataFrame:
     )
 
 
+#: The entries of an Atom feed, as the XML reader gives them.
+ATOM = """id string, title string, summary string, published string, updated string, author array<struct<name: string>>, link array<struct<_href: string, _title: string>>,
+category array<struct<_term: string>>, `arxiv:primary_category` struct<_term: string>, `arxiv:doi` string, `arxiv:journal_ref` string"""
+
+
+def normalize_atom(df: DataFrame) -> DataFrame:
+    """Entries read with the schema ATOM and rowTag entry."""
+    text = lambda c: F.nullif(F.btrim(F.col(f"`{c}`"), F.lit(" \t\r\n")), F.lit(""))
+    terms = F.filter(F.transform("category", lambda c: c["_term"]), lambda t: t.isNotNull() & (t != ""))
+    pdf = F.get(F.filter("link", lambda x: x["_title"] == "pdf"), F.lit(0))["_href"]
+    names = F.filter(F.transform("author", lambda a: F.btrim(a["name"])), lambda x: x.isNotNull() & (x != ""))
+    return df.select(
+        F.lit("arxiv").alias("source"), F.coalesce(F.element_at(F.split(text("id"), "/"), -1), F.lit("")).alias("external_id"), F.coalesce(text("title"), F.lit("Untitled")).alias("title"), text("summary").alias("abstract_text"),
+        F.try_to_timestamp(text("published")).alias("publish_date"), F.try_to_timestamp(text("updated")).alias("updated_date"), F.coalesce(F.array_join(names, ", "), F.lit("")).alias("authors"), text("id").alias("url"), pdf.alias("pdf_url"),
+        F.coalesce(F.col("`arxiv:primary_category`._term"), F.get(terms, F.lit(0))).alias("primary_category"), F.nullif(F.array_join(terms, ", "), F.lit("")).alias("categories"), text("arxiv:doi").alias("doi"), F.lit(None).cast("int").alias("citation_count"),
+        text("arxiv:journal_ref").alias("venue"), F.coalesce(F.exists(terms, lambda t: F.lower(t).startswith("cs.")), F.lit(False)).alias("is_computer_science"),
+    )
+
+
 def normalize_s2(df: DataFrame) -> DataFrame:
     """A6"""
     names = F.concat(F.transform("s2FieldsOfStudy", lambda f: f["category"]), F.col("fieldsOfStudy"))

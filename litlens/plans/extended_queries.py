@@ -50,6 +50,25 @@ def e20(a):
     return X.best_experiment(runs).select("run", F.round("coverage", 6).alias("coverage"))
 
 
+CLEAN = r"trim(regexp_replace(lower(regexp_replace(replace(coalesce({}, ''), '$\pi$', ''), '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g'))"
+#: Golden rows from the toxic articles: an id; an upper-case title; one with more words; one with a sign inside; an unknown one.
+GOLDEN = "CASE id % 5 WHEN 0 THEN 'unknown: ' || title WHEN 1 THEN upper(title) WHEN 2 THEN title || ' and more' WHEN 3 THEN substr(title, 1, 9) || '!' || substr(title, 10) ELSE 'no such title at all' END"
+
+
+@query("f9_match_golden", rf"""WITH gd AS (SELECT a.id AS gold_id, CASE WHEN a.id % 5 = 0 THEN a.id END AS wanted, trim({GOLDEN}) AS title FROM articles a JOIN labels l ON l.doc_id = a.id WHERE l.toxic = 1),
+gx AS (SELECT *, lower(substr(title, 1, 30)) AS prefix, {CLEAN.format('title')} AS clean, list_filter(regexp_extract_all(lower(title), '[\p{{L}}\p{{N}}_]+'), lambda w: length(w) > 4) AS words FROM gd),
+ax AS (SELECT id, lower(title) AS t, {CLEAN.format('title')} AS c FROM articles WHERE title IS NOT NULL),
+m AS (SELECT gx.gold_id, ax.id, wanted IS NOT DISTINCT FROM ax.id AS i, lower(title) = t AND title <> '' AS e, contains(t, prefix) AND title <> '' AS p, len(words) > 0 AND len(list_filter(words, lambda w: contains(t, w))) = len(words) AS k, contains(c, clean) OR contains(clean, c) AS h FROM gx, ax),
+n AS (SELECT *, row_number() OVER (PARTITION BY gold_id, k ORDER BY id) AS nth FROM m),
+r AS (SELECT gold_id, min(id) FILTER (i) AS i, min(id) FILTER (e) AS e, min(id) FILTER (p AND h) AS p, min(id) FILTER (k AND h AND nth <= 5) AS k FROM n GROUP BY 1)
+SELECT gold_id, coalesce(i, e, p, k) AS id, CASE WHEN i IS NOT NULL THEN 'id' WHEN e IS NOT NULL THEN 'exact' WHEN p IS NOT NULL THEN 'prefix' WHEN k IS NOT NULL THEN 'words' ELSE 'not found' END AS stage FROM r""")
+def f9(spark, sf):
+    toxic = table(spark, sf, "labels").filter("toxic = 1").select(F.col("doc_id").alias("id"))
+    a = articles(spark, sf)
+    golden = a.join(toxic, "id").select(F.col("id").alias("gold_id"), F.when(F.col("id") % 5 == 0, F.col("id").cast("string")).alias("article_id"), F.expr(GOLDEN).alias("title"))
+    return X.match_golden(golden, a)
+
+
 @query("f16_multi_run", f"WITH {LAB}, r AS (SELECT unnest(range(0, 5)) AS r), s AS (SELECT r, label = cluster_id AS ok FROM lb, r QUALIFY row_number() OVER (PARTITION BY r ORDER BY md5(r || ':' || id), id) <= 30), m AS (SELECT r, avg(CASE WHEN ok THEN 1.0 ELSE 0.0 END) AS m FROM s GROUP BY r) SELECT round(avg(m), 6) AS direct_match_mean, round(stddev_pop(m), 6) AS direct_match_std FROM m")
 def f16(spark, sf):
     return X.multi_run(labelled(spark, sf), 5, 30)
@@ -136,6 +155,21 @@ def h8(a):
     return X.summarize_answers(a.select(F.col("doi").isNotNull().alias("retrieval_hit"), F.lower(text).contains(F.lower("title")).alias("title_mentioned"), F.lit(0.5).alias("term_recall"), EV.answer_signals(text)["citation_marker_count"].alias("citation_marker_count"), F.lit(False).alias("has_sources_section")))
 
 
+@of_articles("h9_compare_systems", f"""WITH {FUSE}, f AS (SELECT *, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM mg), fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM f),
+ex AS (SELECT cluster_id AS question_id, id FROM articles WHERE cluster_id >= 0 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY citation_count DESC NULLS LAST, id) <= 20),
+rk AS (SELECT 'vector' AS system, query_id, id, rank FROM vr UNION ALL SELECT 'bm25', query_id, id, rank FROM br UNION ALL SELECT 'fused', query_id, id, rank FROM fr),
+rl AS (SELECT s.system, ex.question_id, rk.rank AS pos FROM ex CROSS JOIN (SELECT unnest(['vector', 'bm25', 'fused']) AS system) s LEFT JOIN rk ON rk.system = s.system AND rk.query_id = ex.question_id AND rk.id = ex.id AND rk.rank <= 25),
+sc AS (SELECT system, question_id, coalesce(1 / min(pos), 0) AS mrr, count(pos) / count(*) AS recall FROM rl GROUP BY 1, 2) SELECT system, round(avg(mrr), 6) AS mean_mrr, round(avg(recall), 6) AS mean_recall, count(*) AS questions FROM sc GROUP BY 1""")
+def h9(a):
+    """Vector, BM25 and fused ranks of the topics' queries; each topic's twenty most cited articles are the expected ones."""
+    first = a.filter("cluster_id >= 0").groupBy(F.col("cluster_id").alias("query_id")).agg(F.min_by("title", "id").alias("text"))
+    bm25 = G.bm25_search(G.build_lexical_index(a), first.select("query_id", G.query_terms(F.col("text")).alias("terms")), 25)
+    cited = a.filter("cluster_id >= 0").select(F.col("cluster_id").alias("query_id"), "id", "citation_count")
+    golden = G.top(cited, [F.desc_nulls_last("citation_count"), F.col("id")], 20).groupBy(F.col("query_id").alias("question_id")).agg(F.sort_array(F.collect_list("id")).alias("expected"))
+    runs = {"vector": G.vector_search(a, topic_queries(a), 25), "bm25": bm25, "fused": G.fuse_rrf(merged(a)).withColumn("rank", F.col("fusion_rank"))}
+    return six(X.compare_systems(golden, {k: df.select(F.col("query_id").alias("question_id"), "id", "rank") for k, df in runs.items()}, 25))
+
+
 @of_articles("i14_report_key", "SELECT DISTINCT source, primary_category, 'v1:' || substr(sha256('{\"category\": \"' || primary_category || '\", \"period\": \"12m\", \"source\": \"' || source || '\"}'), 1, 24) AS key FROM articles")
 def i14(a):
     """Keys of all reports by source and category, each as report_key() makes it."""

@@ -123,15 +123,6 @@ def g27(a):
     return R.merge_filters(rows, "x", "y", ("source", "min_citation_count")).drop("x", "y")
 
 
-@query("h9_compare_systems", f"WITH {SCORED} SELECT 'first' AS system, round(avg(mrr), 6) AS mean_mrr, count(*) AS questions FROM sc UNION ALL SELECT 'second', round(avg(mrr), 6), count(*) FROM sc")
-def h9(spark, sf):
-    """Mean reciprocal ranks of two systems on one golden set; the second ranks each list's first five only."""
-    g = golden(spark, sf)
-    run = lambda name, r: EV.score_retrieval(g, r, 5).withColumn("system", F.lit(name))
-    both = run("first", ranked(g)).unionByName(run("second", ranked(g).filter("rank <= 5")))
-    return six(both.groupBy("system").agg(F.avg("mrr").alias("mean_mrr"), F.count(F.lit(1)).alias("questions")))
-
-
 @of_articles("i12_rep_scores", f"{REPS} SELECT cluster_id, round(avg(round(score, 6)), 5) AS score FROM rp GROUP BY 1")
 def i12(a):
     """Stored scores as a map of texts; values that are no numbers are left out of the mean."""

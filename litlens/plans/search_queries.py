@@ -118,6 +118,12 @@ def g9(spark, sf):
     return six(G.bm25_search(G.build_lexical_index(articles(spark, sf)), item_terms(spark, sf), 25))
 
 
+@query("g9_bm25_filtered", f"WITH {BM}, wi AS (SELECT bs.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r, pdf_url FROM bs JOIN articles USING (id) WHERE source = 'arxiv' QUALIFY r <= 40) SELECT query_id, id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM wi WHERE pdf_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) <= 10")
+def g9f(spark, sf):
+    a = articles(spark, sf)
+    return six(G.bm25_search_filtered(G.build_lexical_index(a), item_terms(spark, sf), a, G.Filters(source="arxiv", has_pdf=True), 10).select("query_id", "id", "score", "rank"))
+
+
 @of_articles("g11_keyword_score", "SELECT id, round(CAST(3 * len(regexp_extract_all(' ' || regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', '  ', 'g') || ' ', ' the ')) + len(regexp_extract_all(' ' || regexp_replace(lower(coalesce(abstract_text, '')), '[^\\p{L}\\p{N}_]+', '  ', 'g') || ' ', ' the ')) + CASE WHEN contains(lower(title), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(coalesce(abstract_text, '')), 'the') THEN 0.25 ELSE 0 END AS DOUBLE), 6) AS score FROM articles")
 def g11(a):
     return a.select("id", F.round(G.keyword_score(F.col("title"), F.col("abstract_text"), F.array(F.lit("the"))), 6).alias("score"))

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from litlens.operators import sources as S
 from litlens.plans.base import messages, of_articles, query, table
 from litlens.sources import files as A
 from litlens.streaming import stateful as L
@@ -37,6 +38,26 @@ def a8(a):
     return A.read_clean_papers(a.sparkSession, f"{path}/papers", 500)
 
 
+@of_articles("a7_normalize_atom", "SELECT 'arxiv' AS source, external_id, coalesce(nullif(trim(regexp_replace(title, '[^A-Za-z0-9 ]', '', 'g')), ''), 'Untitled') AS title, publish_date, CASE WHEN id % 2 = 0 THEN 'A. One, ' ELSE '' END || 'B. Two' AS authors, 'http://x.test/abs/' || external_id AS url, pdf_url, CASE WHEN id % 3 = 0 THEN primary_category ELSE split_part(categories, ', ', 1) END AS primary_category, categories, doi, contains(categories, 'cs.') AS is_computer_science FROM articles")
+def a7(a):
+    """Feeds of entries with and without a date, a link to a file, a primary category and a DOI."""
+    tag = lambda name, c: F.concat(F.lit(f"<{name}>"), c, F.lit(f"</{name}>"))
+    maybe = lambda c: F.coalesce(c, F.lit(""))
+    attr = lambda head, c: F.concat(F.lit(head), c, F.lit('"/>'))
+    entry = F.concat_ws(
+        "", F.lit("<entry>"), tag("id", F.concat(F.lit("http://x.test/abs/"), "external_id")), tag("title", F.concat(F.lit("\n  "), F.regexp_replace("title", "[^A-Za-z0-9 ]", ""), F.lit(" "))),
+        maybe(tag("published", F.date_format("publish_date", "yyyy-MM-dd'T'HH:mm:ss'Z'"))), F.when(F.col("id") % 2 == 0, "<author><name>A. One</name></author>").otherwise("<author><name> </name></author>"), F.lit("<author><name>B. Two</name></author>"),
+        F.lit('<link href="http://x.test" rel="alternate"/>'), maybe(attr('<link title="pdf" href="', F.col("pdf_url"))), F.array_join(F.transform(F.split("categories", ", "), lambda c: attr('<category term="', c)), ""),
+        F.when(F.col("id") % 3 == 0, attr('<arxiv:primary_category term="', F.col("primary_category"))).otherwise(""), maybe(tag("arxiv:doi", F.col("doi"))), F.lit("</entry>"),
+    )
+    path = folder(a)
+    feeds = a.groupBy(F.expr("id div 200").alias("k")).agg(F.array_join(F.collect_list(entry), "\n").alias("v"))  # two hundred entries a feed
+    head = '<feed xmlns="http://www.w3.org/2005/Atom" xmlns:arxiv="http://arxiv.org/schemas/atom">'
+    feeds.select(F.concat(F.lit(head), "v", F.lit("</feed>")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    read = a.sparkSession.read.format("xml").option("rowTag", "entry").schema(S.ATOM).load(path)
+    return S.normalize_atom(read).select("source", "external_id", "title", "publish_date", "authors", "url", "pdf_url", "primary_category", "categories", "doi", "is_computer_science")
+
+
 @query("a9_read_golden", "SELECT CAST(item_id AS VARCHAR) AS question_id, text AS question, CAST(len(CASE WHEN item_id % 2 = 0 THEN [item_id] ELSE [item_id, item_id + 1] END) AS INTEGER) AS n_expected, CAST(CASE WHEN item_id % 3 = 0 THEN 5 ELSE item_id % 3 END AS INTEGER) AS top_k FROM benchmark")
 def a9(spark, sf):
     """Files of either form."""
