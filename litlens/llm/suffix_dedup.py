@@ -40,7 +40,7 @@ from litlens.llm.common import checkpoint, discard, left_join_marked, partitions
 from litlens.llm.words import letters, mix, pieces, planes, powers, release, slices, unplanes
 
 #: Length of an anchor's k-gram in bytes. Anchors of one task that are sent together.
-GRAM, SENT = 18, 500_000
+GRAM, SENT = 18, 400_000
 #: Bits of an anchor's hash, and of the hashes of its context and of the two half contexts (compared only under equal anchors).
 ANCHOR_BITS, CONTEXT_BITS, SIDE_BITS = 48, 40, 12
 #: Bytes of a block in which runs of equal contexts are compared.
@@ -354,8 +354,8 @@ def repeats(frame: pd.DataFrame, length: int) -> pd.DataFrame:
     equal = np.zeros(n, bool)
     near = np.flatnonzero(key[1:] == key[:-1]) + 1
     near = near[hash_at(sums, at[near], length) == hash_at(sums, at[near - 1], length)]
-    for a in range(0, len(near), 200_000):
-        m = near[a : a + 200_000]
+    for a in range(0, len(near), 50_000):
+        m = near[a : a + 50_000]
         grid = np.arange(length)
         equal[m] = (text[at[m, None] + grid] == text[at[m - 1, None] + grid]).all(1)
     run = np.cumsum(~equal) - 1
