@@ -51,8 +51,8 @@ def e20(a):
 
 
 CLEAN = r"trim(regexp_replace(lower(regexp_replace(replace(coalesce({}, ''), '$\pi$', ''), '[^a-zA-Z0-9\s]', '', 'g')), '\s+', ' ', 'g'))"
-#: Golden rows from the toxic articles: an id; an upper-case title; one with more words; one with a sign inside; an unknown one.
-GOLDEN = "CASE id % 5 WHEN 0 THEN 'unknown: ' || title WHEN 1 THEN upper(title) WHEN 2 THEN title || ' and more' WHEN 3 THEN substr(title, 1, 9) || '!' || substr(title, 10) ELSE 'no such title at all' END"
+#: Golden rows from the toxic articles: an id; one with upper-case letters; one with more words; one with a sign inside; an unknown one.
+GOLDEN = "CASE id % 5 WHEN 0 THEN 'unknown: ' || title WHEN 1 THEN translate(title, 'abet', 'ABET') WHEN 2 THEN title || ' and more' WHEN 3 THEN substr(title, 1, 9) || '!' || substr(title, 10) ELSE 'no such title at all' END"
 
 
 @query("f9_match_golden", rf"""WITH gd AS (SELECT a.id AS gold_id, CASE WHEN a.id % 5 = 0 THEN a.id END AS wanted, trim({GOLDEN}) AS title FROM articles a JOIN labels l ON l.doc_id = a.id WHERE l.toxic = 1),
