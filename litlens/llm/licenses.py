@@ -141,7 +141,7 @@ docs AS (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translat
 words AS (SELECT row, unnest(range(len(w))) AS p, unnest(w) AS w1, unnest(list_concat(w[2:], [NULL])) AS w2 FROM docs),
 votes AS (SELECT row, phrase, label, is_base, n, p - q AS start, list(DISTINCT q) AS qs FROM words JOIN grams USING (w1, w2) GROUP BY ALL),
 merged AS (SELECT v.row, v.phrase, v.label, v.is_base, v.n, v.start, len(v.qs) = v.n AS is_full, len(list_distinct(flatten(list(o.qs)))) / v.n AS score
-  FROM votes v JOIN votes o ON o.row = v.row AND o.phrase = v.phrase AND o.start BETWEEN v.start - {slack} AND v.start + {slack} GROUP BY ALL),
+  FROM votes v JOIN votes o ON o.row = v.row AND o.phrase = v.phrase AND o.start BETWEEN v.start - {slack} AND v.start + {slack} GROUP BY v.row, v.phrase, v.label, v.is_base, v.n, v.start, v.qs),
 spans AS (SELECT row, label, is_base, start, CASE WHEN is_base THEN 1.0 ELSE score END AS score FROM merged m WHERE CASE WHEN is_base THEN is_full ELSE score >= {share}
   AND NOT EXISTS (SELECT 1 FROM merged o WHERE o.row = m.row AND o.phrase = m.phrase AND (o.start BETWEEN m.start - {slack} AND m.start - 1 AND o.score >= m.score OR o.start BETWEEN m.start + 1 AND m.start + {slack} AND o.score > m.score)) END),
 found AS (SELECT row, count(*) FILTER (is_base) AS n_base, min(start) FILTER (is_base) AS first_word, max(start) FILTER (is_base) AS last_word,
