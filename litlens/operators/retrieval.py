@@ -1,4 +1,4 @@
-"""Retrieval end to end: embedding, approximate and keyword search, re-ranking, mode dispatch, follow-ups."""
+"""Retrieval end to end: embedding, keyword search, re-ranking, mode dispatch, follow-ups."""
 
 from __future__ import annotations
 
@@ -7,12 +7,9 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from litlens.functions import vectors as V
 from litlens.operators import search as G
 
 #: Words that stand for a place in the list of previous sources, for all of them, and for the last one.
@@ -49,17 +46,6 @@ def limit_scan(df: DataFrame, n: int) -> DataFrame:
     return df.orderBy("id").limit(n)
 
 
-def vector_search_lsh(articles: DataFrame, queries: DataFrame, n: int, radius: float = 2.0, length: float = 0.5, tables: int = 12) -> DataFrame:
-    """(query_id, id, score, rank) by random-projection buckets of unit vectors; only pairs that share a bucket are compared."""
-    unit = lambda df, c: df.select("*", array_to_vector(V.l2_normalize(F.col(c).cast("array<double>"))).alias("v"))
-    a = unit(articles.filter(V.valid_vector(F.col("embedding"))).select("id", "embedding"), "embedding").select("id", "v")
-    q = unit(queries.filter(V.valid_vector(F.col("vector"))), "vector").select("query_id", "v")
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=length, numHashTables=tables, seed=5).fit(a)
-    near = model.approxSimilarityJoin(q, a, radius, "d").select("datasetA.query_id", "datasetB.id", (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")
-    return near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
-
-
 def keyword_search(articles: DataFrame, terms: list[str], k: int) -> DataFrame:
     """Articles with a term in title or abstract, the first 4 k by id, in the order of their keyword score."""
     if not terms:

@@ -1,4 +1,4 @@
-"""Registered queries of D4, D5, E2, E19, E20, F16, F18, G5, G10, G20, G23, G26, H2, H8, I14, I15, I29 and U4 to U6."""
+"""Registered queries of D4, D5, E1, E2, E19, E20, F16, F18, G5, G10, G20, G23, G26, H2, H8, I14, I15, I29 and U4 to U6."""
 
 from __future__ import annotations
 
@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from litlens.functions import sql as SQL
 from litlens.functions import vectors as V
+from litlens.operators import density as D
 from litlens.operators import evaluate as EV
 from litlens.operators import experiments as X
+from litlens.operators import neighbours as NN
 from litlens.operators import reports as I
 from litlens.operators import retrieval as R
 from litlens.operators import search as G
@@ -87,7 +89,13 @@ def f18(spark, sf):
 
 @of_articles("g5_vector_search_lsh")
 def g5(a):
-    return R.vector_search_lsh(a, topic_queries(a), 25).select("query_id", "id", "score", "rank")
+    """Approximate: cells of an inverted file, coded residuals, the best scored anew. The query keeps the name of its first form."""
+    return NN.search_index(NN.build_index(a), topic_queries(a), 25).select("query_id", "id", "score", "rank")
+
+
+@of_articles("e1_density_topics")
+def e1(a):
+    return D.density_topics(a.select("id", "embedding"), min_topic_size=10)
 
 
 G11 = ORACLES["g11_keyword_score"].rsplit(") SELECT id, ", 1)[-1].removesuffix(" AS score FROM articles")
