@@ -153,16 +153,17 @@ def nmi(table: DataFrame, a: str = "label", b: str = "cluster_id") -> DataFrame:
     return mi.crossJoin(h(a, "hx")).crossJoin(h(b, "hy")).select((2 * F.col("mi") / (F.col("hx") + F.col("hy"))).alias("nmi"))  # one row each
 
 
-def score_retrieval(golden: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
-    """H1: hit, recall, precision, MRR and nDCG at k. golden: (question_id, expected array); ranked: (question_id, id, rank),
-    where only an id's best rank counts."""
+def score_retrieval(golden: DataFrame, ranked: DataFrame, k: int | str) -> DataFrame:
+    """H1: hit, recall, precision, MRR and nDCG at k, a number or golden's column of it. golden: (question_id, expected array);
+    ranked: (question_id, id, rank), where only an id's best rank counts."""
     best = ranked.groupBy("question_id", "id").agg(F.min("rank").alias("_r"))
     w = Window.partitionBy("question_id").orderBy("_r", "id")
-    top = best.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= k)
-    rel = golden.select("question_id", F.explode(F.array_distinct("expected")).alias("id")).join(top, ["question_id", "id"], "left")
-    g = rel.groupBy("question_id").agg(F.count(F.lit(1)).alias("m"), F.count("pos").alias("hits"), F.min("pos").alias("first"), F.coalesce(F.sum(1 / F.log2(F.col("pos") + 1)), F.lit(0.0)).alias("dcg"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.least(F.col("m"), F.lit(k)).cast("int")), F.lit(0.0), lambda s, p: s + 1 / F.log2(p + 1))
-    return g.select("question_id", (F.col("hits") > 0).alias("hit_at_k"), (F.col("hits") / F.col("m")).alias("recall_at_k"), (F.col("hits") / k).alias("precision_at_k"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.col("dcg") / ideal).alias("ndcg_at_k"))
+    top = best.withColumn("pos", F.row_number().over(w))
+    rel = golden.select("question_id", (F.col(k) if isinstance(k, str) else F.lit(k)).alias("_k"), F.explode(F.array_distinct("expected")).alias("id")).join(top, ["question_id", "id"], "left")
+    rel = rel.withColumn("pos", F.when(F.col("pos") <= F.col("_k"), F.col("pos")))
+    g = rel.groupBy("question_id", "_k").agg(F.count(F.lit(1)).alias("m"), F.count("pos").alias("hits"), F.min("pos").alias("first"), F.coalesce(F.sum(1 / F.log2(F.col("pos") + 1)), F.lit(0.0)).alias("dcg"))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.least("m", "_k").cast("int")), F.lit(0.0), lambda s, p: s + 1 / F.log2(p + 1))
+    return g.select("question_id", (F.col("hits") > 0).alias("hit_at_k"), (F.col("hits") / F.col("m")).alias("recall_at_k"), (F.col("hits") / F.col("_k")).alias("precision_at_k"), F.coalesce(1 / F.col("first"), F.lit(0.0)).alias("mrr"), (F.col("dcg") / ideal).alias("ndcg_at_k"))
 
 
 def summarize_retrieval(scores: DataFrame) -> DataFrame:

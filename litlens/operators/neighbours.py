@@ -64,7 +64,7 @@ def lloyd(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5, spherical: bool
 def unit_rows(df: DataFrame, id_: str, vector: str) -> DataFrame:
     """(id, v): vectors of length 1."""
     v = F.col(vector)
-    return df.filter(V.valid_vector(v)).filter(V.norm(v) > 0).select(F.col(id_).alias("id"), V.l2_normalize(v).alias("v"))
+    return df.filter(V.valid_vector(v)).filter(V.norm(v) > 0).select(F.col(id_).cast("long").alias("id"), V.l2_normalize(v).alias("v"))
 
 
 @dataclass(frozen=True)

@@ -1,4 +1,4 @@
-"""Retrieval end to end: embedding, keyword search, re-ranking, mode dispatch, follow-ups."""
+"""Retrieval end to end: embedding, keyword search, re-ranking, follow-ups."""
 
 from __future__ import annotations
 
@@ -73,18 +73,6 @@ def rerank(ranked: DataFrame, query: str, text: str, n: int = 50, scorer: Callab
     return scored.withColumn("new_rank", F.row_number().over(w))
 
 
-def search(modes: DataFrame, vector: DataFrame, bm25: DataFrame, fused: DataFrame, articles: DataFrame, k: int) -> DataFrame:
-    """(query_id, id, rank, answered_by): queries (query_id, mode) answered by the branch that their mode names; a query
-    whose branch finds nothing gets the newest articles."""
-    each = lambda df, mode: df.select("query_id", "id", "rank", F.lit(mode).alias("mode"))
-    hits = each(vector, "vector").unionByName(each(bm25, "bm25")).unionByName(each(fused, "hybrid"))
-    found = modes.join(hits, ["query_id", "mode"]).filter(F.col("rank") <= k)
-    newest = articles.filter("publish_date IS NOT NULL").orderBy(F.desc("publish_date"), F.desc("id")).limit(k).select("id", F.row_number().over(Window.orderBy(F.desc("publish_date"), F.desc("id"))).alias("rank"))  # k rows
-    empty = modes.join(found.select("query_id").distinct(), "query_id", "left_anti").select("query_id")
-    rest = empty.crossJoin(F.broadcast(newest)).select("query_id", "id", "rank", F.lit("latest").alias("answered_by"))  # k rows
-    return found.select("query_id", "id", "rank", F.col("mode").alias("answered_by")).unionByName(rest)
-
-
 def resolve_followups(messages: DataFrame, text: str, sources: str = "sources") -> DataFrame:
     """Messages with `article_ids`: the previous sources (an array of ids, S1 first) that the text names by number, by an
     ordinal, all together, or as the last one; else none. A number that no source has is passed over."""

@@ -1,8 +1,8 @@
-"""Retrieval over article tables: filters, lexical and vector search for a table of queries, fusion (G)."""
+"""Retrieval over article tables: filters, search terms, vector search for a table of queries, fusion (G)."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -75,10 +75,10 @@ def top(df: DataFrame, order: list, n: int, rank: str = "rank") -> DataFrame:
 
 
 def vector_search(articles: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """G4, batch: (query_id, id, score, rank), score = max(0, cosine). Queries (query_id, vector) come in blocks of 64, one
-    array a block, so each article row meets a block of queries at once and keeps its scores; per task the best are kept
+    """G4, batch: (query_id, id, score, rank), score = max(0, cosine). Queries (query_id, vector) come in blocks of about 64,
+    one array a block, so each article row meets a block of queries at once and keeps its scores; per task the best are kept
     before the shuffle (the rank limit is pushed down)."""
-    blocks = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(64))).groupBy("_b").agg(F.collect_list(F.struct("query_id", V.l2_normalize(F.col("vector")).alias("v"))).alias("qs"))
+    blocks = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // 64)))).groupBy("_b").agg(F.collect_list(F.struct("query_id", V.l2_normalize(F.col("vector")).alias("v"))).alias("qs"))
     rows = articles.filter("embedding IS NOT NULL").select("id", V.l2_normalize(F.col("embedding")).alias("u")).crossJoin(blocks)
     scored = rows.select("id", F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), F.greatest(F.lit(0.0), V.dot(F.col("u"), q["v"])).alias("score")))).alias("s"))
     return top(scored.select("s.query_id", "id", "s.score"), [F.desc(F.round("score", 9)), "id"], n)
@@ -88,23 +88,6 @@ def words_of(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
 
 
-@dataclass
-class LexicalIndex:
-    postings: DataFrame  # term, id, tf_title, tf_abstract
-    lengths: DataFrame  # id, length
-    terms: DataFrame  # term, df
-    totals: DataFrame  # n, avg_length: one row
-
-
-def build_lexical_index(articles: DataFrame) -> LexicalIndex:
-    """Rows with title and abstract."""
-    rows = articles.filter("title IS NOT NULL AND abstract_text IS NOT NULL").select("id", words_of(F.col("title")).alias("t"), words_of(F.col("abstract_text")).alias("a"))
-    each = rows.select("id", F.explode(F.concat(F.transform("t", lambda w: F.struct(w.alias("w"), F.lit(1).alias("f"))), F.transform("a", lambda w: F.struct(w.alias("w"), F.lit(0).alias("f"))))).alias("x"))
-    postings = each.groupBy(F.col("x.w").alias("term"), "id").agg(F.sum("x.f").alias("tf_title"), F.sum(1 - F.col("x.f")).alias("tf_abstract"))
-    lengths = rows.select("id", (F.size("t") + F.size("a")).cast("long").alias("length"))
-    return LexicalIndex(postings, lengths, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")), lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("avg_length")))
-
-
 def query_terms(c: Column) -> Column:
     """Tokens without dots and dashes at the ends, Turkish letters plain, lower case; at least three letters unless upper
     case; no stop words; distinct, the first eight."""
@@ -115,26 +98,6 @@ def query_terms(c: Column) -> Column:
     return F.slice(F.array_distinct(F.transform(kept, plain)), 1, 8)
 
 
-def bm25_search(index: LexicalIndex, queries: DataFrame, n: int) -> DataFrame:
-    """(query_id, id, score, rank) of queries (query_id, terms array): OR of terms, title hits weigh three."""
-    wanted = queries.select("query_id", F.explode("terms").alias("term"))
-    idf = index.terms.crossJoin(index.totals).select("term", "avg_length", F.greatest(F.lit(1e-6), F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"))  # one row
-    hits = wanted.join(index.postings, "term").join(idf, "term").join(index.lengths, "id")
-    f = TITLE_WEIGHT * F.col("tf_title") + F.col("tf_abstract")
-    part = F.col("idf") * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("avg_length")))
-    scored = hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
-    return top(scored, [F.desc(F.round("score", 9)), "id"], n)
-
-
-def bm25_search_filtered(index: LexicalIndex, queries: DataFrame, articles: DataFrame, f: Filters, n: int) -> DataFrame:
-    """G9 with filters: (query_id, id, score, rank). The index holds no links to files and no citation counts, so only the other
-    filters narrow it; 4 n hits are ranked, then all filters are applied to the article rows. Ranks are those of before."""
-    early = articles.filter(predicate(replace(f, has_pdf=None, min_citation_count=None))).select("id")
-    hits = bm25_search(replace(index, postings=index.postings.join(early, "id", "left_semi")), queries, 4 * n)
-    kept = hits.join(articles.filter(predicate(f)).select("id"), "id", "left_semi")
-    return top(kept, [F.col("rank")], n, "_place").drop("_place")
-
-
 def keyword_score(title: Column, abstract: Column, terms: Column) -> Column:
     """Hits of whole terms (three a title hit, one an abstract hit), 1 and 0.25 for containment."""
     t, a = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(abstract, F.lit("")))

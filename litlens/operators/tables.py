@@ -55,3 +55,31 @@ def discard(*frames: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at, jvm.org.apache.hadoop.fs.Path
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at, _ = _fs(spark, path)
+    return fs.exists(at)
+
+
+def publish(spark: SparkSession, made: str, path: str) -> None:
+    """Puts the finished folder `made` in the place of `path`: the old one is moved aside first and deleted last, so a job that is
+    lost on the way leaves one of the two whole."""
+    fs, at, Path_ = _fs(spark, path)
+    aside = Path_(f"{path}.old-{uuid.uuid4().hex}")
+    fs.mkdirs(at.getParent())
+    had = fs.exists(at)
+    if had and not fs.rename(at, aside):
+        raise OSError(f"{path} can't be moved")
+    if not fs.rename(Path_(made), at):
+        if had:
+            fs.rename(aside, at)
+        raise OSError(f"{made} can't take the place of {path}")
+    if had:
+        fs.delete(aside, True)

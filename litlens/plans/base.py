@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Every time-dependent query gets this date.
 AS_OF = "2026-05-21 00:00:00"
@@ -58,6 +59,11 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(CLUSTERS, a=articles(spark, sf_dir))
 
 
+def six(df: DataFrame) -> DataFrame:
+    """df with its doubles rounded to 6."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
 def with_views(sql: str) -> str:
     """Oracle SQL with the views in front."""
     views = {"articles": ARTICLES.format(d="documents", e="embeddings"), "messages": MESSAGES.format(c="conversations"), "clusters": CLUSTERS.format(a="articles")}

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from litlens.operators import evaluate as V
-from litlens.plans.base import articles, of_articles, query, table
+from litlens.operators import lexicon as L
+from litlens.plans.base import articles, of_articles, query, six, table
+from litlens.plans.search_queries import BM, index, item_terms
 from litlens.plans.vector_queries import UNIT
 
 
-def six(df):
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
-
-
 DIM = """
 vs AS (SELECT cluster_id, pos, sum(val) AS x, count(*) AS n, sum(val * val) AS q FROM ux GROUP BY ALL),
 cs AS (SELECT cluster_id, list(x ORDER BY pos) AS s, max(n) AS n, sum(q) AS q FROM vs GROUP BY cluster_id),
@@ -104,27 +102,35 @@ def f17(spark, sf):
     return rows.join(m, "cluster_id").select("id", F.when(F.col("label") == F.col("cluster_id"), "direct").when(F.col("label") == F.col("_pl"), "purity").otherwise("mismatch").alias("status"))
 
 
-GOLD = "go AS (SELECT b.item_id AS question_id, list(d.doc_id ORDER BY d.doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1), rk AS (SELECT question_id, (expected[1] + i) % 1000 AS id, i + 1 AS rank FROM go, (SELECT unnest(range(0, 12)) AS i))"
+#: The documents that hold each benchmark item, and the item's hits by BM25.
+GOLD = "go AS (SELECT b.item_id AS question_id, list(d.doc_id ORDER BY d.doc_id) AS expected FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY 1), rk AS (SELECT query_id AS question_id, id, rank FROM br)"
 
 
 def golden(spark, sf):
-    """Benchmark items and the documents that hold them. The items' first lines are few, so Spark finds candidates by an equi
-    join on words at the start of the item before it looks for the whole text."""
-    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item"))
+    """Benchmark items and the documents that hold them. The first and the last word of an item may be parts of longer ones; the
+    words between them are whole, so four of those are the key of an equi join before the whole text is looked for. Items with
+    fewer words meet all documents, as a broadcast table if they are few."""
+    items = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("item")).filter("item IS NOT NULL")
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    key = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 4), " ")
-    words = docs.select("doc_id", F.split("text", r"[ \n]").alias("w"), "text")
-    grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 4, F.lit(0))), lambda i: F.array_join(F.slice("w", i + 1, 4), " ")))).alias("k"))
-    cand = grams.join(F.broadcast(items.select("item_id", F.regexp_replace(key(F.regexp_replace("item", "\n", " ")), "\n", " ").alias("k"))), "k").select("doc_id", "item_id").distinct()  # items: one short row each
-    hits = cand.join(docs, "doc_id").join(items, "item_id").filter(F.col("text").contains(F.col("item")))
+    split = lambda c: F.split(c, r"[ \n]")
+    inner = items.withColumn("w", F.slice(split("item"), F.lit(2), F.greatest(F.size(split("item")) - 2, F.lit(0))))
+    keyed = inner.filter("size(w) >= 4").select("item_id", "item", F.xxhash64(*[F.col("w")[i] for i in range(4)]).alias("k"))
+    grams = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 3, F.lit(0))), lambda x, i: F.xxhash64(x, *[F.get("w", i + j) for j in (1, 2, 3)]))
+    hashed = docs.withColumn("w", split("text")).select("doc_id", F.explode(F.array_distinct(grams)).alias("k"))
+    cand = hashed.join(keyed, "k").select("doc_id", "item_id", "item").distinct()
+    hits = cand.join(docs, "doc_id").filter(F.col("text").contains(F.col("item"))).select("item_id", "doc_id")
+    short = inner.filter("size(w) < 4").select("item_id", "item")
+    if 0 < (n := short.limit(1001).count()):
+        hits = hits.unionByName(docs.join(F.broadcast(short) if n <= 1000 else short, F.col("text").contains(F.col("item"))).select("item_id", "doc_id"))
     return hits.groupBy(F.col("item_id").alias("question_id")).agg(F.sort_array(F.collect_list("doc_id")).alias("expected"))
 
 
-def ranked(g):
-    return g.select("question_id", F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i"), F.col("expected")[0].alias("e")).select("question_id", ((F.col("e") + F.col("i")) % 1000).alias("id"), (F.col("i") + 1).alias("rank"))
+def ranked(spark, sf):
+    """The items' hits by BM25."""
+    return L.search(index(spark, sf), item_terms(spark, sf), 25).select(F.col("query_id").alias("question_id"), "id", "rank")
 
 
-SCORED = f"""{GOLD}, rl AS (SELECT question_id, m, rk.rank AS pos FROM (SELECT question_id, len(expected) AS m, unnest(expected) AS id FROM go) e LEFT JOIN rk ON rk.question_id = e.question_id AND rk.id = e.id AND rk.rank <= 5),
+SCORED = f"""{BM}, {GOLD}, rl AS (SELECT question_id, m, rk.rank AS pos FROM (SELECT question_id, len(expected) AS m, unnest(expected) AS id FROM go) e LEFT JOIN rk ON rk.question_id = e.question_id AND rk.id = e.id AND rk.rank <= 5),
 sc AS (SELECT question_id, count(pos) > 0 AS hit_at_k, count(pos) / max(m) AS recall_at_k, count(pos) / 5 AS precision_at_k, coalesce(1 / min(pos), 0) AS mrr, coalesce(sum(1 / log2(pos + 1)), 0) / list_sum(list_transform(range(1, least(max(m), 5) + 1), lambda p: 1 / log2(p + 1))) AS ndcg_at_k FROM rl GROUP BY question_id)"""
 SCORED = SCORED.replace("SELECT question_id, m, rk.rank", "SELECT e.question_id, m, rk.rank")
 
@@ -132,13 +138,13 @@ SCORED = SCORED.replace("SELECT question_id, m, rk.rank", "SELECT e.question_id,
 @query("h1_score_retrieval", f"WITH {SCORED} SELECT question_id, hit_at_k, round(recall_at_k, 6) AS recall_at_k, round(precision_at_k, 6) AS precision_at_k, round(mrr, 6) AS mrr, round(ndcg_at_k, 6) AS ndcg_at_k FROM sc")
 def h1(spark, sf):
     g = golden(spark, sf)
-    return six(V.score_retrieval(g, ranked(g), 5))
+    return six(V.score_retrieval(g, ranked(spark, sf), 5))
 
 
 @query("h3_summarize", f"WITH {SCORED} SELECT count(*) AS question_count, round(avg(CAST(hit_at_k AS INT)), 6) AS hit_rate_at_k, round(avg(recall_at_k), 6) AS mean_recall_at_k, round(avg(precision_at_k), 6) AS mean_precision_at_k, round(avg(mrr), 6) AS mean_mrr, round(avg(ndcg_at_k), 6) AS mean_ndcg_at_k FROM sc")
 def h3(spark, sf):
     g = golden(spark, sf)
-    return six(V.summarize_retrieval(V.score_retrieval(g, ranked(g), 5).withColumn("hit_at_k", F.col("hit_at_k").cast("int"))))
+    return six(V.summarize_retrieval(V.score_retrieval(g, ranked(spark, sf), 5).withColumn("hit_at_k", F.col("hit_at_k").cast("int"))))
 
 
 @of_articles("h4_signals", "SELECT cluster_id AS question_id, round(1 - count(DISTINCT doi) / count(*), 6) AS duplicate_rate, count_if(source = 'arxiv') AS n_vector, count_if(source = 'openalex') AS n_bm25, count_if(source = 'semanticscholar') AS n_both FROM articles WHERE cluster_id >= 0 GROUP BY 1")

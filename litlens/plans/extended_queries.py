@@ -7,17 +7,20 @@ from pyspark.sql import functions as F
 from litlens.functions import sql as SQL
 from litlens.functions import vectors as V
 from litlens.operators import density as D
+from litlens.operators import dispatch as DS
 from litlens.operators import evaluate as EV
 from litlens.operators import experiments as X
+from litlens.operators import lexicon as L
 from litlens.operators import neighbours as NN
 from litlens.operators import reports as I
 from litlens.operators import retrieval as R
 from litlens.operators import search as G
 from litlens.operators import topics as E
-from litlens.plans.base import AS_OF, ORACLES, articles, clusters, messages, of_articles, query, table
-from litlens.plans.evaluate_queries import GOLD, LAB, SCORED, golden, labelled, six
+from litlens.plans.base import AS_OF, ORACLES, articles, clusters, messages, of_articles, query, six, table
+from litlens.plans.evaluate_queries import GOLD, LAB, golden, labelled
 from litlens.plans.report_queries import DIGEST, YEAR, digest, stored
-from litlens.plans.search_queries import BM, FUSE, ORDER, item_terms, merged, topic_queries
+from litlens.plans.search_queries import BM, FINAL, FUSE, KEY, LEX, ORDER, index, item_terms, merged, sql_terms, title_hits, topic_queries
+from litlens.plans.vector_queries import UNIT
 
 
 @of_articles("d4_embed", "SELECT id, sha256(coalesce(title, '')) AS text_hash, 'hashing' AS embedding_model, CASE WHEN trim(coalesce(title, '')) = '' THEN 0 ELSE 1 END AS length FROM articles")
@@ -112,25 +115,55 @@ WORDS = r"list_distinct(regexp_extract_all(lower(coalesce({}, '')), '[\p{{L}}\p{
 @query("g20_rerank", f"WITH {BM}, p AS (SELECT br.query_id, br.id, br.rank, {WORDS.format('b.text')} AS q, {WORDS.format('a.title')} AS t FROM br JOIN benchmark b ON b.item_id = br.query_id JOIN articles a USING (id)), s AS (SELECT *, len(list_intersect(q, t)) / len(q) AS s FROM p) SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN round(s, 9) END DESC NULLS LAST, rank) AS INTEGER) AS new_rank FROM s")
 def g20(spark, sf):
     a = articles(spark, sf)
-    hits = G.bm25_search(G.build_lexical_index(a), item_terms(spark, sf), 25).select("query_id", "id", "rank")
+    hits = L.search(index(spark, sf), item_terms(spark, sf), 25).select("query_id", "id", "rank")
     texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
     return R.rerank(hits.join(texts, "query_id").join(a.select("id", "title"), "id"), "q", "title", 10).select("query_id", "id", "new_rank")
 
 
-@of_articles("g23_search", f"""WITH {FUSE}, f AS (SELECT *, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM mg), fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM f),
-md AS (SELECT DISTINCT cluster_id AS query_id, CASE WHEN cluster_id = 4 THEN 'none' ELSE ['vector', 'bm25', 'hybrid'][cluster_id % 3 + 1] END AS mode FROM articles WHERE cluster_id >= 0),
-h AS (SELECT query_id, id, rank, 'vector' AS mode FROM vr UNION ALL SELECT query_id, id, rank, 'bm25' FROM br UNION ALL SELECT query_id, id, rank, 'hybrid' FROM fr), fo AS (SELECT query_id, id, rank, mode FROM md JOIN h USING (query_id, mode) WHERE rank <= 10),
-nw AS (SELECT id, row_number() OVER (ORDER BY publish_date DESC, id DESC) AS rank FROM articles WHERE publish_date IS NOT NULL QUALIFY rank <= 10)
-SELECT query_id, id, CAST(rank AS INTEGER) AS rank, mode AS answered_by FROM fo UNION ALL SELECT query_id, id, CAST(rank AS INTEGER), 'latest' FROM md, nw WHERE query_id NOT IN (SELECT query_id FROM fo)""")
-def g23(a):
-    """Vector, BM25 and hybrid queries by turns, and one of a mode that finds nothing."""
-    m = merged(a)
-    modes = a.filter("cluster_id >= 0").select(F.col("cluster_id").alias("query_id")).distinct()
-    modes = modes.withColumn("mode", F.when(F.col("query_id") == 4, "none").otherwise(F.element_at(F.array(F.lit("vector"), F.lit("bm25"), F.lit("hybrid")), (F.col("query_id") % 3 + 1).cast("int"))))
-    first = a.filter("cluster_id >= 0").groupBy(F.col("cluster_id").alias("query_id")).agg(F.min_by("title", "id").alias("text"))
-    bm25 = G.bm25_search(G.build_lexical_index(a), first.select("query_id", G.query_terms(F.col("text")).alias("terms")), 25)
-    fused = G.fuse_rrf(m).select("query_id", "id", F.col("fusion_rank").alias("rank"))
-    return R.search(modes, G.vector_search(a, topic_queries(a), 25), bm25, fused, a, 10)
+#: Queries of seven kinds from the benchmark items: newest first of a source; three named ids; vectors of a source; terms with
+#: categories and citations; hybrid from a date on; hybrid without filters, of which some have no terms; BM25 without terms.
+KIND = "item_id % 7"
+ASKED_SQL = f"""qs AS (SELECT item_id AS query_id, {KIND} AS kind, CASE WHEN {KIND} = 6 OR item_id % 14 = 5 THEN CAST([] AS VARCHAR[]) ELSE {sql_terms('text')} END AS terms, [item_id, item_id + 1, item_id + 19] AS ids FROM benchmark),
+am AS (SELECT *, {KEY} AS key, {FINAL.removeprefix('0.5 + ')} AS fs FROM articles)"""
+EARLY = "(kind <> 1 OR list_contains(ids, a.id)) AND (kind <> 0 OR a.source = 'arxiv') AND (kind <> 2 OR a.source = 'openalex') AND (kind <> 3 OR a.categories ILIKE '%cs.AI%' OR a.categories ILIKE '%stat.ML%') AND (kind <> 4 OR a.publish_date >= timestamp '2018-01-01 00:00:00')"
+LATE = f"{EARLY} AND (kind <> 3 OR a.citation_count >= 10)"
+DISPATCH = f"""{UNIT}, {LEX}, {ASKED_SQL},
+lt AS (SELECT query_id, a.id, key, row_number() OVER (PARTITION BY query_id ORDER BY publish_date DESC, a.id DESC) AS n FROM qs JOIN am a ON {LATE} WHERE kind = 0 AND publish_date IS NOT NULL QUALIFY n <= 25),
+lk AS (SELECT query_id, id, n FROM lt QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY n) = 1),
+lo AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY n) AS rank, 'latest' AS retrieval_source FROM lk QUALIFY rank <= 5),
+di AS (SELECT query_id, a.id, fs FROM qs JOIN am a ON {LATE} WHERE kind = 1 QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY round(fs, 9) DESC, a.id) = 1),
+dr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(fs, 9) DESC, id) AS rank, 'lookup' AS retrieval_source FROM di QUALIFY rank <= 5),
+qv AS (SELECT query_id, kind, ids, v FROM qs JOIN u ON u.id = query_id WHERE kind IN (2, 4, 5)),
+vq AS (SELECT q.query_id, a.id, greatest(0, list_sum(list_transform(range(1, len(u.v) + 1), lambda i: u.v[i] * q.v[i]))) AS score FROM qv q JOIN am a ON {LATE} JOIN u ON u.id = a.id),
+vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM vq QUALIFY rank <= 25),
+qt AS (SELECT query_id, unnest(terms) AS term FROM qs WHERE kind IN (3, 4, 5, 6)),
+bs AS (SELECT query_id, id, sum(greatest(1e-6, ln((n - df + 0.5) / (df + 0.5))) * (3.0 * tf_title + tf_abstract) * 2.2 / ((3.0 * tf_title + tf_abstract) + 1.2 * (0.25 + 0.75 * length / avg_length))) AS score FROM qt JOIN po USING (term) JOIN te USING (term) JOIN ln_ USING (id), tt GROUP BY 1, 2),
+be AS (SELECT query_id, a.id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, a.id) AS r FROM bs JOIN qs USING (query_id) JOIN am a ON a.id = bs.id WHERE {EARLY} QUALIFY r <= 100),
+br AS (SELECT query_id, a.id, score, r AS rank FROM be JOIN qs USING (query_id) JOIN am a ON a.id = be.id WHERE {LATE} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) <= 25),
+ky AS (SELECT id, key FROM am),
+v1 AS (SELECT query_id, key, arg_min(id, rank) AS vid, max(rank) AS vector_rank, arg_max(score, rank) AS vector_score FROM vr JOIN ky USING (id) GROUP BY 1, 2),
+b1 AS (SELECT query_id, key, arg_min(id, rank) AS bid, max(rank) AS bm25_rank, arg_max(score, rank) AS bm25_score FROM br JOIN ky USING (id) GROUP BY 1, 2),
+mg AS (SELECT query_id, coalesce(vid, bid) AS id, vector_rank, vector_score, bm25_rank, bm25_score, CASE WHEN vid IS NOT NULL AND bid IS NOT NULL THEN 'both' WHEN vid IS NOT NULL THEN 'vector' ELSE 'bm25' END AS retrieval_source, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM v1 FULL JOIN b1 USING (query_id, key)),
+fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank, retrieval_source FROM mg QUALIFY rank <= 5),
+an AS (SELECT * FROM lo UNION ALL SELECT * FROM dr UNION ALL SELECT * FROM fr)"""
+
+
+def asked(spark, sf):
+    """The queries as rows, with filters of their own."""
+    kind, item = F.col("item_id") % 7, F.col("item_id")
+    of = lambda k, value: F.when(kind == k, value)
+    none = F.expr("cast(array() as array<string>)")
+    rows = table(spark, sf, "benchmark").join(articles(spark, sf).select(F.col("id").alias("item_id"), "embedding"), "item_id", "left")
+    return rows.select(
+        item.alias("query_id"), "text", F.when(kind.isin(2, 4, 5), F.col("embedding")).alias("vector"), F.when((kind == 6) | (item % 14 == 5), none).otherwise(G.query_terms(F.col("text"))).alias("terms"),
+        F.when(kind == 2, "vector").when(kind.isin(3, 6), "bm25").otherwise("hybrid").alias("mode"), of(0, F.lit("publish_date_desc")).alias("sort_by"), of(1, F.array(item, item + 1, item + 19)).alias("article_ids"),
+        F.when(kind == 0, "arxiv").when(kind == 2, "openalex").alias("source"), of(3, F.array(F.lit("cs.AI"), F.lit("stat.ML"))).alias("categories_any"), of(3, F.lit(10)).alias("min_citation_count"), of(4, F.lit("2018-01-01").cast("timestamp")).alias("publish_date_from"),
+    )
+
+
+@query("g23_search", f"WITH {DISPATCH} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, retrieval_source FROM an")
+def g23(spark, sf):
+    return DS.dispatch(articles(spark, sf), index(spark, sf), asked(spark, sf), AS_OF).select("query_id", "id", "rank", "retrieval_source")
 
 
 ASKED = ("what says s 2 on it", "S9 please", "ilk makale nedir", "ikinci kaynak", "bunlar neler", "bu makale ne diyor", "something else")
@@ -145,16 +178,25 @@ def g26(spark, sf):
     return R.resolve_followups(m, "t").select("id", F.array_join("article_ids", ",").alias("ids"))
 
 
-#: The golden questions answered by BM25, scored.
-EVALUATED = f"{BM}, " + SCORED.replace(GOLD, GOLD.split(", rk AS")[0] + ", rk AS (SELECT query_id AS question_id, id, rank FROM br)")
+#: The benchmark items as questions: routed, with the filters of their kind over those of their text, answered and scored.
+EVALUATED = f"""{DISPATCH.replace("'latest' AS retrieval_source", "'vector' AS retrieval_source").replace("'lookup' AS retrieval_source", "'vector' AS retrieval_source")}, {GOLD.split(", rk AS")[0]},
+ro AS (SELECT item_id AS query_id, {KIND} AS kind FROM benchmark),
+rl AS (SELECT go.question_id, len(expected) AS m, x.id, an.rank AS pos FROM go, unnest(expected) AS x(id) LEFT JOIN an ON an.query_id = go.question_id AND an.id = x.id),
+sc AS (SELECT question_id, count(pos) > 0 AS hit_at_k, round(count(pos) / max(m), 6) AS recall_at_k, round(count(pos) / 5, 6) AS precision_at_k, round(coalesce(1 / min(pos), 0), 6) AS mrr, round(coalesce(sum(1 / log2(pos + 1)), 0) / list_sum(list_transform(range(1, least(max(m), 5) + 1), lambda p: 1 / log2(p + 1))), 6) AS ndcg_at_k FROM rl GROUP BY question_id),
+si AS (SELECT query_id, round(1 - count(DISTINCT id) / count(*), 6) AS duplicate_rate, count_if(retrieval_source = 'vector') AS n_vector, count_if(retrieval_source = 'bm25') AS n_bm25, count_if(retrieval_source = 'both') AS n_both, count(*) AS source_count FROM an GROUP BY 1)"""
 
 
-@query("h2_evaluate_retrieval", f"WITH {EVALUATED} SELECT question_id, hit_at_k, round(recall_at_k, 6) AS recall_at_k, round(mrr, 6) AS mrr, round(ndcg_at_k, 6) AS ndcg_at_k FROM sc")
+@query("h2_evaluate_retrieval", f"WITH {EVALUATED} SELECT ro.query_id AS question_id, TRUE AS uses_rag, CASE WHEN kind = 0 THEN 'publish_date_desc' ELSE 'relevance' END AS sort_by, 5 AS top_k, hit_at_k, recall_at_k, precision_at_k, mrr, ndcg_at_k, coalesce(duplicate_rate, 0) AS duplicate_rate, coalesce(n_vector, 0) AS n_vector, coalesce(n_bm25, 0) AS n_bm25, coalesce(n_both, 0) AS n_both, coalesce(source_count, 0) AS source_count, source_count IS NULL AS retrieved_context_empty FROM ro LEFT JOIN sc ON sc.question_id = ro.query_id LEFT JOIN si ON si.query_id = ro.query_id")
 def h2(spark, sf):
-    """Route, retrieve and score every question in one plan."""
-    hits = G.bm25_search(G.build_lexical_index(articles(spark, sf)), item_terms(spark, sf), 25)
-    ranked = hits.select(F.col("query_id").alias("question_id"), "id", "rank")
-    return six(EV.score_retrieval(golden(spark, sf), ranked, 5)).select("question_id", "hit_at_k", "recall_at_k", "mrr", "ndcg_at_k")
+    """The items' texts name no facet, so every filter is the question's own; all are forced to search, as in the reference runs
+    of a golden set. A question of kind 0 asks for the newest in its text."""
+    q = asked(spark, sf)
+    item = F.col("query_id")
+    text = F.when(item % 7 == 0, "latest papers").when(F.size("terms") == 0, "").otherwise(F.col("text"))
+    expected = golden(spark, sf).withColumnRenamed("question_id", "query_id")
+    over = F.struct("article_ids", "source", "categories_any", "min_citation_count", "publish_date_from")
+    questions = q.join(expected, "query_id", "left").select(item.alias("question_id"), text.alias("question"), "expected", "vector", "mode", over.alias("overrides"), F.lit(None).cast("int").alias("own_top_k"))
+    return six(DS.evaluate_retrieval(questions, articles(spark, sf), index(spark, sf), AS_OF, forced=True))
 
 
 @of_articles("h8_summarize_answers", r"SELECT count(*) AS question_count, round(avg(CASE WHEN doi IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS retrieval_hit_rate, round(coalesce(avg(CAST(contains(lower(coalesce(abstract_text, '')), lower(title)) AS INT)), 0), 6) AS expected_title_mention_rate, CAST(0.5 AS DOUBLE) AS mean_key_term_coverage, round(avg(len(regexp_extract_all(coalesce(abstract_text, ''), '\[S\d+\]'))), 6) AS mean_citation_marker_count, CAST(0 AS DOUBLE) AS sources_section_rate FROM articles")
@@ -163,18 +205,17 @@ def h8(a):
     return X.summarize_answers(a.select(F.col("doi").isNotNull().alias("retrieval_hit"), F.lower(text).contains(F.lower("title")).alias("title_mentioned"), F.lit(0.5).alias("term_recall"), EV.answer_signals(text)["citation_marker_count"].alias("citation_marker_count"), F.lit(False).alias("has_sources_section")))
 
 
-@of_articles("h9_compare_systems", f"""WITH {FUSE}, f AS (SELECT *, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM mg), fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM f),
+@query("h9_compare_systems", f"""WITH {FUSE}, f AS (SELECT *, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM mg), fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM f),
 ex AS (SELECT cluster_id AS question_id, id FROM articles WHERE cluster_id >= 0 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY citation_count DESC NULLS LAST, id) <= 20),
 rk AS (SELECT 'vector' AS system, query_id, id, rank FROM vr UNION ALL SELECT 'bm25', query_id, id, rank FROM br UNION ALL SELECT 'fused', query_id, id, rank FROM fr),
 rl AS (SELECT s.system, ex.question_id, rk.rank AS pos FROM ex CROSS JOIN (SELECT unnest(['vector', 'bm25', 'fused']) AS system) s LEFT JOIN rk ON rk.system = s.system AND rk.query_id = ex.question_id AND rk.id = ex.id AND rk.rank <= 25),
 sc AS (SELECT system, question_id, coalesce(1 / min(pos), 0) AS mrr, count(pos) / count(*) AS recall FROM rl GROUP BY 1, 2) SELECT system, round(avg(mrr), 6) AS mean_mrr, round(avg(recall), 6) AS mean_recall, count(*) AS questions FROM sc GROUP BY 1""")
-def h9(a):
+def h9(spark, sf):
     """Vector, BM25 and fused ranks of the topics' queries; each topic's twenty most cited articles are the expected ones."""
-    first = a.filter("cluster_id >= 0").groupBy(F.col("cluster_id").alias("query_id")).agg(F.min_by("title", "id").alias("text"))
-    bm25 = G.bm25_search(G.build_lexical_index(a), first.select("query_id", G.query_terms(F.col("text")).alias("terms")), 25)
+    a = articles(spark, sf)
     cited = a.filter("cluster_id >= 0").select(F.col("cluster_id").alias("query_id"), "id", "citation_count")
     golden = G.top(cited, [F.desc_nulls_last("citation_count"), F.col("id")], 20).groupBy(F.col("query_id").alias("question_id")).agg(F.sort_array(F.collect_list("id")).alias("expected"))
-    runs = {"vector": G.vector_search(a, topic_queries(a), 25), "bm25": bm25, "fused": G.fuse_rrf(merged(a)).withColumn("rank", F.col("fusion_rank"))}
+    runs = {"vector": G.vector_search(a, topic_queries(a), 25), "bm25": title_hits(spark, sf), "fused": G.fuse_rrf(merged(spark, sf)).withColumn("rank", F.col("fusion_rank"))}
     return six(X.compare_systems(golden, {k: df.select(F.col("query_id").alias("question_id"), "id", "rank") for k, df in runs.items()}, 25))
 
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from litlens.functions import vectors as V
+from litlens.operators import lexicon as L
 from litlens.operators import search as G
-from litlens.plans.base import AS_OF, articles, messages, of_articles, query, table
-from litlens.plans.evaluate_queries import six
+from litlens.operators import tables as T
+from litlens.plans.base import AS_OF, articles, messages, of_articles, query, six, table
 from litlens.plans.vector_queries import UNIT
 
 PREDICATES = {
@@ -67,26 +70,38 @@ po AS (SELECT term, id, CAST(sum(f) AS BIGINT) AS tf_title, CAST(sum(1 - f) AS B
 ln_ AS (SELECT id, CAST(len(t) + len(a) AS BIGINT) AS length FROM lr), te AS (SELECT term, count(*) AS df FROM po GROUP BY term), tt AS (SELECT count(*) AS n, avg(length) AS avg_length FROM ln_)"""
 
 
-@of_articles("g6_index_postings", f"WITH {LEX} SELECT * FROM po")
-def g6(a):
-    return G.build_lexical_index(a).postings
+def index_folder(spark, sf):
+    return f"{T.shared_folder(spark)}/lexical-index-{md5(sf.encode()).hexdigest()}"
+
+
+def index(spark, sf):
+    """The stored index of the articles, built by the first query that needs it."""
+    return L.opened(articles(spark, sf), index_folder(spark, sf))
+
 
+@query("g6_index_postings", f"WITH {LEX} SELECT * FROM po")
+def g6(spark, sf):
+    return L.postings(index(spark, sf))
 
-@of_articles("g6_index_terms", f"WITH {LEX} SELECT * FROM te")
-def g6t(a):
-    return G.build_lexical_index(a).terms
 
+@query("g6_index_terms", f"WITH {LEX} SELECT * FROM te")
+def g6t(spark, sf):
+    return index(spark, sf).terms.select("term", "df")
 
-@of_articles("g6_index_lengths", f"WITH {LEX} SELECT * FROM ln_")
-def g6l(a):
-    return G.build_lexical_index(a).lengths
 
+@query("g6_index_lengths", f"WITH {LEX} SELECT id, length FROM ln_ WHERE length > 0")
+def g6l(spark, sf):
+    return index(spark, sf).blocks.select(F.explode("hits").alias("h")).select("h.id", "h.length").distinct()
 
-@of_articles("g7_index_status", "SELECT count(*) AS article_count, count(embedding) AS embedded_count, max(id) AS max_id, CASE WHEN count(*) = count(embedding) THEN 'ok' ELSE 'stale' END AS status FROM articles")
-def g7(a):
-    """Fingerprint now against the one of an index that was built when all articles were embedded."""
-    now = a.agg(F.count(F.lit(1)).alias("article_count"), F.count("embedding").alias("embedded_count"), F.max("id").alias("max_id"))
-    return now.withColumn("status", F.when(F.col("article_count") == F.col("embedded_count"), "ok").otherwise("stale"))
+
+@query("g7_index_status", "SELECT 'ok' AS before, 'stale' AS after, 'missing' AS elsewhere, 'articles=' || count(*) || ' embedded=' || count(embedding) || ' max_id=' || max(id) AS fingerprint FROM articles")
+def g7(spark, sf):
+    """States of the stored index for its articles, for the articles and one more, and of a folder without an index."""
+    a, folder = articles(spark, sf), index_folder(spark, sf)
+    stored = index(spark, sf)
+    more = a.unionByName(a.orderBy("id").limit(1).withColumn("id", F.lit(-1).cast("long")))
+    states = [L.status(a, folder), L.status(more, folder), L.status(a, f"{folder}-none")]
+    return spark.range(1).select(*[F.lit(x).alias(n) for x, n in zip([*states, stored.fingerprint], ("before", "after", "elsewhere", "fingerprint"), strict=True)])
 
 
 STOP = "(" + ", ".join(f"'{w}'" for w in G.QUERY_STOP) + ")"
@@ -115,13 +130,13 @@ def item_terms(spark, sf):
 
 @query("g9_bm25_search", f"WITH {BM} SELECT query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM br")
 def g9(spark, sf):
-    return six(G.bm25_search(G.build_lexical_index(articles(spark, sf)), item_terms(spark, sf), 25))
+    return six(L.search(index(spark, sf), item_terms(spark, sf), 25))
 
 
 @query("g9_bm25_filtered", f"WITH {BM}, wi AS (SELECT bs.*, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS r, pdf_url FROM bs JOIN articles USING (id) WHERE source = 'arxiv' QUALIFY r <= 40) SELECT query_id, id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM wi WHERE pdf_url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY r) <= 10")
 def g9f(spark, sf):
     a = articles(spark, sf)
-    return six(G.bm25_search_filtered(G.build_lexical_index(a), item_terms(spark, sf), a, G.Filters(source="arxiv", has_pdf=True), 10).select("query_id", "id", "score", "rank"))
+    return six(L.search_filtered(index(spark, sf), item_terms(spark, sf), a, G.Filters(source="arxiv", has_pdf=True), 10).select("query_id", "id", "score", "rank"))
 
 
 @of_articles("g11_keyword_score", "SELECT id, round(CAST(3 * len(regexp_extract_all(' ' || regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', '  ', 'g') || ' ', ' the ')) + len(regexp_extract_all(' ' || regexp_replace(lower(coalesce(abstract_text, '')), '[^\\p{L}\\p{N}_]+', '  ', 'g') || ' ', ' the ')) + CASE WHEN contains(lower(title), 'the') THEN 1 ELSE 0 END + CASE WHEN contains(lower(coalesce(abstract_text, '')), 'the') THEN 0.25 ELSE 0 END AS DOUBLE), 6) AS score FROM articles")
@@ -147,24 +162,29 @@ b1 AS (SELECT query_id, key, arg_min(id, rank) AS bid, max(rank) AS bm25_rank, a
 mg AS (SELECT query_id, key, coalesce(vid, bid) AS id, vector_rank, vector_score, bm25_rank, bm25_score, CASE WHEN vid IS NOT NULL AND bid IS NOT NULL THEN 'both' WHEN vid IS NOT NULL THEN 'vector' ELSE 'bm25' END AS retrieval_source FROM v1 FULL JOIN b1 USING (query_id, key))"""
 
 
-def merged(a):
-    first = a.filter("cluster_id >= 0").groupBy(F.col("cluster_id").alias("query_id")).agg(F.min_by("title", "id").alias("text"))
+def title_hits(spark, sf, n=25):
+    """BM25 hits of each topic's first title."""
+    first = articles(spark, sf).filter("cluster_id >= 0").groupBy(F.col("cluster_id").alias("query_id")).agg(F.min_by("title", "id").alias("text"))
+    return L.search(index(spark, sf), first.select("query_id", G.query_terms(F.col("text")).alias("terms")), n)
+
+
+def merged(spark, sf):
+    a = articles(spark, sf)
     keyed = lambda df: df.join(a.select("id", G.identity_key().alias("key")), "id")
-    bm25 = G.bm25_search(G.build_lexical_index(a), first.select("query_id", G.query_terms(F.col("text")).alias("terms")), 25)
-    return G.merge_candidates(keyed(G.vector_search(a, topic_queries(a), 25)), keyed(bm25))
+    return G.merge_candidates(keyed(G.vector_search(a, topic_queries(a), 25)), keyed(title_hits(spark, sf)))
 
 
-@of_articles("g13_merge_candidates", f"WITH {FUSE} SELECT query_id, id, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, retrieval_source FROM mg")
-def g13(a):
-    return merged(a).select("query_id", "id", "vector_rank", "bm25_rank", "retrieval_source")
+@query("g13_merge_candidates", f"WITH {FUSE} SELECT query_id, id, CAST(vector_rank AS INTEGER) AS vector_rank, CAST(bm25_rank AS INTEGER) AS bm25_rank, retrieval_source FROM mg")
+def g13(spark, sf):
+    return merged(spark, sf).select("query_id", "id", "vector_rank", "bm25_rank", "retrieval_source")
 
 
 ORDER = "round(fusion_score, 9) DESC, round(coalesce(vector_score, 0), 9) DESC, round(coalesce(bm25_score, 0), 9) DESC, id"
 
 
-@of_articles("g14_rrf", f"WITH {FUSE}, f AS (SELECT *, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM mg) SELECT query_id, id, round(fusion_score, 6) AS fusion_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS INTEGER) AS fusion_rank FROM f")
-def g14(a):
-    return six(G.fuse_rrf(merged(a)).select("query_id", "id", "fusion_score", "fusion_rank"))
+@query("g14_rrf", f"WITH {FUSE}, f AS (SELECT *, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM mg) SELECT query_id, id, round(fusion_score, 6) AS fusion_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS INTEGER) AS fusion_rank FROM f")
+def g14(spark, sf):
+    return six(G.fuse_rrf(merged(spark, sf)).select("query_id", "id", "fusion_score", "fusion_rank"))
 
 
 def _mm(c: str) -> str:
@@ -172,9 +192,9 @@ def _mm(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN 0 WHEN max({c}) {w} = min({c}) {w} THEN 1 ELSE ({c} - min({c}) {w}) / (max({c}) {w} - min({c}) {w}) END"
 
 
-@of_articles("g15_weighted", f"WITH {FUSE}, f AS (SELECT *, 0.65 * {_mm('vector_score')} + 0.35 * {_mm('bm25_score')} AS fusion_score FROM mg) SELECT query_id, id, round(fusion_score, 6) AS fusion_score FROM f")
-def g15(a):
-    return six(G.fuse_weighted(merged(a)).select("query_id", "id", "fusion_score"))
+@query("g15_weighted", f"WITH {FUSE}, f AS (SELECT *, 0.65 * {_mm('vector_score')} + 0.35 * {_mm('bm25_score')} AS fusion_score FROM mg) SELECT query_id, id, round(fusion_score, 6) AS fusion_score FROM f")
+def g15(spark, sf):
+    return six(G.fuse_weighted(merged(spark, sf)).select("query_id", "id", "fusion_score"))
 
 
 FINAL = f"""0.5 + CASE WHEN publish_date IS NOT NULL THEN greatest(0, 0.05 * (1 - least(greatest(0, floor((epoch(timestamp '{AS_OF}') - epoch(publish_date)) / 86400)), 365) / 365)) ELSE 0 END
