@@ -161,6 +161,7 @@ def draw(weighed: DataFrame, key: str = "doc_id", percent: int = 25, min_words:
     the smaller key; null for all others."""
     may = F.col("n_words") >= min_words
     order = [F.when(may, 0).otherwise(1), F.col("score").desc(), F.col(key).asc_nulls_first()]
+    weighed = checkpoint(weighed)  # the sort reads it twice, to find its ranges and to deal the rows
     # in one stage: the partition in the upper bits, the place in it in the lower ones
     placed = checkpoint(weighed.repartitionByRange(partitions(weighed), *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
