@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, discard, left_join_marked, partitions, read_table, semi_by_bitmap
+from litlens.llm.common import checkpoint, discard, left_join_marked, partitions, read_table, semi_by_bitmap, small_batches
 from litlens.llm.words import letters, mix, pieces, planes, powers, release, slices, unplanes
 
 #: Length of an anchor's k-gram in bytes. Anchors of one task that are sent together.
@@ -260,14 +260,14 @@ def compare_contexts(docs: DataFrame, found: DataFrame, length: int) -> DataFram
 
 
 def equal_contexts(docs: DataFrame, length: int, ranges: int, bits: int, tries: int = 5) -> tuple[DataFrame, DataFrame]:
-    """find()'s table, and the compared runs of equal contexts, all of them with their twins' bytes."""
+    """find()'s table, and the compared runs of equal contexts; every run that is not the `same` is so in another of its rows."""
     for seed in range(tries):
         found = checkpoint(find(docs, length, ranges, seed, bits if seed == 0 else CONTEXT_BITS))
         runs = checkpoint(compare_contexts(docs, found, length))
         unlike = runs.filter("not same")
         # rows that repeat an id meet as pairs too: a run counts as compared if one of them agrees
         if unlike.isEmpty() or unlike.join(runs.filter("same"), ["doc_id", "begin", "end", "twin", "twin_begin"], "left_anti").isEmpty():
-            return found, runs.filter("same")
+            return found, runs
         discard(found, runs)
     raise RuntimeError("contexts with equal hashes and different bytes after all tries")
 
@@ -413,11 +413,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, bits: int = CONTEXT_BITS)
     """(doc_id, spans array<struct<begin, end>>) in bytes of the documents that lose something; spans may overlap."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id is not null")
     size = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    found, runs = equal_contexts(slim, length, max(1, size // 3_000_000), bits)
-    asked = found.filter("kind >= 2")
-    n = asked.count()
-    spans = runs.select("doc_id", "begin", "end").unionByName(sort_contexts(slim, asked, length, max(partitions(docs), n // 10_000)))
-    return checkpoint(spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
+    with small_batches(docs.sparkSession):
+        found, runs = equal_contexts(slim, length, max(1, size // 3_000_000), bits)
+        asked = found.filter("kind >= 2")
+        n = asked.count()
+        spans = runs.filter("same").select("doc_id", "begin", "end").unionByName(sort_contexts(slim, asked, length, max(partitions(docs), n // 10_000)))
+        out = checkpoint(spans.groupBy("doc_id").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
+    discard(found, runs)
+    return out
 
 
 def cut(docs: DataFrame, spans: DataFrame) -> DataFrame:
