@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import html
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 TITLE_MIN, ABSTRACT_MIN, ABSTRACT_WORDS = 10, 100, 250
 SPACE = r"[\s\p{Z}]+"
-#: Entities that are decoded natively, the ampersand last.
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
 #: Words of a survey's title.
 SURVEY_TERMS = ("survey", "review", "overview", "taxonomy", "systematic literature review", "comprehensive review")
 #: Academic phrases that carry no topic.
@@ -49,17 +45,70 @@ def split_space(c: Column) -> Column:
     return F.filter(F.split(text_or_empty(c), SPACE), lambda x: x != "")
 
 
-def unescape(c: Column) -> Column:
-    """Common HTML entities, natively."""
-    for name, char in ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(char))
-    return c
+def entity_tables() -> tuple[dict[str, str], list[str]]:
+    """Names of HTML entities without their ampersand, as Python knows them; those that also count as the beginning of a longer
+    name, the longest first."""
+    return html5, sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
+
+
+def numbered(n: int) -> str | None:
+    """What a number stands for where it is not its own character: 128 to 159 are Windows letters, some numbers nothing."""
+    if n == 0:
+        return "\ufffd"
+    if n == 13:
+        return "\r"
+    if 0x80 <= n <= 0x9F:
+        letter = bytes([n]).decode("cp1252", "ignore")
+        return letter or chr(n)
+    gone = 1 <= n <= 8 or n == 11 or 14 <= n <= 31 or n == 127 or 0xFDD0 <= n <= 0xFDEF or n & 0xFFFE == 0xFFFE
+    return "" if gone else None
+
+
+#: What may follow an ampersand.
+REFERENCE = r"^(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
 
+#: Between the entries of a table that is written as one string; no entity has it.
+_BAR = "\x01"
 
-@F.pandas_udf(StringType())
-def unescape_all(c: pd.Series) -> pd.Series:
-    """The whole table of HTML entities, in Arrow batches."""
-    return c.map(lambda x: x if x is None else html.unescape(x))
+
+def _map(d: dict) -> Column:
+    """A map as two strings, which the planner folds into one literal."""
+    list_ = lambda some: F.split(F.lit(_BAR.join(map(str, some))), _BAR)
+    keys = list_(d)
+    return F.map_from_arrays(keys.cast("array<int>") if all(isinstance(k, int) for k in d) else keys, list_(d.values()))
+
+
+def _of_number(digits: Column, radix: int) -> Column:
+    """The character of a number in text form, of any length."""
+    short = F.regexp_replace(digits, "^0+(?=.)", "")
+    n = F.when(F.length(short) <= 7, F.conv(short, radix, 10).cast("int"))
+    special = {i: x for i in range(160) if (x := numbered(i)) is not None}
+    lost = n.between(0xFDD0, 0xFDEF) | (n.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    char = F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
+    return F.when(n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), "\ufffd").when(n < 160, F.coalesce(F.element_at(_map(special), n), char)).when(lost, "").when(n == 0xFEFF, "\ufeff").otherwise(char)
+
+
+def unescape(c: Column) -> Column:
+    """All HTML entities as html.unescape() reads them. Texts without an ampersand pass through; each piece that follows one
+    is looked up by its whole name, then by the longest name that it begins with."""
+    names, openings = entity_tables()
+    table = _map(names)
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, REFERENCE, 1)
+        rest = F.substring(piece, F.length(name) + 1, F.length(piece))
+        digits = F.regexp_replace(name, "[#;xX]", "")
+        number = F.when(name.rlike("^#[xX]"), _of_number(digits, 16)).otherwise(_of_number(digits, 10))
+        begun = F.regexp_extract(name, f"^({'|'.join(openings)}).", 1)
+        # one look at the table, which is large in a plan: the first of the two names that it has
+        found = F.get(F.filter(F.transform(F.array(name, begun), lambda k: F.struct(k.alias("k"), F.element_at(table, k).alias("v"))), lambda x: x["v"].isNotNull()), F.lit(0))
+        named = F.coalesce(F.transform(F.array(found), lambda x: F.concat(x["v"], F.substring(piece, F.length(x["k"]) + 1, F.length(piece))))[0], F.concat(F.lit("&"), piece))
+        return F.when(name == "", F.concat(F.lit("&"), piece)).when(name.startswith("#"), F.concat(number, rest)).otherwise(named)
+
+    pieces = F.split(c, "&")
+    whole = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), decoded), ""))
+    return F.when(c.contains("&"), whole).otherwise(c)
 
 
 def light_clean(c: Column) -> Column:

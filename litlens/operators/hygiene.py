@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litlens.functions import text as T
+from litlens.operators.tables import cut
 
 ID_KEYS = ("arxiv_id", "doi", "paper_id")
 TOPIC_COLUMNS = ("id", "source", "external_id", "title_clean", "abstract_clean", "embedding_text", "representation_text", "primary_category", "category_family", "is_survey", "lang")
@@ -44,11 +45,11 @@ def split_by_rules(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]
 
 
 def _first_of_key(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """df with _later: whether an earlier row has the same non-empty key. Rows without a key get a key of their own, so they
-    neither meet in one task nor count as copies."""
-    own = F.coalesce(F.nullif(F.btrim(key.cast("string")), F.lit("")), F.concat(F.lit("\0"), F.col(order).cast("string")))
-    w = Window.partitionBy(own)
-    return df.withColumn("_later", F.col(order) > F.min(order).over(w))
+    """df with _later: whether an earlier row has the same non-empty key. First rows are summed up within tasks and joined back,
+    so a key of very many rows is no single task's."""
+    keyed = df.withColumn("_key", F.nullif(F.btrim(key.cast("string")), F.lit("")))
+    first = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias("_first"))
+    return keyed.join(first, "_key", "left").withColumn("_later", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 
 def dedupe_ids(df: DataFrame, keys: tuple[str, ...] = ID_KEYS, order: str = "id") -> tuple[DataFrame, DataFrame]:
@@ -100,19 +101,23 @@ def hygiene_metrics(before: DataFrame, after: DataFrame, duplicates: DataFrame)
 
 
 def clean_papers(articles: DataFrame) -> Hygiene:
-    """The whole path; reads its input lazily, so the four tables share scans only where the caller persists."""
-    rows = normalize_records(articles)
-    kept, removed = split_by_rules(rows, short_reason("title", "abstract", "or_empty"))
-    kept, by_id = dedupe_ids(kept)
-    kept, by_title = dedupe_titles(kept)
-    kept, removed2 = split_by_rules(prepare_texts(kept), short_reason("title_clean", "abstract_clean", "after_cleaning"))
+    """The whole path. Texts are cleaned once, into a table; rules and de-duplication work on keys and lengths, and what they
+    say of each id is joined back to the texts once."""
+    rows = cut(normalize_records(articles))
+    light = cut(rows.select("id", *ID_KEYS, T.title_key(F.col("title")).alias("title_norm"), short_reason("title", "abstract", "or_empty").alias("removal_reason")))
+    kept, by_id = dedupe_ids(light.filter("removal_reason IS NULL"))
+    later = _first_of_key(kept, F.col("title_norm"), "id").filter("_later").select("id", F.lit("duplicate_normalized_title").alias("duplicate_reason"))
+    dups = by_id.select("id", "duplicate_reason").unionByName(later)
+    told = cut(rows.join(light.select("id", "title_norm", "removal_reason"), "id").join(dups, "id", "left"))
+    kept = cut(prepare_texts(told.filter("removal_reason IS NULL AND duplicate_reason IS NULL").drop("removal_reason", "duplicate_reason")))
+    base = rows.columns
+    kept, removed2 = split_by_rules(kept, short_reason("title_clean", "abstract_clean", "after_cleaning"))
     kept, removed3 = filter_language(kept)
     clean = kept.withColumn("category_family", T.category_family(F.col("primary_category")))
-    base = [c for c in rows.columns]
     pick = lambda df, tag: df.select(*base, tag)
-    gone = pick(removed, "removal_reason").unionByName(pick(removed2, "removal_reason")).unionByName(pick(removed3, "removal_reason"))
-    dups = pick(by_id, "duplicate_reason").unionByName(pick(by_title, "duplicate_reason"))
-    return Hygiene(clean, gone, dups, hygiene_metrics(rows, clean, dups))
+    gone = pick(told.filter("removal_reason IS NOT NULL"), "removal_reason").unionByName(pick(removed2, "removal_reason")).unionByName(pick(removed3, "removal_reason"))
+    copies = pick(told.filter("duplicate_reason IS NOT NULL"), "duplicate_reason")
+    return Hygiene(clean, gone, copies, hygiene_metrics(rows, clean, copies))
 
 
 def topic_input(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litlens.functions import text as T
 from litlens.operators import hygiene as H
-from litlens.plans.base import of_articles
+from litlens.plans.base import of_articles, query, table
 
 S = r"[\s\p{Z}]+"
 
@@ -15,12 +15,31 @@ def _q(x: str) -> str:
     return x.replace("'", "''")
 
 
+#: The entities that the texts of the documents may hold, the ampersand last.
+COMMON_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
 def sql_unescape(c: str) -> str:
-    for name, char in T.ENTITIES:
+    for name, char in COMMON_ENTITIES:
         c = f"replace({c}, '{_q(name)}', '{_q(char)}')"
     return c
 
 
+def sql_unescape_all(c: str) -> str:
+    """All entities: names, beginnings of names, numbers."""
+    names, openings = T.entity_tables()
+    keys = ", ".join(f"'{_q(k)}'" for k in names)
+    values = ", ".join("chr({})".format(") || chr(".join(str(ord(x)) for x in v)) for v in names.values())
+    special = {i: x for i in range(160) if (x := T.numbered(i)) is not None}
+    odd = " ".join(f"WHEN n = {i} THEN {' || '.join(f'chr({ord(y)})' for y in x) or chr(39) * 2}" for i, x in special.items())
+    number = f"CASE WHEN n IS NULL OR n > 1114111 OR n BETWEEN 55296 AND 57343 THEN chr(65533) {odd} WHEN n BETWEEN 64976 AND 65007 OR n % 65536 >= 65534 THEN '' ELSE chr(CAST(n AS INTEGER)) END"
+    return f"""(WITH k AS (SELECT map([{keys}], [{values}]) AS names),
+pc AS (SELECT page_id, i, p, regexp_extract(p, '{T.REFERENCE}') AS m FROM (SELECT page_id, unnest(string_split({c}, '&')) AS p, unnest(range(len(string_split({c}, '&')))) AS i FROM pages)),
+nm AS (SELECT *, CASE WHEN starts_with(lower(m), '#x') THEN TRY_CAST('0x' || ltrim(trim(substr(m, 3), ';'), '0') || CASE WHEN ltrim(trim(substr(m, 3), ';'), '0') = '' THEN '0' ELSE '' END AS BIGINT) WHEN starts_with(m, '#') THEN TRY_CAST(trim(substr(m, 2), ';') AS BIGINT) END AS n, regexp_extract(m, '^({'|'.join(openings)}).', 1) AS b FROM pc),
+dc AS (SELECT page_id, i, CASE WHEN i = 0 THEN p WHEN m = '' THEN '&' || p WHEN starts_with(m, '#') THEN {number} || substr(p, length(m) + 1) WHEN names[m] IS NOT NULL THEN names[m] || substr(p, length(m) + 1) WHEN b <> '' THEN names[b] || substr(p, length(b) + 1) ELSE '&' || p END AS t FROM nm, k)
+SELECT page_id, string_agg(t, '' ORDER BY i) AS text FROM dc GROUP BY page_id)"""
+
+
 def sql_collapse(c: str) -> str:
     return f"trim(regexp_replace({c}, '{S}', ' ', 'g'))"
 
@@ -196,6 +215,13 @@ def c19(a):
     return H.topic_input(H.clean_papers(a).clean).select("id", "source", "external_id", "title_clean", "primary_category", "category_family")
 
 
+@query("u1_unescape_pages", f"SELECT page_id, md5(text) AS digest, length(text) AS n FROM {sql_unescape_all('html')}")
+def u1_pages(spark, sf):
+    """Entities of whole web pages."""
+    t = table(spark, sf, "pages").filter("html IS NOT NULL").select("page_id", T.unescape(F.col("html")).alias("text"))
+    return t.select("page_id", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n"))
+
+
 @of_articles("u1_unescape", f"SELECT id, {sql_unescape('title')} AS title FROM articles")
 def u1(a):
     return a.select("id", T.unescape(F.col("title")).alias("title"))
