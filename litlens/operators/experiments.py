@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from litlens.functions import vectors as V
 from litlens.operators import evaluate as EV
 from litlens.operators import topics as E
+from litlens.operators.tables import cut
 
 
 def kmeans_topics(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
@@ -77,27 +78,48 @@ def clean_title(c: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(plain), r"\s+", " "))
 
 
+#: Length of the letter runs by which titles are found that hold a text.
+GRAM = 5
+
+
+def _grams(text: Column, n: int) -> Column:
+    """The runs of n letters of a text; none of a shorter one."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))).otherwise(F.expr("cast(array() as array<string>)"))
+
+
+def holders(needles: DataFrame, titles: DataFrame) -> DataFrame:
+    """(gold_id, id): titles (id, t) that may hold all texts of a needle (gold_id, kind, texts array): those with the rarest letter
+    run of it. A title without that run can't hold the needle, so nothing is missed."""
+    short = F.least(F.lit(GRAM), F.length("x"))
+    asked = needles.select("gold_id", "kind", F.explode("texts").alias("x")).filter("x <> ''")
+    asked = asked.select("gold_id", "kind", F.explode(F.transform(F.sequence(F.lit(1), F.length("x") - short + 1), lambda i: F.substring(F.col("x"), i, short))).alias("gram")).distinct()
+    sizes = [r[0] for r in asked.select(F.length("gram")).distinct().collect()]  # GRAM numbers at most
+    runs = F.array_distinct(F.concat(*[_grams(F.col("t"), n) for n in sizes])) if sizes else F.expr("cast(array() as array<string>)")
+    found = cut(titles.select("id", F.explode(runs).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi"))
+    counts = found.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = asked.join(counts, "gram", "left").groupBy("gold_id", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    return rarest.select("gold_id", F.col("r.gram").alias("gram")).join(found, "gram").select("gold_id", "id").distinct()
+
+
 def match_golden(golden: DataFrame, articles: DataFrame) -> DataFrame:
     """(gold_id, id, stage) of golden rows (gold_id, article_id string, title): by id, else by the title without regard to
     case, else by its first 30 characters, else by all its words of over four letters (of the first five such articles). In the
     last two, one cleaned title must hold the other. Of several articles the smallest id counts; a row that none fits has a null
-    id. Signs in a title stand for themselves. What the first two stages leave meets each article in blocks of 64 rows."""
+    id. Signs in a title stand for themselves. What the first two stages leave meets only the titles with its rarest letter run."""
     rows = golden.select("gold_id", F.btrim(F.coalesce("title", F.lit(""))).alias("title"), F.expr("try_cast(btrim(article_id) AS BIGINT)").alias("wanted"))
     by_id = articles.select("id", F.col("id").alias("wanted"))
     by_title = articles.groupBy(F.lower("title").alias("_t")).agg(F.min("id").alias("same_title"))
     exact = rows.join(by_id, "wanted", "left").join(by_title, F.lower(rows["title"]) == F.col("_t"), "left")
-    exact = exact.select("gold_id", "title", F.coalesce("id", F.when(F.col("title") != "", F.col("same_title"))).alias("id"), F.when(F.col("id").isNotNull(), "id").when((F.col("title") != "") & F.col("same_title").isNotNull(), "exact").alias("stage"))
+    exact = cut(exact.select("gold_id", "title", F.coalesce("id", F.when(F.col("title") != "", F.col("same_title"))).alias("id"), F.when(F.col("id").isNotNull(), "id").when((F.col("title") != "") & F.col("same_title").isNotNull(), "exact").alias("stage")))
     low = F.lower("title")
     words = F.array_distinct(F.filter(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: F.length(w) > 4))
     asked = exact.filter("id IS NULL AND title <> ''").select("gold_id", F.lower(F.substring("title", 1, 30)).alias("prefix"), words.alias("words"), clean_title(F.col("title")).alias("clean"))
-    blocks = asked.groupBy(F.pmod(F.xxhash64("gold_id"), F.lit(max(1, asked.count() // 64))).alias("b"))
-    blocks = blocks.agg(F.collect_list(F.struct("gold_id", "prefix", "words", "clean")).alias("qs"))
-    near = lambda t, q: t.contains(q["prefix"])
-    worded = lambda t, q: (F.size(q["words"]) > 0) & F.forall(q["words"], lambda w: t.contains(w))
-    titled = articles.filter("title IS NOT NULL").select("id", F.lower("title").alias("t"), clean_title(F.col("title")).alias("c")).crossJoin(blocks)
-    met = titled.select("id", "t", "c", F.explode(F.filter("qs", lambda q: near(F.col("t"), q) | worded(F.col("t"), q))).alias("q"))
-    holds = F.col("c").contains(F.col("q.clean")) | F.col("q.clean").contains(F.col("c"))
-    met = met.select("id", "q.gold_id", near(F.col("t"), F.col("q")).alias("near"), worded(F.col("t"), F.col("q")).alias("worded"), holds.alias("holds"))
+    titles = articles.filter("title IS NOT NULL").select("id", F.lower("title").alias("t"), clean_title(F.col("title")).alias("c"))
+    needles = asked.select("gold_id", F.lit("prefix").alias("kind"), F.array("prefix").alias("texts")).unionByName(asked.select("gold_id", F.lit("words").alias("kind"), F.col("words").alias("texts")))
+    met = holders(needles, titles.select("id", "t")).join(titles, "id").join(asked, "gold_id")
+    near, worded = F.col("t").contains(F.col("prefix")), (F.size("words") > 0) & F.forall("words", lambda w: F.col("t").contains(w))
+    holds = F.col("c").contains(F.col("clean")) | F.col("clean").contains(F.col("c"))
+    met = met.select("id", "gold_id", near.alias("near"), worded.alias("worded"), holds.alias("holds")).filter("near OR worded")
     w = Window.partitionBy("gold_id", "worded").orderBy("id")
     met = met.withColumn("nth", F.row_number().over(w))
     fuzzy = met.groupBy("gold_id").agg(F.min(F.when(F.col("near") & F.col("holds"), F.col("id"))).alias("p"), F.min(F.when(F.col("worded") & (F.col("nth") <= 5) & F.col("holds"), F.col("id"))).alias("k"))

@@ -8,6 +8,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from litlens.operators.tables import cut
+
 PERIODS = {"3m": 90, "6m": 180, "12m": 365, "all": None}
 #: Cluster colours by id.
 COLORS = ("#10b981", "#3b82f6", "#f59e0b", "#ef4444", "#8b5cf6", "#ec4899", "#14b8a6", "#6366f1", "#06b6d4", "#f43f5e", "#059669", "#2563eb", "#d97706", "#dc2626", "#7c3aed", "#db2777", "#0d9488", "#4f46e5", "#0891b2", "#e11d48")
@@ -200,10 +202,39 @@ def weekly_best(df: DataFrame, scores: DataFrame, as_of: str, n: int = 6) -> Dat
     return j.select("id", F.coalesce("score", F.lit(0.8)).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(n)
 
 
+def facets(articles: DataFrame, as_of: str, source: str | None = None, category: str | None = None, period: str = "12m") -> DataFrame:
+    """(kind, cluster_id, month_key, source, category, n, weekly, clustered, pdf): all counts of the dashboard from one
+    scan and one aggregation by grouping sets. Rows of the source facet disregard the filter on the source, those of the category
+    facet the one on the category. kind: all, cluster, month, source or category."""
+    named = F.lit(True) if not source else F.coalesce(F.col("source") == source, F.lit(False))
+    listed = F.lit(True) if not category else F.coalesce(in_category(category), F.lit(False))
+    rows = dashboard_filter(articles, as_of, period=period).filter(named | listed).select(
+        "cluster_id", month_key().alias("month_key"), F.coalesce("source", F.lit("unknown")).alias("source"), F.coalesce("primary_category", F.lit("unknown")).alias("category"),
+        named.alias("_named"), listed.alias("_listed"), (F.col("publish_date") >= days_before(as_of, 7)).alias("_week"), F.col("pdf_url").isNotNull().alias("_pdf"),
+    )
+    keys = ("cluster_id", "month_key", "source", "category")
+    shown, asked = F.col("_named") & F.col("_listed"), [F.grouping(k).alias(f"_g_{k}") for k in keys]
+    sets = rows.groupingSets([[], *[[F.col(k)] for k in keys]], *keys).agg(*asked, F.count_if(shown).alias("_all"), F.count_if("_listed").alias("_by_source"), F.count_if("_named").alias("_by_category"), F.count_if(shown & F.col("_week")).alias("weekly"), F.count_if(shown & F.col("_pdf")).alias("pdf"))
+    kind = F.when(F.col("_g_cluster_id") == 0, "cluster").when(F.col("_g_month_key") == 0, "month").when(F.col("_g_source") == 0, "source").when(F.col("_g_category") == 0, "category").otherwise("all")
+    n = F.when(kind == "source", F.col("_by_source")).when(kind == "category", F.col("_by_category")).otherwise(F.col("_all"))
+    return sets.select(kind.alias("kind"), *keys, n.alias("n"), "weekly", "pdf")
+
+
 def dashboard(articles: DataFrame, clusters: DataFrame, as_of: str, source: str | None = None, category: str | None = None, period: str = "12m") -> dict[str, DataFrame]:
-    """The tables of the dashboard by name, over one filter."""
-    shown = dashboard_filter(articles, as_of, source, category, period)
-    return {"kpis": kpis(shown, as_of), "cluster_counts": cluster_counts(shown, clusters), "monthly_counts": monthly_counts(shown), "sources": source_distribution(shown), "categories": category_distribution(shown), "pie": top_clusters(clusters)}
+    """The tables of the dashboard by name, all from the one table of facets, which has a row a value."""
+    f = cut(facets(articles, as_of, source, category, period))
+    of = lambda kind: f.filter(F.col("kind") == kind)
+    cluster = of("cluster").filter("cluster_id IS NOT NULL AND n > 0")
+    active = cluster.agg(F.count(F.lit(1)).alias("active_clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("clustered_papers"))
+    per = F.when(F.col("active_clusters") > 0, F.col("clustered_papers") / F.col("active_clusters")).otherwise(0.0)
+    total = of("all").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total_papers"), F.coalesce(F.sum("weekly"), F.lit(0)).alias("weekly_picks"), F.coalesce(F.sum("pdf"), F.lit(0)).alias("pdf_available"))
+    kpi = total.crossJoin(active).select("total_papers", "active_clusters", per.alias("avg_papers_per_cluster"), "weekly_picks", "clustered_papers", "pdf_available")  # one row each
+    months = of("month").filter("month_key IS NOT NULL AND n > 0").select("month_key", F.col("n").alias("count")).orderBy(F.desc("month_key")).limit(12)
+    return {
+        "kpis": kpi, "cluster_counts": clusters.join(cluster.select("cluster_id", F.col("n").alias("paper_count")), "cluster_id"), "monthly_counts": months,
+        "sources": of("source").filter("n > 0").select("source", F.col("n").alias("count")),
+        "categories": of("category").filter("n > 0").select("category", F.col("n").alias("count")).orderBy(F.desc("count"), "category").limit(20), "pie": top_clusters(clusters),
+    }
 
 
 def digest_sources(selected: DataFrame, central: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -63,14 +64,45 @@ def overlap(query: Column, text: Column) -> Column:
     return F.when(F.size(words(query)) > 0, F.size(F.array_intersect(words(query), words(text))) / F.size(words(query))).otherwise(0.0)
 
 
+class WordSets:
+    """A pair model: Jaccard similarity of the two texts' word sets."""
+
+    word = re.compile(r"[^\W]+")
+
+    def __call__(self, queries: list[str], texts: list[str]) -> list[float]:
+        sets = [[set(self.word.findall((t or "").lower())) for t in some] for some in (queries, texts)]
+        return [len(a & b) / len(a | b) if a or b else 0.0 for a, b in zip(*sets, strict=True)]
+
+
+def model_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]]) -> Callable[[Column, Column], Column]:
+    """A pair scorer from a model that load() makes, once for each task of a worker. Pairs of a batch on which the model fails
+    get no score; so do all, if it can't be loaded."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        try:
+            model = load()
+        except Exception:
+            model = None
+        for q, t in batches:
+            try:
+                yield pd.Series(model(q.tolist(), t.tolist()), dtype="float64")
+            except Exception:  # whatever the model raises, ranking goes on without it
+                yield pd.Series([None] * len(q), dtype="float64")
+
+    return score
+
+
 def rerank(ranked: DataFrame, query: str, text: str, n: int = 50, scorer: Callable[[Column, Column], Column] = overlap) -> DataFrame:
-    """Ranked (query_id, id, rank, ...) with `new_rank`: the first n by pair score, then by their old rank; the rest stay
-    behind them. Rows that the scorer gives no score keep the old order after the scored ones. A model is plugged in as a
-    scorer that wraps a scalar-iterator pandas_udf."""
+    """Ranked (query_id, id, rank, ...) with `pair_score` and `new_rank`: the first n of a query by pair score, then by their
+    old rank; the rest stay behind them. A query of which a pair got no score keeps its order. Only pairs of the first n are
+    scored."""
+    scored = ranked.filter(F.col("rank") <= n).withColumn("pair_score", scorer(F.col(query), F.col(text)))
+    rows = scored.unionByName(ranked.filter(F.col("rank") > n).withColumn("pair_score", F.lit(None).cast("double")))
     head = F.col("rank") <= n
-    scored = ranked.withColumn("pair_score", F.when(head, scorer(F.col(query), F.col(text))))
-    w = Window.partitionBy("query_id").orderBy(F.when(head, 0).otherwise(1), F.desc_nulls_last(F.round("pair_score", 9)), "rank")
-    return scored.withColumn("new_rank", F.row_number().over(w))
+    failed = F.coalesce(F.bool_or(head & F.col("pair_score").isNull()).over(Window.partitionBy("query_id")), F.lit(False))
+    w = Window.partitionBy("query_id").orderBy(F.when(head, 0).otherwise(1), F.desc_nulls_last(F.when(~F.col("_failed"), F.round("pair_score", 9))), "rank")
+    return rows.withColumn("_failed", failed).withColumn("new_rank", F.row_number().over(w)).drop("_failed")
 
 
 def resolve_followups(messages: DataFrame, text: str, sources: str = "sources") -> DataFrame:

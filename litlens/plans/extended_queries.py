@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from litlens.functions import sql as SQL
@@ -15,6 +18,7 @@ from litlens.operators import neighbours as NN
 from litlens.operators import reports as I
 from litlens.operators import retrieval as R
 from litlens.operators import search as G
+from litlens.operators import tables as T
 from litlens.operators import topics as E
 from litlens.plans.base import AS_OF, ORACLES, articles, clusters, messages, of_articles, query, six, table
 from litlens.plans.evaluate_queries import GOLD, LAB, golden, labelled
@@ -120,6 +124,16 @@ def g20(spark, sf):
     return R.rerank(hits.join(texts, "query_id").join(a.select("id", "title"), "id"), "q", "title", 10).select("query_id", "id", "new_rank")
 
 
+@query("u3_pair_scores", f"WITH {BM}, p AS (SELECT br.query_id, br.id, br.rank, {WORDS.format('b.text')} AS q, {WORDS.format('a.title')} AS t FROM br JOIN benchmark b ON b.item_id = br.query_id JOIN articles a USING (id)), s AS (SELECT *, CASE WHEN len(q) + len(t) = 0 THEN 0 ELSE len(list_intersect(q, t)) / (len(q) + len(t) - len(list_intersect(q, t))) END AS s FROM p) SELECT query_id, id, CASE WHEN rank <= 10 THEN round(s, 6) END AS pair_score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN rank <= 10 THEN 0 ELSE 1 END, CASE WHEN rank <= 10 THEN round(s, 9) END DESC NULLS LAST, rank) AS INTEGER) AS new_rank FROM s")
+def u3(spark, sf):
+    """The same ranking by a model in Python workers: the word sets' Jaccard similarity."""
+    T.ship(spark)
+    hits = L.search(index(spark, sf), item_terms(spark, sf), 25).select("query_id", "id", "rank")
+    texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    pairs = hits.join(texts, "query_id").join(articles(spark, sf).select("id", "title"), "id")
+    return R.rerank(pairs, "q", "title", 10, R.model_scorer(R.WordSets)).select("query_id", "id", F.round("pair_score", 6).alias("pair_score"), "new_rank")
+
+
 #: Queries of seven kinds from the benchmark items: newest first of a source; three named ids; vectors of a source; terms with
 #: categories and citations; hybrid from a date on; hybrid without filters, of which some have no terms; BM25 without terms.
 KIND = "item_id % 7"
@@ -226,16 +240,26 @@ def i14(a):
     return a.select("source", "primary_category").distinct().withColumn("key", F.concat(F.lit("v1:"), F.substring(F.sha2(text, 256), 1, 24)))
 
 
-@query("i15_dashboard", " UNION ALL ".join(f"SELECT '{part}' AS part, (SELECT count(*) FROM ({ORACLES[q]})) AS n" for part, q in (("cluster_counts", "i3_cluster_counts"), ("monthly_counts", "i5_monthly_counts"), ("pie", "i4_pie"), ("kpis", "i2_kpis"))) + f" UNION ALL SELECT 'sources', count(DISTINCT source) FROM articles WHERE {YEAR} UNION ALL SELECT 'categories', count(DISTINCT primary_category) FROM articles WHERE {YEAR}")
+IN_CV = "(primary_category = 'cs.CV' OR coalesce(categories ILIKE '%cs.CV%', FALSE))"
+
+
+@query("i15_dashboard", f"""WITH st AS (SELECT * EXCLUDE (cluster_id), nullif(cluster_id, -1) AS cluster_id FROM articles WHERE {YEAR}), sh AS (SELECT * FROM st WHERE source = 'arxiv' AND {IN_CV}),
+kp AS (SELECT count(*) AS total_papers, count(DISTINCT cluster_id) AS active_clusters, coalesce(count(cluster_id) / nullif(count(DISTINCT cluster_id), 0), 0) AS avg_papers_per_cluster, count_if(publish_date >= timestamp '{AS_OF}' - INTERVAL 7 DAY) AS weekly_picks, count(cluster_id) AS clustered_papers, count(pdf_url) AS pdf_available FROM sh),
+un AS (SELECT 'kpis' AS part, name AS key, CAST(v AS DOUBLE) AS value FROM (SELECT unnest(['total_papers', 'active_clusters', 'avg_papers_per_cluster', 'weekly_picks', 'clustered_papers', 'pdf_available']) AS name, unnest([total_papers, active_clusters, avg_papers_per_cluster, weekly_picks, clustered_papers, pdf_available]) AS v FROM kp)
+UNION ALL SELECT 'cluster_counts', CAST(cluster_id AS VARCHAR), count(*) FROM sh JOIN clusters USING (cluster_id) GROUP BY cluster_id
+UNION ALL SELECT * FROM (SELECT 'monthly_counts', strftime(publish_date, '%Y-%m') AS m, count(*) FROM sh GROUP BY 2 ORDER BY 2 DESC LIMIT 12)
+UNION ALL SELECT 'sources', coalesce(source, 'unknown'), count(*) FROM st WHERE {IN_CV} GROUP BY 2
+UNION ALL SELECT * FROM (SELECT 'categories', coalesce(primary_category, 'unknown') AS c, count(*) FROM st WHERE source = 'arxiv' GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 20)
+UNION ALL SELECT * FROM (SELECT 'pie', CAST(cluster_id AS VARCHAR), article_count FROM clusters ORDER BY article_count DESC, cluster_id LIMIT 8))
+SELECT part, key, round(value, 6) AS value FROM un""")
 def i15(spark, sf):
-    """How many rows each table of the bundle has."""
-    a, c = stored(articles(spark, sf)), clusters(spark, sf)
-    parts = I.dashboard(a, c, AS_OF)
-    frames = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("part"), "n") for k, df in sorted(parts.items())]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.union(f)
-    return out
+    """Every table of the bundle, under a filter on source and category."""
+    parts = I.dashboard(stored(articles(spark, sf)), clusters(spark, sf), AS_OF, "arxiv", "cs.CV")
+    parts["kpis"] = parts["kpis"].select(*[F.col(c).cast("double").alias(c) for c in parts["kpis"].columns])
+    parts["kpis"] = parts["kpis"].unpivot([], parts["kpis"].columns, "key", "value")
+    two = {"cluster_counts": ("cluster_id", "paper_count"), "monthly_counts": ("month_key", "count"), "sources": ("source", "count"), "categories": ("category", "count"), "pie": ("cluster_id", "article_count"), "kpis": ("key", "value")}
+    rows = [df.select(F.lit(k).alias("part"), F.col(two[k][0]).cast("string").alias("key"), F.round(F.col(two[k][1]).cast("double"), 6).alias("value")) for k, df in parts.items()]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @of_articles("i29_digest_sources", f"{DIGEST} SELECT dg.cluster_id, 'S' || CAST(dg.position AS VARCHAR) AS source_id, dg.id AS article_id, round(coalesce(rp.score, 1.0 / rp.rank, 0), 6) AS centrality_score FROM dg LEFT JOIN rp ON rp.id = dg.id AND rp.cluster_id = dg.cluster_id")
