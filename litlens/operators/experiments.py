@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from litlens.functions import vectors as V
 from litlens.operators import evaluate as EV
+from litlens.operators import merging as M
+from litlens.operators import neighbours as NN
 from litlens.operators import topics as E
 from litlens.operators.tables import cut
 
@@ -24,15 +26,30 @@ def kmeans_topics(df: DataFrame, k: int, seed: int = 7) -> DataFrame:
 
 
 def run_experiments(df: DataFrame, configs: list[tuple[float, float]]) -> DataFrame:
-    """One summary row a configuration (outlier threshold, merge threshold): reassign, merge, measure."""
-
-    def one(i: int, reassign: float, merge: float) -> DataFrame:
-        moved = E.reassign_outliers(df, reassign).select("id", F.col("new_cluster_id").alias("cluster_id"))
-        run = df.drop("cluster_id").join(moved, "id")
-        merged = E.merge_close_clusters(run, merge).drop("cluster_id").withColumnRenamed("merged_id", "cluster_id")
-        return E.topic_run_summary(merged).select(F.lit(i).alias("run"), F.lit(reassign).alias("reassign"), F.lit(merge).alias("merge"), "*")
-
-    return reduce(DataFrame.unionByName, [one(i, *c) for i, c in enumerate(configs)])
+    """One summary row a configuration (outlier threshold, merge threshold): reassign, merge, measure. Outliers are compared
+    with the centroids once; centroids and sizes of all outlier thresholds come from one aggregation each, keyed by threshold and
+    cluster; one forest over all of them is cut at every merge threshold."""
+    spark = df.sparkSession
+    firsts = sorted({r for r, _ in configs})
+    known = df.filter("embedding IS NOT NULL").select("id", "cluster_id", "embedding")
+    near = E.nearest_centroid(known.filter("cluster_id = -1").select("id", V.l2_normalize(F.col("embedding")).alias("v")), V.centroids(df, "cluster_id", "embedding"))
+    each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(r)).alias("r")) for i, r in enumerate(firsts)])).alias("x")
+    moved = cut(known.join(near, "id", "left").select("id", "cluster_id", "embedding", "nearest", "similarity", each))
+    # a cluster of one threshold: its number in the upper bits
+    label = F.when((F.col("cluster_id") == -1) & (F.col("similarity") >= F.col("x.r")), F.col("nearest")).otherwise(F.col("cluster_id"))
+    moved = moved.select(F.col("x.i").alias("i"), label.cast("long").alias("cluster_id"), "embedding").filter("cluster_id IS NOT NULL")
+    key = F.shiftleft(F.col("i").cast("long"), 32) + F.col("cluster_id")
+    sizes = cut(moved.groupBy("i", "cluster_id").agg(F.count(F.lit(1)).alias("n")))
+    centres = cut(V.centroids(moved.filter("cluster_id >= 0").select(key.alias("k"), "embedding"), "k", "embedding"))
+    pairs = NN.pairs_within(NN.unit_rows(centres, "k", "centroid"), min(m for _, m in configs)).filter(F.shiftright("a", 32) == F.shiftright("b", 32))
+    merged = M.cuts(M.forest(pairs), [(run, m) for run, (_, m) in enumerate(configs)])
+    runs = spark.createDataFrame([(run, firsts.index(r), float(r), float(m)) for run, (r, m) in enumerate(configs)], "run int, i int, reassign double, merge double")
+    rows = sizes.join(runs, "i").withColumn("node", F.when(F.col("cluster_id") >= 0, key))
+    rows = rows.join(merged.select(F.col("g").alias("run"), "node", "label"), ["run", "node"], "left")
+    topics = rows.groupBy("run", "reassign", "merge", F.when(F.col("cluster_id") >= 0, F.coalesce("label", "node")).alias("topic")).agg(F.sum("n").alias("n"))
+    docs, out = F.sum("n"), F.coalesce(F.sum(F.when(F.col("topic").isNull(), F.col("n"))), F.lit(0))
+    top = F.max(F.when(F.col("topic").isNotNull(), F.col("n")))
+    return topics.groupBy("run", "reassign", "merge").agg(docs.alias("docs"), F.count("topic").alias("topics"), out.alias("outliers"), F.round(out / docs, 6).alias("outlier_ratio"), top.alias("largest"), F.round(top / (docs - out), 6).alias("largest_ratio"))
 
 
 def best_experiment(df: DataFrame) -> DataFrame:

@@ -264,3 +264,32 @@ def search_index(index: VectorIndex | None, queries: DataFrame, k: int, probe: i
     found = _firsts(meet(index.coded, probed(q, cells, k, probe), compare, "query_id long, id long, score double"), keep).select("query_id", "id")
     exact = found.join(index.vectors, "id").join(q.select(F.col("id").alias("query_id"), F.col("v").alias("_q")), "query_id")
     return _firsts(exact.select("query_id", "id", V.dot(F.col("v"), F.col("_q")).alias("score")), k)
+
+
+def pairs_within(rows: DataFrame, least: float, target: int = 256) -> DataFrame:
+    """(a, b, score) with a < b: all pairs of unit vectors (id, v) with a cosine of `least` or more. Cells that are too far apart
+    for that, by the triangle inequality on angles, never meet."""
+    rows = cut(rows)
+    cells = fit(rows, target)
+    if cells is None:
+        return rows.sparkSession.createDataFrame([], "a long, b long, score double")
+    assigned = cut(assign(rows, cells))
+    cells = measured(cells, assigned)
+    centres, radius, dims, reach = cells.centres, np.where(cells.count > 0, cells.radius, -np.inf), cells.dims, math.acos(max(-1.0, min(1.0, least)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            angle = np.arccos(np.clip(matrix(b.column("v"), dims) @ centres.T, -1, 1))
+            row, cell = np.nonzero(angle - radius <= reach + 1e-6)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), b.column("v").take(at), pa.array(cell.astype(np.int32))], names=["id", "v", "cell"])
+
+    def compare(m: pa.Table, q: pa.Table) -> pa.Table:
+        if not m.num_rows or not q.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        sims = matrix(q["v"], dims) @ matrix(m["v"], dims).T
+        row, col = np.nonzero((sims >= least) & (np.asarray(q["id"])[:, None] < np.asarray(m["id"])[None, :]))
+        return pa.table({"a": q["id"].take(pa.array(row)), "b": m["id"].take(pa.array(col)), "score": pa.array(sims[row, col])})
+
+    asked = rows.mapInArrow(ask, "id long, v array<double>, cell int")
+    return meet(assigned.select("cell", "id", "v"), asked.select("cell", "id", "v"), compare, "a long, b long, score double")

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from litlens.functions import text as T
 from litlens.functions import vectors as V
+from litlens.operators import merging as M
+from litlens.operators import neighbours as NN
+from litlens.operators.tables import cut
 
 #: Common words of four languages, our own choice (a parameter of the functions below).
 COMMON_WORDS = ("the", "a", "an", "and", "or", "of", "in", "on", "to", "for", "with", "by", "from", "is", "are", "was", "as", "at", "be", "it", "that", "this", "we", "our", "le", "la", "les", "de", "des", "et", "un", "une", "der", "die", "das", "und", "el", "los", "las", "en", "que")
@@ -17,16 +20,34 @@ STOP_WORDS = COMMON_WORDS + ACADEMIC_WORDS
 GENERIC_WORDS = ACADEMIC_WORDS + RESEARCH_WORDS
 
 
+#: Up to so many centroids go to every task.
+MOST_CENTROIDS = 4096
+
+
+def nearest_centroid(df: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(id, nearest, similarity) of rows (id, v unit vector) and centroids (cluster_id, centroid); ties go to the smaller label. Few
+    centroids are read as one array; more are searched by cells, without a join of all pairs."""
+    if centroids.limit(MOST_CENTROIDS + 1).count() > MOST_CENTROIDS:
+        c = centroids.select(F.col("cluster_id").cast("long").alias("id"), F.col("centroid").alias("v"))
+        cells = NN.fit(c)
+        assigned = cut(NN.assign(c, cells))
+        apart = df.select((-1 - F.col("id").cast("long")).alias("id"), "v")  # no query has a centroid's id
+        found = NN.nearest(assigned, apart, NN.measured(cells, assigned), 1, NN.MAX_CELLS)
+        return found.select((-1 - F.col("query_id")).alias("id"), F.col("id").cast("int").alias("nearest"), F.col("score").alias("similarity"))
+    centre = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster_id", "centroid"))).alias("centres"))
+    sims = F.transform("centres", lambda c: F.struct(V.dot(c["centroid"], F.col("v")).alias("s"), (-c["cluster_id"]).alias("k")))
+    best = df.crossJoin(F.broadcast(centre)).withColumn("_best", F.array_max(sims))  # one row
+    return best.select("id", (-F.col("_best")["k"]).cast("int").alias("nearest"), F.col("_best")["s"].alias("similarity"))
+
+
 def reassign_outliers(df: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(id, cluster_id, new_cluster_id, similarity). An outlier takes the nearest centroid's label if it is near enough;
-    ties go to the smaller label. Centroids are one row a cluster; each outlier reads them as one array, not as a join
-    of all pairs."""
-    centre = V.centroids(df, "cluster_id", "embedding").agg(F.sort_array(F.collect_list(F.struct("cluster_id", "centroid"))).alias("centres"))
-    unit = df.filter("embedding IS NOT NULL").withColumn("_v", F.when(F.col("cluster_id") == -1, V.l2_normalize(F.col("embedding"))))
-    sims = F.transform("centres", lambda c: F.struct(V.dot(c["centroid"], F.col("_v")).alias("s"), (-c["cluster_id"]).alias("k")))
-    out = unit.crossJoin(F.broadcast(centre)).withColumn("_best", F.when(F.col("cluster_id") == -1, F.array_max(sims)))  # one row
-    new = F.when(F.col("_best")["s"] >= threshold, -F.col("_best")["k"]).otherwise(F.col("cluster_id"))
-    return out.select("id", "cluster_id", new.cast("int").alias("new_cluster_id"), F.col("_best")["s"].alias("similarity"))
+    ties go to the smaller label."""
+    known = df.filter("embedding IS NOT NULL")
+    outliers = known.filter("cluster_id = -1").select("id", V.l2_normalize(F.col("embedding")).alias("v"))
+    near = nearest_centroid(outliers, V.centroids(df, "cluster_id", "embedding"))
+    new = F.when(F.col("similarity") >= threshold, F.col("nearest")).otherwise(F.col("cluster_id"))
+    return known.select("id", "cluster_id").join(near, "id", "left").select("id", "cluster_id", new.cast("int").alias("new_cluster_id"), "similarity")
 
 
 def reassignment_counts(reassigned: DataFrame) -> DataFrame:
@@ -35,26 +56,16 @@ def reassignment_counts(reassigned: DataFrame) -> DataFrame:
 
 
 def merge_mapping(df: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(cluster_id, merged_id): clusters whose centroids are similar, transitively; the smallest label wins. The loop
-    runs over cluster labels, a few hundred rows, and ends when no label changes."""
-    c = V.centroids(df, "cluster_id", "embedding").persist()
-    a, b = c.select(F.col("cluster_id").alias("a"), F.col("centroid").alias("va")), c.select(F.col("cluster_id").alias("b"), F.col("centroid").alias("vb"))
-    near = a.join(b, F.col("a") != F.col("b")).filter(V.dot(F.col("va"), F.col("vb")) >= threshold).select("a", "b")
-    pairs = [(r[0], r[1]) for r in near.collect()]  # labels only
-    label = {r[0]: r[0] for r in c.select("cluster_id").collect()}
-    changed = True
-    while changed:
-        changed = False
-        for x, y in pairs:
-            if label[y] < label[x]:
-                label[x], changed = label[y], True
-    c.unpersist()
-    return df.sparkSession.createDataFrame(sorted(label.items()), "cluster_id int, merged_id int")
+    """(cluster_id, merged_id): clusters whose centroids are similar, transitively; the smallest label wins."""
+    c = cut(V.centroids(df, "cluster_id", "embedding"))
+    pairs = NN.pairs_within(NN.unit_rows(c, "cluster_id", "centroid"), threshold)
+    merged = M.cuts(M.forest(pairs), [(0, threshold)]).select(F.col("node").alias("cluster_id"), F.col("label").cast("int").alias("label"))
+    return c.join(merged, "cluster_id", "left").select("cluster_id", F.coalesce("label", "cluster_id").alias("merged_id"))
 
 
 def merge_close_clusters(df: DataFrame, threshold: float = 0.85) -> DataFrame:
     """df with merged_id; outliers stay -1 and unclustered rows null."""
-    return df.join(F.broadcast(merge_mapping(df, threshold)), "cluster_id", "left").withColumn("merged_id", F.coalesce("merged_id", "cluster_id"))
+    return df.join(merge_mapping(df, threshold), "cluster_id", "left").withColumn("merged_id", F.coalesce("merged_id", "cluster_id"))
 
 
 def largest_cluster_ratio(df: DataFrame) -> DataFrame:

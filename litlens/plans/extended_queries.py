@@ -44,9 +44,24 @@ def e2(a):
     return X.kmeans_topics(a, 8)
 
 
-@of_articles("e19_run_experiments")
+#: Outlier and merge thresholds, in the range of the given vectors' similarities.
+GRID = [(0.9, 0.3), (0.2, 0.3), (0.2, 0.2), (0.25, 0.25)]
+E19 = f"""{UNIT}, nr AS (SELECT u.id, c.cluster_id AS k, list_sum(list_transform(range(1, len(u.v) + 1), lambda i: u.v[i] * c.c[i])) AS s FROM u CROSS JOIN c WHERE u.cluster_id = -1),
+nb AS (SELECT id, k, s FROM nr QUALIFY row_number() OVER (PARTITION BY id ORDER BY s DESC, k) = 1),
+cf AS (SELECT unnest(range({len(GRID)})) AS run, unnest([{', '.join(str(r) for r, _ in GRID)}]) AS r, unnest([{', '.join(str(m) for _, m in GRID)}]) AS m),
+mv AS (SELECT run, m, u.id, u.v, CASE WHEN u.cluster_id = -1 AND nb.s >= r THEN nb.k ELSE u.cluster_id END AS k FROM cf CROSS JOIN u LEFT JOIN nb USING (id) WHERE u.cluster_id IS NOT NULL),
+mx AS (SELECT run, m, k, unnest(v) AS val, unnest(range(1, len(v) + 1)) AS pos FROM mv WHERE k >= 0),
+ma AS (SELECT run, m, k, list(a ORDER BY pos) AS a FROM (SELECT run, m, k, pos, avg(val) AS a FROM mx GROUP BY ALL) GROUP BY ALL),
+mc AS (SELECT run, m, k, list_transform(a, lambda x: x / n) AS c FROM (SELECT *, sqrt(list_sum(list_transform(a, lambda x: x * x))) AS n FROM ma)),
+ne AS (SELECT a.run, a.k AS a, b.k AS b FROM mc a JOIN mc b ON a.run = b.run AND a.k <> b.k WHERE list_sum(list_transform(range(1, len(a.c) + 1), lambda i: a.c[i] * b.c[i])) >= a.m),
+reach AS (SELECT run, k AS a, k AS b FROM mc UNION SELECT reach.run, reach.a, ne.b FROM reach JOIN ne ON ne.run = reach.run AND ne.a = reach.b),
+mm AS (SELECT run, a AS k, min(b) AS topic FROM reach GROUP BY ALL),
+sz AS (SELECT mv.run, topic, count(*) AS n FROM mv LEFT JOIN mm ON mm.run = mv.run AND mm.k = mv.k GROUP BY ALL)"""
+
+
+@of_articles("e19_run_experiments", f"WITH RECURSIVE {E19} SELECT run, CAST(any_value(r) AS DOUBLE) AS reassign, CAST(any_value(m) AS DOUBLE) AS merge, CAST(sum(n) AS BIGINT) AS docs, count(topic) AS topics, CAST(coalesce(sum(n) FILTER (topic IS NULL), 0) AS BIGINT) AS outliers, round(coalesce(sum(n) FILTER (topic IS NULL), 0) / sum(n), 6) AS outlier_ratio, max(n) FILTER (topic IS NOT NULL) AS largest, round(max(n) FILTER (topic IS NOT NULL) / sum(n) FILTER (topic IS NOT NULL), 6) AS largest_ratio FROM sz JOIN cf USING (run) GROUP BY run")
 def e19(a):
-    return X.run_experiments(a.select("id", "cluster_id", "embedding"), [(0.9, 0.85), (0.8, 0.7)])
+    return X.run_experiments(a.select("id", "cluster_id", "embedding"), GRID)
 
 
 RUNS = "SELECT primary_category AS run, count(cluster_id) / count(*) AS coverage, count_if(cluster_id = -1) / count(*) AS outlier_ratio, CAST(NULL AS DOUBLE) AS davies_bouldin, CASE WHEN count(*) % 2 = 0 THEN 0.0 ELSE 0.25 END AS silhouette, 0.5 AS largest_ratio FROM articles GROUP BY 1"
