@@ -416,12 +416,17 @@ def naive_templates(rows, rules, max_children=24, strength=4.0, z=1.96):
     total = sum(said is not None for *_, said in full)
     prior = sum(said == "block" for *_, said in full) / total if total else 0.0
 
+    domain = lambda h: ".".join(h.split(".")[-2:])
+
     def purity(h, t):
-        up = prior
-        for d in range(len(t) + 1):
-            m, k = merged.get((h, t[:d]), (0, 0))
-            up = (k + strength * up) / (m + strength)
-        return up
+        of = collections.defaultdict(lambda: [0, 0])
+        for x in n:
+            if x[1] == t and n[x] and domain(x[0]) != domain(h):
+                of[domain(x[0])][0] += n[x]
+                of[domain(x[0])][1] += b[x]
+        up = (sum(k / m for m, k in of.values()) + strength * prior) / (len(of) + strength)
+        m, k = merged.get((h, t), (0, 0))
+        return (k + strength * up) / (m + strength) if m or of else 0.0
 
     return {i: said or ("block" if purity(h, template[h, tuple(s)]) >= 0.8 else "allow") for i, h, s, said in full}
 
@@ -434,7 +439,21 @@ def test_url_templates_brute_force(spark, sf, max_children):
     got = {r["page_id"]: r for r in url_templates.judge(spark.createDataFrame(pages, "page_id long, url string"), max_children=max_children).collect()}
     want = naive_templates([(i, r["host"], r["path"], r["verdict"] if r["rule"] else None) for i, r in got.items()], url_templates.RULES, max_children)
     assert {i: r["verdict"] for i, r in got.items()} == want
-    assert any(r["verdict"] == "block" and r["rule"] is None for r in got.values())
+
+
+def test_url_templates_judge_branches_not_hosts(spark):
+    """One blocked branch of a host says nothing of its others; the same template elsewhere does."""
+    rules = (("block", "h.org", "/bad/"), ("allow", "k.org", "/"), *(("block", f"m{i}.org", "/spam/") for i in range(15)))
+    rows = [(i, f"http://h.org/bad/page{i}x") for i in range(30)] + [(1000 + i, f"http://k.org/news/{i}") for i in range(300)]
+    rows += [(100, "http://h.org/other/1"), (101, "http://h.org/news/2"), (102, "http://h.org/spam/7"), (103, "http://q.org/spam/7"), (104, "http://q.org/bad")]
+    rows += [(200 + 10 * i + j, f"http://m{i}.org/spam/{j}") for i in range(15) for j in range(10)]
+    long = "/".join(f"s{i}" for i in range(200))
+    rows += [(900, f"http://h.org/{long}"), (901, f"http://h.org/{long}/more")]
+    out = {r["page_id"]: r for r in url_templates.judge(spark.createDataFrame(rows, "page_id int, url string"), rules=rules).collect()}
+    assert {i: out[i]["verdict"] for i in (100, 101, 102, 103, 104)} == {100: "allow", 101: "allow", 102: "block", 103: "block", 104: "allow"}
+    assert out[900]["template"] == out[901]["template"] and out[900]["template"][-1] == "**" and len(out[900]["template"]) == 33
+    seen = {(r["rule_says"], r["template_says"]): r["urls"] for r in url_templates.held_out(spark.createDataFrame(rows, "page_id int, url string"), rules=rules).collect()}
+    assert sum(seen.values()) > 15 and seen.get(("allow", "block"), 0) == 0
 
 
 def test_url_columns(spark):
