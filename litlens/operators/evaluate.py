@@ -147,7 +147,7 @@ def adjusted_rand(table: DataFrame, a: str = "label", b: str = "cluster_id") ->
 
 def nmi(table: DataFrame, a: str = "label", b: str = "cluster_id") -> DataFrame:
     """normalised by the mean entropy."""
-    t = table.withColumn("t", F.sum("n").over(Window.partitionBy())).withColumn("x", F.sum("n").over(Window.partitionBy(a))).withColumn("y", F.sum("n").over(Window.partitionBy(b)))
+    t = table.crossJoin(F.broadcast(table.agg(F.sum("n").alias("t")))).withColumn("x", F.sum("n").over(Window.partitionBy(a))).withColumn("y", F.sum("n").over(Window.partitionBy(b)))  # one row
     mi = t.agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("x") * F.col("y")))).alias("mi"))
     h = lambda c, name: t.select(c, "t", "x" if c == a else "y").distinct().agg(F.sum(-F.col("x" if c == a else "y") / F.col("t") * F.log(F.col("x" if c == a else "y") / F.col("t"))).alias(name))
     return mi.crossJoin(h(a, "hx")).crossJoin(h(b, "hy")).select((2 * F.col("mi") / (F.col("hx") + F.col("hy"))).alias("nmi"))  # one row each
@@ -184,6 +184,21 @@ def answer_signals(text: Column) -> dict[str, Column]:
     return {"citation_marker_count": F.regexp_count(t, F.lit(r"\[S\d+\]")), "has_sources_section": t.rlike(r"(?i)(^|\n)\s*(?:#+\s*)?(?:Sources|Kaynaklar)\b\s*:?")}
 
 
+#: Phrases of an answer that says that it lacks evidence.
+INSUFFICIENT = r"not contain enough evidence|yeterli kanıt|yeterli evidence|does not contain enough"
+
+
+def score_answers(df: DataFrame, answer: str, title: str, key_terms: str, evidence: str) -> DataFrame:
+    """H6: df with title_mentioned, term_recall, evidence_recall, citation_marker_count, has_sources_section, insufficient_evidence
+    and answer_chars, of columns answer, title, key_terms (array) and evidence (text)."""
+    plain = lambda c: F.btrim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[\s\p{Z}]+", " "))
+    rows = df.withColumns({"_a": plain(F.col(answer)), "_k": F.coalesce(F.col(key_terms), F.expr("cast(array() as array<string>)")), "_e": important_terms(F.col(evidence))})
+    share = lambda terms, clean: F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.col("_a").contains(clean(t)))) / F.size(terms)).otherwise(0.0)
+    text = F.coalesce(F.col(answer), F.lit(""))
+    out = {"title_mentioned": F.col("_a").contains(plain(F.col(title))), "term_recall": share("_k", plain), "evidence_recall": share("_e", lambda t: t), **answer_signals(F.col(answer)), "insufficient_evidence": text.rlike(f"(?i){INSUFFICIENT}"), "answer_chars": F.length(text)}
+    return rows.withColumns(out).drop("_a", "_k", "_e")
+
+
 #: Words that are no key terms, and the form of a key term.
 NO_TERMS = ("the", "and", "with", "that", "this", "from", "into", "uses", "use", "for", "through", "both", "real")
 TERM = r"[a-zA-Z][a-zA-Z0-9-]{4,}"

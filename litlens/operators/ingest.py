@@ -41,20 +41,31 @@ def cap_lengths(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def build_metadata(run_id: str) -> Column:
-    """Derived fields as one struct."""
-    return F.struct(
-        "source", "external_id", "doi", "pdf_url", "venue", F.year("publish_date").alias("publish_year"), F.month("publish_date").alias("publish_month"),
-        T.split_list(F.col("categories")).alias("categories_list"), "primary_category", "citation_count", F.coalesce(F.col("pdf_url") != "", F.lit(False)).alias("has_pdf"),
-        F.coalesce("language", F.lit("en")).alias("language"), F.lit("article").alias("document_type"), F.lit(run_id).alias("ingestion_run_id"), F.lit("v1").alias("source_payload_version"),
-    )
-
-
-def to_article_row(df: DataFrame, run_id: str) -> DataFrame:
+#: Fixed value: the incoming key that is not carried on.
+PAYLOAD = "ingestion_source_payload"
+
+
+def build_metadata(df: DataFrame, run_id: str, as_of: str) -> Column:
+    """Derived fields as one struct, and what else the incoming map metadata_json (if df has one) held as `carried`. Columns
+    that df lacks are null."""
+    col = lambda c, kind="string": F.col(c) if c in df.columns else F.lit(None).cast(kind)
+    kinds = dict(df.dtypes)
+    incoming = F.col("metadata_json") if kinds.get("metadata_json", "").startswith("map") else F.lit(None).cast("map<string,string>")
+    derived = {
+        **{c: col(c) for c in ("source", "external_id", "doi", "url", "pdf_url", "venue")}, "publish_year": F.year("publish_date"), "publish_month": F.month("publish_date"),
+        "authors_list": T.split_list(col("authors")), "categories_list": T.split_list(col("categories")), "primary_category": col("primary_category"), "citation_count": col("citation_count", "int"),
+        "has_pdf": F.coalesce(col("pdf_url") != "", F.lit(False)), "language": F.coalesce(F.nullif(col("language"), F.lit("")), F.lit("en")), "document_type": F.coalesce(F.nullif(col("document_type"), F.lit("")), F.lit("article")), "ingestion_run_id": F.lit(run_id),
+        "source_payload_version": F.coalesce(F.element_at(incoming, "source_payload_version"), F.lit("v1")), "metadata_normalized_at": F.lit(as_of),
+    }
+    carried = F.map_filter(F.coalesce(incoming, F.expr("cast(map() as map<string,string>)")), lambda k, _: ~k.isin(PAYLOAD, *derived))
+    return F.struct(*[c.alias(n) for n, c in derived.items()], carried.alias("carried"))
+
+
+def to_article_row(df: DataFrame, run_id: str, as_of: str) -> DataFrame:
     """Cleaned strings, defaults, length caps, metadata."""
     strings = {c: T.clean_string(F.col(c)) for c, t in df.dtypes if t == "string"}
     out = df.withColumns(strings).withColumns({"language": F.coalesce("language", F.lit("en")), "document_type": F.lit("article"), "ingestion_run_id": F.lit(run_id)})
-    return cap_lengths(out.withColumn("metadata_json", build_metadata(run_id)))
+    return cap_lengths(out.withColumn("metadata_json", build_metadata(out, run_id, as_of)))
 
 
 def complete(df: DataFrame) -> DataFrame:

@@ -137,6 +137,18 @@ def report_key(version: str, **params) -> str:
     return f"{version}:{hashlib.sha256(json.dumps(params, sort_keys=True).encode()).hexdigest()[:24]}"
 
 
+def report_keys(version: str, **params: Column) -> Column:
+    """I14 for rows: the keys of text parameters, as report_key() makes them."""
+    text = F.concat(F.lit("{"), *[x for i, k in enumerate(sorted(params)) for x in (F.lit(", " * (i > 0) + json.dumps(k) + ": "), _json_text(params[k]))], F.lit("}"))
+    return F.concat(F.lit(f"{version}:"), F.substring(F.sha2(text, 256), 1, 24))
+
+
+def _json_text(c: Column) -> Column:
+    """A text in JSON's ASCII form; plain letters only, else an error rather than another key."""
+    quoted = F.concat(F.lit('"'), c, F.lit('"'))
+    return F.when(c.rlike(r"^[ !#-\[\]-~]*$"), quoted).otherwise(F.raise_error(F.lit("a report parameter needs report_key()")).cast("string"))
+
+
 def bulletin_filter(df: DataFrame, cluster_id=None, source=None, categories=(), start=None, end=None) -> DataFrame:
     """I16: closed date range, any of the categories."""
     if cluster_id is not None:
@@ -182,24 +194,50 @@ def digest_summary(selected: DataFrame, clusters: DataFrame) -> DataFrame:
     return g.select("cluster_id", text.alias("summary"))
 
 
-def digest_highlights(selected: DataFrame) -> DataFrame:
-    """Top categories and the most cited selected paper."""
+def digest_highlights(selected: DataFrame, keywords: DataFrame | None = None) -> DataFrame:
+    """Keywords (of cluster_id, keywords array, the first five), top categories and the most cited selected paper."""
     cats = F.array_join(F.slice(F.array_sort(F.collect_set("primary_category")), 1, 5), ", ")
     cited = F.max(F.when(F.col("citation_count") > 0, F.struct("citation_count", (-F.col("position")).alias("p"), "title")))
     g = selected.groupBy("cluster_id").agg(cats.alias("cats"), cited.alias("cited"))
+    g = g.join(keywords.select("cluster_id", F.array_join(F.slice("keywords", 1, 5), ", ").alias("words")), "cluster_id", "left") if keywords is not None else g.withColumn("words", F.lit(None).cast("string"))
     best = F.concat(F.lit("Most cited selected paper: "), F.col("cited")["title"], F.lit(" ("), F.col("cited")["citation_count"].cast("string"), F.lit(" citations)"))
-    return g.select("cluster_id", F.concat_ws(" | ", F.concat(F.lit("Top categories: "), F.nullif("cats", F.lit(""))), best).alias("highlights"))
-
-
-def bulletin_options(articles: DataFrame) -> DataFrame:
-    """I24"""
-    return articles.filter("primary_category IS NOT NULL AND primary_category <> ''").groupBy(F.col("primary_category").alias("category")).agg(F.count(F.lit(1)).alias("paper_count"))
-
-
-def weekly_best(df: DataFrame, scores: DataFrame, as_of: str, n: int = 6) -> DataFrame:
-    """The week's papers by score, the best n."""
-    j = df.filter(F.col("publish_date") >= days_before(as_of, 7)).join(scores.select("id", "score"), "id", "left")
-    return j.select("id", F.coalesce("score", F.lit(0.8)).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(n)
+    line = lambda name, c: F.concat(F.lit(name), F.nullif(c, F.lit("")))
+    return g.select("cluster_id", F.concat_ws(" | ", line("Keywords: ", F.col("words")), line("Top categories: ", F.col("cats")), best).alias("highlights"))
+
+
+def bulletin_options(articles: DataFrame, clusters: DataFrame) -> DataFrame:
+    """(kind, value, paper_count): the clusters that have papers and the categories that a user can choose."""
+    cats = articles.filter("primary_category IS NOT NULL AND primary_category <> ''").groupBy(F.col("primary_category").alias("value")).agg(F.count(F.lit(1)).alias("paper_count"))
+    some = clusters.filter("article_count > 0").select(F.col("cluster_id").cast("string").alias("value"), F.col("article_count").alias("paper_count"))
+    return some.select(F.lit("cluster").alias("kind"), "*").unionByName(cats.select(F.lit("category").alias("kind"), "*"))
+
+
+def user_bulletins(preferences: DataFrame, articles: DataFrame, ranked: DataFrame, n: int) -> DataFrame:
+    """(user_id, cluster_id, id): the first n papers, by ranked (cluster_id, id, rank), of each cluster that a user chose, or
+    of the papers in the categories that a user chose, within every cluster. preferences: (user_id, selection_type, cluster_ids
+    array, categories array). Papers are ranked once for each cluster and for each category, not for each user."""
+    rows = articles.filter("cluster_id >= 0").select("cluster_id", "id", "primary_category").join(ranked.select("cluster_id", "id", "rank"), ["cluster_id", "id"], "left")
+    order = lambda *keys: Window.partitionBy(*keys).orderBy(F.asc_nulls_last("rank"), "id")
+    by_cluster = rows.withColumn("_n", F.row_number().over(order("cluster_id"))).filter(F.col("_n") <= n)
+    asked = preferences.filter("selection_type = 'clusters'").select("user_id", F.explode(F.array_distinct("cluster_ids")).alias("cluster_id"))
+    mine = asked.join(by_cluster, "cluster_id").select("user_id", "cluster_id", "id")
+    by_category = rows.withColumn("_n", F.row_number().over(order("cluster_id", "primary_category"))).filter(F.col("_n") <= n).drop("_n")
+    wanted = preferences.filter("selection_type = 'categories'").select("user_id", F.explode(F.array_distinct("categories")).alias("primary_category"))
+    # the first n of several categories are among the first n of each
+    theirs = wanted.join(by_category, "primary_category")
+    theirs = theirs.withColumn("_n", F.row_number().over(order("user_id", "cluster_id"))).filter(F.col("_n") <= n).select("user_id", "cluster_id", "id")
+    return mine.unionByName(theirs)
+
+
+def weekly_best(df: DataFrame, scores: DataFrame, as_of: str, n: int = 6, each: int = 2) -> DataFrame:
+    """(part, cluster_id, id, score, position): the week's best n papers by score; then for each cluster that has papers of the
+    week, the first `each` of them by score."""
+    week = df.filter(F.col("publish_date") >= days_before(as_of, 7)).join(scores.select("id", F.col("score").alias("_s")), "id", "left")
+    week = week.select("cluster_id", "id", F.coalesce("_s", F.lit(0.8)).alias("score"))
+    order = [F.desc(F.round("score", 9)), F.col("id")]
+    best = week.orderBy(*order).limit(n).withColumn("position", F.row_number().over(Window.orderBy(*order)))  # n rows
+    shown = week.filter("cluster_id >= 0").withColumn("position", F.row_number().over(Window.partitionBy("cluster_id").orderBy(*order))).filter(F.col("position") <= each)
+    return best.select(F.lit("best").alias("part"), "*").unionByName(shown.select(F.lit("cluster").alias("part"), "*"))
 
 
 def facets(articles: DataFrame, as_of: str, source: str | None = None, category: str | None = None, period: str = "12m") -> DataFrame:

@@ -105,6 +105,29 @@ def rerank(ranked: DataFrame, query: str, text: str, n: int = 50, scorer: Callab
     return rows.withColumn("_failed", failed).withColumn("new_rank", F.row_number().over(w)).drop("_failed")
 
 
+#: Characters of an abstract that a context shows.
+ABSTRACT_SHOWN = 1200
+
+
+def context_text(hits: DataFrame, articles: DataFrame) -> DataFrame:
+    """(query_id, context) of hits (query_id, id, rank, score): a block a source, in their order, of what is known of it."""
+    kinds = dict(articles.dtypes)
+    col = lambda c: F.col(c).cast("string") if c in kinds else F.lit(None).cast("string")
+    given = lambda *cs: F.coalesce(*[F.nullif(col(c), F.lit("")) for c in cs])
+    text = F.regexp_replace(F.coalesce(col("abstract_text"), F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+    shown = F.when(F.length(text) > ABSTRACT_SHOWN, F.concat(F.substring(text, 1, ABSTRACT_SHOWN), F.lit("..."))).otherwise(text)
+    score = F.when(F.col("score").isNotNull(), F.format_string("%.4f", "score"))
+    lines = {
+        "article_id": F.col("id").cast("string"), "title": F.coalesce(col("title"), F.lit("None")), "authors": F.coalesce(given("authors"), F.lit("Unknown")), "source": F.coalesce(given("source"), F.lit("Unknown")),
+        "external_id": F.coalesce(given("external_id"), F.lit("None")), "venue": F.coalesce(given("venue"), F.lit("Unknown")), "publish_date": F.coalesce(F.date_format("publish_date", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Unknown")),
+        "doi": F.coalesce(given("doi"), F.lit("None")), "url": F.coalesce(given("url", "pdf_url"), F.lit("None")), "cluster_id": F.coalesce(col("cluster_id"), F.lit("None")), "category": F.coalesce(given("primary_category", "categories"), F.lit("None")),
+        "citation_count": F.coalesce(col("citation_count"), F.lit("Unknown")), "score": F.coalesce(score, F.lit("None")), "abstract": F.coalesce(F.nullif(shown, F.lit("")), F.lit("No abstract available.")),
+    }
+    block = F.concat_ws("\n", F.format_string("[S%d]", "rank"), *[F.concat(F.lit(f"{k}: "), v) for k, v in lines.items()])
+    rows = hits.select("query_id", "id", "rank", "score").join(articles, "id").select("query_id", "rank", block.alias("b"))
+    return rows.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "b"))), lambda s: s["b"]), "\n\n").alias("context"))
+
+
 def resolve_followups(messages: DataFrame, text: str, sources: str = "sources") -> DataFrame:
     """Messages with `article_ids`: the previous sources (an array of ids, S1 first) that the text names by number, by an
     ordinal, all together, or as the last one; else none. A number that no source has is passed over."""

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import glob
+import os
+import zipfile
+
+import pyspark
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,8 +16,21 @@ from litlens.operators import merging as M
 from litlens.operators import neighbours as NN
 from litlens.operators.tables import cut
 
-#: Common words of four languages, our own choice (a parameter of the functions below).
-COMMON_WORDS = ("the", "a", "an", "and", "or", "of", "in", "on", "to", "for", "with", "by", "from", "is", "are", "was", "as", "at", "be", "it", "that", "this", "we", "our", "le", "la", "les", "de", "des", "et", "un", "une", "der", "die", "das", "und", "el", "los", "las", "en", "que")
+
+def english_stop_words() -> tuple[str, ...]:
+    """Spark's own English list, read from the file that ships with it (its contractions are no words here)."""
+    home = os.environ.get("SPARK_HOME") or os.path.dirname(pyspark.__file__)
+    for folder in (os.path.join(home, "jars"), os.path.join(os.path.dirname(pyspark.__file__), "jars")):
+        for jar in sorted(glob.glob(os.path.join(folder, "spark-mllib_*.jar"))):
+            with zipfile.ZipFile(jar) as z:
+                words = z.read("org/apache/spark/ml/feature/stopwords/english.txt").decode().split()
+            return tuple(w for w in words if "'" not in w)
+    raise FileNotFoundError("Spark's list of English stop words")
+
+
+#: Common words of other languages, our own choice.
+OTHER_WORDS = ("le", "la", "les", "de", "des", "et", "un", "une", "der", "die", "das", "und", "el", "los", "las", "en", "que")
+COMMON_WORDS = english_stop_words() + OTHER_WORDS
 #: Academic words that name no topic, and further generic research words.
 ACADEMIC_WORDS = ("paper", "study", "approach", "method", "methods", "result", "results", "show", "shows", "shown", "propose", "proposed", "present", "presented", "using", "use", "used", "based", "problem", "task", "performance", "new", "novel", "work", "framework", "experiments", "experimental", "analysis", "demonstrate", "demonstrates", "significant", "effective", "efficient", "deep", "learning")
 RESEARCH_WORDS = ("model", "models", "data", "dataset", "datasets", "learning", "algorithm", "algorithms")

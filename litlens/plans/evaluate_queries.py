@@ -168,10 +168,23 @@ def h7(a):
     return a.select("id", F.array_join(V.important_terms(F.col("title")), "|").alias("terms"))
 
 
-@of_articles("h6_score_answers", f"SELECT id, CASE WHEN len(w) > 0 THEN round(len(list_filter(w, lambda x: contains(lower(coalesce(abstract_text, '')), x))) / len(w), 6) ELSE 0 END AS term_recall, contains(lower(coalesce(abstract_text, '')), lower(title)) AS title_mentioned FROM (SELECT *, list_slice(list_filter(w0, lambda x, i: list_position(w0, x) = i), 1, 20) AS w FROM (SELECT *, {TERMS.format('title')} AS w0 FROM articles))")
+#: Answers: the abstracts, with marks, a sources section or a phrase of missing evidence in some; evidence: the article before.
+ANSWERS = f"""an AS (SELECT a.id, a.title, CASE a.id % 4 WHEN 0 THEN a.title || ' [S1] and [S2]' || chr(10) || coalesce(a.abstract_text, '') || chr(10) || '## Sources:' || chr(10) || '[S1]' WHEN 1 THEN 'The database does not contain enough evidence.' ELSE a.abstract_text END AS answer,
+list_slice(list_filter(regexp_extract_all(lower(coalesce(a.title, '')), '[a-z]+'), lambda w: length(w) > 3), 1, 4) AS keys, b.abstract_text AS evidence FROM articles a LEFT JOIN articles b ON b.id = a.id - 1),
+ap AS (SELECT *, trim(regexp_replace(lower(coalesce(answer, '')), '[\\s\\p{{Z}}]+', ' ', 'g')) AS plain, trim(regexp_replace(lower(coalesce(title, '')), '[\\s\\p{{Z}}]+', ' ', 'g')) AS wanted, list_slice(list_filter(w, lambda x, i: list_position(w, x) = i), 1, 20) AS ev FROM (SELECT *, {TERMS.format('evidence')} AS w FROM an)),
+sa AS (SELECT id, contains(plain, wanted) AS title_mentioned, CASE WHEN len(keys) > 0 THEN len(list_filter(keys, lambda x: contains(plain, x))) / len(keys) ELSE 0 END AS term_recall, CASE WHEN len(ev) > 0 THEN len(list_filter(ev, lambda x: contains(plain, x))) / len(ev) ELSE 0 END AS evidence_recall,
+CAST(len(regexp_extract_all(coalesce(answer, ''), '\\[S\\d+\\]')) AS INTEGER) AS citation_marker_count, regexp_matches(coalesce(answer, ''), '(?i)(^|\\n)\\s*(?:#+\\s*)?(?:Sources|Kaynaklar)\\b\\s*:?') AS has_sources_section, regexp_matches(coalesce(answer, ''), '(?i){V.INSUFFICIENT}') AS insufficient_evidence, CAST(length(coalesce(answer, '')) AS INTEGER) AS answer_chars FROM ap)"""
+
+
+def scored_answers(a):
+    before = a.select((F.col("id") + 1).alias("id"), F.col("abstract_text").alias("evidence"))
+    text = F.concat(F.col("title"), F.lit(" [S1] and [S2]\n"), F.coalesce("abstract_text", F.lit("")), F.lit("\n## Sources:\n[S1]"))
+    answer = F.when(F.col("id") % 4 == 0, text).when(F.col("id") % 4 == 1, "The database does not contain enough evidence.").otherwise(F.col("abstract_text"))
+    keys = F.slice(F.filter(F.regexp_extract_all(F.lower(F.coalesce("title", F.lit(""))), F.lit("[a-z]+"), F.lit(0)), lambda w: F.length(w) > 3), 1, 4)
+    rows = a.join(before, "id", "left").select("id", "title", answer.alias("answer"), keys.alias("keys"), "evidence")
+    return V.score_answers(rows, "answer", "title", "keys", "evidence").drop("title", "answer", "keys", "evidence")
+
+
+@of_articles("h6_score_answers", f"WITH {ANSWERS} SELECT * REPLACE (round(term_recall, 6) AS term_recall, round(evidence_recall, 6) AS evidence_recall) FROM sa")
 def h6(a):
-    """Answers (here: abstracts) against the key terms of their titles."""
-    low = F.lower(F.coalesce("abstract_text", F.lit("")))
-    t = a.withColumn("w", V.important_terms(F.col("title")))
-    found = F.size(F.filter("w", lambda x: low.contains(x)))
-    return t.select("id", F.when(F.size("w") > 0, F.round(found / F.size("w"), 6)).otherwise(0.0).alias("term_recall"), low.contains(F.lower("title")).alias("title_mentioned"))
+    return six(scored_answers(a))

@@ -21,7 +21,7 @@ from litlens.operators import search as G
 from litlens.operators import tables as T
 from litlens.operators import topics as E
 from litlens.plans.base import AS_OF, ORACLES, articles, clusters, messages, of_articles, query, six, table
-from litlens.plans.evaluate_queries import GOLD, LAB, golden, labelled
+from litlens.plans.evaluate_queries import ANSWERS, GOLD, LAB, golden, labelled, scored_answers
 from litlens.plans.report_queries import DIGEST, YEAR, digest, stored
 from litlens.plans.search_queries import BM, FINAL, FUSE, KEY, LEX, ORDER, index, item_terms, merged, sql_terms, title_hits, topic_queries
 from litlens.plans.vector_queries import UNIT
@@ -228,10 +228,10 @@ def h2(spark, sf):
     return six(DS.evaluate_retrieval(questions, articles(spark, sf), index(spark, sf), AS_OF, forced=True))
 
 
-@of_articles("h8_summarize_answers", r"SELECT count(*) AS question_count, round(avg(CASE WHEN doi IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS retrieval_hit_rate, round(coalesce(avg(CAST(contains(lower(coalesce(abstract_text, '')), lower(title)) AS INT)), 0), 6) AS expected_title_mention_rate, CAST(0.5 AS DOUBLE) AS mean_key_term_coverage, round(avg(len(regexp_extract_all(coalesce(abstract_text, ''), '\[S\d+\]'))), 6) AS mean_citation_marker_count, CAST(0 AS DOUBLE) AS sources_section_rate FROM articles")
+@of_articles("h8_summarize_answers", f"WITH {ANSWERS} SELECT count(*) AS question_count, round(avg(CASE WHEN doi IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS retrieval_hit_rate, round(avg(CAST(title_mentioned AS INT)), 6) AS expected_title_mention_rate, round(avg(term_recall), 6) AS mean_key_term_coverage, round(avg(citation_marker_count), 6) AS mean_citation_marker_count, round(avg(CAST(has_sources_section AS INT)), 6) AS sources_section_rate FROM sa JOIN articles USING (id)")
 def h8(a):
-    text = F.coalesce("abstract_text", F.lit(""))
-    return X.summarize_answers(a.select(F.col("doi").isNotNull().alias("retrieval_hit"), F.lower(text).contains(F.lower("title")).alias("title_mentioned"), F.lit(0.5).alias("term_recall"), EV.answer_signals(text)["citation_marker_count"].alias("citation_marker_count"), F.lit(False).alias("has_sources_section")))
+    """Rates over the scored answers of h6; an article with a DOI counts as found."""
+    return X.summarize_answers(scored_answers(a).join(a.select("id", F.col("doi").isNotNull().alias("retrieval_hit")), "id"))
 
 
 @query("h9_compare_systems", f"""WITH {FUSE}, f AS (SELECT *, coalesce(1.0 / (60 + vector_rank), 0) + coalesce(1.0 / (60 + bm25_rank), 0) AS fusion_score FROM mg), fr AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY {ORDER}) AS rank FROM f),
@@ -250,9 +250,8 @@ def h9(spark, sf):
 
 @of_articles("i14_report_key", "SELECT DISTINCT source, primary_category, 'v1:' || substr(sha256('{\"category\": \"' || primary_category || '\", \"period\": \"12m\", \"source\": \"' || source || '\"}'), 1, 24) AS key FROM articles")
 def i14(a):
-    """Keys of all reports by source and category, each as report_key() makes it."""
-    text = F.format_string('{"category": "%s", "period": "12m", "source": "%s"}', "primary_category", "source")
-    return a.select("source", "primary_category").distinct().withColumn("key", F.concat(F.lit("v1:"), F.substring(F.sha2(text, 256), 1, 24)))
+    """Keys of all reports by source and category."""
+    return a.select("source", "primary_category").distinct().withColumn("key", I.report_keys("v1", category=F.col("primary_category"), period=F.lit("12m"), source=F.col("source")))
 
 
 IN_CV = "(primary_category = 'cs.CV' OR coalesce(categories ILIKE '%cs.CV%', FALSE))"
@@ -294,7 +293,10 @@ def u5(spark, sf):
     return spark.sql("SELECT item_id, term, position FROM {b} b, LATERAL text_terms(b.text)", b=table(spark, sf, "benchmark"))
 
 
-@query("u6_sql_functions", r"SELECT item_id, CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS INTEGER) AS n, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM benchmark")
+@query("u6_sql_functions", r"""SELECT item_id, CAST(len(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS INTEGER) AS n, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean, CAST(len(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda w: w <> '')) AS INTEGER) AS words, array_to_string(list_slice(list_filter(regexp_split_to_array(text, '[\s\p{Z}]+'), lambda w: w <> ''), 1, 7), ' ') AS first,
+trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text || ' $$x$$ \alpha {b}', '[$]+', ' ', 'g'), '\\[a-zA-Z]+', ' ', 'g'), '[{}]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g')) AS light, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[\s\p{Z}]+', ' ', 'g'), '[^\p{L}\p{N}_ ]', '', 'g'), ' +', ' ', 'g')) AS key, '10.1/' || CAST(item_id AS VARCHAR) AS doi, round(least(0.65, ln(1 + length(text)) / 5), 6) AS component, CASE WHEN item_id = 0 THEN 0 ELSE round(CAST(item_id AS DOUBLE) / (sqrt(2) * item_id), 6) END AS cosine FROM benchmark""")
 def u6(spark, sf):
     SQL.register(spark)
-    return spark.sql("SELECT item_id, litlens_count_terms(text) AS n, litlens_clean_ws(text) AS clean FROM {b}", b=table(spark, sf, "benchmark"))
+    b = table(spark, sf, "benchmark")
+    return spark.sql(r"""SELECT item_id, litlens_count_terms(text) AS n, litlens_clean_ws(text) AS clean, litlens_count_words(text) AS words, litlens_truncate_words(text, 7) AS first, litlens_light_clean(text || ' $$x$$ \\alpha {{b}}') AS light, litlens_title_key(text) AS key,
+litlens_normalize_doi('https://doi.org/10.1/' || item_id) AS doi, round(litlens_keyword_component(length(text)), 6) AS component, round(litlens_cosine(array(double(item_id), 0D), array(1D, 1D)), 6) AS cosine FROM {b}""", b=b)

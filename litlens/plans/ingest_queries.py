@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from litlens.functions import text as T
 from litlens.operators import ingest as B
-from litlens.plans.base import of_articles
+from litlens.plans.base import AS_OF, of_articles
 
 LIST = "list_filter(list_transform(string_split(categories, ','), lambda x: trim(x)), lambda x: x <> '')"
 VALUES = f"list_transform(list_concat([coalesce(primary_category, '')], {LIST}), lambda c: lower(trim(c)))"
@@ -33,15 +33,19 @@ def b6(a):
     return B.cap_lengths(a).select("id", "title", "language")
 
 
-@of_articles("b7_metadata", f"SELECT id, CAST(year(publish_date) AS INTEGER) AS publish_year, CAST(month(publish_date) AS INTEGER) AS publish_month, array_to_string({LIST}, '|') AS categories_list, coalesce(pdf_url <> '', FALSE) AS has_pdf, coalesce(language, 'en') AS language FROM articles")
+@of_articles("b7_metadata", f"SELECT id, CAST(year(publish_date) AS INTEGER) AS publish_year, CAST(month(publish_date) AS INTEGER) AS publish_month, array_to_string({LIST}, '|') AS categories_list, coalesce(pdf_url <> '', FALSE) AS has_pdf, coalesce(language, 'en') AS language, 'Ann ' || CAST(id AS VARCHAR) || '|Bo' AS authors_list, CASE WHEN id % 2 = 0 THEN 'v2' ELSE 'v1' END AS source_payload_version, '{AS_OF}' AS metadata_normalized_at, 'note=' || venue AS carried FROM articles")
 def b7(a):
-    m = a.select("id", B.build_metadata("run-1").alias("m"))
-    return m.select("id", "m.publish_year", "m.publish_month", F.array_join("m.categories_list", "|").alias("categories_list"), "m.has_pdf", "m.language")
+    """With authors and an incoming map, of which one key is the payload, one a derived field, and in half of the rows a version."""
+    some = F.map_from_arrays(F.array(F.lit("note"), F.lit("ingestion_source_payload"), F.lit("source")), F.array(F.col("venue"), F.lit("{}"), F.lit("old")))
+    rows = a.withColumns({"authors": F.concat(F.lit("Ann "), F.col("id").cast("string"), F.lit(", , Bo")), "metadata_json": F.when(F.col("id") % 2 == 0, F.map_concat(some, F.create_map(F.lit("source_payload_version"), F.lit("v2")))).otherwise(some)})
+    m = rows.select("id", B.build_metadata(rows, "run-1", AS_OF).alias("m"))
+    carried = F.array_join(F.transform(F.map_entries("m.carried"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return m.select("id", "m.publish_year", "m.publish_month", F.array_join("m.categories_list", "|").alias("categories_list"), "m.has_pdf", "m.language", F.array_join("m.authors_list", "|").alias("authors_list"), "m.source_payload_version", "m.metadata_normalized_at", carried.alias("carried"))
 
 
 @of_articles("b8_article_row", r"SELECT id, nullif(regexp_replace(CASE WHEN length(title) > 500 THEN substr(title, 1, 497) || '...' ELSE title END, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'), '') AS title, 'article' AS document_type, 'run-1' AS ingestion_run_id FROM articles")
 def b8(a):
-    return B.to_article_row(a, "run-1").select("id", "title", "document_type", "ingestion_run_id")
+    return B.to_article_row(a, "run-1", AS_OF).select("id", "title", "document_type", "ingestion_run_id")
 
 
 @of_articles("b9_complete", "SELECT id FROM articles WHERE source <> '' AND external_id <> '' AND title <> '' AND abstract_text <> ''")

@@ -143,22 +143,28 @@ def i21(spark, sf):
 
 @of_articles("i22_digest_highlights", f"""{DIGEST}, cs AS (SELECT cluster_id, string_agg(primary_category, ', ' ORDER BY primary_category) AS cats FROM (SELECT DISTINCT cluster_id, primary_category, dense_rank() OVER (PARTITION BY cluster_id ORDER BY primary_category) AS r FROM dg QUALIFY r <= 5) GROUP BY 1),
 ci AS (SELECT cluster_id, title, citation_count FROM dg WHERE citation_count > 0 QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY citation_count DESC, position) = 1)
-SELECT cluster_id, concat_ws(' | ', 'Top categories: ' || cats, 'Most cited selected paper: ' || title || ' (' || CAST(citation_count AS VARCHAR) || ' citations)') AS highlights FROM cs LEFT JOIN ci USING (cluster_id)""")
+SELECT cluster_id, concat_ws(' | ', 'Keywords: key' || CAST(cluster_id AS VARCHAR) || ', word 2', 'Top categories: ' || cats, 'Most cited selected paper: ' || title || ' (' || CAST(citation_count AS VARCHAR) || ' citations)') AS highlights FROM cs LEFT JOIN ci USING (cluster_id)""")
 def i22(a):
-    return I.digest_highlights(digest(a))
+    words = a.filter("cluster_id >= 0 ").select("cluster_id").distinct().select("cluster_id", F.array(F.concat(F.lit("key"), F.col("cluster_id").cast("string")), F.lit("word 2")).alias("keywords"))
+    return I.digest_highlights(digest(a), words)
 
 
-@of_articles("i24_bulletin_options", "SELECT primary_category AS category, count(*) AS paper_count FROM articles WHERE primary_category IS NOT NULL AND primary_category <> '' GROUP BY 1")
-def i24(a):
-    return I.bulletin_options(a)
+@query("i24_bulletin_options", "SELECT 'category' AS kind, primary_category AS value, count(*) AS paper_count FROM articles WHERE primary_category IS NOT NULL AND primary_category <> '' GROUP BY 2 UNION ALL SELECT 'cluster', CAST(cluster_id AS VARCHAR), article_count FROM clusters WHERE article_count > 0")
+def i24(spark, sf):
+    return I.bulletin_options(articles(spark, sf), clusters(spark, sf))
 
 
-@query("i25_user_bulletins", f"""{REPS}, pr AS (SELECT DISTINCT user_id, CAST(user_id % 10 AS INTEGER) AS cluster_id FROM events), pp AS (SELECT a.cluster_id, a.id FROM articles a LEFT JOIN rp ON rp.id = a.id AND rp.cluster_id = a.cluster_id WHERE a.cluster_id >= 0 QUALIFY row_number() OVER (PARTITION BY a.cluster_id ORDER BY rp.rank NULLS LAST, a.id) <= 3)
-SELECT user_id, cluster_id, id FROM pr JOIN pp USING (cluster_id)""")
+@query("i25_user_bulletins", f"""{REPS}, us AS (SELECT DISTINCT user_id FROM events), ra AS (SELECT a.cluster_id, a.id, a.primary_category, rp.rank FROM articles a LEFT JOIN rp ON rp.id = a.id AND rp.cluster_id = a.cluster_id WHERE a.cluster_id >= 0),
+pp AS (SELECT cluster_id, id FROM ra QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY rank NULLS LAST, id) <= 3)
+SELECT user_id, cluster_id, id FROM us JOIN pp ON cluster_id IN (user_id % 10, user_id % 7) WHERE user_id % 3 <> 0
+UNION ALL SELECT user_id, cluster_id, id FROM us JOIN ra ON primary_category IN ('cs.CV', CASE WHEN user_id % 2 = 0 THEN 'math.NA' ELSE 'stat.ML' END) WHERE user_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY user_id, cluster_id ORDER BY rank NULLS LAST, id) <= 3""")
 def i25(spark, sf):
-    a = articles(spark, sf)
-    prefs = spark.read.parquet(f"{sf}/events.parquet").select("user_id", (F.col("user_id") % 10).cast("int").alias("cluster_id")).distinct()
-    return prefs.join(I.cluster_papers(a, E.representatives(a), 3), "cluster_id").select("user_id", "cluster_id", "id")
+    """Users choose two clusters or two categories."""
+    a, user = articles(spark, sf), F.col("user_id")
+    kind = F.when(user % 3 == 0, "categories").otherwise("clusters")
+    prefs = spark.read.parquet(f"{sf}/events.parquet").select("user_id").distinct()
+    prefs = prefs.select("user_id", kind.alias("selection_type"), F.array((user % 10).cast("int"), (user % 7).cast("int")).alias("cluster_ids"), F.array(F.lit("cs.CV"), F.when(user % 2 == 0, "math.NA").otherwise("stat.ML")).alias("categories"))
+    return I.user_bulletins(prefs, a, E.representatives(a), 3)
 
 
 @query("i27_search_clusters", "SELECT cluster_id, article_count FROM clusters WHERE contains(lower(cluster_description), 'topic')")
@@ -166,7 +172,9 @@ def i27(spark, sf):
     return clusters(spark, sf).filter(F.lower("cluster_description").contains("topic")).orderBy(F.desc("article_count"), "cluster_id").select("cluster_id", "article_count")
 
 
-@of_articles("i28_weekly_best", f"{REPS} SELECT a.id, round(coalesce(rp.score, 0.8), 6) AS score FROM articles a LEFT JOIN rp ON rp.id = a.id WHERE publish_date >= {AGO.format(7)} ORDER BY round(coalesce(rp.score, 0.8), 9) DESC, a.id LIMIT 6")
+@of_articles("i28_weekly_best", f"""{REPS}, wk AS (SELECT a.cluster_id, a.id, coalesce(rp.score, 0.8) AS score FROM articles a LEFT JOIN rp ON rp.id = a.id WHERE publish_date >= {AGO.format(7)})
+SELECT part, cluster_id, id, round(score, 6) AS score, CAST(position AS INTEGER) AS position FROM (SELECT 'best' AS part, *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS position FROM wk QUALIFY position <= 6)
+UNION ALL SELECT 'cluster', cluster_id, id, round(score, 6), CAST(position AS INTEGER) FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(score, 9) DESC, id) AS position FROM wk WHERE cluster_id >= 0 QUALIFY position <= 2)""")
 def i28(a):
     return I.weekly_best(a, E.representatives(a), AS_OF).withColumn("score", F.round("score", 6))
 

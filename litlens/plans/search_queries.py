@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from litlens.functions import vectors as V
 from litlens.operators import lexicon as L
+from litlens.operators import retrieval as R
 from litlens.operators import search as G
 from litlens.operators import tables as T
 from litlens.plans.base import AS_OF, articles, messages, of_articles, query, six, table
@@ -226,11 +227,13 @@ def g21(a):
     return G.vector_search(a, topic_queries(a), 5).select("query_id", F.concat(F.lit("S"), F.col("rank").cast("string")).alias("source_id"), F.col("id").alias("article_id"))
 
 
-@of_articles("g22_context_text", f"WITH {VEC} SELECT query_id, string_agg('[S' || CAST(rank AS VARCHAR) || ']' || chr(10) || 'Title: ' || title || chr(10) || 'Source: ' || source || chr(10) || 'DOI: ' || coalesce(doi, 'None') || chr(10) || 'Abstract: ' || substr(coalesce(abstract_text, 'No abstract'), 1, 1200), chr(10) || chr(10) ORDER BY rank) AS context FROM vr JOIN articles USING (id) WHERE rank <= 5 GROUP BY query_id")
+SHOWN = r"regexp_replace(coalesce(abstract_text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')"
+CONTEXT = " || chr(10) || ".join(("'[S' || CAST(rank AS VARCHAR) || ']'", "'article_id: ' || CAST(id AS VARCHAR)", "'title: ' || title", "'authors: ' || CASE WHEN id % 2 = 0 THEN 'Ann, Bo' ELSE 'Unknown' END", "'source: ' || source", "'external_id: ' || external_id", "'venue: ' || venue", "'publish_date: ' || coalesce(strftime(publish_date, '%Y-%m-%dT%H:%M:%S'), 'Unknown')", "'doi: ' || coalesce(doi, 'None')", "'url: ' || coalesce(pdf_url, 'None')", "'cluster_id: ' || coalesce(CAST(cluster_id AS VARCHAR), 'None')", "'category: ' || primary_category", "'citation_count: ' || coalesce(CAST(citation_count AS VARCHAR), 'Unknown')", "'score: ' || printf('%.4f', score)", f"'abstract: ' || coalesce(nullif(CASE WHEN length({SHOWN}) > 1200 THEN substr({SHOWN}, 1, 1200) || '...' ELSE {SHOWN} END, ''), 'No abstract available.')"))
+
+
+@of_articles("g22_context_text", f"WITH {VEC} SELECT query_id, string_agg({CONTEXT}, chr(10) || chr(10) ORDER BY rank) AS context FROM vr JOIN articles USING (id) WHERE rank <= 5 GROUP BY query_id")
 def g22(a):
-    hits = G.vector_search(a, topic_queries(a), 5).join(a.select("id", "title", "source", "doi", "abstract_text"), "id")
-    block = F.concat_ws("\n", F.concat(F.lit("[S"), F.col("rank").cast("string"), F.lit("]")), F.concat(F.lit("Title: "), F.col("title")), F.concat(F.lit("Source: "), F.col("source")), F.concat(F.lit("DOI: "), F.coalesce("doi", F.lit("None"))), F.concat(F.lit("Abstract: "), F.substring(F.coalesce("abstract_text", F.lit("No abstract")), 1, 1200)))
-    return hits.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda s: s["b"]), "\n\n").alias("context"))
+    return R.context_text(G.vector_search(a, topic_queries(a), 5), a.withColumn("authors", F.when(F.col("id") % 2 == 0, "Ann, Bo")))
 
 
 @of_articles("g28_normalize_decision", "SELECT id, greatest(1, least(10, citation_count)) AS top_k, CASE WHEN language IN ('relevance', 'publish_date_desc') THEN language ELSE 'relevance' END AS sort_by, lower(source) AS source FROM articles WHERE citation_count IS NOT NULL")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from litlens.functions import text as T
 from litlens.functions import vectors as V
 from litlens.operators import topics as E
-from litlens.plans.text_queries import LIGHT, REPR
+from litlens.plans.text_queries import EMBED, LIGHT, REPR
 from litlens.plans.base import of_articles
 
 NORM = "sqrt(list_sum(list_transform({v}, lambda x: x * x)))"
@@ -38,10 +39,15 @@ def pending_embeddings(articles, texts, model: str):
     return j.filter(~fresh).select("id", "hash")
 
 
-@of_articles("d3_pending_embeddings", "SELECT id, sha256(title) AS hash FROM articles WHERE embedding IS NULL OR language = 'de' OR citation_count IS NULL")
+def embedded_hash():
+    """The hash of the text that is embedded: cleaned title and abstract."""
+    return V.text_hash(V.passage_text(T.embedding_text(F.col("title"), F.col("abstract_text"))))
+
+
+@of_articles("d3_pending_embeddings", f"WITH {LIGHT}, e AS (SELECT id, {EMBED} AS text FROM l) SELECT id, sha256(CASE WHEN starts_with(lower(text), 'passage:') THEN text ELSE 'passage: ' || text END) AS hash FROM e JOIN articles USING (id) WHERE embedding IS NULL OR language = 'de' OR citation_count IS NULL")
 def d3(a):
-    stored = a.select("id", "embedding", F.when(F.col("language") == "de", "old-model").otherwise("encoder-1").alias("model"), F.when(F.col("citation_count").isNull(), "stale").otherwise(V.text_hash(F.col("title"))).alias("stored_hash"))
-    return pending_embeddings(stored, a.select("id", V.text_hash(F.col("title")).alias("hash")), "encoder-1")
+    stored = a.select("id", "embedding", F.when(F.col("language") == "de", "old-model").otherwise("encoder-1").alias("model"), F.when(F.col("citation_count").isNull(), "stale").otherwise(embedded_hash()).alias("stored_hash"))
+    return pending_embeddings(stored, a.select("id", embedded_hash().alias("hash")), "encoder-1")
 
 
 @of_articles("d6_cosine", f"WITH {UNIT} SELECT a.id, round(list_cosine_similarity(a.dv, c.rm), 6) AS similarity FROM d a JOIN c USING (cluster_id)")
@@ -62,8 +68,8 @@ def d8(a):
 
 @of_articles("d9_topic_corpus", "SELECT count(*) AS articles, count_if(embedding IS NOT NULL AND citation_count IS NOT NULL) AS usable, count_if(embedding IS NOT NULL AND citation_count IS NULL) AS stale FROM articles")
 def d9(a):
-    stored = a.select("id", "embedding", F.when(F.col("citation_count").isNull(), "stale").otherwise(V.text_hash(F.col("title"))).alias("stored_hash"))
-    j = a.select("id", V.text_hash(F.col("title")).alias("hash")).join(stored, "id")
+    stored = a.select("id", "embedding", F.when(F.col("citation_count").isNull(), "stale").otherwise(embedded_hash()).alias("stored_hash"))
+    j = a.select("id", embedded_hash().alias("hash")).join(stored, "id")
     has, same = F.col("embedding").isNotNull(), F.col("hash") == F.col("stored_hash")
     return j.agg(F.count(F.lit(1)).alias("articles"), F.count_if(has & same).alias("usable"), F.count_if(has & ~same).alias("stale"))
 

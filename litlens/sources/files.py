@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from litlens.operators.tables import publish
+
 QUESTION = "struct<question_id: string, question: string, expected_article_ids: array<bigint>, top_k: int>"
 
 
@@ -59,7 +63,7 @@ def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet
 
 
 class SnapshotStore:
-    """Report tables by key, each in a folder of its own; a save replaces the key's table as a whole."""
+    """Report tables by key, each in a folder of its own. A save writes aside and then takes the place of the key's table."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -67,14 +71,16 @@ class SnapshotStore:
         self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def save(self, key: str, df: DataFrame) -> None:
-        df.write.mode("overwrite").parquet(f"{self.folder}/{key}")
+        made = f"{self.folder}-new/{uuid.uuid4().hex}"
+        df.write.parquet(made)
+        publish(self.spark, made, f"{self.folder}/{key}")
 
     def get(self, key: str) -> DataFrame | None:
         return self.spark.read.parquet(f"{self.folder}/{key}") if self._fs.exists(self._path(f"{self.folder}/{key}/_SUCCESS")) else None
 
     def keys(self) -> list[str]:
         root = self._path(self.folder)
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(root)) if self._fs.exists(root) else []
+        return sorted(n for s in self._fs.listStatus(root) if ".old-" not in (n := s.getPath().getName())) if self._fs.exists(root) else []
 
     def delete(self, prefix: str) -> int:
         gone = [k for k in self.keys() if k.startswith(prefix)]
