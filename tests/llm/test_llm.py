@@ -555,6 +555,26 @@ def test_pipeline_stages(spark, sf):
     assert out.count() == len(left) and out.filter("NOT round_trip").count() == 0
 
 
+def test_pipeline_near_copies_leave_behind_the_lines(spark, docs, sf):
+    """Copies whose lines are broken elsewhere have no near lines, so line dedup keeps them; the next stage keeps one of each."""
+    import corpus_pipeline as P
+
+    rnd = random.Random(21)
+    rows, clean = [], []
+    for i in range(12):
+        words = [f"{rnd.choice('bcdfghklm')}{rnd.choice('aeiou')}{rnd.randint(100, 999)}" for _ in range(160)]
+        wrapped = lambda n, w: "\n".join(" ".join(w[j : j + n]) for j in range(0, len(w), n))
+        near = list(words)
+        near[80] = "changed"
+        rows += [(10 * i, wrapped(16, words)), (10 * i + 1, wrapped(11, words)), (10 * i + 2, wrapped(7, near))]
+        clean.append((1000 + i, wrapped(16, [f"w{rnd.randint(0, 10**6)}" for _ in range(150)])))
+    d = docs(rows + clean).select(*P.COLUMNS)
+    kept = dict(P.STAGES)["lines"](spark, d, sf)
+    assert kept.count() == len(rows) + len(clean)
+    left = {r["doc_id"] for r in dict(P.STAGES)["near_duplicates"](spark, kept, sf).collect()}
+    assert left == {10 * i for i in range(12)} | {i for i, _ in clean}
+
+
 def test_pipeline_cases(spark, docs, edge, sf):
     import corpus_pipeline as P
 
