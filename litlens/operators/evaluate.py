@@ -104,37 +104,6 @@ def purity(table: DataFrame) -> DataFrame:
     return purity_mapping(table).agg(F.sum("n").alias("hit")).crossJoin(table.agg(F.sum("n").alias("total"))).select((F.col("hit") / F.col("total")).alias("purity"))  # one row each
 
 
-def optimal_mapping(table: DataFrame, label: str = "label", cluster: str = "cluster_id") -> DataFrame:
-    """one-to-one assignment of clusters to labels with most rows. The contingency table is labels by clusters, so the
-    driver solves it: successive longest augmenting paths."""
-    cells = [(r[0], r[1], r[2]) for r in table.select(label, cluster, "n").collect()]
-    labels, groups = sorted({c[0] for c in cells}), sorted({c[1] for c in cells})
-    gain = {(a, b): n for a, b, n in cells}
-    pair: dict = {}
-    for _ in range(min(len(labels), len(groups))):
-        # Bellman-Ford over alternating paths: label -> cluster adds, cluster -> label (matched) takes away
-        best = {("l", a): (0, None) for a in labels if a not in pair.values()}
-        changed = True
-        while changed:
-            changed = False
-            for (kind, a), (score, _) in list(best.items()):
-                steps = [(("c", b), gain.get((a, b), 0)) for b in groups if pair.get(b) != a] if kind == "l" else [(("l", pair[a]), -gain.get((pair[a], a), 0))] if a in pair else []
-                for to, d in steps:
-                    if to not in best or score + d > best[to][0]:
-                        best[to], changed = (score + d, (kind, a)), True
-        ends = [(s, b) for (kind, b), (s, _) in best.items() if kind == "c" and b not in pair]
-        if not ends:
-            break
-        at, path = ("c", max(ends, key=lambda e: (e[0], -groups.index(e[1])))[1]), []
-        while at is not None:
-            path.append(at)
-            at = best[at][1]
-        for c, l in zip(path[0::2], path[1::2], strict=False):
-            pair[c[1]] = l[1]
-    rows = [(l, b, gain.get((l, b), 0)) for b, l in pair.items()]
-    return table.sparkSession.createDataFrame(rows, table.select(label, cluster, "n").schema)
-
-
 def adjusted_rand(table: DataFrame, a: str = "label", b: str = "cluster_id") -> DataFrame:
     """F14"""
     pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)

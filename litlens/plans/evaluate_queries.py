@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litlens.operators import evaluate as V
 from litlens.operators import lexicon as L
+from litlens.operators import matching as MA
 from litlens.plans.base import articles, of_articles, query, six, table
 from litlens.plans.search_queries import BM, index, item_terms
 from litlens.plans.vector_queries import UNIT
@@ -75,9 +76,16 @@ def f11(spark, sf):
     return V.contingency(labelled(spark, sf))
 
 
-@query("f12_optimal_mapping")
+#: All assignments of the four labels to clusters, the best first; of equal ones that with the smaller clusters. ka: none.
+OPTIMAL = f"""{LAB}, ka AS (SELECT DISTINCT cluster_id AS k FROM ct UNION ALL SELECT NULL), kn AS (SELECT l, k, CASE WHEN k IS NULL THEN 0 ELSE coalesce(n, 0) END AS n FROM (SELECT unnest([0, 1, 2, 3]) AS l) CROSS JOIN ka LEFT JOIN ct ON ct.label = l AND ct.cluster_id = k WHERE k IS NULL OR l IN (SELECT label FROM ct)),
+om AS (SELECT a.k AS k0, b.k AS k1, c.k AS k2, d.k AS k3 FROM kn a, kn b, kn c, kn d WHERE a.l = 0 AND b.l = 1 AND c.l = 2 AND d.l = 3 AND (a.k <> b.k OR a.k IS NULL OR b.k IS NULL) AND (a.k <> c.k OR a.k IS NULL OR c.k IS NULL) AND (a.k <> d.k OR a.k IS NULL OR d.k IS NULL) AND (b.k <> c.k OR b.k IS NULL OR c.k IS NULL) AND (b.k <> d.k OR b.k IS NULL OR d.k IS NULL) AND (c.k <> d.k OR c.k IS NULL OR d.k IS NULL)
+ORDER BY a.n + b.n + c.n + d.n DESC, a.k NULLS LAST, b.k NULLS LAST, c.k NULLS LAST, d.k NULLS LAST LIMIT 1),
+op AS (SELECT label, cluster_id, n FROM (SELECT unnest([0, 1, 2, 3]) AS label, unnest([k0, k1, k2, k3]) AS cluster_id FROM om) JOIN ct USING (label, cluster_id))"""
+
+
+@query("f12_optimal_mapping", f"WITH {OPTIMAL} SELECT label, cluster_id, n FROM op")
 def f12(spark, sf):
-    return V.optimal_mapping(V.contingency(labelled(spark, sf)))
+    return MA.optimal_mapping(V.contingency(labelled(spark, sf)))
 
 
 @query("f13_purity", f"WITH {LAB} SELECT round(sum(m) / sum(t), 6) AS purity FROM (SELECT cluster_id, max(n) AS m, sum(n) AS t FROM ct GROUP BY 1)")
@@ -95,11 +103,13 @@ def f15(spark, sf):
     return six(V.nmi(V.contingency(labelled(spark, sf))))
 
 
-@query("f17_match_status", f"WITH {LAB}, pm AS (SELECT cluster_id, label AS pl FROM ct QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) = 1) SELECT id, CASE WHEN label = lb.cluster_id THEN 'direct' WHEN label = pl THEN 'purity' ELSE 'mismatch' END AS status FROM lb JOIN pm USING (cluster_id)")
+@query("f17_match_status", f"WITH {OPTIMAL}, pm AS (SELECT cluster_id, label AS pl FROM ct QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY n DESC, label) = 1), al AS (SELECT a.id, l.quality * 2 + l.toxic AS label, nullif(a.cluster_id, -1) AS cluster_id FROM articles a JOIN labels l ON l.doc_id = a.id) SELECT id, CASE WHEN al.cluster_id IS NULL THEN 'not found' WHEN al.label = al.cluster_id THEN 'direct' WHEN al.label = op.label THEN 'optimal' WHEN al.label = pl THEN 'purity' ELSE 'mismatch' END AS status FROM al LEFT JOIN pm USING (cluster_id) LEFT JOIN op USING (cluster_id)")
 def f17(spark, sf):
-    rows = labelled(spark, sf)
-    m = V.purity_mapping(V.contingency(rows)).select("cluster_id", F.col("label").alias("_pl"))
-    return rows.join(m, "cluster_id").select("id", F.when(F.col("label") == F.col("cluster_id"), "direct").when(F.col("label") == F.col("_pl"), "purity").otherwise("mismatch").alias("status"))
+    """Every labelled article; those without a cluster, or outside all, are not found."""
+    ct = V.contingency(labelled(spark, sf))
+    lab = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") * 2 + F.col("toxic")).alias("label"))
+    rows = articles(spark, sf).select("id", F.nullif("cluster_id", F.lit(-1)).alias("cluster_id")).join(lab, "id")
+    return MA.match_status(rows, MA.optimal_mapping(ct), V.purity_mapping(ct))
 
 
 #: The documents that hold each benchmark item, and the item's hits by BM25.

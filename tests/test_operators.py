@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from litlens.functions import text as T
 from litlens.functions import vectors as V
-from litlens.operators import evaluate, hygiene, ingest, search, topics
+from litlens.operators import evaluate, hygiene, ingest, matching, search, topics
 
 
 def one(spark, c):
@@ -47,7 +47,7 @@ def test_score_retrieval(spark):
 
 def test_optimal_mapping_beats_greedy(spark):
     table = spark.createDataFrame([(0, 0, 9), (0, 1, 8), (1, 0, 8), (1, 1, 1)], "label int, cluster_id int, n long")
-    got = {(r["label"], r["cluster_id"]) for r in evaluate.optimal_mapping(table).collect()}
+    got = {(r["label"], r["cluster_id"]) for r in matching.optimal_mapping(table).collect()}
     assert got == {(0, 1), (1, 0)}
 
 
