@@ -11,7 +11,7 @@ from litlens.operators import routing as R
 from litlens.operators import sources as S
 from litlens.operators import topics as E
 from litlens.plans.base import AS_OF, clusters, messages, of_articles, query
-from litlens.plans.evaluate_queries import SCORED, golden, ranked, six
+
 from litlens.plans.vector_queries import REASSIGN, REPS, UNIT
 
 FIELD = "CASE WHEN primary_category LIKE 'cs.%' THEN 'Computer Science' ELSE primary_category END"
