@@ -168,3 +168,12 @@ def test_index_recall_and_work(spark):
     work = neighbours.compared_pairs(index, queries, 10, 8).first()
     assert recall >= 0.95 and work["compared"] < 0.2 * work["pairs"], (recall, work)
     assert neighbours.search_index(neighbours.build_index(frame(spark, x[:0])), queries, 10).count() == 0
+
+
+def test_kmeans_topics_find_planted_groups(spark):
+    from litlens.operators import experiments
+
+    x, own = planted(5, 40, 16, 0.05, 0, 6)
+    rows = frame(spark, x).unionByName(spark.createDataFrame([(9000, None), (9001, [])], "id long, embedding array<double>"))
+    got = {r["id"]: r["topic"] for r in experiments.kmeans_topics(rows, 5).collect()}
+    assert len(got) == len(x) and rand_index([got[i] for i in range(len(x))], list(own)) >= 0.7
