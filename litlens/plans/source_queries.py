@@ -7,8 +7,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from litlens.operators import evaluate as EV
+from litlens.operators import experiments as X
+from litlens.operators import hygiene as H
 from litlens.operators import sources as S
-from litlens.plans.base import messages, of_articles, query, table
+from litlens.plans import evaluate_queries, text_queries, vector_queries  # noqa: F401  their SQL is used below
+from litlens.plans.base import AS_OF, ORACLES, QUERIES, articles, messages, of_articles, query, table
 from litlens.sources import files as A
 from litlens.streaming import stateful as L
 from litlens.streaming.windows import run_append, shared_folder
@@ -88,32 +92,41 @@ def a11(a):
     return A.read_assignments(a.sparkSession, f"{path}/assigned")
 
 
-SINK = "SELECT 'arxiv' AS name, count(*) AS n FROM articles WHERE source = 'arxiv' UNION ALL SELECT 'rest', count(*) FROM articles WHERE source <> 'arxiv'"
+def same_as(name, other):
+    """Registers a query whose rows are those of another one, written and read again."""
 
+    def put(fn):
+        QUERIES[name], ORACLES[name] = fn, ORACLES[other]
+        return fn
 
-def _written(a, kind):
-    path = folder(a)
-    A.write_tables({"arxiv": a.filter("source = 'arxiv'").select("id", "title"), "rest": a.filter("source <> 'arxiv'").select("id", "title")}, path, kind)
-    back = lambda n: (a.sparkSession.read.json if kind == "json" else a.sparkSession.read.parquet)(f"{path}/{n}").agg(F.count("id").alias("n")).select(F.lit(n).alias("name"), "n")
-    return back("arxiv").union(back("rest"))
+    return put
 
 
-@of_articles("a14_write_hygiene", SINK)
-def a14(a):
-    return _written(a, "parquet")
+@same_as("a14_write_hygiene", "c17_hygiene_metrics")
+def a14(spark, sf):
+    """All tables of the clean path; the metrics are read back."""
+    result, path = H.clean_papers(articles(spark, sf)), folder(spark)
+    A.write_hygiene(result, H.topic_input(result.clean), path)
+    return spark.read.schema("metric string, value double").option("header", True).csv(f"{path}/metrics").select("metric", F.round("value", 6).alias("value"))
 
 
-@of_articles("a16_write_eval_report", SINK)
-def a16(a):
-    return _written(a, "json")
+@same_as("a15_write_topics", "e6_topic_keywords")
+def a15(spark, sf):
+    """Info, assignments, keywords and a grid; the keywords are read back."""
+    a, path = articles(spark, sf), folder(spark)
+    words = QUERIES["e6_topic_keywords"](spark, sf)
+    info = a.filter("cluster_id >= 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    A.write_topics(path, info, a.select("id", "cluster_id"), words, X.run_experiments(a.select("id", "cluster_id", "embedding"), [(0.2, 0.3)]))
+    return spark.read.schema(words.schema).option("header", True).csv(f"{path}/keywords")
 
 
-@of_articles("a15_write_topics", "SELECT cluster_id, count(*) AS n FROM articles WHERE cluster_id >= 0 GROUP BY 1")
-def a15(a):
-    path = folder(a)
-    info = a.filter("cluster_id >= 0").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"))
-    A.write_tables({"info": info, "assignments": a.select("id", "cluster_id")}, path, "csv")
-    return a.sparkSession.read.schema("cluster_id int, n long").option("header", True).csv(f"{path}/info")
+@same_as("a16_write_eval_report", "h1_score_retrieval")
+def a16(spark, sf):
+    """A clustering row, the questions' scores and their summary; the scores are read back."""
+    a, path = articles(spark, sf), folder(spark)
+    scores = QUERIES["h1_score_retrieval"](spark, sf)
+    A.write_eval_report(path, "run-1", "all", AS_OF, EV.cluster_coverage(a), scores, EV.summarize_retrieval(scores))
+    return spark.read.schema(scores.schema).option("header", True).csv(f"{path}/run-1/retrieval_results")
 
 
 @of_articles("a19_snapshots", "SELECT source, count(*) AS n FROM articles GROUP BY 1")

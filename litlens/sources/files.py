@@ -56,12 +56,46 @@ def read_assignments(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, kind: str = "parquet") -> None:
-    """One directory a table; each is replaced as a whole."""
+    """One directory a table; each is replaced as a whole."""
     for name, df in tables.items():
         writer = df.write.mode("overwrite")
         (writer.option("header", True).option("escape", '"').csv if kind == "csv" else writer.json if kind == "json" else writer.parquet)(f"{folder}/{name}")
 
 
+def flat(df: DataFrame) -> DataFrame:
+    """df for CSV: arrays, maps and structs as JSON text."""
+    nested = ("array", "map", "struct")
+    return df.select(*[F.to_json(c).alias(c) if t.startswith(nested) else F.col(c) for c, t in df.dtypes])
+
+
+def write_hygiene(result, topic_input: DataFrame, folder: str) -> None:
+    """Clean, topic_input, removed, duplicates and metrics as CSV."""
+    tables = {"clean": result.clean, "topic_input": topic_input, "removed": result.removed, "duplicates": result.duplicates, "metrics": result.metrics}
+    write_tables({k: flat(df) for k, df in tables.items()}, folder, "csv")
+
+
+def write_topics(folder: str, info: DataFrame, assignments: DataFrame, keywords: DataFrame, experiments: DataFrame) -> None:
+    """Topic info, assignments, keywords and experiment rows as CSV."""
+    write_tables({"info": flat(info), "assignments": flat(assignments), "keywords": flat(keywords), "experiments": flat(experiments)}, folder, "csv")
+
+
+def write_eval_report(folder: str, run_id: str, suite: str, as_of: str, clustering: DataFrame | None = None, results: DataFrame | None = None, summary: DataFrame | None = None) -> None:
+    """A16, below folder/run_id: clustering_metrics as JSON, retrieval_results as CSV with a row a question, and one JSON row of the
+    run with both summaries (clustering and summary have one row each)."""
+    root = f"{folder}/{run_id}"
+    spark = next(df for df in (clustering, results, summary) if df is not None).sparkSession
+    run = spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(suite).alias("suite"), F.lit(as_of).alias("generated_at"))
+    if clustering is not None:
+        write_tables({"clustering_metrics": clustering}, root, "json")
+        run = run.crossJoin(clustering.select(F.struct("*").alias("clustering")))  # one row each
+    if results is not None:
+        write_tables({"retrieval_results": flat(results)}, root, "csv")
+        counted = results.agg(F.count(F.lit(1)).alias("question_count"))
+        one = counted if summary is None else counted.crossJoin(summary.select(F.struct("*").alias("summary")))
+        run = run.crossJoin(one.select(F.struct("*").alias("retrieval")))
+    write_tables({"summary": run}, root, "json")
+
+
 class SnapshotStore:
     """Report tables by key, each in a folder of its own. A save writes aside and then takes the place of the key's table."""
 
