@@ -29,7 +29,7 @@ from litlens.plans.vector_queries import UNIT
 
 @of_articles("d4_embed", "SELECT id, sha256(coalesce(title, '')) AS text_hash, 'hashing' AS embedding_model, CASE WHEN trim(coalesce(title, '')) = '' THEN 0 ELSE 1 END AS length FROM articles")
 def d4(a):
-    """Lengths only: a title of no words has a zero vector, all others length 1 (words that cancel out would show)."""
+    """Lengths only: a blank title has a zero vector, all others length 1."""
     v = R.embed(a, "title")
     return v.select("id", "text_hash", "embedding_model", F.round(V.norm(F.col("embedding"))).cast("int").alias("length"))
 
