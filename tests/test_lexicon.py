@@ -74,3 +74,25 @@ def test_states(spark, corpus):
     assert L.status(more, folder) == "unknown"
     empty = L.build(articles.limit(0), f"{folder}-empty")
     assert L.search(empty, spark.createDataFrame([(1, ["c1"])], "query_id int, terms array<string>"), 5).count() == 0
+
+
+def test_build_grows_by_tasks(spark, corpus, monkeypatch):
+    """Pages are dealt over more tasks as articles grow, and blocks that batches split hold the same postings."""
+    rows, articles = corpus
+    monkeypatch.setattr(L, "TASK_PAGES", 0.1, raising=False)
+    monkeypatch.setattr(L, "RUN", 8, raising=False)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        index = L.build(articles, f"{T.shared_folder(spark)}/lexicon-tasks")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert index.blocks.select(F.input_file_name()).distinct().count() > 4 * L.BUCKETS
+    words = lambda t: Counter(re.findall(r"\w+", t.lower()))
+    want = sorted((w, i, words(t)[w], words(a)[w]) for i, t, a, _ in rows if a is not None for w in {**words(t), **words(a)})
+    assert sorted(tuple(r) for r in L.postings(index).collect()) == want
+    df = Counter(w for w, *_ in want)
+    assert {r["term"]: r["df"] for r in index.terms.collect()} == df and index.terms.count() == len(df)
+    top = index.blocks.select(F.abs(F.col("top") - F.array_max(F.transform("hits", lambda h: L._part(G.TITLE_WEIGHT * h["tf_title"] + h["tf_abstract"], h["length"], F.lit(index.avg_length))))).alias("d"))
+    assert top.agg(F.max("d")).first()[0] < 1e-9
+    queries = spark.createDataFrame([(1, ["r1", "c3"])], "query_id int, terms array<string>")
+    assert [(r["id"], round(r["score"], 6)) for r in L.search(index, queries, 10).orderBy("rank").collect()] == naive(rows, ["r1", "c3"], 10)
