@@ -14,16 +14,25 @@ ID_KEYS = ("arxiv_id", "doi", "paper_id")
 TOPIC_COLUMNS = ("id", "source", "external_id", "title_clean", "abstract_clean", "embedding_text", "representation_text", "primary_category", "category_family", "is_survey", "lang")
 
 
-def prepare_texts(df: DataFrame, title: str = "title", abstract: str = "abstract") -> DataFrame:
-    """C11: all derived text columns; each step reads the previous one's column, so nothing is computed twice."""
+def cleaned_texts(df: DataFrame, title: str, abstract: str) -> DataFrame:
+    """The columns of C11 that need expressions over whole texts."""
     out = df.withColumns({"title_clean": T.light_clean(F.col(title)), "abstract_clean": T.light_clean(F.col(abstract))})
     out = out.withColumns({"abstract_word_count": T.count_words(F.col("abstract_clean")), "abstract_truncated": T.truncate_words(F.col("abstract_clean"))})
-    out = out.withColumn("abstract_representation", T.remove_boilerplate(F.col("abstract_truncated")))
+    return out.withColumn("abstract_representation", T.remove_boilerplate(F.col("abstract_truncated")))
+
+
+def joined_texts(df: DataFrame) -> DataFrame:
+    """The columns of C11 that are put together from those; cheap, so tables are kept without them."""
     twice = lambda c: F.btrim(F.concat(F.col("title_clean"), F.lit(". "), F.col("title_clean"), F.lit(". "), F.col(c)))
-    out = out.withColumns({"embedding_text": twice("abstract_truncated"), "representation_text": twice("abstract_representation")})
+    out = df.withColumns({"embedding_text": twice("abstract_truncated"), "representation_text": twice("abstract_representation")})
     return out.withColumns({"embedding_text_len": F.length("embedding_text"), "representation_text_len": F.length("representation_text"), "is_survey": T.is_survey(F.col("title_clean"))})
 
 
+def prepare_texts(df: DataFrame, title: str = "title", abstract: str = "abstract") -> DataFrame:
+    """C11: all derived text columns; each step reads the previous one's column, so nothing is computed twice."""
+    return joined_texts(cleaned_texts(df, title, abstract))
+
+
 def normalize_records(articles: DataFrame) -> DataFrame:
     """Cleaned title and abstract, id columns derived from the external id, lang."""
     return articles.select(
@@ -108,8 +117,10 @@ def clean_papers(articles: DataFrame) -> Hygiene:
     kept, by_id = dedupe_ids(light.filter("removal_reason IS NULL"))
     later = _first_of_key(kept, F.col("title_norm"), "id").filter("_later").select("id", F.lit("duplicate_normalized_title").alias("duplicate_reason"))
     dups = by_id.select("id", "duplicate_reason").unionByName(later)
-    told = cut(rows.join(light.select("id", "title_norm", "removal_reason"), "id").join(dups, "id", "left"))
-    kept = cut(prepare_texts(told.filter("removal_reason IS NULL AND duplicate_reason IS NULL").drop("removal_reason", "duplicate_reason")))
+    # the narrow side is hashed, so no texts are sorted
+    tags = light.select("id", "title_norm", "removal_reason").join(dups, "id", "left")
+    told = cut(rows.join(tags.hint("shuffle_hash"), "id"))
+    kept = joined_texts(cut(cleaned_texts(told.filter("removal_reason IS NULL AND duplicate_reason IS NULL").drop("removal_reason", "duplicate_reason"), "title", "abstract")))
     base = rows.columns
     kept, removed2 = split_by_rules(kept, short_reason("title_clean", "abstract_clean", "after_cleaning"))
     kept, removed3 = filter_language(kept)
