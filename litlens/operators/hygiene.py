@@ -53,19 +53,28 @@ def split_by_rules(df: DataFrame, reason: Column) -> tuple[DataFrame, DataFrame]
     return tagged.filter("removal_reason IS NULL").drop("removal_reason"), tagged.filter("removal_reason IS NOT NULL")
 
 
+def keys_of(records: DataFrame) -> DataFrame:
+    """A table (id, id keys, title_norm, removal_reason) of normalized records: all that the rules and de-duplication need. Texts
+    are read for it once, however many passes follow."""
+    return cut(records.select("id", *ID_KEYS, T.title_key(F.col("title")).alias("title_norm"), short_reason("title", "abstract", "or_empty").alias("removal_reason")))
+
+
 def _first_of_key(df: DataFrame, key: Column, order: str) -> DataFrame:
     """df with _later: whether an earlier row has the same non-empty key. First rows are summed up within tasks and joined back,
-    so a key of very many rows is no single task's."""
+    so a key of very many rows is no single task's; rows without a key are not joined."""
     keyed = df.withColumn("_key", F.nullif(F.btrim(key.cast("string")), F.lit("")))
-    first = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias("_first"))
-    return keyed.join(first, "_key", "left").withColumn("_later", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
+    has = keyed.filter("_key IS NOT NULL")
+    first = has.groupBy("_key").agg(F.min(order).alias("_first"))
+    joined = has.join(first, "_key").withColumn("_later", F.col(order) > F.col("_first")).drop("_key", "_first")
+    return joined.unionByName(keyed.filter("_key IS NULL").drop("_key").withColumn("_later", F.lit(False)))
 
 
 def dedupe_ids(df: DataFrame, keys: tuple[str, ...] = ID_KEYS, order: str = "id") -> tuple[DataFrame, DataFrame]:
-    """C14: one pass a key over the survivors of the previous ones; the first row of a key wins."""
+    """C14: one pass a key over the survivors of the previous ones; the first row of a key wins. Each pass reads the one before from
+    a table, and df should be a table of keys (keys_of)."""
     kept, dropped = df, []
     for key in keys:
-        marked = _first_of_key(kept, F.col(key), order)
+        marked = cut(_first_of_key(kept, F.col(key), order))
         dropped.append(marked.filter("_later").drop("_later").withColumn("duplicate_reason", F.lit(f"duplicate_{key}")))
         kept = marked.filter("NOT _later").drop("_later")
     out = dropped[0]
@@ -75,8 +84,9 @@ def dedupe_ids(df: DataFrame, keys: tuple[str, ...] = ID_KEYS, order: str = "id"
 
 
 def dedupe_titles(df: DataFrame, order: str = "id") -> tuple[DataFrame, DataFrame]:
-    """C15"""
-    marked = _first_of_key(df.withColumn("title_norm", T.title_key(F.col("title"))), F.col("title_norm"), order)
+    """By df's title_norm, or by that of its titles."""
+    df = df if "title_norm" in df.columns else df.withColumn("title_norm", T.title_key(F.col("title")))
+    marked = _first_of_key(df, F.col("title_norm"), order)
     return marked.filter("NOT _later").drop("_later"), marked.filter("_later").drop("_later").withColumn("duplicate_reason", F.lit("duplicate_normalized_title"))
 
 
@@ -113,9 +123,9 @@ def clean_papers(articles: DataFrame) -> Hygiene:
     """The whole path. Texts are cleaned once, into a table; rules and de-duplication work on keys and lengths, and what they
     say of each id is joined back to the texts once."""
     rows = cut(normalize_records(articles))
-    light = cut(rows.select("id", *ID_KEYS, T.title_key(F.col("title")).alias("title_norm"), short_reason("title", "abstract", "or_empty").alias("removal_reason")))
+    light = keys_of(rows)
     kept, by_id = dedupe_ids(light.filter("removal_reason IS NULL"))
-    later = _first_of_key(kept, F.col("title_norm"), "id").filter("_later").select("id", F.lit("duplicate_normalized_title").alias("duplicate_reason"))
+    later = dedupe_titles(kept)[1].select("id", "duplicate_reason")
     dups = by_id.select("id", "duplicate_reason").unionByName(later)
     # the narrow side is hashed, so no texts are sorted
     tags = light.select("id", "title_norm", "removal_reason").join(dups, "id", "left")

@@ -178,13 +178,13 @@ def c13(a):
 
 @of_articles("c14_dedupe_ids", f"WITH {PREPARED} SELECT id, 'kept' AS fate FROM k3 UNION ALL SELECT id, 'duplicate_arxiv_id' FROM k WHERE id NOT IN (SELECT id FROM k1) UNION ALL SELECT id, 'duplicate_doi' FROM k1 WHERE id NOT IN (SELECT id FROM k2) UNION ALL SELECT id, 'duplicate_paper_id' FROM k2 WHERE id NOT IN (SELECT id FROM k3)")
 def c14(a):
-    kept, dups = H.dedupe_ids(H.split_by_rules(H.normalize_records(a), H.short_reason("title", "abstract", "or_empty"))[0])
+    kept, dups = H.dedupe_ids(H.keys_of(H.normalize_records(a)).filter("removal_reason IS NULL"))
     return kept.select("id", F.lit("kept").alias("fate")).union(dups.select("id", "duplicate_reason"))
 
 
 @of_articles("c15_dedupe_titles", f"WITH {PREPARED} SELECT id, title_norm FROM k5")
 def c15(a):
-    kept, _ = H.dedupe_ids(H.split_by_rules(H.normalize_records(a), H.short_reason("title", "abstract", "or_empty"))[0])
+    kept, _ = H.dedupe_ids(H.keys_of(H.normalize_records(a)).filter("removal_reason IS NULL"))
     return H.dedupe_titles(kept)[0].select("id", "title_norm")
 
 
