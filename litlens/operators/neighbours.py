@@ -28,6 +28,8 @@ from litlens.operators.tables import cut, ship
 COARSE_TRAIN, CELL_TRAIN, CODE_TRAIN = 16_384, 32, 16_384
 MAX_COARSE, MAX_FINE, MAX_CELLS = 128, 512, 65_536
 BLOCK = 4096
+#: Numbers of a matrix of rows by cells, or by members, that a task holds at a time.
+AT_ONCE = 1 << 21
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -40,6 +42,14 @@ def _lists(x: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
 
 
+def slices(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces whose matrix by `width` columns stays bounded, however many columns there are."""
+    step = max(1, AT_ONCE // max(1, width))
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def lloyd(x: np.ndarray, k: int, rounds: int = 8, seed: int = 5, spherical: bool = True) -> np.ndarray:
     """k-means centres of the rows of x: of unit vectors by cosine, else by distance. Empty cells take the worst placed rows."""
     rng = np.random.default_rng(seed)
@@ -111,7 +121,7 @@ def assign(rows: DataFrame, cells: Cells) -> DataFrame:
     centres, region, dims = cells.centres, cells.region, cells.dims
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, len(centres)):
             near = matrix(b.column("v"), dims) @ centres.T
             own = near.argmax(1)
             angle = np.arccos(np.clip(near.max(1), -1, 1))
@@ -134,7 +144,7 @@ def probed(queries: DataFrame, cells: Cells, k: int, probe: int, apart: bool = F
     centres, radius, count, dims, k = cells.centres, cells.radius, cells.count, cells.dims, k + apart
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, len(centres)):
             angle = np.arccos(np.clip(matrix(b.column("v"), dims) @ centres.T, -1, 1))
             # the k nearest lie no farther than the outer bounds of the cells that surely hold k
             outer, inner = np.where(count > 0, angle + radius, np.inf), np.where(count > 0, angle - radius, np.inf)
@@ -184,10 +194,13 @@ def nearest(assigned: DataFrame, queries: DataFrame, cells: Cells, k: int, probe
     def compare(m: pa.Table, q: pa.Table) -> pa.Table:
         if not m.num_rows or not q.num_rows:
             return pa.table({"query_id": q["id"].slice(0, 0), "id": m["id"].slice(0, 0), "score": pa.array([], pa.float64())})
-        sims = matrix(q["v"], dims) @ matrix(m["v"], dims).T
-        sims[np.asarray(q["id"])[:, None] == np.asarray(m["id"])[None, :]] = -np.inf
-        row, col = _best(sims, k)
-        return pa.table({"query_id": q["id"].take(pa.array(row)), "id": m["id"].take(pa.array(col)), "score": pa.array(sims[row, col])})
+        members, ids, found = matrix(m["v"], dims).T, np.asarray(m["id"]), []
+        for part in slices([q], len(ids)):
+            sims = matrix(part["v"], dims) @ members
+            sims[np.asarray(part["id"])[:, None] == ids[None, :]] = -np.inf
+            row, col = _best(sims, k)
+            found.append(pa.table({"query_id": part["id"].take(pa.array(row)), "id": m["id"].take(pa.array(col)), "score": pa.array(sims[row, col])}))
+        return pa.concat_tables(found)
 
     found = meet(assigned.select("cell", "id", "v"), probed(queries, cells, k, probe, True).select("cell", "id", "v"), compare, "query_id long, id long, score double")
     return _firsts(found, k)
@@ -253,13 +266,15 @@ def search_index(index: VectorIndex | None, queries: DataFrame, k: int, probe: i
     def compare(key, m: pa.Table, q: pa.Table) -> pa.Table:
         if not m.num_rows or not q.num_rows:
             return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        x = matrix(q["v"], dims)
-        codes = np.frombuffer(b"".join(m["code"].to_pylist()), np.uint8).reshape(-1, parts)
-        sims = np.repeat(x @ centres[key[0].as_py()][:, None], len(codes), axis=1)
-        for p, part in enumerate(np.split(x, parts, axis=1)):
-            sims += (part @ books[p].T)[:, codes[:, p]]
-        row, col = _best(sims, keep)
-        return pa.table({"query_id": q["id"].take(pa.array(row)), "id": m["id"].take(pa.array(col)), "score": pa.array(sims[row, col])})
+        codes, found = np.frombuffer(b"".join(m["code"].to_pylist()), np.uint8).reshape(-1, parts), []
+        for some in slices([q], len(codes)):
+            x = matrix(some["v"], dims)
+            sims = np.repeat(x @ centres[key[0].as_py()][:, None], len(codes), axis=1)
+            for p, part in enumerate(np.split(x, parts, axis=1)):
+                sims += (part @ books[p].T)[:, codes[:, p]]
+            row, col = _best(sims, keep)
+            found.append(pa.table({"query_id": some["id"].take(pa.array(row)), "id": m["id"].take(pa.array(col)), "score": pa.array(sims[row, col])}))
+        return pa.concat_tables(found)
 
     found = _firsts(meet(index.coded, probed(q, cells, k, probe), compare, "query_id long, id long, score double"), keep).select("query_id", "id")
     exact = found.join(index.vectors, "id").join(q.select(F.col("id").alias("query_id"), F.col("v").alias("_q")), "query_id")
@@ -278,7 +293,7 @@ def pairs_within(rows: DataFrame, least: float, target: int = 256) -> DataFrame:
     centres, radius, dims, reach = cells.centres, np.where(cells.count > 0, cells.radius, -np.inf), cells.dims, math.acos(max(-1.0, min(1.0, least)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, len(centres)):
             angle = np.arccos(np.clip(matrix(b.column("v"), dims) @ centres.T, -1, 1))
             row, cell = np.nonzero(angle - radius <= reach + 1e-6)
             at = pa.array(row)
@@ -287,9 +302,12 @@ def pairs_within(rows: DataFrame, least: float, target: int = 256) -> DataFrame:
     def compare(m: pa.Table, q: pa.Table) -> pa.Table:
         if not m.num_rows or not q.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        sims = matrix(q["v"], dims) @ matrix(m["v"], dims).T
-        row, col = np.nonzero((sims >= least) & (np.asarray(q["id"])[:, None] < np.asarray(m["id"])[None, :]))
-        return pa.table({"a": q["id"].take(pa.array(row)), "b": m["id"].take(pa.array(col)), "score": pa.array(sims[row, col])})
+        members, ids, found = matrix(m["v"], dims).T, np.asarray(m["id"]), []
+        for part in slices([q], len(ids)):
+            sims = matrix(part["v"], dims) @ members
+            row, col = np.nonzero((sims >= least) & (np.asarray(part["id"])[:, None] < ids[None, :]))
+            found.append(pa.table({"a": part["id"].take(pa.array(row)), "b": m["id"].take(pa.array(col)), "score": pa.array(sims[row, col])}))
+        return pa.concat_tables(found)
 
     asked = rows.mapInArrow(ask, "id long, v array<double>, cell int")
     return meet(assigned.select("cell", "id", "v"), asked.select("cell", "id", "v"), compare, "a long, b long, score double")

@@ -177,3 +177,30 @@ def test_kmeans_topics_find_planted_groups(spark):
     rows = frame(spark, x).unionByName(spark.createDataFrame([(9000, None), (9001, [])], "id long, embedding array<double>"))
     got = {r["id"]: r["topic"] for r in experiments.kmeans_topics(rows, 5).collect()}
     assert len(got) == len(x) and rand_index([got[i] for i in range(len(x))], list(own)) >= 0.7
+
+
+def test_batches_are_cut_to_the_number_of_cells():
+    """A matrix of rows by cells stays bounded, whatever the batches and cells."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000))], ["id"])
+    for width in (1, 2_400, 65_536, 1 << 22):
+        parts = list(neighbours.slices([batch], width))
+        assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(10_000))
+        assert all(p.num_rows == 1 or p.num_rows * width <= neighbours.AT_ONCE for p in parts)
+
+
+def test_pieces_give_the_same_neighbours(spark, monkeypatch):
+    x, _ = planted(4, 40, 8, 0.2, 20, 3)
+    rows = neighbours.unit_rows(frame(spark, x), "id", "embedding")
+    cells = neighbours.fit(rows, 64)
+
+    def found():
+        assigned = neighbours.assign(rows, cells)
+        out = neighbours.nearest(assigned, rows, neighbours.measured(cells, assigned), 5, 3).collect()
+        return sorted((r["query_id"], r["rank"], r["id"]) for r in out)
+
+    want = found()
+    real = neighbours.slices
+    monkeypatch.setattr(neighbours, "slices", lambda b, width: real(b, width * neighbours.AT_ONCE // 8))
+    assert found() == want
