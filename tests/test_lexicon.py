@@ -96,3 +96,18 @@ def test_build_grows_by_tasks(spark, corpus, monkeypatch):
     assert top.agg(F.max("d")).first()[0] < 1e-9
     queries = spark.createDataFrame([(1, ["r1", "c3"])], "query_id int, terms array<string>")
     assert [(r["id"], round(r["score"], 6)) for r in L.search(index, queries, 10).orderBy("rank").collect()] == naive(rows, ["r1", "c3"], 10)
+
+
+def test_hits_are_added_up_in_as_many_tasks_as_they_need(spark, corpus, monkeypatch):
+    """The pages of a query are dealt before their hits are taken out, and summed without another shuffle."""
+    _, articles = corpus
+    index = L.opened(articles, f"{T.shared_folder(spark)}/lexicon-test")
+    queries = spark.createDataFrame([(1, ["c1", "c2", "c3"])], "query_id int, terms array<string>")
+    want = L.search(index, queries, 10).collect()
+    monkeypatch.setattr(L, "TASK_HITS", 100)
+    out = L.search(index, queries, 10)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    tasks = int(re.search(r"hashpartitioning\(query_id#\d+L?, page#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)[1])
+    hits = index.terms.filter(F.col("term").isin("c1", "c2", "c3")).agg(F.sum("df")).first()[0]
+    assert tasks == math.ceil(hits / 100) and "page#" not in "".join(re.findall(r"hashpartitioning\([^)]*\), ENSURE.*", plan))
+    assert [tuple(r)[:2] for r in out.collect()] == [tuple(r)[:2] for r in want]
