@@ -111,28 +111,38 @@ def tokens_of(text: Column) -> Column:
     return F.filter(found, lambda w: ~w.isin(*STOP_WORDS))
 
 
-def terms_of(text: Column) -> Column:
-    """Uni- and bigrams."""
-    w = tokens_of(text)
-    two = F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
-    return F.concat(w, two)
+def term_rows(rows: DataFrame, text: Column) -> DataFrame:
+    """rows (id, cluster_id, and what text reads) as (id, cluster_id, term), one for each uni- and bigram of its text. The words are
+    found once a row: an outer explode infers no filter that would find them again."""
+    words = rows.select("id", "cluster_id", tokens_of(text).alias("w")).select("id", "cluster_id", "w", F.posexplode_outer("w").alias("at", "one"))
+    both = F.array("one", F.concat("one", F.lit(" "), F.get("w", F.col("at") + 1)))
+    return words.select("id", "cluster_id", F.explode_outer(both).alias("term")).filter("term IS NOT NULL")
 
 
 def topic_terms(df: DataFrame, text: Column | None = None, min_docs: int = 2) -> DataFrame:
     """(cluster_id, term, tf): counts of the terms that at least min_docs documents hold, in `text` or else in the
-    representation text. Counts are partial before the shuffle."""
+    representation text. Counts are partial before the shuffle; whether two documents hold a term is told by its smallest and
+    largest id, so up to min_docs 2 no term is shuffled for each document."""
     text = T.representation_text(F.col("title"), F.col("abstract_text")) if text is None else text
-    rows = df.filter("cluster_id >= 0").select("id", "cluster_id", F.explode(terms_of(text)).alias("term"))
-    per_doc = rows.groupBy("id", "cluster_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    tf = per_doc.groupBy("cluster_id", "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("docs"))
+    rows = term_rows(df.filter("cluster_id >= 0"), text)
+    if min_docs <= 2:
+        low, high, none = F.min("id"), F.max("id"), F.max(F.col("id").isNull())
+        docs = F.when((low != high) | (none & low.isNotNull()), 2).otherwise(1)
+        tf = rows.groupBy("cluster_id", "term").agg(F.count(F.lit(1)).alias("tf"), docs.alias("docs"))
+    else:
+        per_doc = rows.groupBy("id", "cluster_id", "term").agg(F.count(F.lit(1)).alias("n"))
+        tf = per_doc.groupBy("cluster_id", "term").agg(F.sum("n").alias("tf"), F.count(F.lit(1)).alias("docs"))
     total = tf.withColumn("_df", F.sum("docs").over(Window.partitionBy("term")))
     return total.filter(F.col("_df") >= min_docs).select("cluster_id", "term", "tf")
 
 
 def ctfidf(terms: DataFrame) -> DataFrame:
-    """E5: class TF-IDF, sqrt of the L1-normalised count by ln(1 + mean class length / term total)."""
-    sized = terms.withColumn("_len", F.sum("tf").over(Window.partitionBy("cluster_id"))).withColumn("_all", F.sum("tf").over(Window.partitionBy("term")))
-    mean = terms.agg((F.sum("tf") / F.count_distinct("cluster_id")).alias("_mean"))
+    """E5: class TF-IDF, sqrt of the L1-normalised count by ln(1 + mean class length / term total). The terms are made once; class
+    lengths are summed before they move, so no class lies in one task."""
+    terms = cut(terms)
+    lengths = terms.groupBy("cluster_id").agg(F.sum("tf").alias("_len"))
+    mean = lengths.agg((F.sum("_len") / F.count("cluster_id")).alias("_mean"))
+    sized = terms.withColumn("_all", F.sum("tf").over(Window.partitionBy("term"))).join(lengths, "cluster_id")
     return sized.crossJoin(F.broadcast(mean)).select("cluster_id", "term", (F.sqrt(F.col("tf") / F.col("_len")) * F.log(1 + F.col("_mean") / F.col("_all"))).alias("weight"))  # one row
 
 
