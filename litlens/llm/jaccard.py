@@ -15,11 +15,13 @@ of their sets is at least `percent` / 100.
 * Pairs are formed within subclasses (token hash mod m), so that their number stays near the prefix's length. m depends on
   the band of the set's size; as partners' sizes differ by at most 100 / percent, a set indexes the bands it may share.
 * A pair whose first shared token stands so late in one of the sets that too little is left to share is no candidate, nor is
-  one whose sets differ in more tokens than they may: the parities of 256 hash bins bound that from below.
+  one whose sets differ in more tokens than they may: the parities of 256 hash bins bound that from below, and before texts are
+  read or all pairs of a bucket formed, those of about as many bins as a set has tokens.
 * In each bucket, members are compared with two centres: the nodes with the fewest and with the most tokens of their own
   before. Verified links make components. Members of a bucket that lie outside the component of one of `HEADS` further members
-  (in as many hash orders) are compared with it, and what then still lies in different components, every pair of it. So no
-  link between components is missed, and groups of near copies never expand into all pairs.
+  (in as many hash orders) are compared with it, and what then still lies in different components, every pair of it whose sizes
+  are near. So no link between components is missed, and groups of near copies never expand into all pairs. Buckets of the same
+  members are one for these steps.
 * A caller that needs the number of links (count_links) has them counted inside each component: its nodes are dealt to blocks of
   bounded size by their set's size, and each pair of blocks whose sizes can link meets in one task, as an incidence matrix.
 
@@ -32,6 +34,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -39,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from litlens.llm.common import checkpoint, components, discard, left_join_marked, partitions, read_table, semi_by_bitmap
+from litlens.llm.common import checkpoint, components, discard, left_join_marked, partitions, read_table, semi_by_bitmap, small_batches
 from litlens.llm.words import mix, pieces, planes, shingle_hashes, slices, unplanes, word_hashes
 
 #: Upper ends of the bands of set sizes, and pair subclasses in each (an eighth of the band's lower end).
@@ -51,6 +54,11 @@ COUNT_BITS = 40
 #: steps from the end of the prefix (31: at its start).
 NODE_BITS, STEPS = 58, 32
 M = ("m0", "m1", "m2", "m3")
+#: Wider parities: 64-bit words, and the sizes of the sets that carry them. Neighbours overlap by more than two linked sets may
+#: differ in size, so a linked pair has one kind in common, with about as many bins as a set has tokens.
+WIDE = {"o1": (16, 150, 2_800), "o2": (64, 1_700, 11_200), "o3": (256, 6_800, 1 << 62)}
+#: Members of a bucket that one task compares with the others.
+CROWD = 1024
 #: Further members of a mixed bucket that others are compared with; nodes and shingles of a block in which links are counted,
 #: and columns of its incidence matrix at a time.
 HEADS, BLOCK_NODES, BLOCK_TOKENS, COLUMNS = 6, 256, 400_000, 8192
@@ -72,26 +80,44 @@ def fingerprint(s: np.ndarray) -> int:
     return int((h >> np.uint64(64 - NODE_BITS)).astype(np.int64)[0])
 
 
-def parities(s: np.ndarray) -> np.ndarray:
-    """Four 64-bit words: for each of 256 bins of hashes, whether the set has an odd number of tokens in it. The words of two
-    sets differ in at most as many bits as tokens are in one set alone."""
-    odd = np.bincount((mix(s ^ np.uint64(0xB5026F5AA96619E9)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+def parities(s: np.ndarray, words: int = 4) -> np.ndarray:
+    """64-bit words (a power of two): for each of 64 * words bins of hashes, whether the set has an odd number of tokens in it.
+    The words of two sets differ in at most as many bits as tokens are in one set alone."""
+    bins = 64 * words
+    odd = np.bincount((mix(s ^ np.uint64(0xB5026F5AA96619E9)) >> np.uint64(65 - bins.bit_length())).astype(np.int64), minlength=bins) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def wide_parities(s: np.ndarray) -> list[np.ndarray | None]:
+    """The kinds of WIDE that a set of this size carries; null for the others."""
+    return [parities(s, words) if least <= len(s) <= most else None for words, least, most in WIDE.values()]
+
+
+def wide_room(percent: int) -> Column:
+    """Whether the wide parities of sets a and b leave room for a link: tokens in one set alone are at least their distance."""
+
+    def room(c: str) -> Column:
+        apart = F.expr(f"aggregate(zip_with({c}_a, {c}_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+        return F.col(f"{c}_a").isNull() | F.col(f"{c}_b").isNull() | ((100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b")))
+
+    return reduce(lambda x, y: x & y, [room(c) for c in WIDE])
+
+
 def with_sets(docs: DataFrame, words: int) -> DataFrame:
-    """(doc_id, th, n, node, m0 to m3): size, identity and parities of each document's set; node is null for an empty set. th
-    tells texts of one doc_id apart."""
-    names = ["doc_id", "th", "n", "node", "m0", "m1", "m2", "m3"]
+    """(doc_id, th, n, node, m0 to m3, o1 to o3): size, identity and parities of each document's set; node is null for an empty
+    set. th tells texts of one doc_id apart."""
+    names = ["doc_id", "th", "n", "node", *M, *WIDE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = sets_of(batch.column(1).to_pylist(), words)
             node = [fingerprint(s) if len(s) else None for s in sets]
             odd = np.array([parities(s) for s in sets], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), *(pa.array(odd[:, i]) for i in range(4))], names)
+            wide = zip(*[wide_parities(s) for s in sets], strict=True) if sets else [()] * len(WIDE)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), *(pa.array(odd[:, i]) for i in range(4)), *(pa.array(list(x), pa.list_(pa.int64())) for x in wide)], names)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    kinds = ", ".join(f"{c} {'array<long>' if c in WIDE else 'long'}" for c in names)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("th")).mapInArrow(run, kinds)
 
 
 def frequent_tokens(docs: DataFrame, words: int, least: int, most: int, ranges: int) -> np.ndarray:
@@ -216,10 +242,11 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) of the pairs (a, b) whose sets are similar enough, counted on the whole texts. The texts are shuffled by document
-    once, and once more beside their partner."""
-    place = lambda x: nodes.select(F.col("node").alias(x), F.col("doc_id").alias(f"doc_{x}"), F.col("th").alias(f"th_{x}"))
-    pairs = checkpoint(pairs.select("a", "b").join(place("a"), "a").join(place("b"), "b"))
+    """(a, b) of the pairs (a, b) whose sets are similar enough, counted on the whole texts where the wide parities don't rule a
+    link out. The texts are shuffled by document once, and once more beside their partner."""
+    place = lambda x: nodes.select(F.col("node").alias(x), *[F.col(c).alias(f"{d}_{x}") for c, d in (("doc_id", "doc"), ("th", "th"), ("n", "n"), *zip(WIDE, WIDE, strict=True))])
+    pairs = pairs.select("a", "b").join(place("a"), "a").join(place("b"), "b").filter(wide_room(percent))
+    pairs = checkpoint(pairs.select("a", "b", "doc_a", "th_a", "doc_b", "th_b"))
     texts = texts_of(docs, pairs.select(F.col("doc_a").alias("doc_id")).union(pairs.select("doc_b")).distinct())
     text = lambda x: texts.select(F.col("doc_id").alias(f"doc_{x}"), F.col("th").alias(f"th_{x}"), F.col("text").alias(f"t{x}"))
     both = pairs.join(text("a"), ["doc_a", "th_a"]).join(text("b"), ["doc_b", "th_b"])
@@ -291,16 +318,34 @@ def count_links_of(members: DataFrame, nodes: DataFrame, docs: DataFrame, words:
     return checkpoint(counted.union(couples))
 
 
+def distinct_buckets(rows: DataFrame) -> DataFrame:
+    """(sig, node, q, component, held) of the buckets of rows (sig, node, q, component) that hold several components; buckets of
+    the same members are one, with each member's smallest step. Members are told by their number and two sums of hashes: were
+    different ones taken for the same, the bucket would hold all of them, so no pair is lost."""
+    sums = {f"x{i}": F.sum(F.shiftright(F.xxhash64("node", F.lit(i)), 28)) for i in range(2)}
+    mixed = rows.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held"), *[c.alias(k) for k, c in sums.items()]).filter("lo <> hi")
+    mixed = checkpoint(mixed.select("sig", "held", F.xxhash64("held", *sums).alias("members")))
+    held = semi_by_bitmap(rows, "sig", mixed).join(mixed, "sig").groupBy("members", "node").agg(F.min("q").alias("q"), F.min("component").alias("component"), F.max("held").alias("held"))
+    out = checkpoint(held.withColumnRenamed("members", "sig"))
+    discard(mixed)
+    return out
+
+
 def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int = 32, frequent_most: int = 1 << 18, count_links: bool = True) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links): component_id is the smallest doc_id reachable by links, itself
     included; n_links counts the links of the document's set with other sets. Without count_links the pairs inside a
     component are not compared, components stay whole, and n_links counts only the links that were verified for them."""
+    with small_batches(docs.sparkSession):
+        return joined(docs, words, percent, frequent_from, frequent_most, count_links)
+
+
+def joined(docs: DataFrame, words: int, percent: int, frequent_from: int, frequent_most: int, count_links: bool) -> DataFrame:
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark = docs.sparkSession
     sized = checkpoint(with_sets(slim, words))
     tokens = sized.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # each set's size and the document whose text stands for it; sets that only null ids hold get no document and no links
-    nodes = checkpoint(sized.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in M]).select("node", "of.doc_id", "of.th", "n", *M))
+    nodes = checkpoint(sized.filter("node is not null and doc_id is not null").groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("of"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in (*M, *WIDE)]).select("node", "of.doc_id", "of.th", "n", *M, *WIDE))
     frequent = spark.sparkContext.broadcast(frequent_tokens(slim, words, frequent_from, frequent_most, max(1, tokens // 2_000_000)))
     rows = index(slim.filter("doc_id is not null"), frequent, words, percent).repartition(partitions(docs), "sig")
     w = Window.partitionBy("sig")
@@ -337,10 +382,9 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
         return rows.filter(F.col("node") != F.col(c)).select(pick("node", c).alias("a"), pick(c, "node").alias("b"), pick("q", f"q_{c}").alias("q_a"), pick(f"q_{c}", "q").alias("q_b"))
 
     def still_apart(rows: DataFrame, groups: DataFrame) -> DataFrame:
-        """(sig, node, q, component) of the buckets that hold several components."""
+        """(sig, node, q, component, held) of the buckets that hold several components, of buckets of equal members one."""
         apart = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = apart.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("sig")
-        return checkpoint(semi_by_bitmap(apart, "sig", mixed).join(mixed, "sig", "left_semi"))
+        return distinct_buckets(apart)
 
     tried = checkpoint(described(ordered(buckets, "centre").union(ordered(buckets, "second"))))
     links = verify(tried, nodes, slim, words, percent)
@@ -355,10 +399,15 @@ def join(docs: DataFrame, words: int = 5, percent: int = 80, frequent_from: int
     links = checkpoint(links.union(verify(more, nodes, slim, words, percent)))
     groups = checkpoint(components(links))
     rest = still_apart(apart.select("sig", "node", "q"), groups)
-    rest = checkpoint(rest.join(nodes.select("node", "n", *M), "node"))
-    side = lambda x: rest.select("sig", F.col("node").alias(x), F.col("q").alias(f"q_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *M)])
-    last = side("a").join(side("b"), "sig").filter(F.expr("a < b and c_a <> c_b") & may_link("a", "b") & may_link("b", "a") & differ_little())
-    last = checkpoint(last.select("a", "b").distinct().join(tried.union(more), ["a", "b"], "left_anti"))
+    rest = rest.join(nodes.select("node", "n", *M, *WIDE), "node").withColumn("parts", F.ceil(F.col("held") / CROWD))
+    rest = checkpoint(rest.withColumn("level", F.floor(F.log("n") / math.log(100 / percent) + 1e-9)).drop("held"))
+    side = lambda x: rest.select("sig", "level", "parts", F.col("node").alias(x), F.col("q").alias(f"q_{x}"), F.col("component").alias(f"c_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("n", *M, *WIDE)])
+    # a set meets those of its own level of sizes and of the next; a large bucket is dealt to several tasks
+    left = side("a").withColumn("level", F.explode(F.array("level", F.col("level") + 1))).withColumn("part", F.pmod(F.xxhash64("a"), "parts")).drop("parts")
+    right = side("b").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    last = left.join(right, ["sig", "level", "part"]).filter(F.expr("(n_a < n_b or n_a = n_b and a < b) and c_a <> c_b") & may_link("a", "b") & may_link("b", "a") & differ_little() & wide_room(percent))
+    last = last.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    last = checkpoint(last.join(tried.union(more), ["a", "b"], "left_anti"))
     if not last.isEmpty():
         links = checkpoint(links.union(verify(last, nodes, slim, words, percent)))
         groups = checkpoint(components(links))

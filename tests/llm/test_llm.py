@@ -358,6 +358,47 @@ def test_jaccard_counts_all_links(docs):
     assert got == dict.fromkeys(range(12), 11)
 
 
+def test_jaccard_equal_buckets_are_one(spark):
+    """Buckets of the same members are one with the smallest steps; those of one component go."""
+    rows = [(s, n, q, n) for s, q in ((1, 5), (2, 3), (3, 9)) for n in (10, 20)] + [(4, 10, 1, 10), (4, 20, 1, 20), (4, 30, 1, 30), (5, 10, 0, 10), (5, 40, 0, 10)]
+    got = jaccard.distinct_buckets(spark.createDataFrame(rows, "sig long, node long, q int, component long")).collect()
+    buckets = {}
+    for r in got:
+        buckets.setdefault(r["sig"], set()).add((r["node"], r["q"], r["held"]))
+    assert sorted(map(sorted, buckets.values())) == [[(10, 1, 3), (20, 1, 3), (30, 1, 3)], [(10, 3, 2), (20, 3, 2)]]
+
+
+def test_jaccard_wide_parities_rule_out_unlike_sets(spark):
+    """They bound the tokens that two sets do not share, so a link is never ruled out; unlike sets of any size are."""
+    rnd = np.random.default_rng(7)
+    draw = lambda n: rnd.integers(0, 1 << 63, n, dtype=np.uint64)
+    rows, truth = [], []
+    for n in (200, 1_500, 2_700, 9_000):
+        base = draw(n)
+        for gone in (0, n // 9, n):  # similarity 1, about 0.8 and 0
+            x, y = np.unique(base), np.unique(np.r_[base[gone:], draw(gone)])
+            common = len(np.intersect1d(x, y))
+            truth.append(100 * common >= 80 * (len(x) + len(y) - common))
+            rows.append((len(rows), len(x), len(y), *[None if p is None else p.tolist() for s in (x, y) for p in jaccard.wide_parities(s)]))
+    kinds = ", ".join(f"{c}_{x} array<long>" for x in "ab" for c in jaccard.WIDE)
+    got = spark.createDataFrame(rows, f"i int, n_a long, n_b long, {kinds}").select("i", jaccard.wide_room(80).alias("may")).orderBy("i").collect()
+    assert [r["may"] for r in got] == truth
+
+
+@pytest.mark.parametrize("crowd", [2, 1024])
+def test_jaccard_last_pairs(docs, monkeypatch, crowd):
+    """Links that only the comparison of all that lies in different components of a bucket finds: no further heads, no second
+    centre that would do, sizes of several levels, buckets in several parts."""
+    monkeypatch.setattr(jaccard, "HEADS", 1)
+    monkeypatch.setattr(jaccard, "CROWD", crowd)
+    rnd, rows = random.Random(5), []
+    shared = [f"s{j}" for j in range(60)]
+    for i in range(40):
+        own = [f"o{i // 2}.{j}" for j in range(rnd.choice([150, 190, 240]))] if i % 2 == 0 else [*own[:-1], "x", *[f"y{i}"] * rnd.randint(0, 3)]  # noqa: F821
+        rows.append((i, " ".join(shared + own)))
+    assert joined(docs(rows), frequent_from=8) == naive_join(rows)
+
+
 def test_jaccard_cases(docs, edge):
     rows = [r for r in edge if r[0] is not None]
     assert joined(docs(edge)) == naive_join(rows) | {None: (3, None)}
